@@ -49,3 +49,43 @@ def settle(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Hints a broadcast only for a table whose counted rows stay within the bound."""
     return F.broadcast(df) if rows <= bound else df
+
+
+BIT_WORDS = 1 << 17  # 64-bit words of a bit table: at most this many rows are broadcast
+
+
+def bit_table(df: DataFrame, hash_col: str) -> DataFrame:
+    """A set of hashes as at most BIT_WORDS rows (bit_word, bits): a filter of fixed size without false negatives."""
+    word = F.pmod(F.col(hash_col), F.lit(BIT_WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright({hash_col}, 32), 64) as int))")
+    return df.groupBy(word.alias("bit_word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def bit_filter(df: DataFrame, bits: DataFrame, hash_: Column) -> DataFrame:
+    """Rows of df whose hash may be in the set. The broadcast has a fixed bound, whatever the size of the set."""
+    b = bits.select(F.col("bit_word").alias("__bit_word"), F.col("bits").alias("__bits"))
+    hit = df.withColumn("__bit_hash", hash_).join(F.broadcast(b), F.pmod(F.col("__bit_hash"), F.lit(BIT_WORDS)) == F.col("__bit_word"))
+    return hit.filter(F.expr("getbit(__bits, cast(pmod(shiftright(__bit_hash, 32), 64) as int)) = 1")).select(*[df[c] for c in df.columns])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): node, root (smallest reachable node).
+
+    Alternating large and small stars (Kiveris et al.), each a map-side minimum and a join; no
+    neighbourhood is gathered, and every step is written to the shared folder.
+    """
+    e = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    if e.isEmpty():
+        return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    while True:
+        both = e.union(e.select("lo", "hi")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(down, "hi")
+        new = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct()
+        new = settle(new)
+        same = new.count() == e.count() and new.join(e, ["hi", "lo"], "left_anti").isEmpty()
+        e = new
+        if same:
+            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

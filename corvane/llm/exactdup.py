@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, broadcast_if, settle
+from corvane.llm.common import BIT_WORDS, ascii_lower, bit_table, broadcast_if, settle
 
-BIT_WORDS = 1 << 17  # 64-bit words of the bit table: at most this many rows are broadcast
 LENGTHS_BOUND = 1_000_000  # distinct lengths above which the length table is joined by shuffle
 
 
@@ -40,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = rows.select("len", pair.alias("pair")).join(lengths, "len", "left_semi").groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
     word = F.pmod(F.col("pair"), F.lit(BIT_WORDS))
     bit = F.pmod(F.shiftright("pair", 32), F.lit(64)).cast("int")
-    bits = settle(pairs.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(pair, 32), 64) as int))")).alias("bits")))
+    bits = settle(bit_table(pairs, "pair").withColumnRenamed("bit_word", "word"))
 
     marked = rows.withColumn("pair", pair).withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bits), "word", "left")
     open_ = F.coalesce(F.expr("getbit(bits, bit)") == 1, F.lit(False))
