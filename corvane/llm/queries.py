@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, exactdup, mix, neardup, shard
+from corvane.llm import decontam, exactdup, htmlmain, mix, neardup, pii, shard
 from corvane.llm.common import table
 
 
@@ -15,6 +15,18 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    of = lambda kind: f"array_sort(filter(spans, x -> x.kind = '{kind}'))"
+    base = F.expr(f"flatten(array({', '.join(of(k) for k in pii.KINDS[:4])}))")
+    base = F.transform(base, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
+    counts = [F.expr(f"cast(size({of(k)}) as long)").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term")
+    )
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"), 3, 85)
 
@@ -34,12 +46,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_decontam": op1_decontam,
+    "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
     "op7_shard": op7_shard,
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_main": op10_html_main,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
