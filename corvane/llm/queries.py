@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, exactdup, htmlmain, mix, neardup, pii, shard
-from corvane.llm.common import table
+from corvane.llm import decontam, exactdup, htmlmain, langid_crf, mix, neardup, pii, quality_pu, shard
+from corvane.llm.common import fold, table
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,17 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid_crf.predict(docs, langid_crf.train(docs))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     of = lambda kind: f"array_sort(filter(spans, x -> x.kind = '{kind}'))"
@@ -52,6 +63,8 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontam": op1_decontam,
+    "op3_language": op3_language,
+    "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
     "op7_shard": op7_shard,
