@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, exactdup, htmlmain, langid_crf, mix, neardup, pii, quality_pu, shard
+from corvane.llm import decontam, exactdup, htmlmain, langid_crf, lm_ctw, mix, neardup, pii, quality_pu, shard
 from corvane.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid_crf.predict(docs, langid_crf.train(docs))
@@ -63,6 +67,7 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontam": op1_decontam,
+    "op2_lm_score": op2_lm_score,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
