@@ -70,3 +70,19 @@ def shard_table(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size")
     numbered = rows.withColumn("rank", F.row_number().over(inside) - 1)
     return numbered.join(starts, ["shard", "bucket"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with their own columns, and their shard and slot. Columns of those names are replaced."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.drop("shard", "slot").withColumns({"__sh_key": stable_key(id_col), "__sh_size": F.octet_length(text), "__sh_crc": F.crc32(text.cast("binary"))})
+    rows = rows.withColumn("shard", shard_column(shards)("__sh_key"))
+    buckets = max(1, math.ceil(docs.count() / shards / BUCKET_ROWS))
+    rows = rows.withColumn("__sh_bucket", F.pmod(F.xxhash64("__sh_key", "__sh_crc", "__sh_size"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("__sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", "__sh_bucket").agg(F.count("*").alias("n"))
+    starts = settle(starts.select("shard", "__sh_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__sh_start")))
+    inside = Window.partitionBy("shard", "__sh_bucket").orderBy(id_col, "__sh_crc", "__sh_size")
+    numbered = rows.withColumn("__sh_rank", F.row_number().over(inside) - 1).join(starts, ["shard", "__sh_bucket"])
+    slot = (F.col("__sh_start") + F.col("__sh_rank")).cast("long").alias("slot")
+    return numbered.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", slot)
