@@ -1,15 +1,57 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: quality, near duplicates, benchmark leaks, mixture, shards.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, written as Parquet
+and read again by whoever runs the stages one at a time. `run` chains them in one session.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from corvane.llm import decontam, mix, neardup, quality_pu, shard
+from corvane.llm.common import settle, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the positive-unlabelled classifier rejects."""
+    return quality_pu.keep_good(docs, table(spark, sf_dir, "labels"), 0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group (five-word shingles, similarity of 0.8 or more)."""
+    return neardup.keep_one(docs, 5, 80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a ten-word window of a benchmark text."""
+    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources meet their target weights, none more than twice."""
+    return mix.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds shard and slot by jump consistent hashing."""
+    return shard.shard_documents(docs, 24)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+ORACLE_SQL = None  # a fitted classifier and signatures are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = settle(docs)
     return docs
