@@ -60,7 +60,7 @@ def frame_admission(spark, d):
 
 def prototype_match(spark, d):
     s = vec.bank_scores(_emb(spark, d), _banks(spark, d, FIVE), list(FIVE), "vec_id")
-    r = s.select("vec_id", *[F.round(c, 4).alias(c) for c in FIVE])
+    r = s.select("vec_id", *[(F.round(c, 4) + 0.0).alias(c) for c in FIVE])  # + 0.0: no negative zeros
     return r.withColumn("label", vec.attitude_label(F.col("pos"), F.col("neg")))
 
 
@@ -416,7 +416,7 @@ ORACLE_SQL = {
     "semantic_disambiguate": f"{_PN} SELECT vec_id, pos >= 0.26::DOUBLE AND pos - neg >= 0.04::DOUBLE AS group_sense FROM r",
     "frame_admission": f"""{_PN} SELECT term, 1 AS sign FROM (SELECT unnest(['0', '1', '2', '3', '4']) AS term) UNION ALL
 SELECT vec_id::VARCHAR, CASE WHEN neg > pos THEN -1 ELSE 1 END FROM r WHERE greatest(pos, neg) >= 0.2::DOUBLE AND abs(neg - pos) >= 0.04::DOUBLE AND vec_id > 4""",
-    "prototype_match": f"""WITH {_bank(FIVE)}, r AS (SELECT vec_id, {', '.join(f'round({k}, 4) AS {k}' for k in FIVE)} FROM s)
+    "prototype_match": f"""WITH {_bank(FIVE)}, r AS (SELECT vec_id, {', '.join(f'round({k}, 4) + 0.0::DOUBLE AS {k}' for k in FIVE)} FROM s)
 SELECT *, CASE WHEN greatest(pos, neg) >= 0.24::DOUBLE AND abs(pos - neg) >= 0.02::DOUBLE THEN CASE WHEN neg > pos THEN 'negAttI' ELSE 'posAttI' END END AS label FROM r""",
     "cosine_pairs": f"SELECT a.vec_id, {_BEST_DIST} AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "label_centroids": f"WITH {_CENT} SELECT label, pos, round(x, 5) AS x FROM c",
