@@ -32,7 +32,7 @@ def sheet(df: DataFrame, null_text: dict[str, str] | None = None) -> DataFrame:
 
 def write_tsv(df: DataFrame, folder: str, name: str | None = None, mode: str = "errorifexists") -> str:
     path = f"{folder}/{name or 'sheet-' + uuid.uuid4().hex}"
-    sheet(df).write.mode(mode).csv(path, sep="\t", header=True, quote='"', escape='"')
+    sheet(df).write.mode(mode).csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def stream_extract(spark: SparkSession, folder: str, name: str, transform, out: str, checkpoint: str, files_per_batch: int = 1):
-    """Reads a Parquet folder as a stream, applies a stateless transform and appends Parquet; stops when the input is used up."""
+    """Reads a Parquet table as a stream, applies a stateless transform and appends Parquet; stops when the input is used up."""
     source = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    reader = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(source)
+    else:
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     query = transform(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.parquet(out)
