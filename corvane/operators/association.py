@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import settle
+
 
 def _lexicon_match(words: str, terms: list[str]) -> Column:
     return F.array_intersect(F.array_distinct(F.col(words)), F.array(*[F.lit(t) for t in terms]))
@@ -60,19 +62,38 @@ def log_dice(pair: Column, t: Column, c: Column) -> Column:
     return F.when(pair > 0, 14 + F.log2(2.0 * pair / (t + c))).otherwise(F.lit(0.0))
 
 
+def sentence_counts(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3) -> DataFrame:
+    """kind, a, b, n: sentences in all ('t'), of each word ('w', word) and of each pair ('p', target, collocate).
+
+    One scan, one explode and one map-side combined count serve the pairs and both marginals.
+    """
+    stop = F.array(*[F.lit(t) for t in targets])
+    row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
+    first = lambda w: F.array_position("words", w)
+    last = lambda w: F.size("words") + 1 - F.array_position(F.reverse("words"), w)
+    d = sents.select("words", F.array_distinct("words").alias("own")).withColumn("anchors", F.array_intersect("own", stop))
+    d = d.withColumn("spans", F.transform("anchors", lambda t: F.struct(t.alias("t"), first(t).alias("lo"), last(t).alias("hi"))))
+    d = d.withColumn("others", F.when(F.size("anchors") > 0, F.filter("own", lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))).otherwise(F.array().cast("array<string>")))
+    apart = lambda s, w: F.greatest(s["hi"] - first(w), last(w) - s["lo"]) >= min_distance
+    pairs = F.flatten(F.transform("spans", lambda s: F.transform(F.filter("others", lambda w: apart(s, w)), lambda w: row("p", s["t"], w))))
+    rows = F.concat(F.array(row("t", F.lit(""), F.lit(""))), F.transform("own", lambda w: row("w", w, F.lit(""))), pairs)
+    return d.select(F.explode_outer(rows).alias("r")).groupBy("r.kind", "r.a", "r.b").agg(F.count("*").alias("n"))
+
+
 def association_scores(sents: DataFrame, targets: dict[str, str], min_count: int = 5, min_distance: int = 2) -> DataFrame:
     """target, group_type, collocate, pair_n, target_n, collocate_n, llr, logdice.
 
     targets: term -> group type. Marginals count sentences regardless of distance; min_count filters
-    pairs alone. The pairs table is the small side of every join.
+    pairs alone. The counts are read three times, so they are written once; pairs are the small side of every join.
     """
     terms = sorted(targets)
-    pairs = pair_counts(sents, terms, min_count, min_distance)
-    words = word_counts(sents)
-    total = sents.agg(F.count("*").alias("total"))
+    counts = settle(sentence_counts(sents, terms, min_distance))
+    pairs = counts.filter(f"kind = 'p' and n >= {int(min_count)}").select(F.col("a").alias("target"), F.col("b").alias("collocate"), F.col("n").alias("pair_n"))
+    words = counts.filter("kind = 'w'")
+    total = counts.filter("kind = 't'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     kinds = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(targets[t]))])
-    p = pairs.join(words.select(F.col("word").alias("collocate"), F.col("n").alias("collocate_n")), "collocate")
-    p = p.join(words.filter(F.col("word").isin(terms)).select(F.col("word").alias("target"), F.col("n").alias("target_n")), "target")
+    p = pairs.join(words.select(F.col("a").alias("collocate"), F.col("n").alias("collocate_n")), "collocate")
+    p = p.join(F.broadcast(words.filter(F.col("a").isin(terms)).select(F.col("a").alias("target"), F.col("n").alias("target_n"))), "target")  # one row a target
     p = p.join(F.broadcast(total))  # one row
     k11, t, c = F.col("pair_n"), F.col("target_n"), F.col("collocate_n")
     scored = llr(k11, t - k11, c - k11, F.col("total") - t - c + k11)
