@@ -43,8 +43,8 @@ FOLDS = 10
 END = 0xFF
 GRAMS_BOUND = 6_000_000
 TOKENS_BOUND = 2_000_000
-PIECE = 4 << 20  # bytes that are turned into grams at a time
-HOLD = 3 << 20  # distinct keys that a counting task holds before it emits them
+PIECE = 1 << 20  # bytes that are turned into grams at a time
+HOLD = 2 << 20  # distinct keys that a counting task holds before it emits them
 CHUNK = 1 << 18  # grams of a tree chunk
 LN2 = np.log(2.0)
 
@@ -85,6 +85,12 @@ def text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g, owner
 
 
+def _by_row(keys: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
+    """Lists of keys by row; owner is ascending."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))
+
+
 def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of rows of about PIECE bytes."""
     at = 0
@@ -360,18 +366,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 found[:] = True
             known = np.bincount(owner, (c > 0) & found, len(raw)).astype(np.int64)
             base = np.bincount(owner, np.where(found, np.log10(c + 0.1) - norm, 0.0), len(raw))
-            logp, tails = np.zeros(len(raw)), [np.zeros(0, dtype=np.int64)] * len(raw)
+            logp, tails, whose = np.zeros(len(raw)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for lo, hi in pieces(np.array([len(x) for x in raw])):
                 g, who = text_grams(raw[lo:hi])
                 g = g.view(np.int64)
                 v, hit = by_gram.get(g)
                 logp[lo:hi] = np.bincount(who, v.astype(np.float64), hi - lo)
                 if not all_g:
-                    for d in np.unique(who[~hit]):
-                        tails[lo + d] = g[(who == d) & ~hit]
-            rest = [flat[(owner == d) & ~found] for d in range(len(raw))] if not found.all() else [flat[:0]] * len(raw)
+                    tails.append(g[~hit])
+                    whose.append(who[~hit] + lo)
+            rest = _by_row(flat[~found], owner[~found], len(raw))
+            tail = _by_row(np.concatenate(tails), np.concatenate(whose), len(raw))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held"), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logp), pa.array([len(x) for x in raw], pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
+                [batch.column("id"), batch.column("held"), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logp), pa.array([len(x) for x in raw], pa.int64()), rest, tail],
                 ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "more_tokens", "more_grams"],
             )
 
