@@ -46,15 +46,17 @@ CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "option", "td", "th", "t
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "datalist"})}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising alert author-box banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies "
+    "ad ads adbox adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright disqus dropdown footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar sidenav signup skip social sponsor sponsored "
     "subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
-NAME_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+NAME_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _named_chrome(attrs: list[tuple[str, str | None]], tag: str) -> bool:
+def _named_chrome(attrs: list[tuple[str, str | None]], tag: str, in_main: bool) -> bool:
+    """Whether an element's attributes call it chrome; a header inside the article holds its title and stays."""
+    names = NAMES - {"header", "masthead"} if in_main else NAMES
     for k, v in attrs:
         if k == "hidden":
             return True
@@ -66,7 +68,7 @@ def _named_chrome(attrs: list[tuple[str, str | None]], tag: str) -> bool:
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
-        if k in ("class", "id") and tag not in ("body", "html", "article", "main") and any(x.lower() in NAMES for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", v)):
+        if k in ("class", "id") and tag not in ("body", "html", "article", "main") and any(x.lower() in names for x in NAME_SPLIT.split(v)):
             return True
         if k in ("class", "id") and tag == "article" and re.search(r"comment|repl(y|ies)|advert|sponsor|promo", v, re.I):
             return True
@@ -131,7 +133,7 @@ class Lines(HTMLParser):
             if not self.chrome:
                 self.parts.append(" " if tag == "br" else "")
             return
-        chrome = out or (tag == "header" and not self.main) or _named_chrome(attrs, tag)
+        chrome = out or (tag == "header" and not self.main) or _named_chrome(attrs, tag, self.main > 0)
         if not block and not chrome:
             return
         if block:
