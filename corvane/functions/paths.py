@@ -103,3 +103,21 @@ def slug_kinds(s: Column) -> dict[str, Column]:
         "relative_url": relative_start & ~folder & ~s.rlike(r"\.(md|html)\z"),
         "absolute_url": s.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"),
     }
+
+
+def resolve_link(source: Column, target: Column, strategy: str, only: Column | None = None) -> Column:
+    """Link from a page to a target. relative: as written; absolute: from the root; shortest: `only`, the one slug that ends in the target's name, if there is one."""
+    canonical = canonical_link(target)
+    if strategy == "relative":
+        return canonical
+    slug = strip_slashes(F.substring(canonical, F.lit(2), F.length(canonical)))
+    absolute = F.concat(join_segments(path_to_root(source), slug), F.when(is_folder(canonical) & ~F.endswith(slug, F.lit("/")), F.lit("/")).otherwise(F.lit("")))
+    if strategy == "absolute" or only is None:
+        return absolute
+    return F.when(only.isNotNull(), F.concat(resolve_relative(source, only), split_anchor(slug)[1])).otherwise(absolute)
+
+
+def link_name(target: Column) -> Column:
+    """The slug, without anchor, that a link names."""
+    canonical = canonical_link(target)
+    return split_anchor(strip_slashes(F.substring(canonical, F.lit(2), F.length(canonical))))[0]

@@ -63,6 +63,9 @@ def dimension_winner(scores: dict[str, Column], floor: float = 0.60, margin: flo
     return out
 
 
+LANES = (("STRICT", "strict"), ("SEMANTIC_RESCUE", "rescue"), ("LEXICAL_HUMAN_RESCUE", "human"))
+
+
 def rate(a: Column, b: Column) -> Column:
     """a / b with a zero denominator read as 1."""
     return a / F.when(b == 0, F.lit(1)).otherwise(b)
@@ -82,6 +85,7 @@ def extraction_report(routed: DataFrame) -> DataFrame:
         n(d == "review").alias("review"),
         n((d == "drop") & (b != "REJECT")).alias("dropped"),
         n((b != "REJECT") & F.col("noise")).alias("noise_blocked"),
+        *[n((b == k) & (d == x)).alias(f"{name}_{x}") for k, name in LANES for x in ("keep", "review", "drop")],
     )
     scored = F.col("strict") + F.col("rescue") + F.col("human")
     return r.select(
@@ -90,9 +94,23 @@ def extraction_report(routed: DataFrame) -> DataFrame:
         F.round(rate(F.col("kept"), F.col("hits")), 4).alias("kept_rate"),
         F.round(rate(F.col("review"), scored), 4).alias("review_rate"),
         F.round(rate(F.col("noise_blocked"), scored), 4).alias("noise_rate"),
+        F.round(rate(F.col("rescue"), F.col("hits")), 4).alias("rescue_rate"),
+        F.round(rate(F.col("human"), F.col("hits")), 4).alias("human_rate"),
+        F.round(rate(F.col("rejected"), F.col("hits")), 4).alias("reject_rate"),
+        F.round(rate(F.col("strict_keep"), F.col("strict")), 4).alias("strict_keep_rate"),
+        F.round(rate(F.col("dropped"), scored), 4).alias("drop_rate"),
     )
 
 
+def report_samples(routed: DataFrame, key: list[str], most: int = 15) -> DataFrame:
+    """The first rows, by key, of what was rejected, kept and sent to review: at most `most` of each."""
+    out = None
+    for name, rows in (("rejected", F.col("bucket") == "REJECT"), ("kept", F.col("decision") == "keep"), ("review", F.col("decision") == "review")):
+        part = routed.filter(rows).orderBy(*key).limit(most).withColumn("sample", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def review_rows(routed: DataFrame) -> DataFrame:
     """Rows for review; a strict bucket is shown as BORDERLINE."""
     shown = F.when(F.col("bucket") == "STRICT", "BORDERLINE").otherwise(F.col("bucket"))

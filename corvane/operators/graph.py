@@ -30,12 +30,18 @@ def broken_links(edges: DataFrame, slugs: DataFrame) -> DataFrame:
     return edges.join(slugs.select(F.col("slug").alias("target")), "target", "left_anti").select("source", "target")
 
 
+def resolve_links(links: DataFrame, slugs: DataFrame, strategy: str = "shortest") -> DataFrame:
+    """source, target, resolved, by strategy (absolute, relative, shortest)."""
+    if strategy != "shortest":
+        return links.select("source", "target", paths.resolve_link(F.col("source"), F.col("target"), strategy).alias("resolved"))
+    names = slugs.groupBy(F.element_at(F.split("slug", "/"), -1).alias("__name")).agg(F.count("*").alias("__n"), F.min("slug").alias("__only")).filter("__n = 1")
+    j = links.withColumn("__name", paths.link_name(F.col("target"))).join(names, "__name", "left")
+    return j.select("source", "target", paths.resolve_link(F.col("source"), F.col("target"), strategy, F.col("__only")).alias("resolved"))
+
+
 def resolve_shortest(links: DataFrame, slugs: DataFrame) -> DataFrame:
-    """source, target, resolved: a name that one slug alone ends in is that slug, any other is a path from the root."""
-    names = slugs.groupBy(F.element_at(F.split("slug", "/"), -1).alias("target")).agg(F.count("*").alias("n"), F.min("slug").alias("only")).filter("n = 1")
-    j = links.join(names, "target", "left")
-    whole = paths.join_segments(paths.path_to_root(F.col("source")), F.col("target"))
-    return j.select("source", "target", F.when(F.col("only").isNotNull(), paths.resolve_relative(F.col("source"), F.col("only"))).otherwise(whole).alias("resolved"))
+    """A name that one slug alone ends in is that slug, any other is a path from the root."""
+    return resolve_links(links, slugs, "shortest")
 
 
 def backlinks(edges: DataFrame) -> DataFrame:

@@ -128,6 +128,12 @@ def by_date(folder_first: bool = False) -> list[Column]:
     return [F.col("is_folder").desc(), *order] if folder_first else order
 
 
+def natural_key(name: Column) -> Column:
+    """Sort key that compares runs of digits as numbers and ignores case."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
 def page_list(pages: DataFrame, limit: int | None = None, folder_first: bool = False) -> DataFrame:
     out = pages.orderBy(*by_date(folder_first))
     return out.limit(limit) if limit else out

@@ -208,6 +208,10 @@ def extraction_report(spark, d):
     return gates.extraction_report(_routed(spark, d))
 
 
+def report_samples(spark, d):
+    return gates.report_samples(_routed(spark, d), ["vec_id"]).select("vec_id", "sample")
+
+
 def dimension_winner(spark, d):
     s = scored(spark, d)
     w = gates.dimension_winner({"agi": F.col("pos"), "pi": F.col("prob"), "si": F.col("margin") * 5})
@@ -252,10 +256,12 @@ QUERIES = {f.__name__: f for f in (
     scan_documents, remove_noise, protect_periods, split_sentences, split_sentences_simple, open_fragments, tokenize_words, normalize_surface, candidate_forms,
     surface_variants, match_inventory, focus_context, focus_text, srl_marker_rows, prompt_bank, html_escape, reading_time, search_tokenize, query_terms,
     doc_lexical_gate, sentence_lexical_gate, lexical_hits, gate_terms, strong_terms, noise_flags, lexical_human_rescue, semantic_buckets, keep_review_drop,
-    review_flags, review_rows, extraction_report, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_report, signed_association,
+    review_flags, review_rows, extraction_report, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_report, signed_association,
     find_candidates, delta_association,
 )}
 
+_LANES_SQL = ", ".join(f"count_if(bucket = '{k}' AND decision = '{x}') AS {n}_{x}" for k, n in gates.LANES for x in ("keep", "review", "drop"))
+_LANES_CAST = ", ".join(f"{n}_{x}::BIGINT AS {n}_{x}" for _, n in gates.LANES for x in ("keep", "review", "drop"))
 _FORMS = r"""[x FOR x IN [w, regexp_replace(w, '\.+$', ''), CASE WHEN w LIKE '%ies' AND len(w) > 3 THEN w[:-4] || 'y' END,
   CASE WHEN w LIKE '%es' AND len(w) > 2 THEN w[:-3] END, CASE WHEN w LIKE '%s' AND len(w) > 1 THEN w[:-2] END] IF x IS NOT NULL AND x <> '']"""
 # first occurrence of each candidate, in order
@@ -327,9 +333,12 @@ SELECT item_id, string_agg(t, '|' ORDER BY len(t) DESC, t) AS terms FROM t GROUP
  CASE WHEN margin < 0.06::DOUBLE THEN 'low_margin' END, CASE WHEN (pos >= 0.65::DOUBLE OR margin >= 0.1::DOUBLE) AND prob < 0.56::DOUBLE THEN 'high_semantic_low_classifier' END, CASE WHEN noise THEN 'url_or_markup' END] IF x IS NOT NULL] AS f FROM routed WHERE decision = 'review')
 SELECT vec_id, CASE WHEN len(f) = 0 THEN 'classifier_borderline' ELSE array_to_string(f, ',') END AS flags FROM f""",
     "extraction_report": f"""WITH {ROUTED_SQL}, r AS (SELECT count(*) AS hits, count_if(bucket = 'STRICT') AS strict, count_if(bucket = 'SEMANTIC_RESCUE') AS rescue, count_if(bucket = 'LEXICAL_HUMAN_RESCUE') AS human, count_if(bucket = 'REJECT') AS rejected,
- count_if(decision = 'keep') AS kept, count_if(decision = 'review') AS review, count_if(decision = 'drop' AND bucket <> 'REJECT') AS dropped, count_if(noise AND bucket <> 'REJECT') AS noise_blocked FROM routed)
-SELECT hits::BIGINT AS hits, strict::BIGINT AS strict, rescue::BIGINT AS rescue, human::BIGINT AS human, rejected::BIGINT AS rejected, kept::BIGINT AS kept, review::BIGINT AS review, dropped::BIGINT AS dropped, noise_blocked::BIGINT AS noise_blocked,
- round(strict / greatest(hits, 1), 4) AS strict_rate, round(kept / greatest(hits, 1), 4) AS kept_rate, round(review / greatest(strict + rescue + human, 1), 4) AS review_rate, round(noise_blocked / greatest(strict + rescue + human, 1), 4) AS noise_rate FROM r""",
+ count_if(decision = 'keep') AS kept, count_if(decision = 'review') AS review, count_if(decision = 'drop' AND bucket <> 'REJECT') AS dropped, count_if(noise AND bucket <> 'REJECT') AS noise_blocked, {_LANES_SQL} FROM routed)
+SELECT hits::BIGINT AS hits, strict::BIGINT AS strict, rescue::BIGINT AS rescue, human::BIGINT AS human, rejected::BIGINT AS rejected, kept::BIGINT AS kept, review::BIGINT AS review, dropped::BIGINT AS dropped, noise_blocked::BIGINT AS noise_blocked, {_LANES_CAST},
+ round(strict / greatest(hits, 1), 4) AS strict_rate, round(kept / greatest(hits, 1), 4) AS kept_rate, round(review / greatest(strict + rescue + human, 1), 4) AS review_rate, round(noise_blocked / greatest(strict + rescue + human, 1), 4) AS noise_rate,
+ round(rescue / greatest(hits, 1), 4) AS rescue_rate, round(human / greatest(hits, 1), 4) AS human_rate, round(rejected / greatest(hits, 1), 4) AS reject_rate, round(strict_keep / greatest(strict, 1), 4) AS strict_keep_rate, round(dropped / greatest(strict + rescue + human, 1), 4) AS drop_rate FROM r""",
+    "report_samples": f"""WITH {ROUTED_SQL}, s AS (SELECT vec_id, 'rejected' AS sample FROM routed WHERE bucket = 'REJECT' UNION ALL SELECT vec_id, 'kept' FROM routed WHERE decision = 'keep' UNION ALL SELECT vec_id, 'review' FROM routed WHERE decision = 'review')
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sample ORDER BY vec_id) <= 15""",
     "dimension_winner": f"""WITH {SCORED_SQL}, s AS (SELECT vec_id, pos AS a, prob AS p, margin * 5 AS s FROM scored)
 SELECT vec_id, CASE WHEN s >= 0.6::DOUBLE AND s - greatest(a, p) >= 0.04::DOUBLE THEN 'si' WHEN p >= 0.6::DOUBLE AND p - greatest(a, s) >= 0.04::DOUBLE THEN 'pi' WHEN a >= 0.6::DOUBLE AND a - greatest(p, s) >= 0.04::DOUBLE THEN 'agi' END AS winner FROM s""",
     "pair_counts": f"WITH {_PAIRS} SELECT target, collocate, count(*) AS pair_n FROM pairs GROUP BY ALL HAVING count(*) >= 5",

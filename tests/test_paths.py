@@ -59,7 +59,7 @@ def test_shortest_links(spark):
     slugs = spark.createDataFrame([(s,) for s in SLUGS], "slug string")
     links = spark.createDataFrame([("a/b/c", "d"), ("a/b/c", "h"), ("a/b/c", "a/b/d"), ("a/b/c", "index"), ("index", "f")], "source string, target string")
     got = {(r["source"], r["target"]): r["resolved"] for r in resolve_shortest(links, slugs).collect()}
-    assert got == {("a/b/c", "d"): "../../a/b/d", ("a/b/c", "h"): "../../e/g/h", ("a/b/c", "a/b/d"): "../../a/b/d", ("a/b/c", "index"): "../../index", ("index", "f"): "./e/f"}
+    assert got == {("a/b/c", "d"): "../../a/b/d", ("a/b/c", "h"): "../../e/g/h", ("a/b/c", "a/b/d"): "../../a/b/d", ("a/b/c", "index"): "../../", ("index", "f"): "./e/f"}
 
 
 def test_trie(spark):
@@ -68,3 +68,25 @@ def test_trie(spark):
     t = {r["path"]: r for r in path_trie(spark.createDataFrame([(s,) for s in [*SLUGS, "tags/x"]], "slug string")).collect()}
     assert t["a"]["is_folder"] and t["a"]["n_pages"] == 4 and t["a/b"]["parent"] == "a" and not t["e/f"]["is_folder"] and t["e/g/h"]["depth"] == 3
     assert {r["path"] for r in hide(path_trie(spark.createDataFrame([("tags/x",), ("b",)], "slug string"))).collect()} == {"b"}
+
+
+@pytest.mark.parametrize("strategy,source,cases", [
+    ("absolute", "a/b/c", {"a/b/d": "../../a/b/d", "a/b/index": "../../a/b/", "e/f": "../../e/f", "e/g/h": "../../e/g/h", "index": "../../", "index.png": "../../index.png", "index#abc": "../../#abc", "tag/test": "../../tag/test", "a/b/c#test": "../../a/b/c#test", "a/test.png": "../../a/test.png"}),
+    ("absolute", "index", {"a/b/c": "./a/b/c", "a/b/index": "./a/b/"}),
+    ("shortest", "a/b/c", {"d": "../../a/b/d", "h": "../../e/g/h", "a/b/index": "../../a/b/", "index": "../../", "test.png": "../../a/test.png", "index#abc": "../../#abc"}),
+    ("relative", "a/b/c", {"d": "./d", "index": "./", "../../../index": "../../../", "../../../index#abc": "../../../#abc", "../../../": "../../../", "../../../a/test.png": "../../../a/test.png"}),
+])
+def test_link_strategies(spark, strategy, source, cases):
+    from corvane.operators.graph import resolve_links
+
+    slugs = spark.createDataFrame([(s,) for s in SLUGS], "slug string")
+    links = spark.createDataFrame([(source, t) for t in cases], "source string, target string")
+    assert {r["target"]: r["resolved"] for r in resolve_links(links, slugs, strategy).collect()} == cases
+
+
+def test_natural_order(one):
+    from corvane.operators.pages import natural_key
+
+    names = ["p10", "P2", "a", "p1b", "p1"]
+    keys = one(natural_key, names)
+    assert [n for _, n in sorted(zip(keys, names))] == ["a", "p1", "p1b", "P2", "p10"]
