@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,10 @@ FOLDS = 10
 END = 0xFF
 GRAMS_BOUND = 6_000_000
 TOKENS_BOUND = 2_000_000
-PIECE = 1 << 20  # bytes that are turned into grams at a time
-HOLD = 2 << 20  # distinct keys that a counting task holds before it emits them
-CHUNK = 1 << 18  # grams of a tree chunk
+PIECE = 1 << 19  # bytes that are turned into grams at a time
+HOLD = 1 << 20  # distinct keys that a counting task holds before it emits them
+BATCH_BYTES = str(8 << 20)  # of an Arrow batch, for the session that scores
+CHUNK = 1 << 16  # grams of a tree chunk
 LN2 = np.log(2.0)
 
 
@@ -103,51 +105,67 @@ def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-class Counts:
-    """Sorted distinct keys with counts, combined in bounded memory."""
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Byte offsets of the values of a binary column."""
+    return np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
 
-    def __init__(self) -> None:
-        self.keys = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
 
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
-        if n is None:
-            keys, n = np.unique(keys, return_counts=True)
-        keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+class Counts:
+    """Distinct keys with counts; parts are merged when they add up to HOLD, so that memory stays bounded."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind = kind
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counted: bool = True) -> Iterator[pa.RecordBatch]:
+        """Counts keys (or lists them with count 0); yields what no longer fits."""
+        own, n = np.unique(keys, return_counts=True)
+        self.parts.append((own, n if counted else np.zeros(len(own), dtype=np.int64)))
+        self.size += len(own)
+        if self.size > HOLD:
+            self.merge()
+            if self.size > HOLD // 2:
+                yield from self.drain()
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
+        if len(keys):
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.add.reduceat(n, first)
+        self.parts, self.size = [(keys, n)], len(keys)
 
-    def drain(self, kind: int) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(self.keys), 1 << 16):
-            k = self.keys[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k), pa.array(self.n[at : at + (1 << 16)])], ["kind", "key", "n"])
-        self.__init__()
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.merge()
+            keys, n = self.parts[0]
+            for at in range(0, len(keys), 1 << 15):
+                k = keys[at : at + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), self.kind, dtype=np.int32)), pa.array(k), pa.array(n[at : at + (1 << 15)])], ["kind", "key", "n"])
+        self.parts, self.size = [], 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: grams, kind 1: tokens; held-out rows list their grams with count 0."""
-    grams, tokens = Counts(), Counts()
+    grams, tokens = Counts(0), Counts(1)
     for batch in batches:
         held = batch.column("held").to_numpy(zero_copy_only=False)
-        raw = batch.column("raw").to_pylist()
+        raw = batch.column("raw")
         lists = batch.column("tokens")
         flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        owner = np.repeat(np.arange(len(raw)), np.diff(ends))
-        tokens.add(flat[ends[0] : ends[-1]][~held[owner]])
-        for lo, hi in pieces(np.array([len(x) for x in raw])):
-            g, who = text_grams(raw[lo:hi])
+        for lo, hi in pieces(np.diff(_offsets(raw))):
+            g, who = text_grams(raw[lo:hi].to_pylist())
             g, h = g.view(np.int64), held[lo:hi][who]
-            grams.add(g[~h])
-            rest = np.unique(g[h])
-            grams.add(rest, np.zeros(len(rest), dtype=np.int64))
-            if len(grams.keys) > HOLD:
-                yield from grams.drain(0)
-        if len(tokens.keys) > HOLD:
-            yield from tokens.drain(1)
-    yield from grams.drain(0)
-    yield from tokens.drain(1)
+            yield from grams.add(g[~h])
+            yield from grams.add(g[h], counted=False)
+            owner = np.repeat(held[lo:hi], np.diff(ends[lo : hi + 1]))
+            yield from tokens.add(flat[ends[lo] : ends[hi]][~owner])
+        del batch, raw, lists, flat
+        pa.default_memory_pool().release_unused()
+    yield from grams.drain()
+    yield from tokens.drain()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -333,6 +351,7 @@ def _arrays(df: DataFrame, value: str, dtype: type) -> Lookup:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a batch stands in memory several times, in the JVM and in its worker
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     held = fold(F.col(id_col), FOLDS) == 0
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), low.alias("low"))
@@ -355,32 +374,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_token, by_gram = shipped.value
         for batch in batches:
-            raw = batch.column("raw").to_pylist()
+            raw, rows = batch.column("raw"), batch.num_rows
             lists = batch.column("tokens")
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            sizes = np.diff(ends)
-            flat = flat[ends[0] : ends[-1]]
-            owner = np.repeat(np.arange(len(raw)), sizes)
-            c, found = by_token.get(flat)
-            if all_t:
-                found[:] = True
-            known = np.bincount(owner, (c > 0) & found, len(raw)).astype(np.int64)
-            base = np.bincount(owner, np.where(found, np.log10(c + 0.1) - norm, 0.0), len(raw))
-            logp, tails, whose = np.zeros(len(raw)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for lo, hi in pieces(np.array([len(x) for x in raw])):
-                g, who = text_grams(raw[lo:hi])
+            n_bytes = np.diff(_offsets(raw))
+            known, base, logp = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows)
+            more = {"tokens": [], "grams": []}  # (keys, rows) that the tables lack
+            for lo, hi in pieces(n_bytes):
+                t = flat[ends[lo] : ends[hi]]
+                who = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                c, found = by_token.get(t)
+                if all_t:
+                    found[:] = True
+                known[lo:hi] = np.bincount(who, (c > 0) & found, hi - lo)
+                base[lo:hi] = np.bincount(who, np.where(found, np.log10(c + 0.1) - norm, 0.0), hi - lo)
+                more["tokens"].append((t[~found], who[~found] + lo))
+                g, who = text_grams(raw[lo:hi].to_pylist())
                 g = g.view(np.int64)
                 v, hit = by_gram.get(g)
                 logp[lo:hi] = np.bincount(who, v.astype(np.float64), hi - lo)
-                if not all_g:
-                    tails.append(g[~hit])
-                    whose.append(who[~hit] + lo)
-            rest = _by_row(flat[~found], owner[~found], len(raw))
-            tail = _by_row(np.concatenate(tails), np.concatenate(whose), len(raw))
+                more["grams"].append((g[~hit], who[~hit] + lo))
+            rest, tail = (_by_row(*(np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*more[k]) if more[k] else ((), ()))), rows) for k in ("tokens", "grams"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held"), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(logp), pa.array([len(x) for x in raw], pa.int64()), rest, tail],
+                [batch.column("id"), batch.column("held"), pa.array(np.diff(ends).astype(np.int64)), pa.array(known), pa.array(base), pa.array(logp), pa.array(n_bytes.astype(np.int64)), rest, tail],
                 ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "more_tokens", "more_grams"],
             )
+            pa.default_memory_pool().release_unused()
 
     id_type = dict(docs.dtypes)[id_col]
     out = rows.mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, more_tokens array<long>, more_grams array<long>")
