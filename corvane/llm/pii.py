@@ -4,9 +4,10 @@ Patterns give the base spans (e-mail, IP, payment card, phone). Their normalised
 protected entities. For every entity e and every term t that stands within `window` words of it, the
 corpus tells how strongly t reveals e: P(e | t) = contexts of e with t / texts with t, and the gain
 log2(P(e | t) / P(e)). Contexts and texts are counted once however often they were copied, so a
-copied page is no evidence. A term with enough contexts that exceeds both thresholds is a span of
-kind `term` beside each e; `sanitise` removes it, or generalises it to its kind when its gain is
-under `remove_bits`.
+copied page is no evidence. The window serves this estimate only: every occurrence, in any text, of a
+term with enough contexts that exceeds both thresholds for some e is a span of kind `term`, with the
+largest share and gain; `sanitise` removes it, or generalises it to its kind when its gain is under
+`remove_bits`.
 
 All patterns run in linear time: e-mail and IP are matched around their separators, which gives the
 leftmost non-overlapping matches of the patterns without rescanning long runs.
@@ -18,13 +19,14 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import settle
+from corvane.llm.common import bit_filter, bit_table, settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 TERMS_BOUND = 500_000  # candidate terms that are sent to every worker
+NO_TERMS = "cast(array() as array<struct<start:int,end:int,share:double,bits:double>>)"
 
 
 def luhn(digits: str) -> bool:
@@ -92,23 +95,36 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
+def words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
+    """Start and end of every word, and whether it stands clear of the spans."""
+    cover: list[tuple[int, int]] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if cover and s <= cover[-1][1]:
+            s, e = cover[-1][0], max(e, cover.pop()[1])
+        cover.append((s, e))
+    out, k = [], 0
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while k < len(cover) and cover[k][1] <= a:
+            k += 1
+        out.append((a, b, k == len(cover) or cover[k][0] >= b))
+    return out
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
     """For each base span: its entity and the terms within `window` words on either side."""
+    all_words = words(text, spans)
+    starts, ends = [x[0] for x in all_words], [x[1] for x in all_words]
     out = []
-    reach = 64 * window
     for kind, s, e in spans:
-        left = [(m.start(), m.end()) for m in WORD.finditer(text, max(0, s - reach), s)][-window:]
-        right = []
-        for m in WORD.finditer(text, e, min(len(text), e + reach)):
-            right.append((m.start(), m.end()))
-            if len(right) == window:
-                break
-        near = [(a, b) for a, b in left + right if not any(a < y and x < b for _, x, y in spans)]
-        out.append({"entity": entity(kind, text[s:e]), "terms": [{"term": text[a:b].lower(), "start": a, "end": b} for a, b in near]})
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
+        near = all_words[max(0, i - window) : i] + all_words[j : j + window]
+        out.append({"entity": entity(kind, text[s:e]), "terms": [text[a:b].lower() for a, b, clear in near if clear]})
     return out
 
 
-FOUND = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, contexts array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
+FOUND = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, contexts array<struct<entity:string,terms:array<string>>>"
+MARKED = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, terms array<struct<start:int,end:int,share:double,bits:double>>"
 
 
 def _find(window: int):
@@ -133,14 +149,48 @@ def _terms(wanted: frozenset[str] | None):
     return run
 
 
+def _mark(told: dict[str, tuple[float, float]]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            spans = [base_spans(t) for t in f["text"]]
+            marks = []
+            for t, x in zip(f["text"], spans):
+                hits = [(a, b, hit) for a, b, clear in words(t, x) if clear and (hit := told.get(t[a:b].lower()))]
+                marks.append([{"start": a, "end": b, "share": hit[0], "bits": hit[1]} for a, b, hit in hits])
+            yield pd.DataFrame({"id": f["id"], "th": f["th"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "terms": marks})
+
+    return run
+
+
+def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = []
+        for th, t in zip(f["th"], f["text"]):
+            at: dict[str, list[dict]] = {}
+            for a, b, clear in words(t, base_spans(t)):
+                if clear:
+                    at.setdefault(t[a:b].lower(), []).append({"start": a, "end": b})
+            rows += [(th, term, x) for term, x in at.items()]
+        yield pd.DataFrame(rows, columns=["th", "term", "at"]).astype({"th": "int64"})
+
+
+def _mark_by_join(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """The same as `_mark` for any number of terms: occurrences meet the terms in a shuffled join."""
+    places = rows.dropDuplicates(["th"]).mapInPandas(_places, "th long, term string, at array<struct<start:int,end:int>>")
+    places = bit_filter(places, bit_table(told.withColumn("h", F.xxhash64("term")), "h"), F.xxhash64("term"))
+    marks = places.join(told, "term").select("th", F.explode("at").alias("at"), "share", "bits").select("th", F.struct("at.start", "at.end", "share", "bits").alias("mark"))
+    marks = settle(marks.groupBy("th").agg(F.array_sort(F.collect_list("mark")).alias("terms")))
+    return found.join(marks, "th", "left").select("id", "th", "spans", F.coalesce("terms", F.expr(NO_TERMS)).alias("terms"))
+
+
 def disclosing_terms(rows: DataFrame, found: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame:
     """entity, term, share (P(entity | term)), bits: the pairs that exceed the thresholds."""
-    ctx = found.select(F.explode("contexts").alias("c")).select("c.entity", F.expr("transform(c.terms, x -> x.term)").alias("terms"))
+    ctx = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.terms")
     ctx = ctx.withColumn("ctx", F.xxhash64("terms"))
     each = ctx.select("entity", "ctx", F.explode(F.array_distinct("terms")).alias("term")).distinct()
     pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
     # texts whose contexts hold a term bound its texts from below: pairs that can't reach the share need no count over the corpus
-    least = found.select("th", F.explode("contexts").alias("c")).select("th", F.explode("c.terms.term").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    least = found.select("th", F.explode("contexts").alias("c")).select("th", F.explode("c.terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
     pairs = settle(pairs.join(least, "term").filter(F.col("n_et") >= min_share * F.col("least")).drop("least"))
     n_terms = pairs.select("term").distinct().count()
     if not n_terms:
@@ -161,15 +211,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = dict(docs.dtypes)[id_col]
     found = settle(rows.mapInPandas(_find(window), FOUND.format(id=id_type)))
-    told = settle(disclosing_terms(rows.select("th", "text"), found, min_contexts, min_share, min_bits))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,share:double,bits:double>>)")
-    if told.isEmpty():
-        return found.select(F.col("id").alias(id_col), "th", "spans", empty.alias("terms"))
-    marks = found.select("id", "th", F.explode("contexts").alias("c")).select("id", "th", "c.entity", F.explode("c.terms").alias("t")).select("id", "th", "entity", "t.term", "t.start", "t.end")
-    marks = marks.distinct().join(told, ["entity", "term"]).groupBy("id", "th", "start", "end").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
-    marks = marks.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "bits"))).alias("terms")).toDF("i", "t", "terms")
-    out = found.join(marks, found["id"].eqNullSafe(marks["i"]) & (found["th"] == marks["t"]), "left")
-    return out.select(F.col("id").alias(id_col), "th", "spans", F.coalesce("terms", empty).alias("terms"))
+    told = disclosing_terms(rows.select("th", "text"), found, min_contexts, min_share, min_bits)
+    told = settle(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
+    n_told = told.count()
+    if not n_told:
+        out = found.select("id", "th", "spans", F.expr(NO_TERMS).alias("terms"))
+    elif n_told <= TERMS_BOUND:
+        known = {x["term"]: (x["share"], x["bits"]) for x in told.collect()}
+        out = rows.mapInPandas(_mark(known), MARKED.format(id=id_type))
+    else:
+        out = _mark_by_join(rows, found, told)
+    return out.select(F.col("id").alias(id_col), "th", "spans", "terms")
 
 
 def _clean(remove_bits: float):

@@ -69,6 +69,26 @@ def test_pii_query_columns_and_terms(spark, tmp_path):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def prose(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("klmnpr") + r.choice("aeiou") for _ in range(4))
+    return [" ".join(word() for _ in range(20)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bound", [pii.TERMS_BOUND, 0])
+def test_disclosing_term_is_marked_everywhere(spark, monkeypatch, bound):
+    monkeypatch.setattr(pii, "TERMS_BOUND", bound)
+    fill = prose(205, 3)
+    texts = [f"{x} Quixotina {'1 ' * 300} q.t@mail.example.org {x}" for x in fill[:5]]  # further than any fixed number of characters
+    texts[0] += " and quixotina again, far from it: " + fill[5] + " Quixotina"
+    texts += ["Quixotina has no address here", texts[1], None, "quixotina@mail.example.org is no term", *fill[5:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [t[s["start"] : s["end"]] for s in x["terms"]] for x in pii.find_pii(df).collect() for t in [texts[x["doc_id"]] or ""]}
+    names = {i: [w for w in x if w.lower() == "quixotina"] for i, x in got.items()}
+    assert names == {i: re.findall(r"(?i)\bquixotina\b(?!@)", t or "") for i, t in enumerate(texts)}
+    assert not any("quixotina" in x["text"].lower() for x in pii.sanitise(df).collect())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>x</p>"</script><style>p{{}}</style></head><body>
 <header><a href="/">Site name</a></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="wrap"><{tag}><h1>The  title &amp; more</h1><p>First <b>long</b> paragraph with many words that say a good deal about things.<br>next line of it</p>
