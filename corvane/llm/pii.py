@@ -2,10 +2,12 @@
 
 Patterns give the base spans (e-mail, IP, payment card, phone). Their normalised values are the
 protected entities. For every entity e and every term t that stands within `window` words of it, the
-corpus tells how strongly t reveals e: P(e | t) = contexts of e with t / texts with t, and the gain
-log2(P(e | t) / P(e)). Contexts and texts are counted once however often they were copied, so a
-copied page is no evidence. The window serves this estimate only: every occurrence, in any text, of a
-term with enough contexts that exceeds both thresholds for some e is a span of kind `term`, with the
+corpus tells how strongly t reveals e: P(e | t) = texts with t beside e / (texts with t + 1), and the
+gain log2(P(e | t) / P(e)). The one added text, in which t stands without e, corrects small counts: a
+term of one text has share 1/2, so a term unique to one entity qualifies however seldom the entity
+occurs, and one met elsewhere as often does not. Texts are counted once however often they were
+copied, so a copied page is no evidence. The window serves this estimate only: every occurrence, in
+any text, of a term that reaches both thresholds for some e is a span of kind `term`, with the
 largest share and gain; `sanitise` removes it, or generalises it to its kind when its gain is under
 `remove_bits`.
 
@@ -155,7 +157,8 @@ def _mark(told: dict[str, tuple[float, float]]):
             spans = [base_spans(t) for t in f["text"]]
             marks = []
             for t, x in zip(f["text"], spans):
-                hits = [(a, b, hit) for a, b, clear in words(t, x) if clear and (hit := told.get(t[a:b].lower()))]
+                some = not told.keys().isdisjoint(map(str.lower, WORD.findall(t)))
+                hits = [(a, b, hit) for a, b, clear in words(t, x) if clear and (hit := told.get(t[a:b].lower()))] if some else []
                 marks.append([{"start": a, "end": b, "share": hit[0], "bits": hit[1]} for a, b, hit in hits])
             yield pd.DataFrame({"id": f["id"], "th": f["th"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "terms": marks})
 
@@ -183,35 +186,34 @@ def _mark_by_join(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFra
     return found.join(marks, "th", "left").select("id", "th", "spans", F.coalesce("terms", F.expr(NO_TERMS)).alias("terms"))
 
 
-def disclosing_terms(rows: DataFrame, found: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame:
+def disclosing_terms(rows: DataFrame, found: DataFrame, min_share: float, min_bits: float) -> DataFrame:
     """entity, term, share (P(entity | term)), bits: the pairs that exceed the thresholds."""
-    ctx = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.terms")
-    ctx = ctx.withColumn("ctx", F.xxhash64("terms"))
-    each = ctx.select("entity", "ctx", F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
+    ctx = found.select("th", F.explode("contexts").alias("c")).select("th", "c.entity", "c.terms")
+    near = settle(ctx.select("entity", "th", F.explode("terms").alias("term")).distinct())
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     # texts whose contexts hold a term bound its texts from below: pairs that can't reach the share need no count over the corpus
-    least = found.select("th", F.explode("contexts").alias("c")).select("th", F.explode("c.terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
-    pairs = settle(pairs.join(least, "term").filter(F.col("n_et") >= min_share * F.col("least")).drop("least"))
+    least = near.select("th", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = settle(pairs.join(least, "term").filter(F.col("n_et") >= min_share * (F.col("least") + 1)).drop("least"))
     n_terms = pairs.select("term").distinct().count()
     if not n_terms:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     wanted = frozenset(r[0] for r in pairs.select("term").distinct().collect()) if n_terms <= TERMS_BOUND else None
     texts = rows.mapInPandas(_terms(wanted), "term string, th long").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     total = rows.agg(F.approx_count_distinct("th").alias("n"))
-    own = ctx.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    own = ctx.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     p = pairs.join(texts, "term").join(own, "entity").join(F.broadcast(total))  # one row
-    share = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
+    share = F.col("n_et") / (F.col("n_t") + 1)
     bits = F.log2(share * F.col("n") / F.col("n_e"))
     return p.select("entity", "term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
     """id, th (hash of the text), spans (base spans, by kind then start), terms (spans with share and bits) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = dict(docs.dtypes)[id_col]
     found = settle(rows.mapInPandas(_find(window), FOUND.format(id=id_type)))
-    told = disclosing_terms(rows.select("th", "text"), found, min_contexts, min_share, min_bits)
+    told = disclosing_terms(rows.select("th", "text"), found, min_share, min_bits)
     told = settle(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
     n_told = told.count()
     if not n_told:

@@ -89,6 +89,15 @@ def test_disclosing_term_is_marked_everywhere(spark, monkeypatch, bound):
     assert not any("quixotina" in x["text"].lower() for x in pii.sanitise(df).collect())
 
 
+def test_entity_of_one_or_two_texts_is_disclosed(spark):
+    fill = prose(203, 4)
+    texts = [f"{fill[0]} Zebulonia q.t@mail.example.org common {fill[0]}", *(f"{x} Ysoldina +1 (415) 555-0100 common {x}" for x in fill[1:3]), "Vivaldo common x@y.org", "Vivaldo", *(f"common {x}" for x in fill[3:])]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")  # a copy is no evidence
+    got = {x["doc_id"]: {(texts + texts[:1])[x["doc_id"]][s["start"] : s["end"]] for s in x["terms"]} for x in pii.find_pii(df).collect()}
+    assert "Zebulonia" in got[0] == got[len(texts)] and all("Ysoldina" in got[i] for i in (1, 2))
+    assert not any({"common", "Vivaldo"} & x for x in got.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>x</p>"</script><style>p{{}}</style></head><body>
 <header><a href="/">Site name</a></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="wrap"><{tag}><h1>The  title &amp; more</h1><p>First <b>long</b> paragraph with many words that say a good deal about things.<br>next line of it</p>
