@@ -5,8 +5,10 @@ run of text between block boundaries, each with its text length, its link text l
 seen in it and the chain of containers it stands in. A line's ratio is its own text, links left out,
 per tag. Ratios are smoothed with a Gaussian, and the lines are clustered in two around a threshold
 (two means, started at the extremes); lines of the upper cluster are content. The content region is
-the innermost container that holds nearly all content, found by walking down from the root; it is
-returned whole but for chrome, so that a short paragraph of the article is not lost.
+found by walking down from the root into the container that holds nearly all content. The walk ends at
+an article or main element, which is returned whole but for chrome. Elsewhere the lines outside the
+region that are more text than links are returned too, so that a title, a lead or a short section
+beside the longest one is not lost.
 
 Chrome never takes part: scripts, styles, navigation, page headers and footers, asides, forms,
 hidden parts, and containers whose class, id or role names them as adverts, notices, menus, reader
@@ -36,7 +38,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = frozenset("article body div main section td table blockquote center".split())
+CONTAINERS = frozenset("article body div main section center".split())
+BOUNDS = CONTAINERS | {"td", "table", "blockquote"}  # an open paragraph outside them stays open
 OUT = frozenset(
     "applet audio aside button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noembed noframes noscript object "
     "progress script search select style svg template textarea title video".split()
@@ -51,6 +54,7 @@ NAMES = frozenset(
     "popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar sidenav signup skip social sponsor sponsored "
     "subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")  # a tag or comment that the page ends in
 NAME_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -83,6 +87,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []
         self.stack: list[tuple[str, bool, int]] = []  # tag, chrome, container
         self.parents = [0]
+        self.whole: set[int] = set()  # containers that are article or main elements
         self.container = 0
         self.chrome = 0
         self.parts: list[str] = []
@@ -103,6 +108,8 @@ class Lines(HTMLParser):
         if tag in CONTAINERS and not self.chrome and not chrome:
             self.parents.append(self.container)
             container = self.container = len(self.parents) - 1
+            if tag in ("article", "main"):
+                self.whole.add(container)
         self.stack.append((tag, chrome, container))
         self.chrome += chrome
         self.main += tag in ("article", "main")
@@ -121,7 +128,7 @@ class Lines(HTMLParser):
                 while len(self.stack) > at:
                     self.pop()
                 return
-            if tag in stops or tag in CONTAINERS or tag in OUT:
+            if tag in stops or tag in BOUNDS or tag in OUT:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -203,6 +210,10 @@ def main_lines(html: str | None) -> list[str]:
         return []
     p = Lines()
     p.feed(html)
+    rest = None
+    if UNFINISHED.match(p.rawdata):
+        p.flush()
+        rest = len(p.lines)
     p.close()
     p.flush()
     if not p.lines:
@@ -222,7 +233,7 @@ def main_lines(html: str | None) -> list[str]:
     for c in range(1, len(p.parents)):
         children.setdefault(p.parents[c], []).append(c)
     region = 0
-    while score[region] > 0 and region in children:
+    while score[region] > 0 and region in children and region not in p.whole:
         best = max(children[region], key=lambda c: score[c])
         if score[best] < SHARE * score[region]:
             break
@@ -231,7 +242,8 @@ def main_lines(html: str | None) -> list[str]:
     inside[region] = True
     for c in range(1, len(p.parents)):  # parents come before their children
         inside[c] |= inside[p.parents[c]]
-    return [x[0] for x in p.lines if inside[x[3]]]
+    beside = region not in p.whole  # no element says where the article ends
+    return [x[0] for i, x in enumerate(p.lines) if inside[x[3]] or beside and 2 * x[1] > len(x[0]) and (rest is None or i < rest)]
 
 
 @F.pandas_udf(T.StringType())

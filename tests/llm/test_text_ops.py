@@ -113,6 +113,19 @@ def test_main_text(tag, tail):
     assert htmlmain.main_lines(PAGE.format(tag=tag, tail=tail)) == WANT
 
 
+LONG = "many words that say a good deal about the thing at hand, and then go on to say more of it, " * 12
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text_is_whole(tag):
+    lines = lambda body: htmlmain.main_lines(f"<body><nav><a href=/>Home</a></nav><div><a href=/a>One</a> <a href=/b>Two</a></div><{tag}>{body}</{tag}></body>")
+    long = LONG.strip()
+    assert lines(f"<h1>Title</h1><p>A lead.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div>") == ["Title", "A lead.", long, long]
+    assert lines(f"<section><p>{LONG}</p></section><section><p>Fifteen per cent.</p></section>") == [long, "Fifteen per cent."]
+    for block in ("<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>"):
+        assert lines("<p>Short one.</p>" * 9 + block.format(LONG) + "<p>The end.</p>") == ["Short one."] * 9 + [long, "The end."]
+
+
 def test_page_query_edges(spark, tmp_path):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "just text"), (3, "u", "just text"), (4, None, "<p>"), (5, "u", "<article><p>" + "word " * 200_000), (6, "u", "<nav><a>x</a></nav>"), (7, "u", "<p>a</p>" * 3000)]
     spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
