@@ -12,7 +12,9 @@ beside the longest one is not lost.
 
 Chrome never takes part: scripts, styles, navigation, page headers and footers, asides, forms,
 hidden parts, and containers whose class, id or role names them as adverts, notices, menus, reader
-comments and the like.
+comments and the like. A class or id names chrome if all its parts are such names or words of layout,
+or its last part is a name that means nothing else; headings are never chrome by name, nor is an
+element that holds the only article or main element, or nearly all text of the page or its article.
 
 Defined cases: null and empty html give an empty text; a page without any content region gives the
 lines that are not chrome; truncated markup is read to its end, open elements counting as closed;
@@ -54,13 +56,28 @@ NAMES = frozenset(
     "popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar sidenav signup skip social sponsor sponsored "
     "subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
+STRONG = frozenset("adbox adsense advert adverts advertisement breadcrumb breadcrumbs commentlist disqus footer masthead navbar newsletter pager pagination popup sidebar sidenav signup toolbar topbar widget widgets".split())
+LAYOUT = frozenset(
+    "area article bar block body bottom box button buttons center col column container content desktop fixed form global group head icon icons inline inner item items left links list "
+    "lower main message mobile outer page panel post posts primary right row secondary section site slot sticky thread top unit upper wrap wrapper".split()
+)
+MODIFIERS = frozenset("has with without no not hide is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNFINISHED = re.compile(r"<[A-Za-z/!?]")  # a tag or comment that the page ends in
 NAME_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _named_chrome(attrs: list[tuple[str, str | None]], tag: str, in_main: bool) -> bool:
-    """Whether an element's attributes call it chrome; a header inside the article holds its title and stays."""
-    names = NAMES - {"header", "masthead"} if in_main else NAMES
+def _chrome_token(token: str, names: frozenset[str]) -> bool:
+    parts = [x.lower() for x in NAME_SPLIT.split(token) if x]
+    if not parts or not MODIFIERS.isdisjoint(parts):
+        return False
+    if parts[-1] in STRONG and parts[-1] in names:
+        return True
+    return not names.isdisjoint(parts) and all(x in names or x in LAYOUT for x in parts)
+
+
+def _hidden(attrs: list[tuple[str, str | None]], tag: str) -> bool:
+    """Whether an element's attributes hide it or give it a role that is chrome."""
     for k, v in attrs:
         if k == "hidden":
             return True
@@ -72,20 +89,38 @@ def _named_chrome(attrs: list[tuple[str, str | None]], tag: str, in_main: bool)
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
-        if k in ("class", "id") and tag not in ("body", "html", "article", "main") and any(x.lower() in names for x in NAME_SPLIT.split(v)):
-            return True
         if k in ("class", "id") and tag == "article" and re.search(r"comment|repl(y|ies)|advert|sponsor|promo", v, re.I):
             return True
     return False
 
 
+def _named_chrome(attrs: list[tuple[str, str | None]], tag: str, in_main: bool) -> bool:
+    """Whether an element's class or id calls it chrome; a header inside the article holds its title and stays."""
+    if tag in ("body", "html", "article", "main") or tag in HEADINGS:
+        return False
+    names = NAMES - {"header", "masthead"} if in_main else NAMES
+    return any(k in ("class", "id") and v and any(_chrome_token(x, names) for x in v.split()) for k, v in attrs)
+
+
 class Lines(HTMLParser):
-    """Turns parser events into lines (text, plain length, tags, container)."""
+    """Turns parser events into lines (text, plain length, tags, container), without the elements of `spared` as chrome.
+
+    Elements that are chrome by name are numbered in order; `held` has the text length in each, `mains` the
+    article and main elements outside all of them (0) and in each outermost one.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared = spared
+        self.named = 0  # elements that are chrome by name, so far
+        self.open_named: list[tuple[int, int]] = []  # depth in the stack, number
+        self.held = [0]
+        self.in_article = [False]
+        self.mains: dict[int, int] = {}
+        self.hard = 0  # open elements that are chrome whatever they hold
+        self.all_text = self.article_text = 0
         self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, chrome, container
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, chrome, container, hard chrome
         self.parents = [0]
         self.whole: set[int] = set()  # containers that are article or main elements
         self.container = 0
@@ -103,19 +138,28 @@ class Lines(HTMLParser):
                 self.lines.append((text, max(0, len(text) - self.linked), self.tags, self.container))
             self.parts, self.linked, self.tags = [], 0, 0
 
-    def push(self, tag: str, chrome: bool) -> None:
+    def push(self, tag: str, chrome: bool, hard: bool = False, number: int = 0) -> None:
+        if number:
+            self.open_named.append((len(self.stack), number))
+        if tag in ("article", "main") and not hard and not self.hard:
+            at = self.open_named[0][1] if self.open_named else 0
+            self.mains[at] = self.mains.get(at, 0) + 1
+        self.hard += hard
         container = 0
         if tag in CONTAINERS and not self.chrome and not chrome:
             self.parents.append(self.container)
             container = self.container = len(self.parents) - 1
             if tag in ("article", "main"):
                 self.whole.add(container)
-        self.stack.append((tag, chrome, container))
+        self.stack.append((tag, chrome, container, hard))
         self.chrome += chrome
         self.main += tag in ("article", "main")
 
     def pop(self) -> None:
-        tag, chrome, container = self.stack.pop()
+        tag, chrome, container, hard = self.stack.pop()
+        if self.open_named and self.open_named[-1][0] == len(self.stack):
+            self.open_named.pop()
+        self.hard -= hard
         self.chrome -= chrome
         self.main -= tag in ("article", "main")
         if container:
@@ -140,8 +184,14 @@ class Lines(HTMLParser):
             if not self.chrome:
                 self.parts.append(" " if tag == "br" else "")
             return
-        chrome = out or (tag == "header" and not self.main) or _named_chrome(attrs, tag, self.main > 0)
-        if not block and not chrome:
+        hard = out or (tag == "header" and not self.main) or _hidden(attrs, tag)
+        number = 0
+        if not hard and not self.hard and _named_chrome(attrs, tag, self.main > 0):
+            number = self.named = self.named + 1
+            self.held.append(0)
+            self.in_article.append(self.main > 0)
+        chrome = hard or number > 0 and number not in self.spared
+        if not block and not chrome and not number:
             return
         if block:
             self.flush()
@@ -155,7 +205,7 @@ class Lines(HTMLParser):
                 while self.stack and self.stack[-1][0] in ("head", "title"):
                     self.pop()
         if tag not in VOID:
-            self.push(tag, chrome)
+            self.push(tag, chrome, hard, number)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -178,6 +228,12 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not self.hard:
+            size = len(data.strip())
+            self.all_text += size
+            self.article_text += size if self.main else 0
+            for _, number in self.open_named:
+                self.held[number] += size
         if not self.chrome:
             self.parts.append(data)
             if self.in_link:
@@ -205,10 +261,20 @@ def upper_cluster(x: np.ndarray) -> np.ndarray:
     return x >= (lo + hi) / 2
 
 
-def main_lines(html: str | None) -> list[str]:
-    if not html:
-        return []
-    p = Lines()
+def wrappers(p: Lines) -> frozenset[int]:
+    """Elements that are chrome by name only, but hold the page's article: no chrome."""
+    outside = p.mains.get(0, 0) > 0
+    out = set()
+    for number in range(1, p.named + 1):
+        whole = p.article_text if p.in_article[number] else 0 if outside else p.all_text
+        if not outside and p.mains.get(number) or whole and p.held[number] >= SHARE * whole:
+            out.add(number)
+    return frozenset(out)
+
+
+def parse(html: str, spared: frozenset[int] = frozenset()) -> tuple[Lines, int | None]:
+    """The lines, and from which of them on they stem from a tag or comment the page ends in."""
+    p = Lines(spared)
     p.feed(html)
     rest = None
     if UNFINISHED.match(p.rawdata):
@@ -216,6 +282,15 @@ def main_lines(html: str | None) -> list[str]:
         rest = len(p.lines)
     p.close()
     p.flush()
+    return p, rest
+
+
+def main_lines(html: str | None) -> list[str]:
+    if not html:
+        return []
+    p, rest = parse(html)
+    if spared := wrappers(p):
+        p, rest = parse(html, spared)
     if not p.lines:
         return []
     plain = np.array([x[1] for x in p.lines], dtype=float)

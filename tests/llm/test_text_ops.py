@@ -126,6 +126,19 @@ def test_main_text_is_whole(tag):
         assert lines("<p>Short one.</p>" * 9 + block.format(LONG) + "<p>The end.</p>") == ["Short one."] * 9 + [long, "The end."]
 
 
+@pytest.mark.parametrize("attrs", ["id=content class='has-sidebar'", "class='page-with-header'", "class='content no-comments'", "class=widget", "id=search"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_layout_wrappers_and_slug_ids_are_no_chrome(attrs, tag):
+    heads = ["related-work", "search", "comments"]
+    parts = ["legal-background", "search-algorithms", "informed-consent"]
+    body = "".join(f"<h2 id={h}>{h} head</h2><section id={s} class='social-science'><p>{s}: {LONG}</p></section>" for h, s in zip(heads, parts))
+    want = [x for h, s in zip(heads, parts) for x in (f"{h} head", f"{s}: {LONG.strip()}")]
+    chrome = "<div class='site-footer'>Nobody.</div><div id=cookie-notice>We use them.</div><div class='left-sidebar'>Other.</div><div class='comment-list'>I disagree.</div>"
+    page = f"<body><div {attrs}><{tag}>{body}</{tag}></div>{chrome}</body>"
+    assert htmlmain.main_lines(page) == want
+    assert htmlmain.main_lines(f"<body><{tag}><div {attrs}>{body}</div></{tag}>{chrome}</body>") == want
+
+
 def test_page_query_edges(spark, tmp_path):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "just text"), (3, "u", "just text"), (4, None, "<p>"), (5, "u", "<article><p>" + "word " * 200_000), (6, "u", "<nav><a>x</a></nav>"), (7, "u", "<p>a</p>" * 3000)]
     spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
