@@ -102,7 +102,7 @@ def ceat_summary(spark, d):
 def ceat_full(spark, d):
     """Every lexical hit: lemmas of each line, sampled contexts, encoded, associated with seed centroids."""
     lines = sent.sentences_simple(documents(spark, d)).select(F.col("sentence").alias("line"))
-    ctx = vec.stable_sample(vec.context_lemmas(lines, GROUPS), "lemma", "line", 50)
+    ctx = vec.stable_sample(vec.context_lemmas(lines, GROUPS), "lemma", "line")
     enc = vec.HashEncoder(64)
     neg, pos = (enc.encode([w for w in FRAMES if FRAMES[w] == k]).mean(axis=0).tolist() for k in (-1, 1))
     e = vec.encode(ctx, enc, "line")

@@ -126,3 +126,11 @@ def test_models(spark):
     ev = np.linalg.eigvalsh(np.cov(mat.T))
     assert e[0]["variance_ratio"] == pytest.approx(ev[-1] / ev.sum(), abs=1e-3)
     assert sum(s * e[0][f"load_{n}"] for n, s in (("y", 1), ("a", 1), ("b", -1))) >= 0
+
+
+def test_ceat_full_samples_the_operators_number_of_contexts(spark, tmp_path):
+    from corvane.plans import q_models
+
+    rows = [(i, f"Number {i} came with a long tail of words that follow it.", "en", "x", 60) for i in range(620)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["n"] for r in q_models.ceat_full(spark, str(tmp_path)).collect() if r["lemma"] == "with"} == {500}
