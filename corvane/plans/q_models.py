@@ -340,12 +340,11 @@ def load_labels(spark, d):
 
 def load_tsv(spark, d):
     """The kept rows written as a sheet and read again."""
-    import tempfile
-
     from corvane.sources import sinks
     from corvane.sources.readers import load_sentences_tsv
+    from corvane.sources.scratch import new_path
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    folder = new_path(spark, "sheet")
     s = sent.sentences(documents(spark, d)).select(F.col("sentence").alias("text"), F.lit(0.5).alias("score"))
     path = sinks.write_tsv(s, folder)
     return load_sentences_tsv(spark, path)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corvane.functions import markup, paths
@@ -12,6 +9,7 @@ from corvane.operators import gates, graph, models, pages as pg, search as se, s
 from corvane.plans import extract as ex
 from corvane.plans.q_text import GATE
 from corvane.sources.readers import documents, table
+from corvane.sources.scratch import new_path
 from corvane.streaming import incremental as inc
 
 BASE = "site.example"
@@ -357,8 +355,7 @@ def affected_tags(spark, d):
 
 def extract_stream(spark, d):
     """The two gates and the splitter as a stream over the documents' folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    run = f"{folder}/stream-{uuid.uuid4().hex}"
+    run = new_path(spark, "stream")
 
     def transform(df):
         return gates.lexical_gate(sent.sentences_simple(gates.lexical_gate(df.select("doc_id", "text"), GATE)), GATE, "sentence")
