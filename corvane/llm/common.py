@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.scratch import settle
+from corvane.sources.scratch import settle, settle_last  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,38 +30,118 @@ def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-BIT_WORDS = 1 << 17  # 64-bit words of a bit table: at most this many rows are broadcast
+def weigh(df: DataFrame, size: Column) -> tuple[int, int]:
+    """Rows of a settled table and the sum of `size` (a row's bytes) over them: what decides whether it may be broadcast."""
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return int(r["n"]), int(r["b"])
 
 
-def bit_table(df: DataFrame, hash_col: str) -> DataFrame:
-    """A set of hashes as at most BIT_WORDS rows (bit_word, bits): a filter of fixed size without false negatives."""
-    word = F.pmod(F.col(hash_col), F.lit(BIT_WORDS))
+LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 20  # 64-bit words of a bit table: at most this many rows are broadcast, 16 bytes each
+KEYS_A_WORD = 4  # keys for which a word of the table is made; with more than MOST_WORDS * KEYS_A_WORD keys a join takes its place
+
+
+def bit_words(n: int) -> int | None:
+    """Words of a bit table for n keys, or None where a table of bounded size would let too much through."""
+    words = LEAST_WORDS
+    while words * KEYS_A_WORD < n:
+        words *= 2
+    return words if words <= MOST_WORDS else None
+
+
+def bit_table(df: DataFrame, hash_col: str, words: int) -> DataFrame:
+    """A set of hashes as at most `words` rows (bit_word, bits): a filter of known size without false negatives."""
+    word = F.pmod(F.col(hash_col), F.lit(words))
     bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright({hash_col}, 32), 64) as int))")
     return df.groupBy(word.alias("bit_word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def bit_filter(df: DataFrame, bits: DataFrame, hash_: Column) -> DataFrame:
-    """Rows of df whose hash may be in the set. The broadcast has a fixed bound, whatever the size of the set."""
-    b = bits.select(F.col("bit_word").alias("__bit_word"), F.col("bits").alias("__bits"))
-    hit = df.withColumn("__bit_hash", hash_).join(F.broadcast(b), F.pmod(F.col("__bit_hash"), F.lit(BIT_WORDS)) == F.col("__bit_word"))
-    return hit.filter(F.expr("getbit(__bits, cast(pmod(shiftright(__bit_hash, 32), 64) as int)) = 1")).select(*[df[c] for c in df.columns])
+def mark_held(df: DataFrame, keys: DataFrame, hash_: Column, out: str = "held") -> DataFrame:
+    """df with a boolean column: true for every row whose hash is in `keys` (settled, column h, distinct).
+
+    Up to MOST_WORDS * KEYS_A_WORD keys, a bit table sized by their number is broadcast, and few other rows
+    are true as well; beyond, keys and rows meet exactly in a shuffled join.
+    """
+    n = keys.count()
+    words = bit_words(n)
+    cols = [df[c] for c in df.columns]
+    if words is None:
+        k = keys.select(F.col("h").alias("__bit_key"))
+        return df.withColumn("__bit_hash", hash_).join(k, F.col("__bit_hash") == F.col("__bit_key"), "left").select(*cols, F.col("__bit_key").isNotNull().alias(out))
+    b = settle(bit_table(keys, "h", words)).toDF("__bit_word", "__bits")
+    hit = df.withColumn("__bit_hash", hash_).join(F.broadcast(b), F.pmod(F.col("__bit_hash"), F.lit(words)) == F.col("__bit_word"), "left")
+    return hit.select(*cols, F.expr("coalesce(getbit(__bits, cast(pmod(shiftright(__bit_hash, 32), 64) as int)) = 1, false)").alias(out))
+
+
+def only_held(df: DataFrame, keys: DataFrame, hash_: Column) -> DataFrame:
+    """The rows that `mark_held` marks."""
+    return mark_held(df, keys, hash_, "__held").filter("__held").drop("__held")
+
+
+HOT_KEYS = 100_000  # keys that are broadcast; any other key then has at most one row in this many
+
+
+def spread_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """facts joined (inner or left) with dim on `key`, without a hot key's rows in one task.
+
+    dim is settled and has one row a key; `weight` is a column of it, the key's number of fact rows (or
+    more), and is left out of the result. The keys of the largest weights, at most HOT_KEYS of them, are broadcast, so their
+    facts stay where they are; the others are joined by shuffle, and none of them has more than a
+    HOT_KEYS-th of all facts.
+    """
+    sizes = dim.filter(f"{weight} > 1").groupBy(F.floor(F.log2(weight) * 4).alias("q")).count().collect()  # at most 256 rows
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["q"]):
+        total += r["count"]
+        if total > HOT_KEYS:
+            break
+        least = r["q"]
+    values = [c for c in dim.columns if c not in (key, weight)]
+    own = [facts[c] for c in facts.columns]
+
+    def side(rows: DataFrame) -> DataFrame:  # fresh names, so that no column is ambiguous
+        return rows.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__value{i}") for i, c in enumerate(values)])
+
+    out = [*own, *[F.col(f"__value{i}").alias(c) for i, c in enumerate(values)]]
+    match = facts[key] == F.col("__key")
+    if least is None:
+        return facts.join(side(dim), match, how).select(*out)
+    is_hot = F.coalesce(F.floor(F.log2(weight) * 4) >= least, F.lit(False))
+    hot = dim.filter(is_hot)
+    both = facts.join(F.broadcast(side(hot)), match).select(*out)
+    rest = facts.join(F.broadcast(hot.select(F.col(key).alias("__hot"))), facts[key] == F.col("__hot"), "left_anti")
+    return both.unionByName(rest.join(side(dim.filter(~is_hot)), match, how).select(*out))
+
+
+def least_hashes(rows: DataFrame, hash_: Column, most: int, out: str = "__h") -> DataFrame:
+    """At least the rows with the `most` smallest hashes (64 bits, column `out`), and few others.
+
+    Rows are counted and cut at four times the share wanted; only where that leaves too few (hashes of
+    copies are equal) all rows are returned. Order by `out` and limit to `most` after projecting: no task
+    then sees more than a bounded sample, at any size, and the result depends on the rows alone.
+    """
+    hashed = rows.withColumn(out, hash_.bitwiseAND(F.lit(2**63 - 1)))
+    n = rows.count()
+    if n <= 4 * most:
+        return hashed
+    cut = hashed.filter(F.col(out) < int(2**63 * (4 * most / n)))
+    return cut if len(cut.select(out).limit(most).collect()) == most else hashed
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, root (smallest reachable node).
 
-    Alternating large and small stars (Kiveris et al.), each a map-side minimum and a join; no
-    neighbourhood is gathered, and every step is written to the shared folder.
+    Alternating large and small stars (Kiveris et al.), each a map-side minimum and a join in which hubs
+    are spread; no neighbourhood is gathered, and every step is written to the shared folder.
     """
     e = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     if e.isEmpty():
         return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     while True:
         both = e.union(e.select("lo", "hi")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi")
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = settle(spread_join(both.filter("v > u"), low, "u", "n").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        down = settle(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, down, "hi", "n")
         new = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct()
         new = settle(new)
         same = new.count() == e.count() and new.join(e, ["hi", "lo"], "left_anti").isEmpty()

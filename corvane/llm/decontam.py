@@ -1,17 +1,19 @@
 """Benchmark decontamination with a broadcast hash set of benchmark n-grams.
 
 Benchmark texts become windows of `n` consecutive normalised words (a shorter text is one window).
-Documents are scanned once: each window's 64-bit hash is probed against the broadcast set, and a
-probe that hits is verified word by word in the same stage before anything is shuffled. Only
-verified hits, a few rows, leave the scan.
-
-The set is broadcast while the counted number of distinct windows is within `WINDOWS_BOUND`; beyond,
-hashes are joined by shuffle and hits are verified by a second, independent hash of the same window.
-
-Defined cases: a null text has no words; an item without words has no windows; items that share a
-window are all reported; rows that repeat an id are told apart by their text; an empty benchmark
-leaves every document clean; an empty table gives no rows; other columns are carried through by the
-removing functions whatever their names, except those beginning `__dec_`.
+Documents are scanned once for hits: words are hashed once, the window hashes that start at a word are
+made from those, one for each window length in use, and probed against the broadcast set; a probe that
+hits is verified word by word in the same stage before anything is shuffled. Only verified hits, a few
+rows, leave the scan.
+
+The set is broadcast while its counted bytes are within `WINDOWS_BOUND`; beyond, windows whose hash may
+be in the set (`only_held`) carry their words into a shuffled join, which compares the same words.
+
+Defined cases: a null text has no words; an item without words has no windows; texts of any length are
+read whole; items that share a window are all reported, so ties don't matter; rows that repeat an id are
+told apart by their text, and repeated rows share their result; an empty benchmark leaves every document
+clean; an empty table gives no rows; other columns are carried through by the removing functions
+whatever their names, except those beginning `__dec_`.
 """
 
 from __future__ import annotations
@@ -19,53 +21,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, settle
+from corvane.llm.common import ascii_lower, only_held, settle, weigh
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOWS_BOUND = 2_000_000
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+WINDOWS_BOUND = 32 << 20  # bytes of windows that are broadcast
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
-def _hashes(words_col: str, k: int) -> Column:
-    last = f"size({words_col}) - {k}"
-    return F.expr(f"if({last} >= 0, transform(sequence(0, {last}), i -> xxhash64(slice({words_col}, i + 1, {k}))), cast(array() as array<bigint>))")
-
-
-def _second(words_col: str, at: str, k: int) -> str:
-    return f"xxhash64({k}, slice({words_col}, {at} + 1, {k}))"
+def _window_hash(hashes: str, at: str, k: int) -> str:
+    """Hash of the k words from position `at` on, from the words' hashes; the length is part of it."""
+    return f"xxhash64({k}, {', '.join(f'get({hashes}, {at} + {i})' for i in range(k))})"
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each distinct window: len, h, h2, win (its words), items (ids as strings)."""
+    """One row for each distinct window: len, h, win (its words), items (ids as strings)."""
     b = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
     b = b.withColumn("len", F.least(F.size("w"), F.lit(n)))
     b = b.withColumn("at", F.explode(F.expr("sequence(0, size(w) - len)")))
     b = b.select("item", "len", F.expr("slice(w, at + 1, len)").alias("win"))
-    b = b.withColumn("h", F.xxhash64("win")).withColumn("h2", F.xxhash64(F.col("len"), F.col("win")))
-    return b.groupBy("len", "h", "h2", "win").agg(F.collect_set("item").alias("items"))
+    b = b.groupBy("len", "win").agg(F.collect_set("item").alias("items"))
+    b = b.withColumn("hw", F.expr("transform(win, x -> xxhash64(x))"))
+    cases = " ".join(f"when {k} then {_window_hash('hw', '0', k)}" for k in range(1, n + 1))
+    return b.select("len", F.expr(f"case len {cases} end").alias("h"), "win", "items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, th (hash of the text), spans (array of start, end of merged hit word ranges), items (sorted ids) of every document with a verified hit."""
     windows = settle(benchmark_windows(benchmark, n, item_col, item_text_col))
-    sizes = windows.groupBy("len").count().collect()  # at most n rows
-    small = sum(r["count"] for r in sizes) <= WINDOWS_BOUND
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w"))
-    found = None
-    for k in sorted(r["len"] for r in sizes):
-        probe = windows.filter(F.col("len") == k).select("h", "h2", "win", "items")
-        scan = d.select("id", "th", "w", F.posexplode(_hashes("w", k)).alias("at", "h"))
-        if small:
-            part = scan.join(F.broadcast(probe), "h").filter(F.expr(f"slice(w, at + 1, {k}) = win"))
-        else:
-            part = scan.withColumn("h2", F.expr(_second("w", "at", k))).drop("w").join(probe, ["h", "h2"])
-        part = part.select("id", "th", F.struct(F.col("at").alias("start"), (F.col("at") + k).alias("end")).alias("span"), "items")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most n
+    if not lengths:
         return docs.sparkSession.createDataFrame([], f"id {dict(docs.dtypes)[id_col]}, th bigint, spans array<struct<start:int,end:int>>, items array<string>")
+    _, size = weigh(windows, F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 8 * F.size("win") + 8 * F.size("items") + 48)
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w"))
+    d = d.withColumn("hw", F.expr("transform(w, x -> xxhash64(x))"))
+    # the outer forms keep the optimizer from filtering by, and so computing twice, what they read
+    d = d.select("id", "th", "w", "hw", F.explode_outer(F.expr("if(size(w) > 0, sequence(0, size(w) - 1), cast(null as array<int>))")).alias("at"))
+    probes = [f"case when at + {k} <= size(hw) then struct({k} as len, {_window_hash('hw', 'at', k)} as h) end" for k in lengths]
+    if len(probes) == 1:
+        d = d.select("id", "th", "w", "at", F.expr(probes[0]).alias("p"))
+    else:
+        d = d.select("id", "th", "w", "at", F.explode_outer(F.expr(f"array({', '.join(probes)})")).alias("p"))
+    d = d.select("id", "th", "w", "at", F.col("p.len").alias("k"), F.col("p.h").alias("h")).filter("h is not null")
+    if size <= WINDOWS_BOUND:
+        found = d.join(F.broadcast(windows), "h").filter("k = len and slice(w, at + 1, k) = win")
+    else:
+        likely = only_held(d, settle(windows.select("h").distinct()), F.col("h"))
+        found = likely.select("id", "th", "at", "k", "h", F.expr("slice(w, at + 1, k)").alias("own")).join(windows, "h").filter("own = win")
+    found = found.select("id", "th", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("k")).alias("end")).alias("span"), "items")
     found = found.groupBy("id", "th").agg(F.array_sort(F.collect_set("span")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merge = """aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
         if(size(acc) > 0 and acc[size(acc) - 1].end >= x.start,
@@ -77,7 +83,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, n_words, n_hit, spans, items of every document row."""
     found = hits(docs, benchmark, n, id_col, text_col, item_col, item_text_col)
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     f = found.select(F.col("id").alias("i"), F.col("th").alias("t"), "spans", "items")
     out = d.join(f, d["id"].eqNullSafe(F.col("i")) & (d["th"] == F.col("t")), "left")
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.lit(0).cast("long"))

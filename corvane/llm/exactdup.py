@@ -3,15 +3,18 @@
 Each level looks only at rows that the level before could not tell apart:
 
 1. byte lengths that occur more than once (map-side counted);
-2. among those, (length, hash of a prefix) pairs that occur more than once. The pairs are
-   kept as a bit table of fixed size, so that the test of the next scan is a broadcast
-   join with a proven bound, whatever the number of pairs;
-3. among rows whose bit is set, SHA-256 of the whole text decides.
+2. among those, (length, hash of a prefix) pairs that occur more than once, as a bit table sized by
+   their number, or, beyond the largest table, as the other side of a shuffled join (`mark_held`);
+3. among the rows so marked, SHA-256 of the whole text decides. Groups are counted map-side and joined
+   to their rows with the largest groups broadcast (`spread_join`), so no group's rows meet in one task.
+
+Rows that no level doubts are never shuffled.
 
 Defined cases: a null text counts as the empty text; texts are equal when identical after
-lower-casing A-Z; of equal texts the row with the largest id stays; rows that repeat both id
-and text share one verdict and each counts in group_size; null ids never win over others
-(a group of null ids keeps the null id); other columns are ignored; an empty table gives no rows.
+lower-casing A-Z; of equal texts the row with the largest id stays (a tie of ids is a repeated row);
+rows that repeat both id and text share one verdict and each counts in group_size; null ids never win
+over others (a group of null ids keeps the null id); texts of any length are hashed whole; other
+columns are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BIT_WORDS, ascii_lower, bit_table, broadcast_if, settle
+from corvane.llm.common import ascii_lower, broadcast_if, mark_held, settle, spread_join
 
-LENGTHS_BOUND = 1_000_000  # distinct lengths above which the length table is joined by shuffle
+LENGTHS_BOUND = 1_000_000  # distinct lengths, 4 bytes each, above which the length table is joined by shuffle
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, digest_all: bool = False) -> DataFrame:
@@ -36,28 +39,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = broadcast_if(lengths, lengths.count(), LENGTHS_BOUND)
 
     pair = F.xxhash64("len", ascii_lower(F.substring("text", 1, prefix_chars)))
-    pairs = rows.select("len", pair.alias("pair")).join(lengths, "len", "left_semi").groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
-    word = F.pmod(F.col("pair"), F.lit(BIT_WORDS))
-    bit = F.pmod(F.shiftright("pair", 32), F.lit(64)).cast("int")
-    bits = settle(bit_table(pairs, "pair").withColumnRenamed("bit_word", "word"))
-
-    marked = rows.withColumn("pair", pair).withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bits), "word", "left")
-    open_ = F.coalesce(F.expr("getbit(bits, bit)") == 1, F.lit(False))
+    pairs = rows.select("len", pair.alias("h")).join(lengths, "len", "left_semi").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    marked = mark_held(rows, settle(pairs.select("h")), pair, "doubted")
     sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
 
-    groups = marked.filter(open_).select("id", sha.alias("sha")).groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    if digest_all:
-        hashed = rows.select("id", sha.alias("text_sha256"), sha.alias("sha"))
-    else:
-        known = F.when(open_, sha)
-        hashed = marked.select("id", known.alias("text_sha256"), F.coalesce(known, F.concat(F.lit("#"), F.col("pair").cast("string"))).alias("sha"))
-    out = hashed.join(groups, "sha", "left")
-    single = F.col("group_size").isNull()
-    keep = F.when(single, F.col("id")).otherwise(F.col("keep_id"))
+    doubted = marked.filter("doubted").select("id", sha.alias("sha"))
+    groups = settle(doubted.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
+    joined = spread_join(doubted, groups.withColumn("n", F.col("group_size")), "sha", "n", "left")
+    alone = marked.filter("not doubted").select("id", (sha if digest_all else F.lit(None).cast("string")).alias("sha"), F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    out = joined.unionByName(alone)
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
+        F.col("sha").alias("text_sha256"),
     )

@@ -1,21 +1,25 @@
 """Language of code-switched text by a linear-chain conditional random field over words.
 
 Every word has affix, character n-gram and lexicon features; their weights give an emission score
-for each language, and learned transitions link neighbouring words. Forward-backward yields the
-posterior of every word's language; a text's language is the one with the largest mean posterior,
-weighted by letters, and that mean is its score.
-
-Chains are runs of SEGMENT words: a chain starts anew after that many, every word of a text belongs
-to one, and so all chains of a batch advance together in array steps.
-
-The model is fitted on the driver from a bounded sample (MAX_DOCS texts of each language, chosen by
-a seeded hash of the id): words carry their text's language as label, and the log-likelihood is
-climbed by AdaGrad with forward-backward gradients. The lexicon holds the sample's words whose
-language is nearly certain. Prediction reads the text alone.
-
-Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the language
-first by name; without labelled training rows everything is `und`; ids that repeat are predicted row
-by row; an empty table gives no rows; other columns are ignored.
+for each language, and learned transitions link neighbouring words. Forward-backward over the whole
+text yields the posterior of every word's language (`label_words`); a text's language is the one with
+the largest mean posterior, weighted by letters, and that mean is its score (`predict`).
+
+A text is one chain, however long. To work in array steps it is laid out in segments of SEGMENT words:
+each segment's steps are first multiplied into one small matrix, those carry the messages from segment to
+segment, and all segments then run at once from their own messages. The length of a segment changes the
+order of the arithmetic, not the result. Features cover every character of a word of any length.
+
+The model is fitted on the driver from a bounded sample, the MAX_DOCS texts of each language with the
+smallest seeded hashes: words carry their text's language as label, and the log-likelihood is climbed by
+AdaGrad with forward-backward gradients. So that transitions learn switches as well as stays, a share
+SPLICED of the training chains goes on, from a random word, with another text's words. The lexicon holds
+the sample's words whose language is nearly certain. Prediction reads the text alone.
+
+Defined cases: a text that is null or has no letter is `und` with score 0 and has no words; ties go to
+the language first by name; without labelled training rows everything is `und`; ids that repeat are
+predicted row by row, and equal texts get equal predictions; an empty table gives no rows; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fold
+from corvane.llm.common import fold, least_hashes
 
 MAX_DOCS = 250
 FOLDS, HELD = 4, 2
-SEGMENT = 64
-WIDTH = 24  # characters of a word that features see: a longer word's first and last halves
+SEGMENT = 64  # words laid out side by side
+SEGMENTS = 2048  # segments that are worked on at a time
+SPLICED = 0.25
+WIDTH = 24  # longer words are laid out in tables of their own
 DIMS = 1 << 16
 EPOCHS = 4
 CHUNK_CHARS = 1_500_000
@@ -47,15 +53,8 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    half = WIDTH // 2
-    cut = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    a = np.array(cut, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
-    return a, (a != 0).sum(axis=1)
-
-
 def _hash(kind: int, *parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), kind * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
+    h = np.full(parts[0].shape, kind * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
     for p in parts:
         h = (h ^ p) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
@@ -64,54 +63,130 @@ def _hash(kind: int, *parts: np.ndarray) -> np.ndarray:
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Feature ids of each word, padded with 0 (whose weights stay 0)."""
-    c, n = _codes(words)
-    rows = np.arange(len(words))
-    at = lambda i: c[rows, np.clip(i, 0, WIDTH - 1)]
+    width = max(3, max(map(len, words)))
+    c = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+    n = (c != 0).sum(axis=1)
+    rows, step = np.arange(len(words)), np.arange(width)
     cols = []
     for k in (1, 2, 3):
-        cols.append(_hash(k, *[c[:, i] for i in range(k)]))  # prefix
-        cols.append(np.where(n >= k, _hash(10 + k, *[at(n - 1 - i) for i in range(k)]), 0))  # suffix
-    for i in range(WIDTH - 1):
-        cols.append(np.where(n > i + 1, _hash(20, c[:, i], c[:, i + 1]), 0))
-    for i in range(WIDTH - 2):
-        cols.append(np.where(n > i + 2, _hash(21, c[:, i], c[:, i + 1], c[:, i + 2]), 0))
-    for i in range(0, WIDTH, 3):
-        odd = np.max(np.where(c[:, i : i + 3] > 127, c[:, i : i + 3], 0), axis=1)
-        cols.append(np.where(odd > 0, _hash(30, odd), 0))
-    cols.append(_hash(40, np.minimum(n, 12).astype(np.uint64)))
+        cols.append(_hash(k, *[c[:, i] for i in range(k)])[:, None])  # prefix
+        tail = [c[rows, np.clip(n - 1 - i, 0, width - 1)] for i in range(k)]
+        cols.append(np.where(n >= k, _hash(10 + k, *tail), 0)[:, None])  # suffix
+    cols.append(np.where(n[:, None] > step[1:], _hash(20, c[:, :-1], c[:, 1:]), 0))
+    cols.append(np.where(n[:, None] > step[2:], _hash(21, c[:, :-2], c[:, 1:-1], c[:, 2:]), 0))
+    odd = c > 127
+    if odd.any():
+        cols.append(np.where(odd, _hash(30, c), 0))
+    cols.append(_hash(40, np.minimum(n, 12).astype(np.uint64))[:, None])
     lex = np.fromiter((lexicon.get(w, -1) + 1 for w in words), dtype=np.uint64, count=len(words))
-    cols.append(np.where(lex > 0, _hash(50, lex), 0))
-    keep = [x for j, x in enumerate(cols) if j < 6 or x.any()]
-    return np.stack(keep, axis=1)
+    cols.append(np.where(lex > 0, _hash(50, lex), 0)[:, None])
+    return np.hstack(cols)
 
 
 def emissions(feats: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights: one row of scores a word."""
     out = np.zeros((len(feats), weights.shape[1]))
+    if feats.shape[1] > 8 * WIDTH:  # a few very long words
+        for at in range(0, feats.shape[1], 1 << 14):
+            out += weights[feats[:, at : at + (1 << 14)]].sum(axis=1)
+        return out
     for j in range(feats.shape[1]):
         out += weights[feats[:, j]]
     return out
 
 
-def posteriors(x: np.ndarray, mask: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x: exp emissions (segments, steps, labels), scaled to a row maximum of 1; mask: which steps exist.
+def tables(words: list[str]) -> Iterator[np.ndarray]:
+    """Indexes of words, dealt into groups of like length that make tables of bounded size."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    at = 0
+    while at < len(order):
+        width = max(WIDTH, 1 << int(size[at] - 1).bit_length())
+        to = min(int(np.searchsorted(size, width, "right")), at + max(1, 500_000 // width))
+        yield order[at:to]
+        at = to
+
+
+def feature_lists(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words, end to end, and where each word's begin (one entry more than words)."""
+    own: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(words)
+    for pick in tables(words):
+        for i, row in zip(pick, word_features([words[i] for i in pick], lexicon)):
+            own[i] = row[row > 0]
+    return np.concatenate(own), np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))])
+
+
+def word_scores(words: list[str], lexicon: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    """Emission scores of words of any length, worked off in tables of bounded size."""
+    out = np.zeros((len(words), weights.shape[1]))
+    for pick in tables(words):
+        out[pick] = emissions(word_features([words[i] for i in pick], lexicon), weights)
+    return out
+
 
-    Returns alpha and beta, each scaled to sum 1, and the exp transitions.
+def posteriors(x: np.ndarray, mask: np.ndarray, first: np.ndarray, last: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward inside segments. x: exp emissions (segments, steps, labels), scaled to a row maximum of 1; mask: which steps exist.
+
+    first: messages into the first steps; last: messages back into the last steps (segments, labels).
+    Returns alpha and beta, each scaled, and the exp transitions.
     """
     s, t, k = x.shape
     a = np.exp(trans)
-    alpha, beta = np.empty_like(x), np.ones_like(x)
-    alpha[:, 0] = np.exp(start) * x[:, 0]
+    alpha, beta = np.empty_like(x), np.empty_like(x)
+    alpha[:, 0] = first * x[:, 0]
     alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, t):
         v = (alpha[:, i - 1] @ a) * x[:, i]
         alpha[:, i] = v / v.sum(axis=1, keepdims=True)
+    beta[:, t - 1] = last
     for i in range(t - 2, -1, -1):
         v = (x[:, i + 1] * beta[:, i + 1]) @ a.T
         v /= v.sum(axis=1, keepdims=True)
-        beta[:, i] = np.where(mask[:, i + 1, None], v, 1.0)
+        beta[:, i] = np.where(mask[:, i + 1, None], v, last)
     return alpha, beta, a
 
 
+def messages(make_x, mask: np.ndarray, owner: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`first` and `last` of every segment, so that the segments of an owner form one chain.
+
+    make_x(lo, hi): exp emissions of segments lo to hi. Segments of an owner follow one another, all but its last one full.
+    """
+    n, k = len(owner), len(start)
+    a = np.exp(trans)
+    first, last = np.empty((n, k)), np.ones((n, k))
+    if not n:
+        return first, last
+    whole = np.empty((n, k, k))  # product over a segment's steps of diag(x) @ a
+    ends = np.empty((n, k))  # the same, its last `a` replaced by a sum over labels
+    for lo in range(0, n, SEGMENTS):
+        x, m = make_x(lo, lo + SEGMENTS), mask[lo : lo + SEGMENTS]
+        q, z = np.broadcast_to(np.eye(k), (len(x), k, k)), np.ones((len(x), k))
+        for i in range(x.shape[1]):
+            z = np.where(m[:, i, None], np.einsum("skl,sl->sk", q, x[:, i]), z)
+            step = (q * x[:, i, None, :]) @ a
+            step /= step.max(axis=(1, 2), keepdims=True)
+            q = np.where(m[:, i, None, None], step, q)
+        whole[lo : lo + SEGMENTS], ends[lo : lo + SEGMENTS] = q, z
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    count = np.diff(np.append(begin, n))
+    order = np.argsort(-count, kind="stable")
+    begin, count = begin[order], count[order]
+    first[begin] = np.exp(start)
+    z = ends[begin + count - 1]
+    for j in range(1, int(count[0])):
+        some = int(np.searchsorted(-count, -j, "left"))  # chains of more than j segments
+        to = begin[:some] + j
+        v = np.einsum("sk,skl->sl", first[to - 1], whole[to - 1])
+        first[to] = v / v.max(axis=1, keepdims=True)
+        to = begin[:some] + count[:some] - 1 - j
+        u = z[:some] @ a.T
+        last[to] = u / u.max(axis=1, keepdims=True)
+        z = np.einsum("skl,sl->sk", whole[to], z[:some])
+        z /= z.max(axis=1, keepdims=True)
+    return first, last
+
+
 def segments(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of texts -> (segments, SEGMENT) ids, mask, text of each segment."""
     rows, owner = [], []
@@ -133,7 +208,23 @@ def _scaled(e: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return x
 
 
+def splice(segs: np.ndarray, mask: np.ndarray, truth: np.ndarray, rng: np.random.Generator) -> None:
+    """A share of the chains goes on, from a random word, with the words of another chain."""
+    if not len(segs):
+        return
+    size = mask.sum(axis=1)
+    pick = np.flatnonzero((rng.random(len(segs)) < SPLICED) & (size > 1))
+    other = rng.integers(0, len(segs), len(pick))
+    at = rng.integers(1, size[pick])
+    source, labels, sizes = segs.copy(), truth.copy(), size.copy()
+    for i, j, cut in zip(pick, other, at):
+        n = min(int(size[i]) - cut, int(sizes[j]))
+        segs[i, cut : cut + n], truth[i, cut : cut + n] = source[j, :n], labels[j, :n]
+        segs[i, cut + n :], mask[i, cut + n :] = 0, False
+
+
 def fit(texts: list[str], langs: list[str]) -> dict | None:
+    """The model, from texts and their languages."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -154,12 +245,13 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
         return None
     # half of the lexicon's words train without their lexicon feature, so that unknown words are learnt too
     hidden = {w: x for i, (w, x) in enumerate(sorted(lexicon.items())) if i % 2}
-    feats = word_features(list(types), hidden)
+    flat, begin = feature_lists(list(types), hidden)
     segs, mask, owner = segments([np.array([types[w] for w in d], dtype=np.int64) for d in docs])
-    truth = np.array([label[x] for x in langs])[owner]
+    truth = np.repeat(np.array([label[x] for x in langs])[owner][:, None], SEGMENT, axis=1)
+    rng = np.random.default_rng(3)
+    splice(segs, mask, truth, rng)
     weights, start, trans = np.zeros((DIMS, k)), np.zeros(k), np.zeros((k, k))
     gw, gs, gt = np.full((DIMS, k), 1e-6), np.full(k, 1e-6), np.full((k, k), 1e-6)
-    rng = np.random.default_rng(3)
     step = 256
     for _ in range(EPOCHS):
         order = rng.permutation(len(segs))
@@ -168,28 +260,26 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
             ids, inv = np.unique(segs[pick][mask[pick]], return_inverse=True)
             m = mask[pick]
             e = np.zeros((*m.shape, k))
-            e[m] = emissions(feats[ids], weights)[inv]
+            sizes = begin[ids + 1] - begin[ids]
+            word = np.repeat(np.arange(len(ids)), sizes)
+            f = flat[np.arange(len(word)) + np.repeat(begin[ids] - np.cumsum(sizes) + sizes, sizes)]
+            e[m] = np.stack([np.bincount(word, weights[f, c], len(ids)) for c in range(k)], axis=1)[inv]
             x = _scaled(e, m)
-            alpha, beta, a = posteriors(x, m, start, trans)
+            alpha, beta, a = posteriors(x, m, np.tile(np.exp(start), (len(pick), 1)), np.ones((len(pick), k)), trans)
             post = alpha * beta
             post /= post.sum(axis=2, keepdims=True)
             n = m.sum()
-            gold = np.zeros_like(post)
-            gold[np.arange(len(pick)), :, truth[pick]] = 1.0
+            own = truth[pick]
+            gold = np.eye(k)[own]
             diff = (gold - post)[m]
             by_type = np.stack([np.bincount(inv, diff[:, c], len(ids)) for c in range(k)], axis=1)
-            g = np.zeros_like(weights)
-            for j in range(feats.shape[1]):
-                f = feats[ids, j]
-                for c in range(k):
-                    g[:, c] += np.bincount(f, by_type[:, c], DIMS)
-            g[0] = 0.0
+            g = np.stack([np.bincount(f, by_type[word, c], DIMS) for c in range(k)], axis=1)
             g = g / n - 1e-6 * weights
             pair = alpha[:, :-1, :, None] * a * (x[:, 1:] * beta[:, 1:])[:, :, None, :]
             pair /= pair.sum(axis=(2, 3), keepdims=True)
             both = m[:, 1:]
             expect = pair[both].sum(axis=0)
-            actual = np.diag(np.bincount(truth[pick], both.sum(axis=1), k))
+            actual = np.bincount((own[:, :-1] * k + own[:, 1:])[both], minlength=k * k).reshape(k, k)
             dt = (actual - expect) / n - 1e-4 * trans
             ds = (gold[:, 0] - post[:, 0]).sum(axis=0) / n
             gw += g * g
@@ -222,9 +312,8 @@ class Tagger:
                 if w not in ids:
                     ids[w] = len(ids)
                     new.append(w)
-        for at in range(0, len(new), 20_000):
-            e = emissions(word_features(new[at : at + 20_000], self.m["lexicon"]), self.m["weights"]).astype(np.float32)
-            self.table = np.concatenate([self.table, e])
+        if new:
+            self.table = np.concatenate([self.table, word_scores(new, self.m["lexicon"], self.m["weights"]).astype(np.float32)])
         return [np.fromiter(map(ids.__getitem__, d), dtype=np.int64, count=len(d)) for d in docs]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -239,25 +328,28 @@ class Tagger:
             at = to
         return out
 
-    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        docs = [words_of(t) for t in texts]
-        k = len(self.m["names"])
-        total = np.zeros((len(texts), k))
-        ids = self.word_ids(docs)
-        segs, mask, owner = segments(ids)
-        sizes = [np.fromiter(map(len, d), dtype=np.float64, count=len(d)) for d in docs]
-        for lo in range(0, len(segs), 2048):
-            s, m, o = segs[lo : lo + 2048], mask[lo : lo + 2048], owner[lo : lo + 2048]
-            x = _scaled(self.table[s].astype(np.float64), m)
-            alpha, beta, _ = posteriors(x, m, self.m["start"], self.m["trans"])
+    def marginals(self, docs: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of segments: posteriors (segments, SEGMENT, labels), mask, text of each segment. The words of a text come in order."""
+        segs, mask, owner = segments(self.word_ids(docs))
+        make = lambda lo, hi: _scaled(self.table[segs[lo:hi]].astype(np.float64), mask[lo:hi])
+        first, last = messages(make, mask, owner, self.m["start"], self.m["trans"])
+        for lo in range(0, len(segs), SEGMENTS):
+            hi = lo + SEGMENTS
+            alpha, beta, _ = posteriors(make(lo, hi), mask[lo:hi], first[lo:hi], last[lo:hi], self.m["trans"])
             post = alpha * beta
             post /= post.sum(axis=2, keepdims=True)
+            yield post, mask[lo:hi], owner[lo:hi]
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        docs = [words_of(t) for t in texts]
+        total = np.zeros((len(texts), len(self.m["names"])))
+        size = np.fromiter((len(w) for d in docs for w in d), dtype=np.float64)
+        at = 0
+        for post, m, o in self.marginals(docs):
+            n = int(m.sum())
             w = np.zeros(m.shape)
-            first = np.searchsorted(owner, o, "left")
-            for i, d in enumerate(o):
-                a = (lo + i - first[i]) * SEGMENT
-                own = sizes[d][a : a + SEGMENT]
-                w[i, : len(own)] = own
+            w[m] = size[at : at + n]
+            at += n
             np.add.at(total, o, (post * w[:, :, None]).sum(axis=1))
         out = []
         for t in total:
@@ -266,31 +358,56 @@ class Tagger:
             out.append((self.m["names"][best], float(min(1.0, t[best] / n))) if n else ("und", 0.0))
         return out
 
+    def label(self, text: str | None) -> list[dict]:
+        """Every word's language: start, end, lang, p."""
+        low = text.lower() if text else ""
+        if len(low) != len(text or ""):  # lower-casing changed the positions
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        found = list(WORD.finditer(low))
+        post = [p[m] for p, m, _ in self.marginals([[x[0] for x in found]])]
+        names = self.m["names"]
+        return [{"start": x.start(), "end": x.end(), "lang": names[int(p.argmax())], "p": float(p.max())} for x, p in zip(found, np.concatenate(post) if post else [])]
+
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """Learns from at most about MAX_DOCS texts of each language, outside the held-out fold."""
+    """Learns from the MAX_DOCS texts of each language with the smallest hashes, outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id"), FOLDS) != HELD))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not sizes:
-        return None
-    cut = F.lit(0)
-    for lang, n in sizes.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1_000_000, int(MAX_DOCS / n * 1_000_000) + 1))).otherwise(cut)
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < cut).select("id", "text", "lang").collect()
-    sample = sorted(sample, key=lambda r: (str(r["id"]), r["text"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
+    sample = []
+    for lang in langs:
+        own = least_hashes(rows.filter(F.col("lang") == lang), F.xxhash64(F.lit(5), "id", "text"), MAX_DOCS, "h")
+        sample += own.select("h", "text", "lang").orderBy("h").limit(MAX_DOCS).collect()
+    return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
-def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row."""
+def _tagging(docs: DataFrame, model: dict | None, id_col: str, text_col: str, fields: str, row) -> DataFrame:
+    """One Arrow batch after another through a Tagger; `row` makes the columns of a batch from the tagger (or None) and the texts."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights a language: a fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(shipped.value) if shipped.value else None
         for f in frames:
-            got = tagger.predict(list(f["text"])) if tagger else [("und", 0.0)] * len(f)
-            yield pd.DataFrame({"id": f["id"], "lang_pred": [x for x, _ in got], "score": [y for _, y in got]})
+            yield pd.DataFrame({"id": f["id"], **row(tagger, list(f["text"]))})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, {fields}").withColumnRenamed("id", id_col)
+
+
+def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score of every row."""
+
+    def row(tagger: Tagger | None, texts: list[str | None]) -> dict:
+        got = tagger.predict(texts) if tagger else [("und", 0.0)] * len(texts)
+        return {"lang_pred": [x for x, _ in got], "score": [y for _, y in got]}
+
+    return _tagging(docs, model, id_col, text_col, "lang_pred string, score double", row)
+
+
+def label_words(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and words (start, end, lang, p: the posterior) of every row: the labelling of code-switched text. Without a model, no words."""
+
+    def row(tagger: Tagger | None, texts: list[str | None]) -> dict:
+        return {"words": [tagger.label(t) if tagger else [] for t in texts]}
+
+    return _tagging(docs, model, id_col, text_col, "words array<struct<start:int,end:int,lang:string,p:double>>", row)

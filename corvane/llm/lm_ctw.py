@@ -19,12 +19,14 @@ of depths 3 and more, SQL sums for depths 2 to 0, then top-down for the log-prob
 gram. No context or gram is pruned or capped.
 
 Scoring looks grams and tokens up in hash tables that are broadcast while they have at most
-GRAMS_BOUND and TOKENS_BOUND entries; beyond, the tables hold the most frequent entries and the
-others are joined by shuffle, with the same result.
-
-Defined cases: a null text is empty (its end is scored); ids that repeat are scored row by row;
-without training rows all estimates are KT's prior, 1/2 a bit; an empty table gives no rows; other
-columns are ignored.
+GRAMS_BOUND and TOKENS_BOUND entries (8 and 16 bytes each, with 12 of the key and the index); beyond, the
+tables hold the most frequent entries and the others are joined by shuffle. Both ways read the same 32-bit
+log-probability of a gram, so that a text's score does not depend on the bounds.
+
+Defined cases: a null text is empty (its end is scored); texts of any length are scored whole, in pieces
+of bounded size; ids that repeat are scored row by row; equal texts have equal scores, and ties play
+no part; without training rows all estimates are KT's prior, 1/2 a bit; an empty table gives no rows;
+other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, ascii_lower, fold, settle
+from corvane.llm.common import SPACES, ascii_lower, fold, settle, settle_last
 
 DEPTH = 5
 FOLDS = 10
@@ -256,7 +258,7 @@ def _gram_logp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inv, bits = levels[0]["inv"], levels[0]["bits"]
         p = np.clip(a_, 1e-300, 1 - 1e-16)[inv]
         logp = np.log10(np.where(bits, p, 1 - p)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(logp), pa.array(n)], ["key", "logp", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(logp.astype(np.float32)), pa.array(n)], ["key", "logp", "n"])
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +296,7 @@ def gram_table(grams: DataFrame) -> DataFrame:
     tops = tops.select(F.expr("shiftright(key, 8)").alias("k3"), F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("n"), "a", "b")
     rows = grams.select("k3", F.lit(0).alias("kind"), "key", "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")).unionByName(tops)
     laid = rows.repartition(parts, "k3").sortWithinPartitions("k3")
-    return settle(laid.mapInArrow(_gram_logp, "key long, logp double, n long"))
+    return settle(laid.mapInArrow(_gram_logp, "key long, logp float, n long"))
 
 
 class Lookup:
@@ -349,9 +351,22 @@ def _arrays(df: DataFrame, value: str, dtype: type) -> Lookup:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row."""
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row.
+
+    The result is written before it is returned, so that the session's batch size is changed only meanwhile:
+    a batch stands in memory several times, in the JVM and in its worker.
+    """
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        return settle_last(spark, lambda: _score(docs, id_col, text_col))
+    finally:
+        spark.conf.set(name, before)
+
+
+def _score(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a batch stands in memory several times, in the JVM and in its worker
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     held = fold(F.col(id_col), FOLDS) == 0
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), low.alias("low"))
@@ -409,7 +424,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         c = F.coalesce("n", F.lit(0))
         t = t.groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * (F.log10(c + 0.1) - norm)).alias("base2"))
         g = out.select("row", F.explode("more_grams").alias("key")).groupBy("row", "key").agg(F.count("*").alias("k")).join(grams, "key")
-        g = g.groupBy("row").agg(F.sum(F.col("k") * F.col("logp")).alias("score2"))
+        g = g.groupBy("row").agg(F.sum(F.col("k") * F.col("logp").cast("double")).alias("score2"))
         zero = F.lit(0.0)
         out = out.join(t, "row", "left").join(g, "row", "left").withColumns(
             {"n_known": F.col("n_known") + F.coalesce("known2", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("base2", zero), "score": F.col("score") + F.coalesce("score2", zero)}

@@ -1,44 +1,58 @@
 """Personal data by patterns, and information-theoretic sanitisation of the words that reveal it.
 
-Patterns give the base spans (e-mail, IP, payment card, phone). Their normalised values are the
-protected entities. For every entity e and every term t that stands within `window` words of it, the
-corpus tells how strongly t reveals e: P(e | t) = texts with t beside e / (texts with t + 1), and the
-gain log2(P(e | t) / P(e)). The one added text, in which t stands without e, corrects small counts: a
-term of one text has share 1/2, so a term unique to one entity qualifies however seldom the entity
-occurs, and one met elsewhere as often does not. Texts are counted once however often they were
-copied, so a copied page is no evidence. The window serves this estimate only: every occurrence, in
-any text, of a term that reaches both thresholds for some e is a span of kind `term`, with the
-largest share and gain; `sanitise` removes it, or generalises it to its kind when its gain is under
-`remove_bits`.
+Patterns give the base spans (e-mail, IP, payment card, phone) and spans of kind `secret`: runs of 20 or
+more letters, digits and underscores, with three digits and three letters at least and an empirical
+entropy of SECRET_BITS a character. Their values are the protected entities. Every entity backs off to
+classes, which are protected too: an e-mail to its domain, an IP to its network, a card to its issuer, a
+phone number to its prefix, and all to their kind. So a word that announces personal data is found
+from the whole kind's contexts, though every single value occurs once.
+
+For every entity or class e and every term t that stands within `window` words of it, the corpus tells
+how strongly t reveals e: P(e | t) = texts with t beside e / (texts with t + 1), and the gain
+log2(P(e | t) / P(e)). The one added text, in which t stands without e, corrects small counts: a term
+of one text has share 1/2, so a term unique to one entity qualifies however seldom the entity occurs,
+and one met elsewhere as often does not. Texts are counted once however often they were copied, so a
+copied page is no evidence. The window serves this estimate only: every occurrence, in any text, of a
+term that reaches both thresholds for some e is a span of kind `term`, with the largest share and gain;
+`sanitise` removes it, or generalises it to its kind when its gain is under `remove_bits`.
 
 All patterns run in linear time: e-mail and IP are matched around their separators, which gives the
-leftmost non-overlapping matches of the patterns without rescanning long runs.
+leftmost non-overlapping matches of the patterns without rescanning long runs. Contexts cost `window`
+words a span.
 
-Defined cases: a null text counts as empty; rows that repeat an id are told apart by their text;
-an empty table gives no rows; other columns are ignored.
+Defined cases: a null text counts as empty; texts of any length are read whole; rows that repeat an id
+are told apart by their text, and repeated rows get the same spans; a term that reaches the thresholds
+for several entities has the largest of their shares and gains, so ties don't matter; an empty table
+gives no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bit_filter, bit_table, settle
+from corvane.llm.common import only_held, settle, spread_join, weigh
 
-KINDS = ("email", "ip", "card", "phone", "term")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+SECRET = re.compile(r"[A-Za-z0-9_]{20,}")
+SECRET_BITS = 3.0
 WORD = re.compile(r"[^\W\d_]{3,}")
-TERMS_BOUND = 500_000  # candidate terms that are sent to every worker
+TERMS_BOUND = 16 << 20  # bytes of candidate terms that are sent to every worker
 NO_TERMS = "cast(array() as array<struct<start:int,end:int,share:double,bits:double>>)"
 
 
@@ -93,8 +107,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
+def secrets(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs that look drawn at random, clear of the base spans."""
+    taken = sorted((s, e) for _, s, e in spans)
+    starts, out = [s for s, _ in taken], []
+    longest = [0, *accumulate((e for _, e in taken), max)]  # the furthest end among the first k spans
+    for m in SECRET.finditer(text):
+        count = Counter(m[0])
+        digits = sum(n for c, n in count.items() if "0" <= c <= "9")
+        size = m.end() - m.start()
+        if digits < 3 or size - digits - count["_"] < 3 or longest[bisect_left(starts, m.end())] > m.start():
+            continue
+        if sum(n * math.log2(size / n) for n in count.values()) >= SECRET_BITS * size:
+            out.append(("secret", *m.span()))
+    return out
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + secrets(text, base)
+
+
+def entities(kind: str, value: str) -> list[str]:
+    """The entity that a span names, and the classes it backs off to, up to its kind."""
+    if kind == "email":
+        value = value.lower()
+        classes = [f"domain:{value[value.index('@') + 1 :]}"]
+    elif kind == "ip":
+        classes = [f"network:{value[: value.rindex('.')]}"]
+    elif kind in ("card", "phone"):
+        value = re.sub("[^0-9]", "", value)
+        classes = [f"{'issuer' if kind == 'card' else 'prefix'}:{value[: 6 if kind == 'card' else 4]}"]
+    else:
+        classes = []
+    return [f"{kind}:{value}", *classes, f"kind:{kind}"]
 
 
 def words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
@@ -114,25 +160,25 @@ def words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int,
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """For each base span: its entity and the terms within `window` words on either side."""
+    """For each span: its entity, with its classes, and the terms within `window` words on either side."""
     all_words = words(text, spans)
     starts, ends = [x[0] for x in all_words], [x[1] for x in all_words]
     out = []
     for kind, s, e in spans:
         i, j = bisect_right(ends, s), bisect_left(starts, e)
         near = all_words[max(0, i - window) : i] + all_words[j : j + window]
-        out.append({"entity": entity(kind, text[s:e]), "terms": [text[a:b].lower() for a, b, clear in near if clear]})
+        out.append({"entities": entities(kind, text[s:e]), "terms": [text[a:b].lower() for a, b, clear in near if clear]})
     return out
 
 
-FOUND = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, contexts array<struct<entity:string,terms:array<string>>>"
+FOUND = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, contexts array<struct<entities:array<string>,terms:array<string>>>"
 MARKED = "id {id}, th long, spans array<struct<kind:string,start:int,end:int>>, terms array<struct<start:int,end:int,share:double,bits:double>>"
 
 
 def _find(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            spans = [base_spans(t) for t in f["text"]]
+            spans = [all_spans(t) for t in f["text"]]
             near = [contexts(t, s, window) if s else [] for t, s in zip(f["text"], spans)]
             yield pd.DataFrame({"id": f["id"], "th": f["th"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "contexts": near})
 
@@ -154,7 +200,7 @@ def _terms(wanted: frozenset[str] | None):
 def _mark(told: dict[str, tuple[float, float]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            spans = [base_spans(t) for t in f["text"]]
+            spans = [all_spans(t) for t in f["text"]]
             marks = []
             for t, x in zip(f["text"], spans):
                 some = not told.keys().isdisjoint(map(str.lower, WORD.findall(t)))
@@ -170,7 +216,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for th, t in zip(f["th"], f["text"]):
             at: dict[str, list[dict]] = {}
-            for a, b, clear in words(t, base_spans(t)):
+            for a, b, clear in words(t, all_spans(t)):
                 if clear:
                     at.setdefault(t[a:b].lower(), []).append({"start": a, "end": b})
             rows += [(th, term, x) for term, x in at.items()]
@@ -180,7 +226,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _mark_by_join(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     """The same as `_mark` for any number of terms: occurrences meet the terms in a shuffled join."""
     places = rows.dropDuplicates(["th"]).mapInPandas(_places, "th long, term string, at array<struct<start:int,end:int>>")
-    places = bit_filter(places, bit_table(told.withColumn("h", F.xxhash64("term")), "h"), F.xxhash64("term"))
+    places = only_held(places, settle(told.select(F.xxhash64("term").alias("h")).distinct()), F.xxhash64("term"))
     marks = places.join(told, "term").select("th", F.explode("at").alias("at"), "share", "bits").select("th", F.struct("at.start", "at.end", "share", "bits").alias("mark"))
     marks = settle(marks.groupBy("th").agg(F.array_sort(F.collect_list("mark")).alias("terms")))
     return found.join(marks, "th", "left").select("id", "th", "spans", F.coalesce("terms", F.expr(NO_TERMS)).alias("terms"))
@@ -188,37 +234,41 @@ def _mark_by_join(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFra
 
 def disclosing_terms(rows: DataFrame, found: DataFrame, min_share: float, min_bits: float) -> DataFrame:
     """entity, term, share (P(entity | term)), bits: the pairs that exceed the thresholds."""
-    ctx = found.select("th", F.explode("contexts").alias("c")).select("th", "c.entity", "c.terms")
+    ctx = found.select("th", F.explode("contexts").alias("c")).select("th", F.explode("c.entities").alias("entity"), "c.terms")
     near = settle(ctx.select("entity", "th", F.explode("terms").alias("term")).distinct())
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    pairs = settle(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")))
     # texts whose contexts hold a term bound its texts from below: pairs that can't reach the share need no count over the corpus
     least = near.select("th", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    pairs = settle(pairs.join(least, "term").filter(F.col("n_et") >= min_share * (F.col("least") + 1)).drop("least"))
-    n_terms = pairs.select("term").distinct().count()
+    least = settle(least.join(pairs.groupBy("term").agg(F.count("*").alias("weight")), "term"))
+    pairs = settle(spread_join(pairs, least, "term", "weight").filter(F.col("n_et") >= min_share * (F.col("least") + 1)).drop("least"))
+    terms = settle(pairs.groupBy("term").agg(F.count("*").alias("weight")))
+    n_terms, size = weigh(terms, F.octet_length("term") + 16)
     if not n_terms:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    wanted = frozenset(r[0] for r in pairs.select("term").distinct().collect()) if n_terms <= TERMS_BOUND else None
+    wanted = frozenset(r[0] for r in terms.select("term").collect()) if size <= TERMS_BOUND else None
     texts = rows.mapInPandas(_terms(wanted), "term string, th long").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.approx_count_distinct("th").alias("n"))
+    texts = settle(terms.join(texts, "term"))
+    total = rows.select("th").distinct().agg(F.count("*").alias("n"))
     own = ctx.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    p = pairs.join(texts, "term").join(own, "entity").join(F.broadcast(total))  # one row
+    own = settle(own.join(pairs.groupBy("entity").agg(F.count("*").alias("weight")), "entity"))
+    p = spread_join(spread_join(pairs, texts, "term", "weight"), own, "entity", "weight").join(F.broadcast(total))  # one row
     share = F.col("n_et") / (F.col("n_t") + 1)
     bits = F.log2(share * F.col("n") / F.col("n_e"))
     return p.select("entity", "term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
-    """id, th (hash of the text), spans (base spans, by kind then start), terms (spans with share and bits) of every row."""
+    """id, th (hash of the text), spans (base spans and secrets, by kind then start), terms (spans with share and bits) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = dict(docs.dtypes)[id_col]
     found = settle(rows.mapInPandas(_find(window), FOUND.format(id=id_type)))
     told = disclosing_terms(rows.select("th", "text"), found, min_share, min_bits)
     told = settle(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
-    n_told = told.count()
+    n_told, size = weigh(told, F.octet_length("term") + 32)
     if not n_told:
         out = found.select("id", "th", "spans", F.expr(NO_TERMS).alias("terms"))
-    elif n_told <= TERMS_BOUND:
+    elif size <= TERMS_BOUND:
         known = {x["term"]: (x["share"], x["bits"]) for x in told.collect()}
         out = rows.mapInPandas(_mark(known), MARKED.format(id=id_type))
     else:

@@ -10,12 +10,14 @@ prior is estimated from the same two samples: a first scorer tells positives fro
 and the smallest ratio of (unlabelled share) / (positive share) above a threshold of its score, on
 the half that it was not fitted on, bounds the prior from above (best bin estimation).
 
-Fitting uses at most MAX_POSITIVE and MAX_UNLABELLED rows, chosen by a seeded hash of their id;
-scoring covers every whole text and runs in Arrow batches.
-
-Defined cases: null and empty texts are scored as text without features; ids that repeat are scored
-row by row; without any trusted positive every score is 1 (nothing can be told to be worse); an
-empty table gives no rows; other columns are ignored by `score`, and carried through by `keep_good`.
+Fitting uses the MAX_POSITIVE and MAX_UNLABELLED rows of the smallest seeded hashes of id and text, exactly
+so many of any larger table; scoring covers every whole text and runs in Arrow batches.
+
+Defined cases: null and empty texts are scored as text without features; texts of any length are read
+whole; ids that repeat are scored row by row, and equal texts have equal scores; a score of exactly the
+threshold is kept; an id labelled both 1 and 0 counts as labelled 1; without any trusted positive every
+score is 1 (nothing can be told to be worse); an empty table gives no rows; other columns are ignored by
+`score`, and carried through by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import fold
+from corvane.llm.common import fold, least_hashes
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -78,7 +80,7 @@ def features(text: str | None) -> np.ndarray:
 
 def _feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"id": f["id"], "x": [features(t) for t in f["text"]]})
+        yield pd.DataFrame({"h": f["h"], "x": [features(t) for t in f["text"]]})
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,33 +128,39 @@ def fit(p: np.ndarray, u: np.ndarray) -> dict:
     prior = estimate_prior(p, u)
 
     def grad(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w, u @ w
-        pos = -(p.T @ _sigmoid(-fp)) / len(p)
-        neg_p, neg_u = p.T @ _sigmoid(fp) / len(p), u.T @ _sigmoid(fu) / len(u)
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        rest = neg_u - prior * neg_p
-        return (prior * pos + rest if risk >= 0 else -rest) + 1e-4 * w
+        return nn_risk(p, u, w, prior)[1] + 1e-4 * w
 
     return {"w": _adam(grad, p.shape[1], EPOCHS), "centre": centre, "scale": scale, "prior": prior}
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most about `most` rows, by a seeded hash of the id: all of them while they are fewer."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    cut = int(most / n * 1_000_000)
-    return rows.filter(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1_000_000)) < cut)
+def nn_risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of a linear scorer and the gradient of the step that is taken.
+
+    Where the second term is negative, the step climbs it instead (its descent direction reversed).
+    """
+    fp, fu = p @ w, u @ w
+    pos = prior * np.logaddexp(0, -fp).mean()
+    rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    d_pos = -prior * (p.T @ _sigmoid(-fp)) / len(p)
+    d_rest = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
+    return pos + max(0.0, rest), d_pos + d_rest if rest >= 0 else -d_rest
+
+
+def _sample(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of the `most` rows (id, text) with the smallest hashes."""
+    picked = least_hashes(rows, F.xxhash64(F.lit(4), "id", "text"), most, "h").select("h", "text")
+    got = picked.mapInPandas(_feature_rows, "h long, x array<float>").orderBy("h").limit(most).select("x").collect()
+    return np.array([r.x for r in got], dtype=np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
     """The model, or None without positives. Learns from ids outside the held-out fold only."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(fold(F.col("id"), FOLDS) != 0)
-    good = labels.filter((F.col(label_col) == 1) & (fold(F.col(id_col), FOLDS) != 0)).select(F.col(id_col).alias("id")).distinct()
-    good = _sample(good, MAX_POSITIVE)  # bounded, so that it may be broadcast
-    take = lambda df: np.array([r.x for r in df.mapInPandas(_feature_rows, f"id {dict(rows.dtypes)['id']}, x array<float>").select("x").collect()], dtype=np.float64)
-    p = take(rows.join(F.broadcast(good), "id", "left_semi"))
-    u = take(_sample(rows, MAX_UNLABELLED))
+    good = labels.filter((F.col(label_col) == 1) & (fold(F.col(id_col), FOLDS) != 0)).select(F.col(id_col).alias("id"))
+    # labels of more ids than are wanted, as few as a broadcast bears; ids that the documents lack leave fewer rows
+    good = least_hashes(good, F.xxhash64(F.lit(4), "id"), 2 * MAX_POSITIVE, "h").select("h", "id").distinct().orderBy("h").limit(2 * MAX_POSITIVE).select("id")
+    p = _sample(rows.join(F.broadcast(good), "id", "left_semi"), MAX_POSITIVE)
+    u = _sample(rows, MAX_UNLABELLED)
     return fit(p, u) if len(p) and len(u) else None
 
 

@@ -33,12 +33,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     of = lambda kind: f"array_sort(filter(spans, x -> x.kind = '{kind}'))"
-    base = F.expr(f"flatten(array({', '.join(of(k) for k in pii.KINDS[:4])}))")
-    base = F.transform(base, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    shown = lambda kinds: F.transform(F.expr(f"flatten(array({', '.join(of(k) for k in kinds)}))"), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    base = shown(pii.BASE)
     terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
-    counts = [F.expr(f"cast(size({of(k)}) as long)").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    counts = [F.expr(f"cast(size({of(k)}) as long)").alias(f"n_{k}") for k in pii.BASE]
     return found.select(
-        "doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term")
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, shown(["secret"]), terms), ",").alias("spans"),
+        F.expr(f"cast(size({of('secret')}) as long)").alias("n_secret"),
+        F.size("terms").cast("long").alias("n_term"),
+        (F.size("spans") + F.size("terms")).cast("long").alias("n_spans"),
     )
 
 

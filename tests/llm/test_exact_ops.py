@@ -247,13 +247,59 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bit_filter_has_no_false_negatives(spark):
+def test_held_has_no_false_negatives(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     ids = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
-    bits = common.bit_table(ids.filter("id % 3 = 0"), "h")
-    kept = {r[0] for r in common.bit_filter(spark.range(5000), bits, F.xxhash64("id")).collect()}
+    keys = ids.filter("id % 3 = 0").select("h")
+    kept = {r[0] for r in common.only_held(spark.range(5000), keys, F.xxhash64("id")).collect()}
     assert {i for i in range(5000) if i % 3 == 0} <= kept and len(kept) < 2500
+    monkeypatch.setattr(common, "MOST_WORDS", 8)  # too small a table: the exact join
+    assert {r[0] for r in common.only_held(spark.range(5000), keys, F.xxhash64("id")).collect()} == set(range(0, 5000, 3))
+
+
+def test_bit_table_grows_with_its_keys():
+    assert common.bit_words(0) == common.LEAST_WORDS
+    for n in (10**5, 10**6, common.MOST_WORDS * common.KEYS_A_WORD):
+        assert common.bit_words(n) * common.KEYS_A_WORD >= n
+    assert common.bit_words(common.MOST_WORDS * common.KEYS_A_WORD + 1) is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [0, 2, 100])
+def test_spread_join(spark, monkeypatch, how, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    facts = [(k, i) for i, k in enumerate([1] * 500 + [2] * 40 + [3, 3, 4, 9, None])]
+    f = spark.createDataFrame(facts, "k long, i long")
+    d = common.settle(spark.createDataFrame([(1, "a", 500), (2, "b", 40), (3, "c", 2), (4, "d", 1), (5, "e", 7)], "k long, x string, n long"))
+    x = {1: "a", 2: "b", 3: "c", 4: "d"}
+    got = Counter(tuple(r) for r in common.spread_join(f, d, "k", "n", how).collect())
+    assert got == Counter((k, i, x.get(k)) for k, i in facts if how == "left" or k in x)
+
+
+def test_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000)
+    pick = lambda d, n: [r[0] for r in common.least_hashes(d, F.xxhash64(F.lit(1), "id"), n).orderBy("__h").limit(n).select("id").collect()]
+    got = pick(df, 30)
+    assert len(set(got)) == 30 and got == pick(df.repartition(7), 30)
+    assert common.least_hashes(df, F.xxhash64(F.lit(1), "id"), 30).count() < 300
+    copies = spark.range(5000).select((F.col("id") % 3).alias("id"))  # copies share a hash
+    assert len(pick(copies, 10)) == 10
+    assert pick(df.limit(0), 5) == []
+
+
+def test_settled_tables_are_deleted(spark):
+    import os
+
+    from corvane.sources import scratch
+
+    folder = scratch.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    out = common.settle_last(spark, lambda: common.settle(common.settle(spark.range(5)).filter("id > 1")))
+    assert sorted(r[0] for r in out.collect()) == [2, 3, 4]
+    assert len(set(os.listdir(folder)) - before) == 1
 
 
 def test_every_operator_has_one_query():

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -57,7 +58,7 @@ def test_pii_query_columns_and_terms(spark, tmp_path):
         base.sort(key=lambda s: (pii.KINDS.index(s[0]), s[1]))
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         x = by[i, hashlib.sha256(text.encode()).hexdigest()]
-        assert [x[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[0] == k for s in base) for k in pii.KINDS[:4]]
+        assert [x[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in base) for k in pii.BASE]
         assert x["spans"].startswith(text)
         if i is not None and 60 <= i < 70:
             at = t.index("Quixotina")
@@ -69,6 +70,64 @@ def test_pii_query_columns_and_terms(spark, tmp_path):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def brute_disclosure(texts, window, min_share, min_bits):
+    """Share and gain of every (entity, term) by plain counting over distinct texts."""
+    texts = sorted({t or "" for t in texts})
+    near, own = {}, {}
+    for n, t in enumerate(texts):
+        spans = pii.all_spans(t)
+        clear = [(m.start(), m.end(), m[0].lower(), all(e <= m.start() or s >= m.end() for _, s, e in spans)) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        for kind, s, e in spans:
+            left, right = [w for w in clear if w[1] <= s][-window:], [w for w in clear if w[0] >= e][:window]
+            for x in pii.entities(kind, t[s:e]):
+                own.setdefault(x, set()).add(n)
+                for w in left + right:
+                    if w[3]:
+                        near.setdefault((x, w[2]), set()).add(n)
+    held = {}
+    for n, t in enumerate(texts):
+        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
+            held[w] = held.get(w, 0) + 1
+    out = {}
+    for (x, w), at in near.items():
+        share = len(at) / (held[w] + 1)
+        bits = np.log2(share * len(texts) / len(own[x]))
+        if share >= min_share and bits >= min_bits:
+            out[x, w] = (pytest.approx(share), pytest.approx(bits))
+    return out
+
+
+def test_shares_and_gains_match_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfgh") + r.choice("aeiou") for _ in range(2))
+    say = lambda k: " ".join(word() for _ in range(k))
+    texts = [say(25) for _ in range(150)]
+    for i in range(30):
+        texts.append(f"{say(4)} reach Owner{'abc'[i % 3]} at o{i % 5}@{'xy'[i % 2]}.example.org {say(3)} token = {r.getrandbits(160):040x} {say(5)}")
+    texts += [texts[155], None, "", "token of thanks " + say(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.selectExpr("doc_id as id", "xxhash64(coalesce(text, '')) as th", "coalesce(text, '') as text")
+    found = rows.mapInPandas(pii._find(5), pii.FOUND.format(id="long"))
+    got = {(x["entity"], x["term"]): (x["share"], x["bits"]) for x in pii.disclosing_terms(rows.select("th", "text"), found, 0.5, 1.0).collect()}
+    want = brute_disclosure(texts, 5, 0.5, 1.0)
+    assert got == want
+    assert ("kind:secret", "token") in got and ("kind:email", "reach") in got  # cue words, though no value occurs twice
+
+
+def test_secrets():
+    kinds = lambda t: [k for k, _, _ in pii.all_spans(t)]
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962";') == ["secret"]
+    assert kinds("a" * 30 + " 1" + "1" * 30 + " antidisestablishmentarianism ab1ab1ab1ab1ab1ab1ab1ab1") == []
+    assert kinds("ab1cd2ef3gh4ij5kl6mn7op8@mail.example.org") == ["email"]
+
+
+def test_many_spans_are_linear():
+    t = " ".join(f"name{i} u{i}@mail{i % 7}.example.org" for i in range(50_000))
+    at = time.perf_counter()
+    assert len(pii.contexts(t, pii.all_spans(t), 5)) == 50_000
+    assert time.perf_counter() - at < 5
+
+
 def prose(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("klmnpr") + r.choice("aeiou") for _ in range(4))
@@ -175,19 +234,61 @@ def test_language_without_training_rows(spark):
     assert langid_crf.predict(df.limit(0), None).count() == 0
 
 
-def test_crf_posteriors_match_enumeration():
+@pytest.mark.parametrize("segment", [2, 3, 64])
+def test_crf_posteriors_match_enumeration(monkeypatch, segment):
+    """Texts of several segments are one chain: the posteriors are those of all label paths."""
+    monkeypatch.setattr(langid_crf, "SEGMENT", segment)
+    monkeypatch.setattr(langid_crf, "SEGMENTS", 2)
     r = np.random.default_rng(1)
-    e, start, trans = r.normal(size=(1, 4, 3)), r.normal(size=3), r.normal(size=(3, 3))
-    mask = np.ones((1, 4), dtype=bool)
-    alpha, beta, _ = langid_crf.posteriors(langid_crf._scaled(e, mask), mask, start, trans)
-    post = alpha * beta
-    post /= post.sum(axis=2, keepdims=True)
-    want = np.zeros((4, 3))
-    for path in np.ndindex(3, 3, 3, 3):
-        w = np.exp(start[path[0]] + sum(e[0, i, p] for i, p in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
-        for i, p in enumerate(path):
-            want[i, p] += w
-    assert np.allclose(post[0], want / want.sum(axis=1, keepdims=True))
+    start, trans = r.normal(size=3), r.normal(size=(3, 3)) * 2
+    tagger = langid_crf.Tagger({"names": ["a", "b", "c"], "lexicon": {}, "weights": r.normal(size=(langid_crf.DIMS, 3)) * 0.3, "start": start, "trans": trans})
+    docs = [["one", "two", "three", "four", "five", "six", "seven"], ["ein"], [], ["dos", "tres"], ["un", "deux", "trois", "quatre", "cinq", "six"]]
+    got = [np.zeros((0, 3)) for _ in docs]
+    for post, mask, owner in tagger.marginals(docs):
+        for p, m, o in zip(post, mask, owner):
+            got[o] = np.concatenate([got[o], p[m]])
+    for d, g in zip(docs, got):
+        e = [tagger.table[tagger.ids[w]] for w in d]
+        want = np.zeros((len(d), 3))
+        for path in np.ndindex(*[3] * len(d)) if d else []:
+            w = np.exp(start[path[0]] + sum(e[i][p] for i, p in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+            for i, p in enumerate(path):
+                want[i, p] += w
+        assert np.allclose(g, want / want.sum(axis=1, keepdims=True) if d else want, atol=1e-6)
+
+
+def test_word_labels_of_code_switched_text(spark):
+    rows = [(t, x) for _, t, x in language_rows(240) if t and x]
+    model = langid_crf.fit([t for t, _ in rows], [x for _, x in rows])
+    r = random.Random(9)
+    syl = {"en": ["the", "ing", "wh", "er", "ow"], "de": ["sch", "ung", "ä", "ein", "keit"], "fr": ["eau", "ç", "oi", "é", "que"]}
+    hits = total = 0
+    texts, truth = [], []
+    for _ in range(12):
+        words, own = [], []
+        for lang in r.sample(sorted(syl), 3):
+            n = r.randint(4, 50)
+            words += ["".join(r.choice(syl[lang]) for _ in range(r.randint(1, 3))) for _ in range(n)]
+            own += [lang] * n
+        texts.append(", ".join(words).upper().replace("SS", "ß"))
+        truth.append(own)
+    df = spark.createDataFrame([*enumerate(texts), (90, None), (91, "1 2")], "doc_id long, text string")
+    got = {x["doc_id"]: x["words"] for x in langid_crf.label_words(df, model).collect()}
+    assert got[90] == got[91] == []
+    for i, own in enumerate(truth):
+        assert len(got[i]) == len(own)
+        total += len(own)
+        hits += sum(x["lang"] == y for x, y in zip(got[i], own))
+    assert hits / total > 0.97
+    assert (np.diag(model["trans"])[:, None] - model["trans"] >= 0).all() and model["trans"].min() > -4  # switches were seen
+
+
+def test_every_character_of_a_long_word_counts():
+    model = {"names": ["a", "b"], "lexicon": {}, "weights": np.zeros((langid_crf.DIMS, 2)), "start": np.zeros(2), "trans": np.zeros((2, 2))}
+    model["weights"][langid_crf._hash(30, np.array([ord("京")], dtype=np.uint64))[0], 1] = 5.0
+    t = langid_crf.Tagger(model)
+    assert t.predict(["x" * 500 + "京" + "x" * 500])[0][0] == "b" and t.predict(["x" * 1001])[0][0] == "a"
+    assert t.predict(["京" * 300_000])[0][0] == "b"
 
 
 def quality_rows(n=400):
@@ -225,3 +326,40 @@ def test_prior_is_estimated():
         u = np.vstack([pos(int(3000 * share)), neg(int(3000 * (1 - share)))])
         r.shuffle(u)
         assert abs(quality_pu.estimate_prior(pos(2000), u) - share) < 0.08
+
+
+def test_risk_gradient_and_its_non_negative_branch():
+    r = np.random.default_rng(5)
+    p, u = r.normal(1, 1, (40, 3)), r.normal(-0.3, 1, (60, 3))
+    seen = set()
+    for _ in range(40):
+        w, prior = r.normal(0, 2, 3), r.uniform(0.1, 0.95)
+        rest = lambda w: np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+        full = lambda w: prior * np.logaddexp(0, -(p @ w)).mean() + rest(w)
+        step = lambda f: np.array([(f(w + d) - f(w - d)) / 2e-5 for d in np.eye(3) * 1e-5])
+        value, grad = quality_pu.nn_risk(p, u, w, prior)
+        negative = rest(w) < 0
+        seen.add(negative)
+        assert value == pytest.approx(prior * np.logaddexp(0, -(p @ w)).mean() + max(0.0, rest(w)))
+        assert np.allclose(grad, -step(rest) if negative else step(full), atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_quality_sample_is_exact_at_any_size(spark, monkeypatch):
+    """A corpus far above the bounds: the sample has exactly its size, and the model still rejects."""
+    rows = quality_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i % 2 or i % 8 == 0], "doc_id long, quality int")
+    monkeypatch.setattr(quality_pu, "MAX_POSITIVE", 40)
+    monkeypatch.setattr(quality_pu, "MAX_UNLABELLED", 60)
+    seen = []
+    monkeypatch.setattr(quality_pu, "fit", lambda p, u, fit=quality_pu.fit: seen.append((len(p), len(u))) or fit(p, u))
+    kept = {r["doc_id"] for r in quality_pu.keep_good(docs, labels).collect()}
+    assert seen == [(40, 60)]
+    truth = {i: q for i, _, q in rows}
+    assert np.mean([(i in kept) == bool(q) for i, q in truth.items()]) > 0.9
+    from corvane.llm.common import least_hashes
+    from pyspark.sql import functions as F
+
+    big = spark.range(20_000_000)  # one in two million
+    assert least_hashes(big, F.xxhash64(F.lit(4), "id"), 10).orderBy("__h").limit(10).count() == 10
