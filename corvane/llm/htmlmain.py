@@ -2,28 +2,36 @@
 
 The standard library's parser streams events; no tree is built. Events become lines, one for each
 run of text between block boundaries, each with its text length, its link text length, the tags
-seen in it and the chain of containers it stands in. A line's ratio is its own text, links left out,
-per tag. Ratios are smoothed with a Gaussian, and the lines are clustered in two around a threshold
-(two means, started at the extremes); lines of the upper cluster are content. The content region is
-found by walking down from the root into the container that holds nearly all content. The walk ends at
-an article or main element, which is returned whole but for chrome. Elsewhere the lines outside the
-region that are more text than links are returned too, so that a title, a lead or a short section
-beside the longest one is not lost.
-
-Chrome never takes part: scripts, styles, navigation, page headers and footers, asides, forms,
-hidden parts, and containers whose class, id or role names them as adverts, notices, menus, reader
-comments and the like. A class or id names chrome if all its parts are such names or words of layout,
-or its last part is a name that means nothing else; headings are never chrome by name, nor is an
-element that holds the only article or main element, or nearly all text of the page or its article.
-
-Defined cases: null and empty html give an empty text; a page without any content region gives the
-lines that are not chrome; truncated markup is read to its end, open elements counting as closed;
-repeated rows give repeated results; other columns are ignored.
+seen in it and the container it stands in. A line's ratio is its own text, links left out, per tag.
+The logarithms of the ratios are smoothed with a Gaussian, beyond the page's ends as if there were no
+text, and a threshold parts them into two clusters (the split that explains most of their variance).
+Lines of the upper cluster are content unless their own ratio, parted in the same way, is in the lower
+one and only their neighbours lifted them; and content decides all that follows:
+
+* Where article or main elements hold half of the content or more, the one that holds most is
+  returned whole but for chrome (and its inner one, if that holds nearly all), or all of them if none
+  holds half alone.
+* Elsewhere content lines are returned with what belongs to them: the lines of text that stand directly
+  in the same container, the lines between two content blocks that stand side by side, and the heading
+  above with what stands under it. Lines that are mostly links stay out.
+
+Names are a prior only, for what is never content: scripts, styles, navigation, page headers and
+footers, asides, forms, hidden parts, and containers whose class, id or role names them as adverts,
+notices, menus, reader comments and the like. A class or id names chrome if all its parts are such names
+or words of layout, or its last part is a name that means nothing else; headings are never chrome by
+name, nor is an element that holds the only article or main element, or nearly all text of the page or
+its article.
+
+Defined cases: null and empty html give an empty text; a page whose lines are all alike is content as a
+whole; truncated markup is read to its end, open elements counting as closed; pages of any length and
+depth take time in proportion; a tie of containers goes to the first; repeated rows give repeated
+results; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIGMA = 1.0
-SHARE = 0.8  # of the content score that a container must hold to be walked into
+SHARE = 0.8  # of an article's content that its inner article must hold to take its place
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -57,6 +65,7 @@ NAMES = frozenset(
     "subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
 STRONG = frozenset("adbox adsense advert adverts advertisement breadcrumb breadcrumbs commentlist disqus footer masthead navbar newsletter pager pagination popup sidebar sidenav signup toolbar topbar widget widgets".split())
+ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo promoted reply replies sponsored".split())
 LAYOUT = frozenset(
     "area article bar block body bottom box button buttons center col column container content desktop fixed form global group head icon icons inline inner item items left links list "
     "lower main message mobile outer page panel post posts primary right row secondary section site slot sticky thread top unit upper wrap wrapper".split()
@@ -76,7 +85,7 @@ def _chrome_token(token: str, names: frozenset[str]) -> bool:
     return not names.isdisjoint(parts) and all(x in names or x in LAYOUT for x in parts)
 
 
-def _hidden(attrs: list[tuple[str, str | None]], tag: str) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     """Whether an element's attributes hide it or give it a role that is chrome."""
     for k, v in attrs:
         if k == "hidden":
@@ -89,21 +98,19 @@ def _hidden(attrs: list[tuple[str, str | None]], tag: str) -> bool:
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
-        if k in ("class", "id") and tag == "article" and re.search(r"comment|repl(y|ies)|advert|sponsor|promo", v, re.I):
-            return True
     return False
 
 
 def _named_chrome(attrs: list[tuple[str, str | None]], tag: str, in_main: bool) -> bool:
     """Whether an element's class or id calls it chrome; a header inside the article holds its title and stays."""
-    if tag in ("body", "html", "article", "main") or tag in HEADINGS:
+    if tag in ("body", "html", "main") or tag in HEADINGS:
         return False
-    names = NAMES - {"header", "masthead"} if in_main else NAMES
+    names = ARTICLE_NAMES if tag == "article" else NAMES - {"header", "masthead"} if in_main else NAMES
     return any(k in ("class", "id") and v and any(_chrome_token(x, names) for x in v.split()) for k, v in attrs)
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines (text, plain length, tags, container), without the elements of `spared` as chrome.
+    """Turns parser events into lines (text, plain length, tags, container, heading), without the elements of `spared` as chrome.
 
     Elements that are chrome by name are numbered in order; `held` has the text length in each, `mains` the
     article and main elements outside all of them (0) and in each outermost one.
@@ -119,9 +126,12 @@ class Lines(HTMLParser):
         self.mains: dict[int, int] = {}
         self.hard = 0  # open elements that are chrome whatever they hold
         self.all_text = self.article_text = 0
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.up = [0]  # the element, chrome by name, that each one stands in
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.stack: list[tuple[str, bool, int, bool]] = []  # tag, chrome, container, hard chrome
         self.parents = [0]
+        self.tags_of = ["body"]  # of each container
         self.whole: set[int] = set()  # containers that are article or main elements
         self.container = 0
         self.chrome = 0
@@ -135,7 +145,8 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(0, len(text) - self.linked), self.tags, self.container))
+                heading = bool(self.stack) and self.stack[-1][0] in HEADINGS
+                self.lines.append((text, max(0, len(text) - self.linked), self.tags, self.container, heading))
             self.parts, self.linked, self.tags = [], 0, 0
 
     def push(self, tag: str, chrome: bool, hard: bool = False, number: int = 0) -> None:
@@ -148,15 +159,18 @@ class Lines(HTMLParser):
         container = 0
         if tag in CONTAINERS and not self.chrome and not chrome:
             self.parents.append(self.container)
+            self.tags_of.append(tag)
             container = self.container = len(self.parents) - 1
             if tag in ("article", "main"):
                 self.whole.add(container)
         self.stack.append((tag, chrome, container, hard))
+        self.count[tag] += 1
         self.chrome += chrome
         self.main += tag in ("article", "main")
 
     def pop(self) -> None:
         tag, chrome, container, hard = self.stack.pop()
+        self.count[tag] -= 1
         if self.open_named and self.open_named[-1][0] == len(self.stack):
             self.open_named.pop()
         self.hard -= hard
@@ -166,6 +180,8 @@ class Lines(HTMLParser):
             self.container = self.parents[container]
 
     def close_open(self, names: set[str], stops: set[str]) -> None:
+        if not any(self.count[x] for x in names):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[at][0]
             if tag in names:
@@ -184,11 +200,12 @@ class Lines(HTMLParser):
             if not self.chrome:
                 self.parts.append(" " if tag == "br" else "")
             return
-        hard = out or (tag == "header" and not self.main) or _hidden(attrs, tag)
+        hard = out or (tag == "header" and not self.main) or _hidden(attrs)
         number = 0
         if not hard and not self.hard and _named_chrome(attrs, tag, self.main > 0):
             number = self.named = self.named + 1
             self.held.append(0)
+            self.up.append(self.open_named[-1][1] if self.open_named else 0)
             self.in_article.append(self.main > 0)
         chrome = hard or number > 0 and number not in self.spared
         if not block and not chrome and not number:
@@ -218,6 +235,8 @@ class Lines(HTMLParser):
             self.in_link = max(0, self.in_link - 1)
         if tag in BLOCKS:
             self.flush()
+        if not self.count[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             name = self.stack[at][0]
             if name == tag:
@@ -232,8 +251,8 @@ class Lines(HTMLParser):
             size = len(data.strip())
             self.all_text += size
             self.article_text += size if self.main else 0
-            for _, number in self.open_named:
-                self.held[number] += size
+            if self.open_named:
+                self.held[self.open_named[-1][1]] += size
         if not self.chrome:
             self.parts.append(data)
             if self.in_link:
@@ -241,33 +260,43 @@ class Lines(HTMLParser):
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Weighted means over neighbouring lines; beyond the ends are zeros."""
     radius = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     kernel /= kernel.sum()
-    return np.convolve(np.pad(ratio, radius, mode="edge"), kernel, "valid")
+    return np.convolve(np.pad(ratio, radius), kernel, "valid")
+
 
+def threshold(x: np.ndarray) -> float:
+    """The middle of the gap in the sorted values that leaves the least variance inside two clusters; the least value if all are equal."""
+    v = np.sort(x)
+    if len(v) < 2 or v[-1] - v[0] <= 1e-9:
+        return float(v[0]) - 1.0
+    n = np.arange(1, len(v))
+    total = np.cumsum(v)
+    low, high = total[:-1] / n, (total[-1] - total[:-1]) / (len(v) - n)
+    between = np.where(np.diff(v) > 1e-9, n * (len(v) - n) * (high - low) ** 2, -1.0)
+    at = int(between.argmax())
+    return float(v[at] + v[at + 1]) / 2
 
-def upper_cluster(x: np.ndarray) -> np.ndarray:
-    """Two means in one dimension; true for the upper one. Equal values are all upper."""
-    lo, hi = float(x.min()), float(x.max())
-    if hi - lo <= 1e-9:
-        return np.ones(len(x), dtype=bool)
-    for _ in range(50):
-        up = x >= (lo + hi) / 2
-        new = float(x[~up].mean()), float(x[up].mean())
-        if new == (lo, hi):
-            break
-        lo, hi = new
-    return x >= (lo + hi) / 2
+
+def content(plain: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines are in the upper cluster of the text-to-tag ratios, both smoothed and by themselves."""
+    own = np.log1p(plain / np.maximum(1, tags))
+    x = smooth(own)
+    return (x >= threshold(x)) & (own >= threshold(own)) & (plain > 0)
 
 
 def wrappers(p: Lines) -> frozenset[int]:
     """Elements that are chrome by name only, but hold the page's article: no chrome."""
     outside = p.mains.get(0, 0) > 0
+    held = list(p.held)
+    for number in range(p.named, 0, -1):  # outer ones come before those that they hold
+        held[p.up[number]] += held[number]
     out = set()
     for number in range(1, p.named + 1):
         whole = p.article_text if p.in_article[number] else 0 if outside else p.all_text
-        if not outside and p.mains.get(number) or whole and p.held[number] >= SHARE * whole:
+        if not outside and p.mains.get(number) or whole and held[number] >= SHARE * whole:
             out.add(number)
     return frozenset(out)
 
@@ -285,6 +314,57 @@ def parse(html: str, spared: frozenset[int] = frozenset()) -> tuple[Lines, int |
     return p, rest
 
 
+def _articles(p: Lines, score: np.ndarray, last: np.ndarray) -> list[int]:
+    """The article and main elements that make up the text, if they hold half of the content."""
+    outer, end = [], 0
+    for c in sorted(p.whole):
+        if c > end:
+            outer.append(c)
+            end = int(last[c])
+    held = [score[c] for c in outer]
+    if not held or 2 * sum(held) < score[0] or not score[0]:
+        return []
+    if 2 * max(held) < score[0]:
+        return outer
+    best = outer[held.index(max(held))]
+    for c in sorted(p.whole):
+        if best < c <= last[best] and score[c] >= SHARE * score[best]:
+            best = c
+    return [best]
+
+
+def _blocks(p: Lines, up: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Content lines and the lines that belong to them, where no element says where the article is."""
+    n = len(p.lines)
+    box = np.array([x[3] for x in p.lines])
+    text = np.array([2 * x[1] > len(x[0]) for x in p.lines])
+    keep = up.copy()
+    lines_in = np.bincount(box, minlength=len(p.parents))
+    # a container of one line is a block of the container around it
+    side = np.array([p.parents[c] if lines_in[c] == 1 else c for c in box])
+    own = {c for c in box[up] if lines_in[c] > 1}
+    keep |= text & np.isin(box, list(own))
+    section = np.array([lines_in[c] == 1 and p.tags_of[c] == "section" for c in box])  # sections side by side belong together
+    keep |= text & section & np.isin(side, side[up & section])
+    ends: dict[int, list[int]] = {}
+    for i in np.flatnonzero(keep):
+        ends.setdefault(int(side[i]), [int(i), int(i)])[1] = int(i)
+    for i in np.flatnonzero(text & ~keep):
+        between = ends.get(int(side[i]))
+        keep[i] = between is not None and between[0] < i < between[1]
+    start = None  # of a heading and what follows it directly
+    for i in range(n):
+        if keep[i]:
+            if start is not None and box[start] <= box[i] <= last[box[start]]:
+                keep[start:i] |= text[start:i]
+            start = None
+        elif p.lines[i][4] and text[i] and (start is None or box[start] != box[i]):
+            start = i
+        elif start is not None and box[i] != box[start] and text[i]:
+            start = None
+    return keep
+
+
 def main_lines(html: str | None) -> list[str]:
     if not html:
         return []
@@ -294,31 +374,24 @@ def main_lines(html: str | None) -> list[str]:
     if not p.lines:
         return []
     plain = np.array([x[1] for x in p.lines], dtype=float)
-    tags = np.array([max(1, x[2]) for x in p.lines], dtype=float)
-    content = upper_cluster(smooth(plain / tags))
-    score = np.zeros(len(p.parents))
-    for (_, n, _, c), is_content in zip(p.lines, content):
-        if is_content:
-            while True:
-                score[c] += n
-                if not c:
-                    break
-                c = p.parents[c]
-    children: dict[int, list[int]] = {}
-    for c in range(1, len(p.parents)):
-        children.setdefault(p.parents[c], []).append(c)
-    region = 0
-    while score[region] > 0 and region in children and region not in p.whole:
-        best = max(children[region], key=lambda c: score[c])
-        if score[best] < SHARE * score[region]:
-            break
-        region = best
-    inside = np.zeros(len(p.parents), dtype=bool)
-    inside[region] = True
-    for c in range(1, len(p.parents)):  # parents come before their children
-        inside[c] |= inside[p.parents[c]]
-    beside = region not in p.whole  # no element says where the article ends
-    return [x[0] for i, x in enumerate(p.lines) if inside[x[3]] or beside and 2 * x[1] > len(x[0]) and (rest is None or i < rest)]
+    up = content(plain, np.array([x[2] for x in p.lines], dtype=float))
+    if rest is not None and rest:
+        up[rest:] = False
+    # containers are numbered in order: those inside come after, and end at `last`
+    score, last = np.zeros(len(p.parents)), np.arange(len(p.parents))
+    np.add.at(score, [x[3] for x, is_up in zip(p.lines, up) if is_up], plain[up])
+    for c in range(len(p.parents) - 1, 0, -1):
+        score[p.parents[c]] += score[c]
+        last[p.parents[c]] = max(last[p.parents[c]], last[c])
+    if articles := _articles(p, score, last):
+        inside = np.zeros(len(p.parents), dtype=bool)
+        for c in articles:
+            inside[c : last[c] + 1] = True
+        return [x[0] for x in p.lines if inside[x[3]]]
+    keep = _blocks(p, up, last)
+    if rest is not None and rest:
+        keep[rest:] = False
+    return [x[0] for x, is_kept in zip(p.lines, keep) if is_kept]
 
 
 @F.pandas_udf(T.StringType())

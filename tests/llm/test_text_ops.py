@@ -198,6 +198,59 @@ def test_layout_wrappers_and_slug_ids_are_no_chrome(attrs, tag):
     assert htmlmain.main_lines(f"<body><{tag}><div {attrs}>{body}</div></{tag}>{chrome}</body>") == want
 
 
+@pytest.mark.parametrize("attrs", ["class='post comments-open'", "class=commentary", "class='promoted-by-editor'", "id=reply-essay", "class=comment"])
+def test_an_article_is_never_emptied_by_its_class(attrs):
+    body = f"<h1>Title</h1><p class=legal-history>{LONG}</p><p>Short.</p>"
+    assert htmlmain.main_lines(f"<body><article {attrs}>{body}</article><footer>x</footer></body>") == ["Title", LONG.strip(), "Short."]
+
+
+def test_reader_comments_are_no_articles():
+    page = f"<article><h1>Title</h1><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article><article class='comment reply'>No. {LONG}</article>"
+    assert htmlmain.main_lines(page) == ["Title", LONG.strip()]
+
+
+PLAIN = """<body><div><div><a href=/1>Home</a></div><div><a href=/2>World news</a></div><div><a href=/3>Sport</a></div><div>Est. 1900</div></div>
+<div><div><span>Friday</span> <span>edition</span> <b>no</b> <i>4</i></div><div>{long}</div><div>A short one.</div><div>{long}</div><div>{long}</div></div>
+<div><div><i>All</i> <b>rights</b> <u>kept</u></div><div><a href=/4>About</a> <a href=/5>Imprint</a></div></div></body>"""
+
+
+def test_clustering_decides_where_no_name_does(monkeypatch):
+    page, long = PLAIN.format(long=LONG), LONG.strip()
+    want = [long, "A short one.", long, long]
+    assert htmlmain.main_lines(page) == want
+    monkeypatch.setattr(htmlmain, "content", lambda plain, tags: plain > 0)  # no clustering
+    assert htmlmain.main_lines(page) != want
+    monkeypatch.setattr(htmlmain, "content", lambda plain, tags, f=htmlmain.threshold: (x := htmlmain.smooth(np.log1p(plain / np.maximum(1, tags)))) < f(x))  # inverted
+    assert htmlmain.main_lines(page) != want
+
+
+def test_the_article_with_most_content_wins():
+    teaser = "<article><h2><a href=/x>See also</a></h2><p>Read on.</p></article>"
+    assert htmlmain.main_lines(f"<body>{teaser}<article><h1>It</h1><p>{LONG}</p></article>{teaser}</body>") == ["It", LONG.strip()]
+
+
+def test_smoothing_and_threshold_match_brute_force():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        x = np.round(r.gamma(1, 2, r.integers(1, 30)), 1)
+        want = []
+        w = {k: np.exp(-0.5 * k * k) for k in range(-3, 4)}
+        for i in range(len(x)):
+            want.append(sum(w[k] * x[i + k] for k in w if 0 <= i + k < len(x)) / sum(w.values()))
+        assert np.allclose(htmlmain.smooth(x, 1.0), want)
+        cut = htmlmain.threshold(x)
+        inside = lambda up: sum(((part - part.mean()) ** 2).sum() for part in (x[up], x[~up]) if len(part))
+        best = min((inside(x >= v) for v in np.unique(x)[1:]), default=0.0)
+        assert inside(x >= cut) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<fieldset><p>x ", "<div class=ad>x ", "<ul><li>x ", "</p></b><p>x ", "<article>x "])
+def test_deep_pages_take_linear_time(piece):
+    at = time.perf_counter()
+    htmlmain.main_lines(piece * 50_000)
+    assert time.perf_counter() - at < 5
+
+
 def test_page_query_edges(spark, tmp_path):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "just text"), (3, "u", "just text"), (4, None, "<p>"), (5, "u", "<article><p>" + "word " * 200_000), (6, "u", "<nav><a>x</a></nav>"), (7, "u", "<p>a</p>" * 3000)]
     spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
