@@ -50,3 +50,31 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 100
+
+
+def test_empty_tables_repeats_and_clashing_columns(spark, folder, tmp_path):
+    d, rows = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and set(docs.columns) <= set(out.columns)
+    odd = docs.filter("doc_id < 30").selectExpr("*", "'a' as id", "1 as n", "'b' as root", "2 as component", "3 as sig", "4 as score", "5 as size", "'k' as key", "6 as bucket", "7 as h", "8 as at")
+    odd = odd.union(odd.filter("doc_id = 1"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        odd_out = stage(spark, odd, d)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert odd_out.columns == odd.columns
+        odd = odd_out
+        if name == "near_duplicates":
+            assert odd.filter("doc_id = 1").count() == 1
+    assert odd.count() > 0 and {"id", "n", "root", "shard", "slot"} <= set(odd.columns)
+
+
+def test_a_stage_may_keep_nothing(spark, folder):
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id between 400 and 405")  # all hold a benchmark text
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+        assert (docs.count() > 0) == (name in ("quality", "near_duplicates"))
