@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,26 +45,64 @@ def sentence_parts_simple(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])\s+([A-Z0-9\"'])", f"$1{SPLIT_MARK}$2"), SPLIT_MARK)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once a row, however often fn names it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+BRACKETS = ("()", "[]", "{}")
+SHORT_TAIL = r"(?d)\([A-Za-z]{1,8}\.$"
+
+
+def _surplus(s: Column) -> list[Column]:
+    """By bracket kind, how many more are opened than closed."""
+    count = lambda c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    return [F.when(s.rlike(r"[()\[\]{}]"), count(pair[0]) - count(pair[1])).otherwise(F.lit(0)) for pair in BRACKETS]
+
+
 def open_fragment(s: Column) -> Column:
     """A fragment that the next one must complete: an unclosed bracket, or a short bracketed abbreviation at its end."""
-    more = lambda a, b: F.regexp_count(s, F.lit(a)) > F.regexp_count(s, F.lit(b))
-    return more(r"\(", r"\)") | more(r"\[", r"\]") | more(r"\{", r"\}") | s.rlike(r"(?d)\([A-Za-z]{1,8}\.$")
+    return reduce(lambda a, b: a | b, [n > 0 for n in _surplus(s)]) | s.rlike(SHORT_TAIL)
 
 
-def split_sentences(text: Column, least: int = 40, most: int = 800) -> Column:
-    """Array of sentences: open fragments are glued to what follows; what is pending at the end is kept if its length fits."""
-    parts = F.transform(sentence_parts(protect_periods(text)), lambda p: F.trim(F.replace(p, F.lit(PRD), F.lit("."))))
-    start = F.struct(F.lit("").alias("pending"), F.array().cast("array<string>").alias("done"))
+def _open_marks(parts: Column) -> Column:
+    """A text with one character a part: 1 where the fragment that ends there is open, 0 where it is complete. One pass, in integers."""
+    seen = F.transform(parts, lambda p: F.struct(*[n.alias(f"n{i}") for i, n in enumerate(_surplus(p))], p.rlike(SHORT_TAIL).alias("tail"), (p == "").alias("empty")))
+    start = F.struct(*[F.lit(0).alias(f"n{i}") for i in range(len(BRACKETS))], F.lit(False).alias("tail"), F.lit("").alias("marks"))
 
     def step(acc: Column, part: Column) -> Column:
-        whole = F.when(acc["pending"] == "", part).otherwise(F.trim(F.concat(acc["pending"], F.lit(" "), part)))
-        open_ = open_fragment(whole)
-        return F.struct(F.when(open_, whole).otherwise(F.lit("")).alias("pending"), F.when(open_, acc["done"]).otherwise(F.array_append(acc["done"], whole)).alias("done"))
+        going = F.endswith(acc["marks"], F.lit("1"))
+        sums = [F.when(going, acc[f"n{i}"]).otherwise(F.lit(0)) + part[f"n{i}"] for i in range(len(BRACKETS))]
+        tail = F.when(part["empty"], going & acc["tail"]).otherwise(part["tail"])
+        is_open = reduce(lambda a, b: a | b, [n > 0 for n in sums]) | tail
+        return F.struct(*[n.alias(f"n{i}") for i, n in enumerate(sums)], tail.alias("tail"), F.concat(acc["marks"], F.when(is_open, F.lit("1")).otherwise(F.lit("0"))).alias("marks"))
+
+    return F.aggregate(seen, start, step, lambda acc: acc["marks"])
+
 
-    folded = F.aggregate(parts, start, step)
+def split_sentences(text: Column, least: int = 40, most: int = 800) -> Column:
+    """Array of sentences: open fragments are glued to what follows; what is pending at the end is kept if its length fits.
+
+    Cost is linear in the parts of a text; a text without open fragments is not folded at all.
+    """
+    split = F.transform(sentence_parts(protect_periods(text)), lambda p: F.trim(F.replace(p, F.lit(PRD), F.lit("."))))
     fits = lambda s: (F.length(s) >= least) & (F.length(s) <= most) & ~F.contains(s, F.lit("\n"))
-    done = F.filter(folded["done"], lambda s: fits(s) & s.rlike(r"(?s)^\p{Lu}.*[.!?]\z"))
-    return F.concat(done, F.filter(F.array(folded["pending"]), fits))
+    whole = lambda s: fits(s) & s.rlike(r"(?s)^\p{Lu}.*[.!?]\z")
+
+    def glued(parts: Column, marks: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (i == 1) | (F.substring(marks, i - 1, F.lit(1)) == "0"))
+
+        def run(i: Column) -> Column:
+            end = F.call_function("locate", F.lit("0"), marks, i)
+            last = F.when(end > 0, end).otherwise(F.size(parts))
+            s = F.array_join(F.filter(F.slice(parts, i, last - i + 1), lambda p: p != ""), " ")
+            return F.struct(s.alias("s"), (end > 0).alias("done"))
+
+        kept = F.filter(F.transform(starts, run), lambda x: F.when(x["done"], whole(x["s"])).otherwise(fits(x["s"])))
+        return F.transform(kept, lambda x: x["s"])
+
+    folded = lambda parts: let(_open_marks(parts), lambda marks: glued(parts, marks))
+    return let(split, lambda parts: F.when(F.exists(parts, open_fragment), folded(parts)).otherwise(F.filter(parts, whole)))
 
 
 def normalize_surface(text: Column) -> Column:
@@ -114,7 +155,9 @@ def alternation(terms: list[str]) -> str:
     return "|".join(escape_regex(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
 
 
+# Person suffixes, and what may stand between a term and its human noun.
 SUFFIXES = "man|men|woman|women|boy|boys|girl|girls|people"
+GAP = r"""[\s,;'"“”‘’()\[\]-]+"""
 
 
 def gate_pattern(terms: list[str]) -> str:
@@ -126,7 +169,7 @@ def gate_pattern(terms: list[str]) -> str:
 def lexical_human_rescue(s: Column, terms: list[str], heads: list[str]) -> Column:
     """A term with a person suffix, or a term at most three words before a human noun."""
     a, h = alternation(terms), alternation(heads)
-    gap = r"""[\s,;'"“”‘’()\[\]-]+"""
+    gap = GAP
     suffixed = s.rlike(rf"(?U)\b[A-Z]?[a-z]+(?:{SUFFIXES})\b") & s.rlike(rf"(?iU)(?<!\w)(?:{a})(?:{SUFFIXES})(?!\w)")
     near = s.rlike(rf"(?iU)(?<!\w)(?:{h})(?!\w)") & s.rlike(rf"(?iU)(?<!\w)(?:{a})(?!\w)(?:{gap}\w+){{0,3}}?{gap}(?:{h})(?!\w)")
     return suffixed | near
@@ -187,3 +230,12 @@ def query_terms(term: Column) -> Column:
     every = F.concat(words, F.when(F.size(words) >= 2, phrases).otherwise(F.array().cast("array<string>")))
     order = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
     return F.array_sort(every, order)
+
+
+def mark_predicate(words: Column, at: Column, marker: str = "[V]") -> Column:
+    """Words, joined by blanks, with a marker put before the predicate (0-based); the predicate is then one place further."""
+    return F.array_join(F.array_insert(words, at + 1, F.lit(marker)), " ")
+
+
+def fill_template(template: Column, token: Column, slot: str = "{token}") -> Column:
+    return F.replace(template, F.lit(slot), token)

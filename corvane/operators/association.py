@@ -3,7 +3,9 @@
 A pair counts in a sentence when some occurrence of the target and some of the collocate are at least
 `min_distance` words apart. With first and last positions of both words, that is
 greatest(last_a - first_b, last_b - first_a) >= min_distance, so no pair of positions is formed.
-Pairs are built inside the sentence's row; the only shuffles are the counts, combined map-side.
+First and last positions come from one sort of the sentence's (word, position) entries, so a sentence
+costs n log n, however long it is. Pairs are built inside the sentence's row; the only shuffles are the
+counts, combined map-side.
 """
 
 from __future__ import annotations
@@ -14,8 +16,22 @@ from pyspark.sql import functions as F
 from corvane.sources.scratch import settle
 
 
-def _lexicon_match(words: str, terms: list[str]) -> Column:
-    return F.array_intersect(F.array_distinct(F.col(words)), F.array(*[F.lit(t) for t in terms]))
+def word_spans(sents: DataFrame, *keep: str) -> DataFrame:
+    """keep, spans: array of w, lo, hi, the distinct words of `words` with their first and last positions."""
+    at = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    d = sents.select(*keep, at.alias("at"))
+    edge = lambda step: F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k + step)["w"] != x["w"], F.lit(True)))
+    d = d.select(*keep, edge(F.lit(-1)).alias("first"), edge(F.lit(1)).alias("last"))
+    return d.select(*keep, F.zip_with("first", "last", lambda a, b: F.struct(a["w"].alias("w"), a["i"].alias("lo"), b["i"].alias("hi"))).alias("spans"))
+
+
+def _pairs(targets: list[str], min_distance: int, min_length: int, make) -> tuple[Column, Column]:
+    """Of a column `spans`: its collocate spans; and, of a column `others` of those, the array of make(target, collocate) at the distance."""
+    is_target = lambda s: s["w"].isin(targets)
+    others = F.when(F.exists("spans", is_target), F.filter("spans", lambda s: (F.length(s["w"]) >= min_length) & ~is_target(s)))
+    apart = lambda t, s: F.greatest(t["hi"] - s["lo"], s["hi"] - t["lo"]) >= min_distance
+    pairs = F.flatten(F.transform(F.filter("spans", is_target), lambda t: F.transform(F.filter("others", lambda s: apart(t, s)), lambda s: make(t["w"], s["w"]))))
+    return others, pairs
 
 
 def sentence_pairs(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3) -> DataFrame:
@@ -24,15 +40,10 @@ def sentence_pairs(sents: DataFrame, targets: list[str], min_distance: int = 2,
     sents: doc_id, sent_pos, words. Without a part-of-speech column, collocates are the words of at
     least `min_length` characters that are no targets.
     """
-    d = sents.withColumn("anchors", _lexicon_match("words", targets)).filter(F.size("anchors") > 0)
-    d = d.withColumn("target", F.explode("anchors"))
-    stop = F.array(*[F.lit(t) for t in targets])
-    own = F.filter(F.array_distinct("words"), lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
-    first = lambda w: F.array_position("words", w)
-    last = lambda w: F.size("words") + 1 - F.array_position(F.reverse("words"), w)
-    d = d.withColumns({"t_first": first(F.col("target")), "t_last": last(F.col("target"))})
-    apart = F.filter(own, lambda w: F.greatest(F.col("t_last") - first(w), last(w) - F.col("t_first")) >= min_distance)
-    return d.select("doc_id", "sent_pos", "target", F.explode(apart).alias("collocate"))
+    others, pairs = _pairs(targets, min_distance, min_length, lambda t, c: F.struct(t.alias("target"), c.alias("collocate")))
+    some = sents.filter(F.arrays_overlap("words", F.array(*[F.lit(t) for t in targets])))
+    d = word_spans(some, "doc_id", "sent_pos").withColumn("others", others)
+    return d.select("doc_id", "sent_pos", F.inline(pairs))
 
 
 def pair_counts(sents: DataFrame, targets: list[str], min_count: int = 5, min_distance: int = 2) -> DataFrame:
@@ -67,16 +78,11 @@ def sentence_counts(sents: DataFrame, targets: list[str], min_distance: int = 2,
 
     One scan, one explode and one map-side combined count serve the pairs and both marginals.
     """
-    stop = F.array(*[F.lit(t) for t in targets])
     row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
-    first = lambda w: F.array_position("words", w)
-    last = lambda w: F.size("words") + 1 - F.array_position(F.reverse("words"), w)
-    d = sents.select("words", F.array_distinct("words").alias("own")).withColumn("anchors", F.array_intersect("own", stop))
-    d = d.withColumn("spans", F.transform("anchors", lambda t: F.struct(t.alias("t"), first(t).alias("lo"), last(t).alias("hi"))))
-    d = d.withColumn("others", F.when(F.size("anchors") > 0, F.filter("own", lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))).otherwise(F.array().cast("array<string>")))
-    apart = lambda s, w: F.greatest(s["hi"] - first(w), last(w) - s["lo"]) >= min_distance
-    pairs = F.flatten(F.transform("spans", lambda s: F.transform(F.filter("others", lambda w: apart(s, w)), lambda w: row("p", s["t"], w))))
-    rows = F.concat(F.array(row("t", F.lit(""), F.lit(""))), F.transform("own", lambda w: row("w", w, F.lit(""))), pairs)
+    others, pairs = _pairs(targets, min_distance, min_length, lambda t, c: row("p", t, c))
+    d = word_spans(sents).withColumn("others", others)
+    none = F.array().cast("array<struct<kind:string,a:string,b:string>>")
+    rows = F.concat(F.array(row("t", F.lit(""), F.lit(""))), F.transform("spans", lambda s: row("w", s["w"], F.lit(""))), F.coalesce(pairs, none))
     return d.select(F.explode_outer(rows).alias("r")).groupBy("r.kind", "r.a", "r.b").agg(F.count("*").alias("n"))
 
 

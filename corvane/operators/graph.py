@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import paths
+from corvane.sources.scratch import settle
 
 
 def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -62,13 +63,20 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def neighborhood(edges: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
-    """node, hop: nodes within `hops` links of the start nodes, either way. One join a hop, with the frontier alone."""
+    """node, hop: nodes within `hops` links of the start nodes, either way; all that can be reached for hops = -1. One join a hop, with the frontier alone."""
     both = edges.select("source", "target").union(edges.select("target", "source")).toDF("a", "b").distinct()
     seen = start.select("node", F.lit(0).alias("hop")).distinct()
-    frontier = seen
-    for h in range(1, hops + 1):
+    if hops < 0 or hops > 2:
+        both, seen = settle(both), settle(seen)
+    frontier, h = seen, 0
+    while h != hops:
+        h += 1
         step = both.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(h).alias("hop"))
+        if hops < 0 or hops > 2:
+            frontier = settle(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.union(frontier)
     return seen
 

@@ -42,18 +42,18 @@ def _matrix(rows: list, names: list[str]) -> np.ndarray:
     return np.array([[float(r[n] if r[n] is not None else 0.0) for n in names] for r in rows], dtype=float)
 
 
-def efi(profiles: DataFrame, key: str, dims: dict[str, int], most: int = 100_000) -> DataFrame:
+def efi(profiles: DataFrame, key: str, dims: dict[str, int], most: int = 100_000, least: int = 2) -> DataFrame:
     """key, score (first principal component), loading of each dimension, variance ratio.
 
     dims: name -> sign with which it should point along the component. The group table has one row
-    a group; it is read on the driver, at most `most` rows of it or an error.
+    a group; it is read on the driver, at most `most` rows of it or an error. Fewer than `least` groups have no index.
     """
     rows = profiles.select(key, *dims).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("too many groups for a driver-side index")
     spark = profiles.sparkSession
     schema = f"{key} {dict(profiles.dtypes)[key]}, score double, variance_ratio double, " + ", ".join(f"load_{n} double" for n in dims)
-    if len(rows) < 2:
+    if len(rows) < least:
         return spark.createDataFrame([], schema)
     x = _matrix(rows, list(dims))
     sd = x.std(axis=0)

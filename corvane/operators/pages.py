@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import markup, paths
 from corvane.functions import text as tx
+from corvane.sources.scratch import settle
 
 FRONT = "struct<title:string,tags:array<string>,aliases:array<string>,created:string,modified:string,published:string,draft:string,publish:string,description:string,permalink:string,extra:map<string,string>>"
 ALIASES = {"tags": ("tags", "tag"), "aliases": ("aliases", "alias"), "created": ("created", "date"), "modified": ("modified", "lastmod", "updated", "last-modified"), "published": ("published", "publishDate", "date")}
@@ -155,11 +156,29 @@ def tag_counts(pages: DataFrame) -> DataFrame:
     return page_tags(pages).groupBy("tag").agg(F.count("*").alias("n_pages"))
 
 
+def made_pages(counts: DataFrame, pages: DataFrame, key: str, prefix: str, label: str) -> DataFrame:
+    """key, n_pages, slug, title, made: one page a key, the one written for it if there is one, a made one otherwise."""
+    own = pages.filter(F.startswith("slug", F.lit(prefix))).select(F.substring("slug", F.lit(len(prefix) + 1), F.length("slug")).alias(key), F.col("title").alias("own_title"))
+    t = counts.join(own, key, "left")
+    return t.select(key, "n_pages", F.concat(F.lit(prefix), F.col(key)).alias("slug"), F.coalesce("own_title", F.concat(F.lit(label), F.col(key))).alias("title"), F.col("own_title").isNull().alias("made"))
+
+
 def tag_pages(pages: DataFrame) -> DataFrame:
-    """One row a tag: the page written for it if there is one, a made one otherwise."""
-    own = pages.filter(F.startswith("slug", F.lit("tags/"))).select(F.expr("substring(slug, 6)").alias("tag"), F.col("title").alias("own_title"))
-    t = tag_counts(pages).join(own, "tag", "left")
-    return t.select("tag", "n_pages", F.concat(F.lit("tags/"), F.col("tag")).alias("slug"), F.coalesce("own_title", F.concat(F.lit("Tag: "), F.col("tag"))).alias("title"), F.col("own_title").isNull().alias("made"))
+    """One row a tag."""
+    return made_pages(tag_counts(pages), pages, "tag", "tags/", "Tag: ")
+
+
+def folder_pages(pages: DataFrame) -> DataFrame:
+    """One row a folder; its own page is the folder's index."""
+    own = pages.filter(F.endswith("slug", F.lit("/index"))).withColumn("slug", F.regexp_replace("slug", r"/index\z", ""))
+    return made_pages(folder_rollup(pages.withColumn("date", F.lit(None).cast("date"))).select("folder", "n_pages"), own, "folder", "", "Folder: ")
+
+
+def at_pages(pages: DataFrame, text: str = "content") -> DataFrame:
+    """One row an @token, and one for every token above it."""
+    each = pages.select("slug", F.explode(markup.at_mentions(F.col(text))).alias("t"))
+    each = each.select("slug", F.explode(paths.segment_prefixes(F.col("t"))).alias("token")).distinct()
+    return made_pages(each.groupBy("token").agg(F.count("*").alias("n_pages")), pages, "token", "ats/", "@")
 
 
 def folders_of(slug: Column) -> Column:
@@ -169,10 +188,10 @@ def folders_of(slug: Column) -> Column:
     return F.when(F.size(segs) > 1, up).otherwise(F.array().cast("array<string>"))
 
 
-def folder_rollup(pages: DataFrame) -> DataFrame:
-    """folder, n_pages, latest date."""
-    f = pages.select(F.explode(folders_of(F.col("slug"))).alias("folder"), "date")
-    return f.groupBy("folder").agg(F.count("*").alias("n_pages"), F.max("date").alias("date"))
+def folder_rollup(pages: DataFrame, kinds: tuple[str, ...] = ("date",)) -> DataFrame:
+    """folder, n_pages, the latest date of each kind."""
+    f = pages.select(F.explode(folders_of(F.col("slug"))).alias("folder"), *kinds)
+    return f.groupBy("folder").agg(F.count("*").alias("n_pages"), *[F.max(k).alias(k) for k in kinds])
 
 
 def breadcrumbs(pages: DataFrame, root: str = "Home") -> DataFrame:
@@ -219,23 +238,62 @@ def toc(pages: DataFrame, key: str, text: str, depth: int = 3, least: int = 1) -
     return h.withColumn("k", k).filter(F.col("n") > least).select(key, "pos", "depth", "title", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), (F.col("k") - 1).cast("string"))).alias("anchor"))
 
 
-def transclude(pages: DataFrame, rounds: int = 4) -> DataFrame:
-    """slug, content with `![[page]]` embeds replaced by their page's content, `rounds` levels deep; an embed of a page within itself is left as it is.
+EMBED = r"!\[\[([^\[\]]+)\]\]"
+
+
+def section(text: Column, anchor: Column) -> Column:
+    """A heading's part of a text: from the first heading of that anchor to the next one of its level or above; null without one."""
+    lines = F.split(text, "\n")
+    blanked = F.split(markup.each(text, markup.FENCED, lambda code: F.regexp_replace(code, r"[^\n]", " ")), "\n")
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6}) ", 1))
+    heads = F.filter(F.transform(blanked, lambda x, i: F.struct(i.alias("i"), level(x).alias("level"), paths.slug_anchor(F.trim(F.regexp_extract(x, r"^#{1,6} +(.*?) *$", 1))).alias("anchor"))), lambda h: h["level"] > 0)
 
-    pages: slug, content. Each round is one join of (page, embed) rows with the pages.
+    def part(hs: Column) -> Column:
+        first = F.get(F.filter(hs, lambda h: h["anchor"] == anchor), F.lit(0))
+        after = F.get(F.filter(hs, lambda h: (h["i"] > first["i"]) & (h["level"] <= first["level"])), F.lit(0))
+        count = F.coalesce(after["i"], F.size(lines)) - first["i"]
+        return F.when(first.isNotNull(), F.array_join(F.slice(lines, first["i"] + 1, count), "\n"))
+
+    return tx.let(heads, part)
+
+
+def embedded(text: Column, ref: Column) -> Column:
+    """What an embed shows of a page's text: all of it, a heading's section (#heading) or a block (#^id); null where there is none."""
+    found = F.get(F.filter(markup.blocks(text), lambda b: b["id"] == F.substring(ref, F.lit(3), F.length(ref))), F.lit(0))["block"]
+    return F.when(ref == "", text).when(F.startswith(ref, F.lit("#^")), found).otherwise(section(text, paths.slug_anchor(F.regexp_replace(ref, "^#+", ""))))
+
+
+def transclude(pages: DataFrame) -> DataFrame:
+    """slug, content with the embeds of pages, heading sections and blocks expanded, however deep.
+
+    pages: slug, content. An embed reads `![[page]]`, `![[page#heading]]` or `![[page#^block]]`, each with an alias or
+    without; one of a page that it stands in itself, at any depth, and one of nothing, stay as they are. Each round joins
+    the embeds still open with the pages they name, and ends when none is left: a path through the pages visits each once.
     """
-    from corvane.functions.text import SPLIT_MARK
-
-    one = r"!\[\[([^\[\]|#\\]+)\]\]"
-    cur = pages.select("slug", "content", F.array(F.col("slug")).alias("seen"))
-    source = pages.select(F.col("slug").alias("target"), F.col("content").alias("inner"))
-    for _ in range(rounds):
-        marked = F.regexp_replace("content", one, f"{SPLIT_MARK}$1{SPLIT_MARK}")
-        parts = cur.select("slug", "seen", F.posexplode(F.split(marked, SPLIT_MARK, -1)).alias("pos", "part"))
-        target = F.when(F.col("pos") % 2 == 1, F.col("part"))
-        j = parts.withColumn("target", target).join(source, "target", "left")
-        cycle = F.array_contains("seen", F.coalesce("target", F.lit("")))
-        out = F.when(F.col("target").isNull(), F.col("part")).when(F.col("inner").isNull() | cycle, F.concat(F.lit("![["), F.col("part"), F.lit("]]"))).otherwise(F.col("inner"))
-        g = j.withColumn("out", out).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("p"), F.first("seen").alias("s0"), F.collect_set("target").alias("t"))
-        cur = g.select("slug", F.array_join(F.transform("p", lambda x: x["out"]), "").alias("content"), F.array_union("s0", "t").alias("seen"))
-    return cur.select("slug", "content")
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        """rows: slug, ord, seen, text -> the literals and embeds that it is made of, in order."""
+        words, embeds = F.split("text", EMBED, -1), F.regexp_extract_all("text", F.lit(EMBED), F.lit(1))
+        both = F.concat(F.transform(words, lambda w, i: F.struct((i * 2).alias("k"), w.alias("text"), F.lit(False).alias("is_embed"))), F.transform(embeds, lambda e, i: F.struct((i * 2 + 1).alias("k"), e.alias("text"), F.lit(True).alias("is_embed"))))
+        d = rows.select("slug", "ord", "seen", F.explode(both).alias("x"))
+        return d.select("slug", F.array_append("ord", F.col("x.k")).alias("ord"), "seen", "x.text", "x.is_embed").filter("is_embed or text <> ''")
+
+    source = pages.select(F.col("slug").alias("page"), F.col("content").alias("inner"))
+    todo = settle(pieces(pages.select("slug", F.array().cast("array<int>").alias("ord"), F.array("slug").alias("seen"), F.coalesce("content", F.lit("")).alias("text"))))
+    done = []
+    while True:
+        done.append(todo.filter("not is_embed").select("slug", "ord", "text"))
+        open_ = todo.filter("is_embed")
+        if open_.isEmpty():
+            break
+        target = F.substring_index("text", "|", 1)
+        page = F.trim(F.substring_index(target, "#", 1))
+        named = open_.withColumns({"page": page, "ref": F.trim(F.substring(target, F.length(F.substring_index(target, "#", 1)) + 1, F.length(target)))})
+        j = named.join(source, "page", "left").withColumn("shown", F.when(~F.array_contains("seen", F.col("page")), embedded(F.col("inner"), F.col("ref"))))
+        j = settle(j.select("slug", "ord", "seen", "page", "text", "shown"))
+        done.append(j.filter("shown is null").select("slug", "ord", F.concat(F.lit("![["), F.col("text"), F.lit("]]")).alias("text")))
+        todo = settle(pieces(j.filter("shown is not null").select("slug", "ord", F.array_append("seen", F.col("page")).alias("seen"), F.col("shown").alias("text"))))
+    parts = reduce(DataFrame.unionByName, done)
+    whole = parts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
+    out = pages.select("slug").join(whole, "slug", "left")
+    return out.select("slug", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("content"))

@@ -40,28 +40,36 @@ class HashEncoder:
 
 
 def encode(df: DataFrame, encoder: Encoder, text_col: str, out: str = "vec") -> DataFrame:
-    """Adds the encoding of a text column. Distinct texts are encoded once, in Arrow batches."""
+    """Adds the encoding of a text column, null for null. Nothing is shuffled; texts that repeat in a batch are encoded once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"__t": f["__t"], out: list(encoder.encode(f["__t"].tolist()))})
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            codes, own = pd.factorize(texts)  # -1 for null
+            vecs = [v.tolist() for v in encoder.encode(list(own))] if len(own) else []
+            yield pd.Series([vecs[c] if c >= 0 else None for c in codes], dtype=object)
 
-    distinct = df.select(F.col(text_col).alias("__t")).filter("__t is not null").distinct()
-    vecs = distinct.mapInPandas(run, f"__t string, {out} array<double>")
-    return df.join(vecs, df[text_col] == vecs["__t"], "left").drop("__t")
+    return df.withColumn(out, run(F.col(text_col)))
 
 
-def semantic_scores(df: DataFrame, banks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """key, pos, neg, margin: best dot product with each bank. banks: bank ('pos', 'neg'), bvec; a few prompts, broadcast."""
-    best = lambda b: F.max(F.when(F.col("bank") == b, dot(F.col(vec), F.col("bvec"))))
-    out = df.select(key, vec).join(F.broadcast(banks)).groupBy(key).agg(best("pos").alias("pos"), best("neg").alias("neg"))
-    return out.withColumn("margin", F.col("pos") - F.col("neg"))
+BANK_BOUND = 10_000  # prompts of all banks together, which every task gets as one row
 
 
 def bank_scores(df: DataFrame, banks: DataFrame, names: list[str], key: str, vec: str = "embedding") -> DataFrame:
-    """key and one column a bank: the best dot product."""
-    j = df.select(key, vec).join(F.broadcast(banks))
-    return j.groupBy(key).agg(*[F.max(F.when(F.col("bank") == n, dot(F.col(vec), F.col("bvec")))).alias(n) for n in names])
+    """key and one column a bank: the best dot product, null for an empty bank. banks: bank, bvec.
+
+    The prompts become one row of arrays, so that each vector is scored where it lies and rows that share a key stay apart.
+    """
+    if banks.limit(BANK_BOUND + 1).count() > BANK_BOUND:
+        raise ValueError("too many prompts for a broadcast")
+    lists = banks.agg(*[F.collect_list(F.when(F.col("bank") == n, F.col("bvec"))).alias(f"__bank{i}") for i, n in enumerate(names)])
+    best = [F.array_max(F.transform(f"__bank{i}", lambda b: dot(F.col(vec), b))).alias(n) for i, n in enumerate(names)]
+    return df.select(key, vec).join(F.broadcast(lists)).select(key, *best)
+
+
+def semantic_scores(df: DataFrame, banks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """key, pos, neg, margin: best dot product with the banks `pos` and `neg`."""
+    return bank_scores(df, banks, ["pos", "neg"], key, vec).withColumn("margin", F.col("pos") - F.col("neg"))
 
 
 def disambiguate(pos: Column, neg: Column, floor: float = 0.26, margin: float = 0.04) -> Column:
@@ -86,10 +94,13 @@ def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p")).select(key, F.transform("p", lambda s: s["x"]).alias("centroid"))
 
 
-def weat(df: DataFrame, neg: list[float], pos: list[float], vec: str = "embedding") -> Column:
+def weat(vec: Column, neg: Column, pos: Column) -> Column:
     """Cosine to the negative centroid less cosine to the positive one."""
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    return cosine(F.col(vec), lit(neg)) - cosine(F.col(vec), lit(pos))
+    return cosine(vec, neg) - cosine(vec, pos)
+
+
+def vector_literal(v) -> Column:
+    return F.array(*[F.lit(float(x)) for x in v])
 
 
 def stable_sample(df: DataFrame, key: str, text: str, most: int = 500, digest: str = "md5") -> DataFrame:

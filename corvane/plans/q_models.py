@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions.vectors import cosine, dot
+from corvane.functions.vectors import cosine
 from corvane.operators import annotate as ann
 from corvane.operators import association as assoc
 from corvane.operators import frames as fr
-from corvane.operators import gates
+from corvane.operators import lexicon
 from corvane.operators import mentions as mn
 from corvane.operators import models
 from corvane.operators import roles as rl
 from corvane.operators import sentences as sent
 from corvane.operators import vectors as vec
+from corvane.plans import analyse as an
 from corvane.plans.q_text import _ASSOC, _DEDUP, _sents
 from corvane.plans.sql import SENT, TOK, values
 from corvane.sources.readers import documents, frame_inventory, pipe_lines, table
@@ -83,7 +84,7 @@ def _centroids(spark, d):
 
 def _weat(spark, d):
     e = _emb(spark, d).join(F.broadcast(_centroids(spark, d)))
-    return e.select("vec_id", "label", (cosine(F.col("embedding"), F.col("n")) - cosine(F.col("embedding"), F.col("p"))).alias("assoc"))
+    return e.select("vec_id", "label", vec.weat(F.col("embedding"), F.col("n"), F.col("p")).alias("assoc"))
 
 
 def weat_scores(spark, d):
@@ -104,9 +105,9 @@ def ceat_full(spark, d):
     lines = sent.sentences_simple(documents(spark, d)).select(F.col("sentence").alias("line"))
     ctx = vec.stable_sample(vec.context_lemmas(lines, GROUPS), "lemma", "line")
     enc = vec.HashEncoder(64)
-    neg, pos = (enc.encode([w for w in FRAMES if FRAMES[w] == k]).mean(axis=0).tolist() for k in (-1, 1))
+    neg, pos = (vec.vector_literal(enc.encode([w for w in FRAMES if FRAMES[w] == k]).mean(axis=0)) for k in (-1, 1))
     e = vec.encode(ctx, enc, "line")
-    return vec.ceat_summary(e.withColumn("assoc", vec.weat(e, neg, pos, "vec")), "lemma")
+    return vec.ceat_summary(e.withColumn("assoc", vec.weat(F.col("vec"), neg, pos)), "lemma")
 
 
 def context_lemmas(spark, d):
@@ -151,7 +152,7 @@ def ols_single(spark, d):
 
 def reported_groups(spark, d):
     n = _sents(spark, d).select(F.explode(F.array_intersect("words", F.array(*[F.lit(g) for g in [*GROUPS, "is", "the"]]))).alias("lemma"))
-    return n.groupBy("lemma").agg(F.count("*").alias("total")).filter("total >= 50")
+    return lexicon.reported_groups(n)
 
 
 # ---- mentions ----
@@ -162,7 +163,7 @@ def annotate_tokens(spark, d):
 
 def _annotated(spark, d):
     s = sent.sentences_simple(documents(spark, d))
-    return ann.annotate(s.filter(F.col("sentence").rlike(r"(?iU)\b(with|from|for)\b")), ann.RuleAnnotator())
+    return ann.annotate(s.filter(F.col("sentence").rlike(mn.lexicon_pattern(LEX))), ann.RuleAnnotator())
 
 
 def _mentions(spark, d):
@@ -170,7 +171,9 @@ def _mentions(spark, d):
 
 
 def mentions(spark, d):
-    return mn.mention_rows(_mentions(spark, d), ["doc_id", "sent_pos"])
+    m = mn.mention_rows(_mentions(spark, d), ["doc_id", "sent_pos"])
+    long = {c: F.col(c).cast("long") for c in ("sent_pos", "token_i", "start_i", "end_i")}
+    return m.withColumns({**long, "flags": F.array_join("flags", ",")})
 
 
 def resolve_mentions(spark, d):
@@ -234,7 +237,8 @@ def frame_scope_flags(spark, d):
 
 def bind_frames(spark, d):
     b = fr.bind_frames(_mentions(spark, d), [k for k, v in FRAMES.items() if v < 0], [k for k, v in FRAMES.items() if v > 0])
-    return b.select("doc_id", "sent_pos", F.inline("bindings"))
+    rows = b.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.inline("bindings"))
+    return rows.withColumns({"token_i": F.col("token_i").cast("long"), "flags": F.array_join("flags", ",")})
 
 
 def _prox(spark, d):
@@ -245,14 +249,41 @@ def bind_frames_proximity(spark, d):
     return _prox(spark, d).select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.col("frame_i").cast("long").alias("frame_i"), "term", "sign", "lemma", "relation")
 
 
-def frame_attitude(spark, d):
-    """Shares over the sentences that hold the group word, by proximity binding."""
-    s = _sents(spark, d)
-    has = s.select("doc_id", "sent_pos", F.explode(F.array_intersect("words", F.array(*[F.lit(g) for g in GROUPS]))).alias("lemma"))
-    b = _prox(spark, d).filter("lemma is not null").groupBy("doc_id", "sent_pos", "lemma").agg(F.collect_set(F.when(F.col("sign") < 0, F.col("term"))).alias("neg"), F.collect_set(F.when(F.col("sign") > 0, F.col("term"))).alias("pos"))
+def _bound(spark, d):
+    """Sentences as the frame operators take them: group words as mentions, proximity bindings; `that` never goes unflagged."""
+    s = _sents(spark, d).withColumn("sent_pos", F.col("sent_pos").cast("long"))
     none = F.array().cast("array<string>")
-    rows = has.join(b, ["doc_id", "sent_pos", "lemma"], "left").select("lemma", F.coalesce("neg", none).alias("neg"), F.coalesce("pos", none).alias("pos"))
-    return fr.frame_attitude(rows.withColumn("flagged", (F.size("neg") > 0) & (F.size("pos") > 0)))
+    flags = F.when(F.col("term") == "that", F.array(F.lit("weak_term"))).otherwise(none)
+    b = _prox(spark, d).select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.struct("lemma", "term", "sign", (F.col("term") == "for").alias("blocked"), flags.alias("flags")).alias("b"))
+    b = b.groupBy("doc_id", "sent_pos").agg(F.collect_list("b").alias("bindings"))
+    own = F.transform(F.array_intersect("words", F.array(*[F.lit(g) for g in GROUPS])), lambda w: F.struct(w.alias("lemma"), F.lit(False).alias("is_mwe_child")))
+    tokens = F.transform("words", lambda w: F.struct(w.alias("lemma")))
+    d = s.filter(F.arrays_overlap("words", F.array(*[F.lit(g) for g in GROUPS]))).select("doc_id", "sent_pos", tokens.alias("tokens"), own.alias("mentions"))
+    return d.join(b, ["doc_id", "sent_pos"], "left").withColumn("bindings", F.coalesce("bindings", F.array().cast("array<struct<lemma:string,term:string,sign:int,blocked:boolean,flags:array<string>>>")))
+
+
+def frame_attitude(spark, d):
+    return fr.frame_attitude(fr.sentence_frames(_bound(spark, d), ["doc_id", "sent_pos"]))
+
+
+def sentence_labels(spark, d):
+    out = fr.sentence_labels(_bound(spark, d), ["doc_id", "sent_pos"], [k for k, v in FRAMES.items() if v < 0], [k for k, v in FRAMES.items() if v > 0])
+    return out.select("doc_id", "sent_pos", *[F.array_join(c, ",").alias(c) for c in ("frames", "bound_frames", "frame_binding_flags")])
+
+
+def strongest_association(spark, d):
+    """The strongest signed score of a sentence's pairs, with scores made of the words."""
+    signed = spark.createDataFrame([(g, f, float(FRAMES[f] * (len(g) + len(f)))) for g in GROUPS for f in FRAMES if (g, f) != ("with", "this")], "target string, collocate string, signed_score double")
+    out = fr.sentence_labels(_bound(spark, d), ["doc_id", "sent_pos"], [k for k, v in FRAMES.items() if v < 0], [k for k, v in FRAMES.items() if v > 0])
+    return fr.strongest_association(out, signed, ["doc_id", "sent_pos"])
+
+
+def predicate_candidates(spark, d):
+    """Words as parsed tokens, with tags from their letters."""
+    by = lambda w, names: F.element_at(F.array(*[F.lit(x) for x in names]), F.length(w) % len(names) + 1)
+    token = lambda w, i: F.struct(i.alias("i"), by(w, ("VERB", "NOUN", "ADJ", "AUX")).alias("pos"), by(w, ("VBN", "NN", "VBG")).alias("tag"), F.when(w == "was", "auxpass").otherwise("x").alias("dep"), F.greatest(i - 1, F.lit(0)).alias("head_i"))
+    s = _sents(spark, d).select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.transform("words", token).alias("tokens"))
+    return s.select("doc_id", "sent_pos", F.explode(rl.predicate_candidates(F.col("tokens"))).alias("i")).withColumn("i", F.col("i").cast("long"))
 
 
 # ---- roles ----
@@ -265,8 +296,40 @@ class _Words:
         return sim | {"label": "negAttI" if n % 2 else "posAttI"}
 
 
+class _Parser:
+    """Parser stand-in: forms of `be` are verbs, the words beside them subject and object."""
+
+    def __init__(self) -> None:
+        self.words = ann.RuleAnnotator()
+
+    def annotate(self, sentence):
+        tokens = self.words.annotate(sentence)
+        for t in tokens:
+            t["dep"] = "x"
+        for i, t in enumerate(tokens):
+            if t["lemma"] in ("was", "are", "is"):
+                t |= {"pos": "VERB", "dep": "ROOT"}
+                for k, dep in ((i - 1, "nsubj"), (i + 1, "dobj")):
+                    if 0 <= k < len(tokens) and tokens[k]["dep"] == "x" and tokens[k]["lemma"] not in ("was", "are", "is"):
+                        tokens[k] |= {"dep": dep, "head_i": i}
+        return tokens
+
+
+class _Labeller:
+    """Role labeller stand-in: who stands before the predicate acts, who stands after it undergoes."""
+
+    def label(self, words, predicate_i):
+        return ["ARG0" if i == predicate_i - 1 else "ARG1" if i == predicate_i + 1 else "_" for i in range(len(words))]
+
+
+def _parsed(spark, d):
+    s = sent.sentences_simple(documents(spark, d)).filter(F.col("sentence").rlike(mn.lexicon_pattern(LEX)))
+    return ann.annotate(s, _Parser())
+
+
 def _findings(spark, d):
-    return rl.extract_roles(_annotated(spark, d), LEX, _Words()).select("doc_id", "sent_pos", F.inline("findings"))
+    """With the stand-ins for parser, role labeller and matcher."""
+    return rl.extract_roles(rl.label_roles(_parsed(spark, d), _Labeller()), LEX, _Words()).select("doc_id", "sent_pos", F.inline("findings"))
 
 
 def extract_roles(spark, d):
@@ -277,12 +340,23 @@ def anaphora(spark, d):
     return _findings(spark, d).filter(F.array_contains("role_review_flags", "anaphora_resolved") | (F.col("subjecthood") == 0)).select("doc_id", "sent_pos", "token_i", "lemma", "subjecthood")
 
 
+def _analysis(spark, d):
+    """The whole analysis pipeline over the sentences that hold a lexicon word, with stand-ins for the models."""
+    s = sent.sentences_simple(documents(spark, d))
+    seeds = an.Seeds([k for k, v in FRAMES.items() if v < 0], [k for k, v in FRAMES.items() if v > 0], ["that is for them", "for that"], ["this and that", "and this"])
+    return an.analyse(s.filter(F.col("sentence").rlike(mn.lexicon_pattern(LEX))), LEX, seeds, _Parser(), vec.HashEncoder(64), _Words(), _Labeller(), s)
+
+
 def sentence_metrics(spark, d):
-    return rl.sentence_metrics(_findings(spark, d), ["doc_id", "sent_pos"])
+    return _analysis(spark, d).sentences
 
 
 def sentence_review(spark, d):
-    return rl.sentence_review(sentence_metrics(spark, d))
+    return rl.sentence_review(rl.sentence_metrics(_findings(spark, d), ["doc_id", "sent_pos"]))
+
+
+def candidate_report(spark, d):
+    return _analysis(spark, d).candidates
 
 
 def srl_label_aggregate(spark, d):
@@ -316,18 +390,14 @@ def preceding_target(spark, d):
 
 
 def group_profiles(spark, d):
-    """Group table: indices, frame attitude and vector association joined, zeros for what is missing."""
-    idx = rl.group_indices(_findings(spark, d)).filter("total >= 1")
-    att = frame_attitude(spark, d).select("lemma", F.col("neg_atti").alias("frame_neg"), F.col("pos_atti").alias("frame_pos"), F.col("net_atti").alias("net"), F.col("review_share").alias("frame_review"))
-    ceat = ceat_full(spark, d).select("lemma", F.col("mean").alias("ceat_full"), F.col("n").alias("ceat_full_n"), F.col("se").alias("ceat_full_se"))
-    return idx.join(att, "lemma", "left").join(ceat, "lemma", "left")
+    """The index and the regressions' coefficients, by name."""
+    a = _analysis(spark, d)
+    long = lambda df, key: df.select(F.col(key).alias("name"), F.explode(F.create_map(*[x for c in df.columns if c != key for x in (F.lit(c), F.col(c).cast("double"))])).alias("field", "value"))
+    return long(a.index, "lemma").union(long(a.regressions, "target"))
 
 
 def group_stats(spark, d):
-    p = group_profiles(spark, d)
-    x = p.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c != "lemma" else F.col(c) for c in ("lemma", "agi", "pi", "si", "net", "ceat_full")])
-    e = models.efi(x, "lemma", {"pi": 1, "net": 1, "ceat_full": 1, "agi": -1, "si": -1}).select("lemma", F.col("score").alias("efi_pc1"))
-    return p.join(e, "lemma", "left").orderBy(F.desc("total"), "lemma")
+    return _analysis(spark, d).groups
 
 
 # ---- readers over driver rows ----
@@ -370,7 +440,7 @@ QUERIES = {f.__name__: f for f in (
     semantic_scores, semantic_disambiguate, frame_admission, prototype_match, cosine_pairs, label_centroids, weat_scores, stable_sample, ceat_summary, ceat_full, context_lemmas,
     train_classifier, relevant_probability, efi_pca, ols, ols_single, reported_groups, annotate_tokens, mentions, resolve_mentions, primary_mentions, group_base, group_side,
     human_head_tokens, group_prefix, negation_scope, scope_flags, context_window, frame_scope_flags, bind_frames, bind_frames_proximity, frame_attitude, extract_roles, anaphora,
-    sentence_metrics, sentence_review, srl_label_aggregate, group_indices, category_indices, preceding_target, group_profiles, group_stats, load_labels, load_tsv, load_pipe_text,
+    sentence_metrics, sentence_review, candidate_report, sentence_labels, strongest_association, predicate_candidates, srl_label_aggregate, group_indices, category_indices, preceding_target, group_profiles, group_stats, load_labels, load_tsv, load_pipe_text,
     frame_inventory_load, bib_entries,
 )}
 
@@ -405,6 +475,26 @@ k AS (SELECT *, min(dist) OVER (PARTITION BY doc_id, sent_pos, frame_i) AS least
 prox AS (SELECT doc_id, sent_pos, frame_i, term, CASE term WHEN 'and' THEN 1 WHEN 'this' THEN 1 ELSE -1 END AS sign,
   CASE WHEN count(DISTINCT gw) FILTER (dist = least) = 1 THEN min(gw) FILTER (dist = least) END AS lemma,
   CASE count(DISTINCT gw) FILTER (dist = least) WHEN 0 THEN 'unbound' WHEN 1 THEN 'bounded_proximity' ELSE 'ambiguous' END AS relation FROM k GROUP BY doc_id, sent_pos, frame_i, term)"""
+_SEP = "\\p{Z}\\x1c-\\x1f\\x85"
+_TOKENS = rf"""rt AS (SELECT doc_id, sent_pos, unnest(a) AS text, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, sent_pos, regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_]+(?:-[\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_\s{_SEP}]') AS a FROM sent)),
+rl AS MATERIALIZED (SELECT *, lower(text) AS l FROM rt),
+gb AS (SELECT *, CASE WHEN l IN ('with', 'withs', 'withes') THEN 'with' WHEN l IN ('from', 'froms', 'fromes') THEN 'from' WHEN l IN ('for', 'fors', 'fores') THEN 'for' END AS base FROM rl),
+men AS MATERIALIZED (SELECT doc_id, sent_pos, i AS token_i, text, CASE WHEN base = 'for' AND EXISTS (SELECT 1 FROM rl w WHERE w.doc_id = gb.doc_id AND w.sent_pos = gb.sent_pos AND w.l = 'was' AND w.i <> gb.i AND abs(w.i - gb.i) <= 4) THEN 'was' ELSE base END AS lemma,
+  CASE base WHEN 'with' THEN 'minority' ELSE 'dominant' END AS group_type FROM gb WHERE base IS NOT NULL)"""
+_MEN = f"""WITH {SENT}, {_TOKENS}, several AS (SELECT doc_id, sent_pos, count(DISTINCT lemma) > 1 AS more FROM men GROUP BY ALL),
+rows_ AS (SELECT doc_id, sent_pos, token_i, token_i AS start_i, token_i + 1 AS end_i, text, lemma, group_type, FALSE AS is_mwe_child, 'simple' AS mwe_type, CASE WHEN more THEN 'multi_group_sentence' ELSE '' END AS flags FROM men JOIN several USING (doc_id, sent_pos))"""
+_BIND = f"""WITH {SENT}, {_TOKENS}, fr AS (SELECT * FROM rl WHERE l IN ({_CUES(FRAMES)}) AND (doc_id, sent_pos) IN (SELECT (doc_id, sent_pos) FROM men)),
+edge AS (SELECT * FROM rl WHERE l IN ({_CUES(fr.BOUNDARIES)})), neg AS (SELECT * FROM rl WHERE l IN ({_CUES(mn.NEGATIONS)})), cor AS (SELECT * FROM rl WHERE l IN ({_CUES(mn.CORRECTIONS)})),
+cand AS (SELECT f.doc_id, f.sent_pos, f.i, f.l, m.lemma, m.token_i, CASE WHEN m.token_i = f.i THEN 0 ELSE 3 + abs(m.token_i - f.i) END AS score FROM fr f JOIN men m ON m.doc_id = f.doc_id AND m.sent_pos = f.sent_pos AND abs(m.token_i - f.i) <= 8
+  WHERE m.token_i = f.i OR NOT EXISTS (SELECT 1 FROM edge e WHERE e.doc_id = f.doc_id AND e.sent_pos = f.sent_pos AND e.i > least(f.i, m.token_i) AND e.i < greatest(f.i, m.token_i))),
+best AS (SELECT doc_id, sent_pos, i, l, min(score) AS score, count(DISTINCT lemma) AS n, min(lemma) AS lemma FROM (SELECT *, min(score) OVER (PARTITION BY doc_id, sent_pos, i) AS least FROM cand) WHERE score = least GROUP BY doc_id, sent_pos, i, l),
+scope AS (SELECT f.doc_id, f.sent_pos, f.i, EXISTS (SELECT 1 FROM neg n WHERE n.doc_id = f.doc_id AND n.sent_pos = f.sent_pos AND n.i BETWEEN f.i - 4 AND f.i - 1) AS negated,
+  EXISTS (SELECT 1 FROM cor c WHERE c.doc_id = f.doc_id AND c.sent_pos = f.sent_pos AND c.i BETWEEN f.i - 8 AND f.i + 8) AS corrected FROM fr f)
+SELECT doc_id, sent_pos, CASE WHEN n = 1 THEN lemma END AS lemma, f.l AS term, CASE WHEN f.l IN ({_CUES(k for k, v in FRAMES.items() if v < 0)}) THEN -1 ELSE 1 END AS sign, i AS token_i,
+ CASE WHEN n IS NULL THEN 'unbound' WHEN n > 1 THEN 'ambiguous' WHEN score = 0 THEN 'direct_dependency' ELSE 'bounded_proximity' END AS relation, n IS NOT NULL AND (negated OR corrected) AS blocked,
+ CASE WHEN n IS NULL THEN 'unbound_frame_term' ELSE array_to_string([x FOR x IN [CASE WHEN n > 1 THEN 'ambiguous_frame_target' END, CASE WHEN corrected THEN 'correction_denial' END, CASE WHEN negated THEN 'frame_negated' END] IF x IS NOT NULL], ',') END AS flags
+FROM fr f JOIN scope USING (doc_id, sent_pos, i) LEFT JOIN best USING (doc_id, sent_pos, i)"""
+_SHOWN = "term || CASE WHEN sign < 0 THEN '(-)' ELSE '(+)' END"
 _FIND = """f AS (SELECT event_type AS lemma, CASE WHEN user_id % 3 = 0 THEN 'minority' ELSE 'dominant' END AS "group", event_id % 7 = 0 AS child, (event_id % 2 = 0)::INT AS subjecthood, (event_id % 3 = 0)::INT AS agi,
   (event_id % 5 = 0)::INT AS pi, (event_id % 11 = 0)::INT AS si, (event_id % 13 = 0)::INT AS neg_atti, (event_id % 17 = 0)::INT AS pos_atti FROM events)"""
 _MEANS = "count(*) AS total, " + ", ".join(f"round(avg({c}), 3) AS {c}" for c in ("subjecthood", "agi", "pi", "si", "neg_atti", "pos_atti"))
@@ -439,9 +529,24 @@ SELECT doc_id, lemma, count(*) AS n FROM l GROUP BY ALL""",
     "context_window": f"{_POS % 'with'} SELECT doc_id, sent_pos, i, array_to_string(list_concat(words[greatest(i - 4, 0) + 1 : i], words[i + 2 : i + 5]), ' ') AS near FROM p",
     "frame_scope_flags": f"{_POS % 'that'} SELECT doc_id, sent_pos, i, list_has_any(words[greatest(i - 4, 0) + 1 : i], [{_CUES(mn.NEGATIONS)}]) AS frame_negated, list_has_any(words[greatest(i - 8, 0) + 1 : i + 9], [{_CUES(mn.CORRECTIONS)}]) AS correction_denial FROM p",
     "bind_frames_proximity": f"{_PROX} SELECT * FROM prox",
-    "frame_attitude": f"""{_PROX}, h AS (SELECT DISTINCT doc_id, sent_pos, word AS lemma FROM g), r AS (SELECT h.lemma, count_if(sign < 0) > 0 AS neg, count_if(sign > 0) > 0 AS pos FROM h LEFT JOIN prox USING (doc_id, sent_pos, lemma) GROUP BY h.doc_id, h.sent_pos, h.lemma),
-a AS (SELECT lemma, count(*) AS sentences, round(count_if(neg) / count(*), 3) AS neg_atti, round(count_if(pos) / count(*), 3) AS pos_atti, round(count_if(neg AND pos) / count(*), 3) AS review_share FROM r GROUP BY lemma)
+    "resolve_mentions": f"{_MEN} SELECT doc_id, sent_pos, token_i, group_type, lemma FROM rows_",
+    "mentions": f"{_MEN} SELECT * FROM rows_",
+    "primary_mentions": f"{_MEN} SELECT * FROM rows_ WHERE NOT is_mwe_child",
+    "bind_frames": _BIND,
+    "frame_attitude": f"""{_PROX}, h AS (SELECT DISTINCT doc_id, sent_pos, word AS lemma FROM g), r AS (SELECT h.lemma, count_if(sign < 0 AND term <> 'for') > 0 AS neg, count_if(sign > 0) > 0 AS pos, count_if(term IN ('for', 'that')) > 0 AS flagged FROM h LEFT JOIN prox USING (doc_id, sent_pos, lemma) GROUP BY h.doc_id, h.sent_pos, h.lemma),
+a AS (SELECT lemma, count(*) AS sentences, round(count_if(neg) / count(*), 3) AS neg_atti, round(count_if(pos) / count(*), 3) AS pos_atti, round(count_if(flagged) / count(*), 3) AS review_share FROM r GROUP BY lemma)
 SELECT *, round(neg_atti - pos_atti, 3) AS net_atti FROM a""",
+    "sentence_labels": f"""{_PROX}, h AS (SELECT DISTINCT doc_id, sent_pos FROM g), fs AS (SELECT DISTINCT doc_id, sent_pos, word AS term, CASE word WHEN 'and' THEN 1 WHEN 'this' THEN 1 ELSE -1 END AS sign FROM f),
+a AS (SELECT doc_id, sent_pos, string_agg({_SHOWN}, ',' ORDER BY term) AS frames FROM fs GROUP BY ALL),
+bb AS (SELECT doc_id, sent_pos, string_agg(DISTINCT lemma || ':' || {_SHOWN}, ',' ORDER BY lemma || ':' || {_SHOWN}) FILTER (lemma IS NOT NULL AND term <> 'for') AS bound_frames, bool_or(term = 'that') AS weak FROM prox GROUP BY ALL)
+SELECT doc_id, sent_pos, coalesce(frames, '') AS frames, coalesce(bound_frames, '') AS bound_frames,
+ array_to_string([x FOR x IN [CASE WHEN frames IS NOT NULL AND bound_frames IS NULL THEN 'no_bound_frame' END, CASE WHEN weak THEN 'weak_term' END] IF x IS NOT NULL], ',') AS frame_binding_flags FROM h LEFT JOIN a USING (doc_id, sent_pos) LEFT JOIN bb USING (doc_id, sent_pos)""",
+    "strongest_association": f"""{_PROX}, gi AS (SELECT doc_id, sent_pos, word, min(i) AS i FROM g GROUP BY ALL), fi AS (SELECT doc_id, sent_pos, word, min(i) AS i FROM f GROUP BY ALL),
+c AS (SELECT g.doc_id, g.sent_pos, g.i AS gi, f.i AS fi, CASE WHEN f.word IS NULL OR (g.word = 'with' AND f.word = 'this') THEN 0.0::DOUBLE ELSE (len(g.word) + len(f.word)) * CASE f.word WHEN 'and' THEN 1.0::DOUBLE WHEN 'this' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END END AS score
+  FROM gi g LEFT JOIN fi f ON f.doc_id = g.doc_id AND f.sent_pos = g.sent_pos)
+SELECT doc_id, sent_pos, score AS association FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY abs(score) DESC, gi, fi) = 1""",
+    "predicate_candidates": f"""WITH {TOK}, t AS (SELECT *, ['VERB', 'NOUN', 'ADJ', 'AUX'][len(word) % 4 + 1] AS pos, ['VBN', 'NN', 'VBG'][len(word) % 3 + 1] AS tag FROM tok)
+SELECT doc_id, sent_pos, i FROM t WHERE pos = 'VERB' OR (tag <> 'NN' AND pos IN ('ADJ', 'AUX')) OR (pos = 'ADJ' AND EXISTS (SELECT 1 FROM t c WHERE c.doc_id = t.doc_id AND c.sent_pos = t.sent_pos AND c.i = t.i + 1 AND c.word = 'was'))""",
     "srl_label_aggregate": "SELECT word_i, arg_max(label, (logit, label)) AS label FROM (SELECT user_id AS word_i, event_type AS label, avg(value) AS logit FROM events GROUP BY ALL) GROUP BY word_i",
     "group_indices": f"WITH {_FIND} SELECT lemma, {_MEANS} FROM f GROUP BY lemma",
     "category_indices": f'WITH {_FIND} SELECT "group", {_MEANS} FROM f WHERE NOT child GROUP BY "group"',

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import markup, paths
 from corvane.operators import gates, graph, models, pages as pg, search as se, sentences as sent, vectors as vec
 from corvane.plans import extract as ex
-from corvane.plans.q_text import GATE
+from corvane.plans.q_text import GATE, GATE_SQL
+from corvane.plans.sql import values
 from corvane.sources.readers import documents, table
 from corvane.sources.scratch import new_path
 from corvane.streaming import incremental as inc
@@ -247,14 +249,44 @@ def search_excerpt(spark, d):
     return e.select("page_id", F.col("start").cast("long").alias("start"), "hits", "excerpt")
 
 
-# ---- markup: documents made to hold each construct ----
+# ---- markup: a page made of all words of each text, every word in one of eight constructs ----
+LINES = (
+    "See [[{w}#Head|shown]] and [[{w}]] here",
+    "> [!Tip|{w}]- {w} title",
+    "![[{w}.png]] then ![alt](https://youtu.be/abcdefghijk)",
+    "a #tag/{w} and #7 x#no",
+    "2024-01-02: met @{w}/home and `@code` today",
+    "done {w} ^id-{i}",
+    "## {w}",
+    '[r]({{{{< relref "{w}" >}}}}) {{{{or:{w}|b}}}} __{w}__ ^^{w}^^ {{{{[[TODO]]}}}} \\\\({w}\\_x\\\\)',
+)
+
+
 def _marked(spark, d):
-    c = table(spark, d, "benchmark").select("item_id", F.element_at(F.split("text", r"\s+"), 1).alias("w"), F.split("text", "[.]")[0].alias("s"))
-    t = F.concat(
-        F.lit("# "), F.col("s"), F.lit("\n## Part\n> [!Tip|x]- "), F.col("w"), F.lit("\nSee [["), F.col("w"), F.lit("#Head|shown]] and ![[pic.png]] ==hot== -> %%gone%% #tag/"),
-        F.col("w"), F.lit("\n2024-01-02: met @sam/home today\n`@code` ```\n@fenced\n``` end ^id1\n## Part\n- [x] done __it__ ^^hi^^ {{or:a|b}} {{[[TODO]]}}\n[r](\\{{< relref \"a\" >}}) ![](https://youtu.be/abcdefghijk)\n"),
-    )
-    return c.select("item_id", "w", "s", t.alias("text"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+
+    def line(w, i):
+        out = None
+        for k, pattern in enumerate(LINES):
+            kind = F.pmod(i, F.lit(len(LINES))) == k
+            filled = F.replace(F.replace(F.lit(pattern.replace("{{", "{").replace("}}", "}")), F.lit("{w}"), w), F.lit("{i}"), i.cast("string"))
+            out = F.when(kind, filled) if out is None else out.when(kind, filled)
+        return out
+
+    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("# T\n"), F.array_join(F.transform(words, line), "\n")).alias("text"))
+
+
+def _marked_sql(lines: tuple[str, ...] = LINES) -> str:
+    """marked: item_id, text as `_marked` makes it from the lines; word: item_id, i, w."""
+    lit = lambda x: "'" + x.replace("{{", "{").replace("}}", "}").replace("'", "''") + "'"
+    cases = " ".join(f"WHEN {k} THEN replace(replace({lit(x)}, '{{w}}', w), '{{i}}', i::VARCHAR)" for k, x in enumerate(lines))
+    return f"""word AS (SELECT item_id, unnest(a) AS w, generate_subscripts(a, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS a FROM benchmark)),
+marked AS (SELECT item_id, '# T' || chr(10) || string_agg(CASE i % {len(lines)} {cases} END, chr(10) ORDER BY i) AS text FROM word GROUP BY item_id)"""
+
+
+def _rewritten_sql(**changed: str) -> str:
+    """marked, with other lines in place of some (k<number>)."""
+    return _marked_sql(tuple(changed.get(f"k{k}", x) for k, x in enumerate(LINES)))
 
 
 def _inline(spark, d, fn):
@@ -287,7 +319,7 @@ def callout_types(spark, d):
 
 
 def block_refs(spark, d):
-    return _marked(spark, d).select("item_id", F.explode(markup.block_refs(F.col("text"))).alias("block_id"))
+    return _marked(spark, d).select("item_id", F.inline(markup.blocks(F.col("text")))).withColumnRenamed("id", "block_id")
 
 
 def embed_refs(spark, d):
@@ -312,8 +344,8 @@ def toc_entries(spark, d):
 def front_matter(spark, d):
     b = table(spark, d, "benchmark")
     t = F.concat(F.lit("---\ntitle: T"), F.col("item_id").cast("string"), F.lit("\ntag: a b, c\nalias: [x, y]\ndate: 2024-01-02\ndraft: true\nweight: 3\n---\n"), F.col("text"))
-    f = pg.front_matter(b.select(F.col("item_id").cast("string").alias("slug"), t.alias("text")))
-    return f.select("slug", "front.title", F.array_join("front.tags", ",").alias("tags"), F.array_join("front.aliases", ",").alias("aliases"), "front.created", "front.draft", F.length("body").alias("n_body"))
+    f = pg.front_matter(b.select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("slug"), t.alias("text")))
+    return f.select("slug", "front.title", F.array_join("front.tags", ",").alias("tags"), F.array_join("front.aliases", ",").alias("aliases"), "front.created", "front.draft", F.length("body").cast("long").alias("n_body"))
 
 
 def hugo_rewrite(spark, d):
@@ -325,12 +357,50 @@ def roam_rewrite(spark, d):
 
 
 def transclusions(spark, d):
-    """Pages that embed the next one, the last one embedding the first: a cycle."""
+    """Pages in rings of five: each embeds the next one whole, its section S and its block b."""
     p = table(spark, d, "pages")
     m = p.agg((F.max("page_id") + 1).alias("m"))
-    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    c = p.join(F.broadcast(m)).select(name(F.col("page_id")).alias("slug"), F.concat(F.lit("<"), F.col("page_id").cast("string"), F.lit(" ![["), name((F.col("page_id") + 1) % F.col("m")), F.lit("]]>")).alias("content"))
-    return pg.transclude(c, 3)
+    k = F.col("page_id")
+    base = k - k % 5
+    following = F.concat(F.lit("p"), (base + (k - base + 1) % F.least(F.lit(5), F.col("m") - base)).cast("string"))
+    put = lambda text: F.replace(F.replace(F.lit(text), F.lit("{k}"), k.cast("string")), F.lit("{next}"), following)
+    c = p.join(F.broadcast(m)).select(F.concat(F.lit("p"), k.cast("string")).alias("slug"), put(RING).alias("content"))
+    return pg.transclude(c)
+
+
+RING = "<{k} ![[{next}]]> [![[{next}#S]]] (![[{next}#^b|x]])\n## S\nsec {k}\n## T\nblk {k} ^b"
+
+
+def folder_dates(spark, d):
+    """The latest date of each kind, of all pages below a folder."""
+    p = site(spark, d).withColumns({"created": F.col("date"), "modified": F.date_add("date", (F.col("page_id") % 11).cast("int")), "published": F.when(F.col("page_id") % 2 == 0, F.col("date"))})
+    return pg.folder_rollup(p, ("created", "modified", "published"))
+
+
+def folder_pages(spark, d):
+    p = site(spark, d).select("slug", "title")
+    return pg.folder_pages(p.union(spark.createDataFrame([("en/index", "English")], "slug string, title string")))
+
+
+def at_pages(spark, d):
+    p = _marked(spark, d).select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("slug"), F.lit("x").alias("title"), F.col("text").alias("content"))
+    return pg.at_pages(p)
+
+
+def highlighted(spark, d):
+    return site(spark, d).select("page_id", F.md5(se.highlight(F.col("title"), ["the", "de"]).cast("binary")).alias("shown"))
+
+
+def natural_order(spark, d):
+    """Page names in natural order."""
+    p = site(spark, d).select("page_id", F.concat(F.lit("P"), (F.col("page_id") % 17).cast("string"), F.lit("n"), F.col("page_id").cast("string")).alias("name"))
+    w = Window.orderBy(pg.natural_key(F.col("name")))
+    return p.select("page_id", F.row_number().over(w).alias("place"))
+
+
+def neighborhood_all(spark, d):
+    """All that can be reached from a page, either way."""
+    return _near(spark, d, -1)
 
 
 # ---- incremental ----
@@ -348,9 +418,33 @@ def apply_changes(spark, d):
     return inc.apply_changes(_state(spark, d), _changes(spark, d), "key", "seq")
 
 
+def file_changes(spark, d):
+    """A folder's listing against an older one: the older lacks some pages, knows others that are gone, and saw some at another time."""
+    now = table(spark, d, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("modified"), "page_id").filter("page_id % 7 <> 0")
+    old = table(spark, d, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.when(F.col("page_id") % 3 == 0, F.lit("2024-01-01 00:00:00")).otherwise(F.lit("2024-01-02 00:00:00")).cast("timestamp").alias("modified"), "page_id").filter("page_id % 5 <> 0")
+    return inc.file_changes(old.drop("page_id"), now.drop("page_id")).select("path", "type")
+
+
+def partial_emit(spark, d):
+    """What each emitter has to do for the last change of each key."""
+    last = inc.latest_changes(_changes(spark, d), "key", "seq")
+    pages = inc.partial_emit(last, ("add", "change")).select(F.lit("page").alias("emitter"), "key", "type")
+    return pages.union(inc.partial_emit(last, ("add", "change", "delete")).select(F.lit("asset"), "key", "type"))
+
+
+def emit_changed(spark, d):
+    """The page counts of the tags that the changes touch; a rollup without partial form runs over all rows."""
+    old = _state(spark, d)
+    new = inc.apply_changes(old, _changes(spark, d), "key", "seq")
+    keys = inc.affected_keys(old, _changes(spark, d), "key", "seq", lambda df: df.select("tag"))
+    some = inc.emit(lambda df: df.groupBy("tag").agg(F.count("*").alias("n")), new, keys, "tag")
+    full = inc.emit(lambda df: df.groupBy("tag").agg(F.count("*").alias("n")), new)
+    return some.withColumn("form", F.lit("partial")).union(full.withColumn("form", F.lit("full")))
+
+
 def affected_tags(spark, d):
     rollup = lambda df: df.select(F.explode(paths.segment_prefixes(F.col("tag"))).alias("tag"))
-    return inc.affected_keys(_state(spark, d), _changes(spark, d), "key", "seq", rollup)
+    return inc.affected_keys(_state(spark, d), _changes(spark, d), "key", "seq", rollup, always=("index",))
 
 
 def extract_stream(spark, d):
@@ -358,7 +452,8 @@ def extract_stream(spark, d):
     run = new_path(spark, "stream")
 
     def transform(df):
-        return gates.lexical_gate(sent.sentences_simple(gates.lexical_gate(df.select("doc_id", "text"), GATE)), GATE, "sentence")
+        s = gates.lexical_gate(sent.sentences_simple(gates.lexical_gate(df.select("doc_id", "text"), GATE)), GATE, "sentence")
+        return s.withColumn("sent_pos", F.col("sent_pos").cast("long"))
 
     return inc.stream_extract(spark, d, "documents", transform, f"{run}/out", f"{run}/state")
 
@@ -377,7 +472,8 @@ QUERIES = {f.__name__: f for f in (
     backlinks, link_graph, node_degree, neighborhood_1hop, neighborhood_2hop, induced_subgraph, path_trie, folder_paths, folder_rollup, tag_counts, tag_pages, breadcrumbs,
     pages_by_date, pages_folder_first, recent_pages, feed_topk, sitemap, content_index, alias_redirects, page_description, html_to_text, page_dates, remove_drafts, explicit_publish,
     inverted_index, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, block_refs, embed_refs, at_mentions,
-    at_mention_lines, toc_entries, front_matter, hugo_rewrite, roam_rewrite, transclusions, apply_changes, affected_tags, extract_stream, extraction,
+    at_mention_lines, toc_entries, front_matter, hugo_rewrite, roam_rewrite, transclusions, folder_dates, folder_pages, at_pages, highlighted, natural_order, neighborhood_all, apply_changes, affected_tags, file_changes, partial_emit, emit_changed,
+    extract_stream, extraction,
 )}
 
 _PREFIX = "unnest([array_to_string(string_split({0}, '/')[:i], '/') FOR i IN range(1, len(string_split({0}, '/')) + 1)])"
@@ -399,6 +495,8 @@ _LAST = """c AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'e
 l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), s AS (SELECT c_custkey AS key, 'start/' || (c_custkey % 4) AS tag FROM customer)"""
 _ORDER = "date DESC NULLS LAST, lower(title), slug"
 
+ROAM = '[r]({{{{< relref "{w}" >}}}}) <select><option>{w}</option><option>b</option></select> <i>{w}</i> <mark>{w}</mark> <input type="checkbox" disabled> \\\\({w}\\_x\\\\)'
+
 ORACLE_SQL = {
     "scan_pages": "SELECT page_id, url, len(html) AS n_html FROM pages",
     "slugify": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '^/|/$', '', 'g'), '\.(md|html)$', ''), '\s', '-', 'g'), '&', '-and-', 'g'), '%', '-percent', 'g'), '/$', '') AS slug FROM pages",
@@ -442,10 +540,54 @@ SELECT q.slug, depth, path, CASE WHEN path = '' THEN 'Home' ELSE coalesce(s.titl
 h AS (SELECT page_id, i, sum((contains(lower(x), 'the') OR contains(lower(x), 'de'))::INT) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS hits FROM t),
 b AS (SELECT page_id, i, hits FROM h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hits DESC, i DESC) = 1)
 SELECT page_id, greatest(i - 30, 0)::BIGINT AS start, hits::BIGINT AS hits, array_to_string(w[greatest(i - 30, 0) + 1 : greatest(i - 30, 0) + 60], ' ') AS excerpt FROM b JOIN w USING (page_id)""",
+    "wikilinks": f"""WITH {_marked_sql()} SELECT item_id, FALSE AS embed, w AS page, 'Head' AS heading, 'shown' AS alias FROM word WHERE i % 8 = 0 UNION ALL SELECT item_id, FALSE, w, '', '' FROM word WHERE i % 8 = 0
+UNION ALL SELECT item_id, TRUE, w || '.png', '', '' FROM word WHERE i % 8 = 2 UNION ALL SELECT item_id, FALSE, 'TODO', '', '' FROM word WHERE i % 8 = 7""",
+    "inline_tags": f"WITH {_marked_sql()} SELECT DISTINCT item_id, 'tag/' || w AS tag FROM word WHERE i % 8 = 3",
+    "callouts": f"WITH {_marked_sql()} SELECT item_id, 'tip' AS type, w AS meta, '-' AS fold, w || ' title' AS title FROM word WHERE i % 8 = 1",
+    "callout_types": f"SELECT * FROM {values([*((k, v) for k, v in markup.CALLOUTS.items()), ('TLDR', 'abstract'), ('custom', 'custom')], 'name, type')}",
+    "block_refs": f"WITH {_marked_sql()} SELECT item_id, 'id-' || i AS block_id, 'done ' || w AS block FROM word WHERE i % 8 = 5",
+    "embed_refs": f"WITH {_marked_sql()} SELECT item_id, w || '.png' AS target, 'image' AS kind FROM word WHERE i % 8 = 2 UNION ALL SELECT item_id, 'https://youtu.be/abcdefghijk', 'youtube' FROM word WHERE i % 8 = 2",
+    "at_mentions": f"WITH {_rewritten_sql(k4='2024-01-02: met [[ats/{w}/home|@{w}/home]] and `@code` today')} SELECT DISTINCT item_id, w || '/home' AS token, text AS linked FROM word JOIN marked USING (item_id) WHERE i % 8 = 4",
+    "at_mention_lines": f"WITH {_marked_sql()} SELECT DISTINCT item_id, unnest([w, w || '/home']) AS token, 'met and today' AS line FROM word WHERE i % 8 = 4",
+    "hugo_rewrite": f"WITH {_rewritten_sql(k7='[r]({w}) or:{w}|b __{w}__ ^^{w}^^ [[TODO]] ${w}_x$')} SELECT item_id, text FROM marked",
+    "roam_rewrite": f"WITH {_rewritten_sql(k7=ROAM)} SELECT item_id, text FROM marked",
+    "front_matter": "SELECT 'p' || item_id AS slug, 'T' || item_id AS title, 'a-b,c' AS tags, 'x,y' AS aliases, '2024-01-02' AS created, 'true' AS draft, len(ltrim(text, chr(10)))::BIGINT AS n_body FROM benchmark",
+    "canonical_links": r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS url FROM pages),
+u AS (SELECT *, coalesce(try(url_decode(url)), url) AS x FROM l), t AS (SELECT *, string_split(x, '#')[1] AS path, CASE WHEN contains(x, '#') THEN string_split(x, '#')[2] END AS raw FROM u),
+s AS (SELECT *, [y FOR y IN string_split(path, '/') IF y <> ''] AS segs FROM t),
+c AS (SELECT *, array_to_string([y FOR y IN segs IF regexp_matches(y, '^\.{1,2}$')], '/') AS dots, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string([y FOR y IN segs IF NOT regexp_matches(y, '^\.{1,2}$')], '/'), '\.(md|html)$', ''), '\s', '-', 'g'), '&', '-and-', 'g'), '%', '-percent', 'g'), '[?#]', '', 'g'), '(^|/)index$', '\1') AS simple FROM s)
+SELECT page_id, url, CASE WHEN dots = '' AND simple = '' THEN '.' WHEN dots = '' THEN './' || regexp_replace(simple, '/$', '') ELSE dots || '/' || regexp_replace(simple, '/$', '') END || CASE WHEN regexp_matches(path, '(/|(^|/)index(\.md|\.html)?)$') THEN '/' ELSE '' END
+  || CASE WHEN raw IS NULL THEN '' ELSE '#' || replace(regexp_replace(lower(raw), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') END AS canonical FROM c""",
+    "alias_redirects": f"""WITH {SITE}, a AS (SELECT page_id, slug, unnest([regexp_replace(slug, '[^/]*$', '') || 'old-name', 'moved/' || page_id]) AS alias_slug FROM site)
+SELECT alias_slug, slug AS target, repeat('../', len(string_split(alias_slug, '/')) - 2) || '../' || slug AS redirect FROM a""",
+    "page_dates": f"""WITH {SITE} SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN date::TIMESTAMP END, date::TIMESTAMP, TIMESTAMP '2021-05-05') AS created,
+ CASE WHEN page_id % 4 = 0 THEN TIMESTAMP '2022-01-01' ELSE coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05') END AS modified, strftime(coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05'), '%d %b %Y') AS published FROM site""",
+    "remove_drafts": "SELECT page_id FROM pages WHERE page_id % 3 <> 0",
+    "explicit_publish": "SELECT page_id FROM pages WHERE page_id % 3 = 0",
+    "transclusions": """WITH RECURSIVE m AS (SELECT max(page_id) + 1 AS m FROM pages), g AS (SELECT page_id AS k, page_id - page_id % 5 AS base, least(5, m - (page_id - page_id % 5)) AS n FROM pages, m),
+t AS (SELECT k AS s, base, n, n - 1 AS j, '<' || (base + (k - base + n - 1) % n) || ' ![[p' || k || ']]> [![[p' || k || '#S]]] (![[p' || k || '#^b|x]])' || chr(10) || '## S' || chr(10) || 'sec ' || (base + (k - base + n - 1) % n) || chr(10) || '## T' || chr(10) || 'blk ' || (base + (k - base + n - 1) % n) || ' ^b' AS text FROM g
+ UNION ALL SELECT s, base, n, j - 1, '<' || (base + (s - base + j - 1) % n) || ' ' || text || '> [## S' || chr(10) || 'sec ' || (base + (s - base + j) % n) || '] (blk ' || (base + (s - base + j) % n) || ')' || chr(10) || '## S' || chr(10) || 'sec ' || (base + (s - base + j - 1) % n) || chr(10) || '## T' || chr(10) || 'blk ' || (base + (s - base + j - 1) % n) || ' ^b' FROM t WHERE j > 0)
+SELECT 'p' || s AS slug, text AS content FROM t WHERE j = 0""",
+    "folder_dates": f"""WITH {SITE}, f AS (SELECT page_id, date, unnest([array_to_string(string_split(slug, '/')[:i], '/') FOR i IN range(1, len(string_split(slug, '/')))]) AS folder FROM site)
+SELECT folder, count(*) AS n_pages, max(date) AS created, max(date + (page_id % 11)::INT) AS modified, max(date) FILTER (page_id % 2 = 0) AS published FROM f GROUP BY folder""",
+    "folder_pages": f"""WITH {SITE}, x AS (SELECT slug FROM site UNION ALL SELECT 'en/index'), f AS (SELECT unnest([array_to_string(string_split(slug, '/')[:i], '/') FOR i IN range(1, len(string_split(slug, '/')))]) AS folder FROM x)
+SELECT folder, count(*) AS n_pages, folder AS slug, CASE folder WHEN 'en' THEN 'English' ELSE 'Folder: ' || folder END AS title, folder <> 'en' AS made FROM f GROUP BY folder""",
+    "at_pages": f"""WITH {_marked_sql()}, t AS (SELECT DISTINCT item_id, unnest([w, w || '/home']) AS token FROM word WHERE i % 8 = 4) SELECT token, count(*) AS n_pages, 'ats/' || token AS slug, '@' || token AS title, TRUE AS made FROM t GROUP BY token""",
+    "natural_order": "SELECT page_id, row_number() OVER (ORDER BY page_id % 17, page_id) AS place FROM pages",
+    "neighborhood_all": f"""WITH RECURSIVE {EDGES}, both_ AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), r AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT b, hop + 1 FROM r JOIN both_ ON a = node WHERE hop < 12)
+SELECT node, min(hop) AS hop FROM r GROUP BY node""",
+    "highlighted": r"""WITH s AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages) SELECT page_id, md5(regexp_replace(title, '(?i)(the|de)', '<mark>\1</mark>', 'g')) AS shown FROM s""",
+    "file_changes": """SELECT url AS path, CASE WHEN page_id % 7 = 0 THEN 'delete' WHEN page_id % 5 = 0 THEN 'add' ELSE 'change' END AS type FROM pages WHERE (page_id % 7 = 0 AND page_id % 5 <> 0) OR (page_id % 5 = 0 AND page_id % 7 <> 0) OR (page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 3 = 0)""",
+    "partial_emit": f"WITH {_LAST} SELECT 'page' AS emitter, key, type FROM l WHERE type <> 'delete' UNION ALL SELECT 'asset', key, type FROM l",
+    "emit_changed": f"""WITH {_LAST}, n AS (SELECT key, tag FROM s WHERE key NOT IN (SELECT key FROM l) UNION ALL SELECT key, tag FROM l WHERE type <> 'delete'), k AS (SELECT tag FROM s WHERE key IN (SELECT key FROM l) UNION SELECT tag FROM l WHERE type <> 'delete'),
+c AS (SELECT tag, count(*) AS n FROM n GROUP BY tag) SELECT tag, n, 'partial' AS form FROM c WHERE tag IN (SELECT tag FROM k) UNION ALL SELECT tag, n, 'full' FROM c""",
+    "toc_entries": f"""WITH {_marked_sql()}, h AS (SELECT item_id, -1 AS i, 0 AS depth, 'T' AS title FROM benchmark UNION ALL SELECT item_id, i, 1, w FROM word WHERE i % 8 = 6),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos, row_number() OVER (PARTITION BY item_id, lower(title) ORDER BY i) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM h)
+SELECT item_id, pos, depth, title, lower(title) || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM p WHERE n > 1""",
+    "extract_stream": rf"""WITH s AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sent_pos FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents))
+SELECT doc_id, sent_pos, sentence FROM s WHERE {GATE_SQL % 'sentence'}""",
     "strip_comments": r"SELECT conv_id, turn, md5(regexp_replace('%%a' || chr(10) || 'b%% ' || text || ' %%c%%', '(?s)%%.*?%%', '', 'g')) AS stripped FROM conversations",
     "rewrite_inline": r"""SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace('==hot== --> a <- b => ' || text, '==([^=]+)==', '<mark>\1</mark>', 'g'), '<--', '&lArr;'), '-->', '&rArr;'), '<==', '&lArr;'), '==>', '&rArr;'), '<-', '&larr;'), '->', '&rarr;'), '<=', '&lArr;'), '=>', '&rArr;')) AS rewritten FROM conversations""",
-    "toc_entries": """WITH h AS (SELECT item_id, 0::BIGINT AS pos, 0 AS depth, regexp_replace(string_split(text, '.')[1], '^ +| +$', '', 'g') AS title FROM benchmark UNION ALL SELECT item_id, 1, 1, 'Part' FROM benchmark UNION ALL SELECT item_id, 2, 1, 'Part' FROM benchmark)
-SELECT item_id, pos, depth, title, CASE pos WHEN 0 THEN replace(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\- ]', '', 'g'), ' ', '-') WHEN 1 THEN 'part' ELSE 'part-1' END AS anchor FROM h""".replace("\\\\", "\\"),
     "apply_changes": f"WITH {_LAST} SELECT key, tag FROM s WHERE key NOT IN (SELECT key FROM l) UNION ALL SELECT key, tag FROM l WHERE type <> 'delete'",
-    "affected_tags": f"WITH {_LAST}, t AS (SELECT tag FROM s WHERE key IN (SELECT key FROM l) UNION ALL SELECT tag FROM l WHERE type <> 'delete') SELECT DISTINCT {_PREFIX.format('tag')} AS tag FROM t",
+    "affected_tags": f"WITH {_LAST}, t AS (SELECT tag FROM s WHERE key IN (SELECT key FROM l) UNION ALL SELECT tag FROM l WHERE type <> 'delete') SELECT DISTINCT {_PREFIX.format('tag')} AS tag FROM t UNION SELECT 'index'",
 }

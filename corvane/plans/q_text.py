@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import association as assoc
-from corvane.operators import gates
+from corvane.operators import gates, lexicon
 from corvane.operators import sentences as sent
 from corvane.plans.sql import SENT, TOK, values
 from corvane.sources.readers import documents, table
@@ -16,6 +16,7 @@ from corvane.sources.readers import documents, table
 TARGETS = {"with": "minority", "from": "dominant"}
 FRAMES = [("that", -1), ("this", 1), ("the", -1), ("and", 1), ("was", -1), ("are", 1), ("for", -1)]
 GATE = ["with", "from", "threat", "license", "released under"]
+TAILS = [" (see", " (ed.", " [x] {y}", "", " {"]
 SURFACES = ["Citizens.", "countries", "Watches", "glass", "co–worker", "s", "ies", "Mr.", "boxes", "is"]
 
 
@@ -44,8 +45,10 @@ def split_sentences_simple(spark, d):
 
 
 def open_fragments(spark, d):
+    """Sentences with a tail each, by position: an open bracket, a short bracketed abbreviation, a closed bracket, none."""
     s = sent.sentences_simple(documents(spark, d))
-    return s.filter(tx.open_fragment(F.col("sentence"))).groupBy("doc_id").agg(F.count("*").alias("n_open"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in TAILS]), (F.col("sent_pos") % len(TAILS) + 1).cast("int"))
+    return s.filter(tx.open_fragment(F.concat("sentence", tail))).groupBy("doc_id").agg(F.count("*").alias("n_open"))
 
 
 def tokenize_words(spark, d):
@@ -75,8 +78,7 @@ def match_inventory(spark, d):
     """First candidate form of each word that the inventory holds: here the words of `benchmark`."""
     words = _sents(spark, d).select(F.explode(F.array_distinct("words")).alias("word")).distinct()
     inventory = table(spark, d, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("form")).distinct()
-    forms = words.select("word", F.posexplode(tx.candidate_forms(F.col("word"))).alias("rank", "form"))
-    return forms.join(inventory, "form").groupBy("word").agg(F.min_by("form", "rank").alias("term"))
+    return lexicon.match_inventory(words, inventory)
 
 
 def focus_context(spark, d):
@@ -92,7 +94,7 @@ def focus_text(spark, d):
 def srl_marker_rows(spark, d):
     """Words with a marker put before the predicate, and the predicate's place after that."""
     t = _sents(spark, d).withColumn("at", F.array_position("words", F.lit("was")).cast("int")).filter("at > 0")
-    return t.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), F.array_join(F.array_insert("words", F.col("at"), F.lit("[V]")), " ").alias("marked"), F.col("at").cast("long").alias("predicate_i"))
+    return t.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), tx.mark_predicate(F.col("words"), F.col("at") - 1).alias("marked"), F.col("at").cast("long").alias("predicate_i"))
 
 
 def prompt_bank(spark, d):
@@ -100,8 +102,7 @@ def prompt_bank(spark, d):
     tokens = table(spark, d, "nation").select(F.lower("n_name").alias("token"), "n_regionkey")
     templates = spark.createDataFrame([(0, "sentence about {token} people"), (1, "sentence about {token} goods")], "slot int, template string")
     own = tokens.filter("n_regionkey = 1").select("token", F.lit(1).alias("slot"), F.lit("sentence about {token} trade").alias("own"))
-    bank = tokens.select("token").join(F.broadcast(templates)).join(own, ["token", "slot"], "left")
-    return bank.select("token", "slot", F.replace(F.coalesce("own", "template"), F.lit("{token}"), F.col("token")).alias("prompt"))
+    return lexicon.prompt_bank(tokens, templates, own)
 
 
 def html_escape(spark, d):
@@ -120,8 +121,7 @@ def search_tokenize(spark, d):
 
 
 def query_terms(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("q"))
-    return b.select("item_id", F.array_join(tx.query_terms(F.col("q")), "|").alias("terms"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(tx.query_terms(F.col("text")), "|").alias("terms"))
 
 
 def doc_lexical_gate(spark, d):
@@ -144,12 +144,11 @@ def _side(spark, d, key):
 
 def gate_terms(spark, d):
     """Both sides of a lexicon, less terms too broad to open the gate."""
-    both = _side(spark, d, "(0, 1, 2)").union(_side(spark, d, "(2, 3)")).distinct()
-    return both.join(_side(spark, d, "(3)"), "term", "left_anti")
+    return lexicon.gate_terms([_side(spark, d, "(0, 1, 2)"), _side(spark, d, "(2, 3)")], _side(spark, d, "(3)"))
 
 
 def strong_terms(spark, d):
-    return _side(spark, d, "(0, 1, 2)").subtract(_side(spark, d, "(2, 3)"))
+    return lexicon.strong_terms(_side(spark, d, "(0, 1, 2)"), _side(spark, d, "(2, 3)"))
 
 
 def noise_flags(spark, d):
@@ -267,9 +266,9 @@ _FORMS = r"""[x FOR x IN [w, regexp_replace(w, '\.+$', ''), CASE WHEN w LIKE '%i
 # first occurrence of each candidate, in order
 _DEDUP = f"(SELECT word, f AS form, min(r) AS rank FROM (SELECT w AS word, unnest({_FORMS}) AS f, generate_subscripts({_FORMS}, 1) AS r FROM ws) GROUP BY ALL)"
 _PAIRS = TOK + f""",
-span AS (SELECT doc_id, sent_pos, word, min(i) AS lo, max(i) AS hi FROM tok GROUP BY ALL),
-pairs AS (SELECT a.doc_id, a.sent_pos, a.word AS target, b.word AS collocate FROM span a JOIN span b USING (doc_id, sent_pos)
-  WHERE a.word IN ('with', 'from') AND b.word NOT IN ('with', 'from') AND len(b.word) >= 3 AND greatest(a.hi - b.lo, b.hi - a.lo) >= 2)"""
+span AS MATERIALIZED (SELECT doc_id, sent_pos, word, min(i) AS lo, max(i) AS hi FROM tok GROUP BY ALL),
+anchor AS (SELECT * FROM span WHERE word IN ('with', 'from')), other AS (SELECT * FROM span WHERE word NOT IN ('with', 'from') AND len(word) >= 3),
+pairs AS MATERIALIZED (SELECT a.doc_id, a.sent_pos, a.word AS target, b.word AS collocate FROM anchor a JOIN other b USING (doc_id, sent_pos) WHERE greatest(a.hi - b.lo, b.hi - a.lo) >= 2)"""
 
 
 def _assoc_sql(name: str, where: str = "TRUE") -> str:
@@ -288,14 +287,20 @@ def _assoc_sql(name: str, where: str = "TRUE") -> str:
 
 _ASSOC = f"WITH {_PAIRS}, {_assoc_sql('a')}"
 _GATE_RE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:released under|license|threat|with|from)(?:man|men|woman|women|boy|boys|girl|girls|people)?(?:$|[^\p{L}\p{N}_])"
-_GATE = f"regexp_matches(%s, '{_GATE_RE}')"
+GATE_SQL = f"regexp_matches(%s, '{_GATE_RE}')"
 _NATION = "(SELECT lower(n_name) AS term FROM nation WHERE n_regionkey IN %s)"
 
+# Unicode word starts, which the other side's lookbehind gives; neighbouring matches share a character, so each is replaced twice
+_ABBR = rf"'(^|[^\p{{L}}\p{{N}}_])({'|'.join(tx.ABBREVIATIONS)})\.'"
+_INITIAL = r"'(^|[^\p{L}\p{N}_])([A-Z])\.'"
+
 ORACLE_SQL = {
     "scan_documents": "SELECT doc_id, text FROM documents",
     "remove_noise": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^\x20-\x7E\n]', '', 'g'), ' {2,}', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, md5(t) AS clean_md5, len(t) AS n_clean FROM c",
+    "protect_periods": rf"""WITH a AS (SELECT doc_id, regexp_replace(text, {_ABBR}, '\1\2<prd>', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, {_ABBR}, '\1\2<prd>', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS t FROM b) SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS protected FROM c""",
     "split_sentences_simple": f"WITH {SENT} SELECT doc_id, sent_pos, sentence FROM sent",
-    "open_fragments": rf"""WITH {SENT} SELECT doc_id, count(*) AS n_open FROM sent WHERE len(sentence) - len(replace(sentence, '(', '')) > len(sentence) - len(replace(sentence, ')', ''))
+    "open_fragments": rf"""WITH {SENT.replace("sent AS", "plain AS", 1).replace("FROM sent)", "FROM plain)")}, sent AS (SELECT doc_id, sentence || {TAILS}[sent_pos % {len(TAILS)} + 1] AS sentence FROM plain) SELECT doc_id, count(*) AS n_open FROM sent WHERE len(sentence) - len(replace(sentence, '(', '')) > len(sentence) - len(replace(sentence, ')', ''))
   OR len(sentence) - len(replace(sentence, '[', '')) > len(sentence) - len(replace(sentence, ']', '')) OR len(sentence) - len(replace(sentence, '{{', '')) > len(sentence) - len(replace(sentence, '}}', ''))
   OR regexp_matches(sentence, '\([A-Za-z]{{1,8}}\.\n?$') GROUP BY doc_id""",
     "tokenize_words": f"WITH {TOK} SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM tok GROUP BY doc_id",
@@ -317,12 +322,12 @@ FROM nation, (VALUES (0, 'sentence about {token} people'), (1, 'sentence about {
     "reading_time": r"SELECT doc_id, ceil(len([x FOR x IN regexp_split_to_array(text, '\s+') IF x <> '']) / 200)::BIGINT AS minutes FROM documents",
     "search_tokenize": r"""WITH t AS (SELECT conv_id, turn, [x FOR x IN regexp_split_to_array(regexp_replace(lower(text), '([\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{20000}-\x{2a6df}])', ' \1 ', 'g'), '[ \t\r\n]+') IF x <> ''] AS a FROM conversations)
 SELECT conv_id, turn, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS token FROM t""",
-    "query_terms": r"""WITH q AS (SELECT item_id, string_split(text, ' ')[:4] AS q FROM benchmark), w AS (SELECT item_id, [x FOR x IN regexp_split_to_array(array_to_string(q, ' '), '\s+') IF x <> ''] AS w FROM q),
+    "query_terms": r"""WITH w AS (SELECT item_id, [x FOR x IN regexp_split_to_array(text, '\s+') IF x <> ''] AS w FROM benchmark),
 t AS (SELECT item_id, unnest(list_concat(w, [array_to_string(w[:i], ' ') FOR i IN range(2, len(w) + 1)])) AS t FROM w)
 SELECT item_id, string_agg(t, '|' ORDER BY len(t) DESC, t) AS terms FROM t GROUP BY item_id""",
-    "doc_lexical_gate": f"SELECT doc_id FROM documents WHERE {_GATE % 'text'}",
-    "sentence_lexical_gate": f"WITH {SENT} SELECT doc_id, count(*) AS n_hits FROM sent WHERE {_GATE % 'sentence'} GROUP BY doc_id",
-    "lexical_hits": f"WITH {SENT} SELECT sentence FROM sent WHERE {_GATE % 'sentence'}",
+    "doc_lexical_gate": f"SELECT doc_id FROM documents WHERE {GATE_SQL % 'text'}",
+    "sentence_lexical_gate": f"WITH {SENT} SELECT doc_id, count(*) AS n_hits FROM sent WHERE {GATE_SQL % 'sentence'} GROUP BY doc_id",
+    "lexical_hits": f"WITH {SENT} SELECT sentence FROM sent WHERE {GATE_SQL % 'sentence'}",
     "gate_terms": f"SELECT term FROM ({_NATION % '(0, 1, 2)'} UNION {_NATION % '(2, 3)'}) EXCEPT {_NATION % '(3)'}",
     "strong_terms": f"{_NATION % '(0, 1, 2)'} EXCEPT {_NATION % '(2, 3)'}",
     "noise_flags": r"""SELECT page_id, array_to_string([x FOR x IN [CASE WHEN regexp_matches(html, ',\s*\d{1,4}\.\n?$') THEN 'index_page_ref' END, CASE WHEN regexp_matches(html, 'https?://|www\.|<[^>]+>') THEN 'url_or_markup' END,
@@ -332,6 +337,7 @@ SELECT item_id, string_agg(t, '|' ORDER BY len(t) DESC, t) AS terms FROM t GROUP
     "review_flags": f"""WITH {ROUTED_SQL}, f AS (SELECT vec_id, [x FOR x IN [CASE WHEN bucket = 'SEMANTIC_RESCUE' THEN 'semantic_rescue' END, CASE WHEN bucket = 'LEXICAL_HUMAN_RESCUE' THEN 'lexical_human_rescue' END,
  CASE WHEN margin < 0.06::DOUBLE THEN 'low_margin' END, CASE WHEN (pos >= 0.65::DOUBLE OR margin >= 0.1::DOUBLE) AND prob < 0.56::DOUBLE THEN 'high_semantic_low_classifier' END, CASE WHEN noise THEN 'url_or_markup' END] IF x IS NOT NULL] AS f FROM routed WHERE decision = 'review')
 SELECT vec_id, CASE WHEN len(f) = 0 THEN 'classifier_borderline' ELSE array_to_string(f, ',') END AS flags FROM f""",
+    "review_rows": f"WITH {ROUTED_SQL} SELECT vec_id, pos, margin, prob, human, noise, CASE bucket WHEN 'STRICT' THEN 'BORDERLINE' ELSE bucket END AS bucket, decision FROM routed WHERE decision = 'review'",
     "extraction_report": f"""WITH {ROUTED_SQL}, r AS (SELECT count(*) AS hits, count_if(bucket = 'STRICT') AS strict, count_if(bucket = 'SEMANTIC_RESCUE') AS rescue, count_if(bucket = 'LEXICAL_HUMAN_RESCUE') AS human, count_if(bucket = 'REJECT') AS rejected,
  count_if(decision = 'keep') AS kept, count_if(decision = 'review') AS review, count_if(decision = 'drop' AND bucket <> 'REJECT') AS dropped, count_if(noise AND bucket <> 'REJECT') AS noise_blocked, {_LANES_SQL} FROM routed)
 SELECT hits::BIGINT AS hits, strict::BIGINT AS strict, rescue::BIGINT AS rescue, human::BIGINT AS human, rejected::BIGINT AS rejected, kept::BIGINT AS kept, review::BIGINT AS review, dropped::BIGINT AS dropped, noise_blocked::BIGINT AS noise_blocked, {_LANES_CAST},

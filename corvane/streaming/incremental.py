@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,29 +35,79 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str, order: str) ->
     return rest.unionByName(last.filter("type <> 'delete'").select(*state.columns))
 
 
-def affected_keys(old: DataFrame, changes: DataFrame, key: str, order: str, rollup) -> DataFrame:
-    """Rollup keys that the changes touch: those of the old rows and those of the new ones.
+def affected_keys(old: DataFrame, changes: DataFrame, key: str, order: str, rollup, always: tuple[str, ...] = ()) -> DataFrame:
+    """Rollup keys that the changes touch: those of the old rows and those of the new ones, and those that any change touches.
 
-    rollup: rows -> DataFrame of rollup keys. Old and new are both needed: a deleted row, or one that
-    lost a tag, must refresh the rollups that it left.
+    rollup: rows -> DataFrame of one column of rollup keys. Old and new are both needed: a deleted row, or one
+    that lost a tag, must refresh the rollups that it left. always: keys such as a listing of all, touched if anything changed.
     """
     last = latest_changes(changes, key, order)
     before = rollup(old.join(last.select(key), key, "left_semi"))
     after = rollup(last.filter("type <> 'delete'").select(*old.columns))
+    if always:
+        after = after.union(last.limit(1).select(F.explode(F.array(*[F.lit(k) for k in always]))))
     return before.union(after).distinct()
 
 
+def scan_files(spark: SparkSession, folder: str, pattern: str = "*", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """path (below the folder), size, modified of the files that match; contents are not read. ignore: patterns of paths to leave out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^.*{re.escape(base)}/", "")
+    out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return out.filter(~F.col("path").rlike("|".join(ignore))) if ignore else out
+
+
+def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, type (add, change, delete), and the new size and time: how one listing became the other."""
+    j = old.select("path", F.struct("size", "modified").alias("before")).join(new.select("path", F.struct("size", "modified").alias("after")), "path", "full")
+    kind = F.when(F.col("before").isNull(), "add").when(F.col("after").isNull(), "delete").when(F.col("before") != F.col("after"), "change")
+    return j.select("path", kind.alias("type"), "after.size", "after.modified").filter("type is not null")
+
+
+def partial_emit(changes: DataFrame, kinds: tuple[str, ...] = ("add", "change")) -> DataFrame:
+    """The changes that an emitter acts on: pages and redirects are written when something is added or changed, assets go when theirs do."""
+    return changes.filter(F.col("type").isin(list(kinds)))
+
+
+def emit(rollup, rows: DataFrame, affected: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """An emitter's rollup over all rows, or, where it can tell its keys, over the rows of the affected keys alone."""
+    if affected is None:
+        return rollup(rows)
+    return rollup(rows.join(affected.select(F.col(affected.columns[0]).alias(key)).distinct(), key, "left_semi"))
+
+
 class Upserter:
-    """foreachBatch sink that keeps a snapshot of the state. Batches are serial; each writes a new version and then moves the pointer."""
+    """foreachBatch sink that keeps a snapshot of the state.
+
+    Each epoch writes a new version, whose folder is named by the epoch and holds the format's commit mark once it
+    is whole. The newest whole version is the state, so a driver that starts again goes on from it; an epoch that
+    was applied before is skipped, and versions older than the one before the last are deleted.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, order: str, schema: str) -> None:
         self.spark, self.folder, self.key, self.order, self.schema = spark, folder, key, order, schema
-        self.path: str | None = None
+
+    def _versions(self) -> list[int]:
+        """Epochs with a whole version, oldest first."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/epoch-*/_SUCCESS")) or []
+        return sorted(int(x.getPath().getParent().getName().removeprefix("epoch-")) for x in found)
+
+    def _path(self, epoch: int) -> str:
+        return f"{self.folder}/epoch-{epoch:020d}"
 
     def state(self) -> DataFrame:
-        return self.spark.read.parquet(self.path) if self.path else self.spark.createDataFrame([], self.schema)
+        known = self._versions()
+        return self.spark.read.parquet(self._path(known[-1])) if known else self.spark.createDataFrame([], self.schema)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        path = f"{self.folder}/v{epoch}-{uuid.uuid4().hex}"
-        apply_changes(self.state(), batch, self.key, self.order).write.parquet(path)
-        self.path = path
+        known = self._versions()
+        if known and epoch <= known[-1]:
+            return
+        apply_changes(self.state(), batch, self.key, self.order).write.mode("overwrite").parquet(self._path(epoch))
+        for old in known[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

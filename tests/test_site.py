@@ -10,33 +10,43 @@ from corvane.streaming import incremental as inc
 
 
 def test_wikilinks_and_embeds(one):
-    t = "See [[Page#Head|shown]] and ![[pic.png]] [[a b]] ![v](x.mp4) ![](https://youtu.be/abcdefghijk)"
-    assert [tuple(x) for x in one(markup.wikilinks, [t])[0]] == [(False, "Page", "Head", "shown"), (True, "pic.png", "", ""), (False, "a b", "", "")]
+    t = "See [[Page#Head|shown]] and ![[pic.png]] [[a b]] ![v](x.mp4) ![](https://youtu.be/abcdefghijk) | [[cell\\\\|in a table]] | [[]] [[#here]]"
+    t = t.replace("\\\\", "\\")
+    assert [tuple(x) for x in one(markup.wikilinks, [t])[0]] == [(False, "Page", "Head", "shown"), (True, "pic.png", "", ""), (False, "a b", "", ""), (False, "cell", "", "in a table"), (False, "", "here", "")]
     assert [tuple(x) for x in one(markup.embed_refs, [t])[0]] == [("pic.png", "image"), ("x.mp4", "video"), ("https://youtu.be/abcdefghijk", "youtube")]
-    assert one(markup.youtube_id, ["https://youtu.be/abcdefghijk", "https://x.org"]) == ["abcdefghijk", None]
+    urls = ["https://youtu.be/abcdefghijk", "https://www.youtube.com/watch?t=1&v=a_b-c6789xz#t", "https://www.youtube.com/embed/abcdefghijk?rel=0", "https://youtu.be/tooshort", "https://x.org"]
+    assert one(markup.youtube_id, urls) == ["abcdefghijk", "a_b-c6789xz", "abcdefghijk", None, None]
 
 
 def test_inline_markup(one):
-    assert one(markup.inline_tags, ["#one two #a/b #12 x#no\n#ünï"]) == [["one", "a/b", "ünï"]]
+    assert one(markup.inline_tags, ["#one two #a/b #12 x#no\n#ünï #7/8"]) == [["one", "a/b", "ünï"]]
     assert one(markup.strip_comments, ["a %%x\ny%% b"]) == ["a  b"]
     assert one(markup.rewrite_inline, ["==hot== --> -> <- <== ="]) == ["<mark>hot</mark> &rArr; &rarr; &larr; &lArr; ="]
     assert [tuple(x) for x in one(markup.callouts, ["> [!TLDR|x]- Title\n> body\n> [!own]"])[0]] == [("abstract", "x", "-", "Title"), ("own", "", "", "")]
     assert one(markup.block_refs, ["line ^id1\nother ^id-2\nagain ^id1"]) == [["id1", "id-2"]]
+    assert [tuple(x) for x in one(markup.blocks, ["line ^id1\n\na\nb\n^id-2\nagain ^id1"])[0]] == [("id1", "line"), ("id-2", "a\nb")]
     assert [tuple(x) for x in one(markup.checkboxes, ["- [ ] a\n* [x] b"])[0]] == [(False, "a"), (True, "b")]
     assert one(markup.has_mermaid, ["```mermaid\n```", "x"]) == [True, False]
 
 
 def test_at_mentions(one):
-    t = "2024-01-02: met @sam/home today\n`@code` and a@b\n```\n@fenced\n```\n@zoe"
-    assert one(markup.at_mentions, [t]) == [["sam/home", "zoe"]]
-    assert one(markup.linkify_at, ["hi @sam `@x`"]) == ["hi [[ats/sam|@sam]] `@x`"]
-    assert [tuple(x) for x in one(markup.at_lines, [t])[0]] == [("sam/home", "met today")]
+    t = "2024-01-02: met @sam/home today\n`@code` and a@b\n```\n@fenced\n```\n@zoe\nnote: @kim"
+    assert one(markup.at_mentions, [t]) == [["sam/home", "zoe", "kim"]]
+    assert one(markup.linkify_at, ["hi @sam `@x` (@y)"]) == ["hi [[ats/sam|@sam]] `@x` ([[ats/y|@y]])"]
+    assert [tuple(x) for x in one(markup.at_lines, [t])[0]] == [("sam/home", "met today"), ("kim", "note:")]
 
 
 def test_dialects(one):
-    assert one(markup.hugo_rewrite, ['[a]({{< relref "b" >}})', "# H {#id}", "{{x}}", '< figure src="p.png" >', r"\\(a\_b\\)", r"\begin{equation}e\end{equation}"]) == ["[a](b)", "# H", "x", "![](p.png)", "$a_b$", "$$e$$"]
-    got = one(markup.roam_rewrite, ["{{[[TODO]]}} x", "{{DONE}}", "^^h^^ __i__", "[[>]] q"])
-    assert got == ['<input type="checkbox" disabled> x', '<input type="checkbox" checked disabled>', "<mark>h</mark> <i>i</i>", "> q"]
+    hugo = {
+        '[a]({{< relref "b" >}}) [c](d)': "[a](b) [c](d)", "# H {#id}\ntext": "# H\ntext", "{{x}} and {{y}}": "x and y", '< figure src="p.png" >': "![](p.png)",
+        r"see \\\\(a\_b\\\\) or \\\\[c\\\\]".replace("\\\\", "\\"): "see $a_b$ or $$c$$", r"\begin{equation}e\_1\end{equation}": "$$e_1$$", r"cost \_ kept": r"cost \_ kept",
+    }
+    assert one(markup.hugo_rewrite, list(hugo)) == list(hugo.values())
+    roam = {
+        "{{[[TODO]]}} x": '<input type="checkbox" disabled> x', "{{DONE}}": '<input type="checkbox" checked disabled>', "^^h^^ __i__ and __j__": "<mark>h</mark> <i>i</i> and <i>j</i>",
+        "[[>]] q": "> q", "pick {{or: a|b c |d}}": "pick <select><option>a</option><option>b c</option><option>d</option></select>", "{{[[pdf]]: http://x.org/a.pdf}}": '<embed src="http://x.org/a.pdf">',
+    }
+    assert one(markup.roam_rewrite, list(roam)) == list(roam.values())
 
 
 def test_front_matter():
@@ -91,10 +101,25 @@ def test_toc(spark):
     assert [(r["depth"], r["anchor"]) for r in pages.toc(p, "k", "t").orderBy("pos").collect()] == [(0, "a"), (1, "b-b"), (0, "a-1")]
 
 
-def test_transclusion_stops_at_cycles(spark):
-    p = spark.createDataFrame([("a", "A(![[b]])"), ("b", "B(![[a]])"), ("c", "C ![[a]] ![[none]]")], "slug string, content string")
+def test_transclusion(spark):
+    rows = {
+        "a": "A(![[b]])", "b": "B(![[a]])", "c": "C ![[a]] ![[none]] ![[a|shown]]", "d": "![[e#Part two]] | ![[e#^id1]] | ![[e#^id2|x]] | ![[e#gone]] | ![[f]]",
+        "e": "# One\nx\n## Part two\ny ![[a]]\n### Sub\nz ^id1\n```\n# code\n```\n## Three\nw\nv\n^id2", "f": None, "g": "![[h]]", "h": "![[i]]", "i": "![[j]]", "j": "![[k]]", "k": "![[l]]", "l": "deep",
+    }
+    p = spark.createDataFrame(list(rows.items()), "slug string, content string")
     got = {r["slug"]: r["content"] for r in pages.transclude(p).collect()}
-    assert got["a"] == "A(B(![[a]]))" and got["b"] == "B(A(![[b]]))" and got["c"].startswith("C A(B(") and got["c"].endswith("![[none]]")
+    assert got["a"] == "A(B(![[a]]))" and got["b"] == "B(A(![[b]]))" and got["c"] == "C A(B(![[a]])) ![[none]] A(B(![[a]]))"
+    assert got["d"] == "## Part two\ny A(B(![[a]]))\n### Sub\nz ^id1\n```\n# code\n``` | z | w\nv | ![[e#gone]] | ![[f]]"
+    assert got["g"] == "deep" and got["f"] == ""
+
+
+def test_made_pages(spark):
+    rows = [("x/one", "One", "see @sam/home and `@code`"), ("x/y/two", "Two", "@sam"), ("x/index", "Ex", ""), ("ats/sam", "Sam's page", "")]
+    p = spark.createDataFrame(rows, "slug string, title string, content string")
+    assert {r["folder"]: (r["n_pages"], r["title"], r["made"]) for r in pages.folder_pages(p).collect()} == {"x": (3, "Ex", False), "x/y": (1, "Folder: x/y", True), "ats": (1, "Folder: ats", True)}
+    assert {r["token"]: (r["n_pages"], r["title"], r["made"]) for r in pages.at_pages(p).collect()} == {"sam": (2, "Sam's page", False), "sam/home": (1, "@sam/home", True)}
+    d = p.withColumns({"created": F.lit("2024-01-01").cast("date"), "modified": F.when(F.col("slug") == "x/y/two", F.lit("2024-03-01").cast("date"))})
+    assert {r["folder"]: (str(r["created"]), str(r["modified"])) for r in pages.folder_rollup(d, ("created", "modified")).collect()}["x"] == ("2024-01-01", "2024-03-01")
 
 
 def test_graph(spark):
@@ -104,6 +129,8 @@ def test_graph(spark):
     near = graph.neighborhood(e, spark.createDataFrame([("b",)], "node string"), 1)
     assert {(r["node"], r["hop"]) for r in near.collect()} == {("b", 0), ("a", 1), ("c", 1)}
     assert graph.induced(e, near).count() == 2
+    everything = graph.neighborhood(e, spark.createDataFrame([("b",)], "node string"), -1)
+    assert {(r["node"], r["hop"]) for r in everything.collect()} == {("b", 0), ("a", 1), ("c", 1), ("d", 2)}
     assert {r["node"]: r["degree"] for r in graph.node_degree(e).collect()}["b"] == 2
 
 
@@ -126,6 +153,8 @@ def test_changes(spark):
     ch = spark.createDataFrame([("p", 1, "change", "w"), ("p", 2, "change", "v/u"), ("q", 1, "delete", "z"), ("r", 1, "add", "n")], "key string, seq int, type string, tag string")
     assert {tuple(r) for r in inc.apply_changes(state, ch, "key", "seq").collect()} == {("p", "v/u"), ("r", "n")}
     assert {r[0] for r in inc.affected_keys(state, ch, "key", "seq", lambda d: d.select("tag")).collect()} == {"x/y", "z", "v/u", "n"}
+    assert {r[0] for r in inc.affected_keys(state, ch, "key", "seq", lambda d: d.select("tag"), ("index",)).collect()} == {"x/y", "z", "v/u", "n", "index"}
+    assert inc.affected_keys(state, ch.limit(0), "key", "seq", lambda d: d.select("tag"), ("index",)).count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -138,11 +167,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, f(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()))
 
 
-def test_upserter(spark, tmp_path):
-    u = inc.Upserter(spark, str(tmp_path), "key", "seq", "key string, tag string")
-    u(spark.createDataFrame([("a", 1, "add", "x")], "key string, seq int, type string, tag string"), 0)
-    u(spark.createDataFrame([("a", 2, "delete", "x"), ("b", 3, "add", "y")], "key string, seq int, type string, tag string"), 1)
+def test_upserter_survives_a_restart_and_a_replay(spark, tmp_path):
+    schema = "key string, seq int, type string, tag string"
+    new = lambda: inc.Upserter(spark, str(tmp_path / "state"), "key", "seq", "key string, tag string")
+    assert new().state().count() == 0
+    new()(spark.createDataFrame([("a", 1, "add", "x")], schema), 0)
+    u = new()  # another driver
+    u(spark.createDataFrame([("a", 2, "delete", "x"), ("b", 3, "add", "y")], schema), 1)
+    new()(spark.createDataFrame([("a", 1, "add", "x")], schema), 0)  # replayed
     assert [tuple(r) for r in u.state().collect()] == [("b", "y")]
+    (tmp_path / "state" / "epoch-00000000000000000002").mkdir()  # begun, but not whole
+    assert [tuple(r) for r in new().state().collect()] == [("b", "y")]
+    for epoch in (2, 3):
+        u(spark.createDataFrame([(f"k{epoch}", epoch, "add", "z")], schema), epoch)
+    assert {r["key"] for r in u.state().collect()} == {"b", "k2", "k3"} and u._versions() == [2, 3]
+
+
+def test_files_become_changes(spark, tmp_path):
+    for name, text in (("a.md", "1"), ("sub/b.md", "2"), ("c.txt", "3"), (".private/d.md", "4")):
+        path = tmp_path / "w" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    scan = lambda: inc.scan_files(spark, str(tmp_path / "w"), "*.md", (r"(^|/)\.private/",))
+    before = spark.createDataFrame(scan().collect(), scan().schema)
+    assert {r["path"] for r in before.collect()} == {"a.md", "sub/b.md"}
+    (tmp_path / "w" / "a.md").write_text("longer")
+    (tmp_path / "w" / "sub" / "b.md").unlink()
+    (tmp_path / "w" / "n.md").write_text("new")
+    changes = inc.file_changes(before, scan())
+    assert {(r["path"], r["type"]) for r in changes.collect()} == {("a.md", "change"), ("sub/b.md", "delete"), ("n.md", "add")}
+    assert {r["path"] for r in inc.partial_emit(changes).collect()} == {"a.md", "n.md"}
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "tag string, x int")
+    count = lambda d: d.groupBy("tag").count()
+    assert [tuple(r) for r in inc.emit(count, rows, spark.createDataFrame([("b",)], "k string"), "tag").collect()] == [("b", 2)]
+    assert inc.emit(count, rows).count() == 2
 
 
 def test_readers(spark, tmp_path):

@@ -1,4 +1,9 @@
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 
@@ -42,6 +47,38 @@ def test_split_sentences(one, text, want):
     assert one(tx.split_sentences, [text]) == [want]
 
 
+def plain_split(text, least=40, most=800):
+    """The splitter by one loop over the parts."""
+    t = re.sub(rf"\b({'|'.join(tx.ABBREVIATIONS)})\.", r"\1<prd>", text)
+    t = re.sub(r"\b([A-Z])\.", r"\1<prd>", t)
+    parts = [p.replace("<prd>", ".").strip(" ") for p in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'“‘])", t)]
+    fits = lambda s: least <= len(s) <= most and "\n" not in s
+    out, pending = [], ""
+    for part in parts:
+        pending = f"{pending} {part}".strip(" ")
+        if any(pending.count(a) > pending.count(b) for a, b in ("()", "[]", "{}")) or re.search(r"\([A-Za-z]{1,8}\.\Z", pending):
+            continue
+        if fits(pending) and pending[:1].isupper() and pending[-1] in ".!?":
+            out.append(pending)
+        pending = ""
+    return out + ([pending] if fits(pending) else [])
+
+
+def test_split_sentences_matches_a_loop(one):
+    r = random.Random(3)
+    bits = ["Alpha went home", "see (ed", "(an aside", "it ends)", "[one", "two]", "A. Smith", "No", "{x", "}", "Many words follow here to make it long", "(pp", "", "so on)", "Émile left"]
+    texts = [" ".join(r.choice(bits) + r.choice([".", "!", "?", ".", ". ", ""]) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    assert one(tx.split_sentences, texts) == [plain_split(t) for t in texts]
+    assert any(plain_split(t) and "(" in t for t in texts)
+
+
+def test_long_texts_take_linear_time(one):
+    text = "This sentence is certainly longer than forty characters. " * 20_000
+    at = time.perf_counter()
+    got = one(lambda c: F.size(tx.split_sentences(c)), [text, text + "(open " + text])
+    assert got == [20_000, 19_999] and time.perf_counter() - at < 30
+
+
 def test_open_fragments(one):
     assert one(tx.open_fragment, ["a (b", "a (b)", "x [y", "{", "see (ed.", "done.", ""]) == [True, False, True, True, True, False, False]
 
