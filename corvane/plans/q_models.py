@@ -15,7 +15,7 @@ from corvane.operators import roles as rl
 from corvane.operators import sentences as sent
 from corvane.operators import vectors as vec
 from corvane.plans import analyse as an
-from corvane.plans.q_text import _ASSOC, _DEDUP, _sents
+from corvane.plans.q_text import _ASSOC, _DEDUP, KEPT, _sents
 from corvane.plans.sql import SENT, TOK, values
 from corvane.sources.readers import documents, frame_inventory, pipe_lines, table
 
@@ -551,6 +551,7 @@ SELECT doc_id, sent_pos, i FROM t WHERE pos = 'VERB' OR (tag <> 'NN' AND pos IN
     "group_indices": f"WITH {_FIND} SELECT lemma, {_MEANS} FROM f GROUP BY lemma",
     "category_indices": f'WITH {_FIND} SELECT "group", {_MEANS} FROM f WHERE NOT child GROUP BY "group"',
     "preceding_target": """SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM conversations""",
+    "load_tsv": f"WITH RECURSIVE {KEPT} SELECT 'FILTERED' AS category, sentence FROM kept",
     "load_labels": "SELECT CASE WHEN quality = 1 THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS label, doc_id::VARCHAR AS text FROM labels",
     "load_pipe_text": r"SELECT 'ITEM' AS category, trim(regexp_replace(text, '\s+', ' ', 'g')) AS sentence FROM benchmark",
     "frame_inventory_load": """SELECT row_number() OVER (ORDER BY n_name) - 1 AS pos, n_name AS term, -1 AS sign, 'seed' AS origin FROM nation UNION ALL VALUES (0, 'good', 1, 'seed'), (0, 'ok', 1, 'auto')""",

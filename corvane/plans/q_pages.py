@@ -560,6 +560,9 @@ SELECT page_id, url, CASE WHEN dots = '' AND simple = '' THEN '.' WHEN dots = ''
   || CASE WHEN raw IS NULL THEN '' ELSE '#' || replace(regexp_replace(lower(raw), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') END AS canonical FROM c""",
     "alias_redirects": f"""WITH {SITE}, a AS (SELECT page_id, slug, unnest([regexp_replace(slug, '[^/]*$', '') || 'old-name', 'moved/' || page_id]) AS alias_slug FROM site)
 SELECT alias_slug, slug AS target, repeat('../', len(string_split(alias_slug, '/')) - 2) || '../' || slug AS redirect FROM a""",
+    "content_index": f"WITH {SITE} SELECT slug, to_json({{'slug': slug, 'filePath': file_path, 'title': title, 'links': list_filter(links, lambda x, i: list_position(links, x) = i), 'tags': tags, 'content': content}})::VARCHAR AS document FROM site",
+    "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39)), '&amp;', '&'), '[\s\p{Z}\x85]+', ' ', 'g'), ' ') AS text FROM a""",
     "page_dates": f"""WITH {SITE} SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN date::TIMESTAMP END, date::TIMESTAMP, TIMESTAMP '2021-05-05') AS created,
  CASE WHEN page_id % 4 = 0 THEN TIMESTAMP '2022-01-01' ELSE coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05') END AS modified, strftime(coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05'), '%d %b %Y') AS published FROM site""",
     "remove_drafts": "SELECT page_id FROM pages WHERE page_id % 3 <> 0",
@@ -580,7 +583,7 @@ SELECT node, min(hop) AS hop FROM r GROUP BY node""",
     "file_changes": """SELECT url AS path, CASE WHEN page_id % 7 = 0 THEN 'delete' WHEN page_id % 5 = 0 THEN 'add' ELSE 'change' END AS type FROM pages WHERE (page_id % 7 = 0 AND page_id % 5 <> 0) OR (page_id % 5 = 0 AND page_id % 7 <> 0) OR (page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 3 = 0)""",
     "partial_emit": f"WITH {_LAST} SELECT 'page' AS emitter, key, type FROM l WHERE type <> 'delete' UNION ALL SELECT 'asset', key, type FROM l",
     "emit_changed": f"""WITH {_LAST}, n AS (SELECT key, tag FROM s WHERE key NOT IN (SELECT key FROM l) UNION ALL SELECT key, tag FROM l WHERE type <> 'delete'), k AS (SELECT tag FROM s WHERE key IN (SELECT key FROM l) UNION SELECT tag FROM l WHERE type <> 'delete'),
-c AS (SELECT tag, count(*) AS n FROM n GROUP BY tag) SELECT tag, n, 'partial' AS form FROM c WHERE tag IN (SELECT tag FROM k) UNION ALL SELECT tag, n, 'full' FROM c""",
+r AS (SELECT tag, count(*) AS n FROM n GROUP BY tag) SELECT tag, n, 'partial' AS form FROM r WHERE tag IN (SELECT tag FROM k) UNION ALL SELECT tag, n, 'full' FROM r""",
     "toc_entries": f"""WITH {_marked_sql()}, h AS (SELECT item_id, -1 AS i, 0 AS depth, 'T' AS title FROM benchmark UNION ALL SELECT item_id, i, 1, w FROM word WHERE i % 8 = 6),
 p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos, row_number() OVER (PARTITION BY item_id, lower(title) ORDER BY i) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM h)
 SELECT item_id, pos, depth, title, lower(title) || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM p WHERE n > 1""",

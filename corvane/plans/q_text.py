@@ -37,7 +37,7 @@ def protect_periods(spark, d):
 
 
 def split_sentences(spark, d):
-    return sent.sentences(documents(spark, d))
+    return sent.sentences(documents(spark, d)).withColumn("sent_pos", F.col("sent_pos").cast("long"))
 
 
 def split_sentences_simple(spark, d):
@@ -294,11 +294,24 @@ _NATION = "(SELECT lower(n_name) AS term FROM nation WHERE n_regionkey IN %s)"
 _ABBR = rf"'(^|[^\p{{L}}\p{{N}}_])({'|'.join(tx.ABBREVIATIONS)})\.'"
 _INITIAL = r"'(^|[^\p{L}\p{N}_])([A-Z])\.'"
 
+_PROTECTED = rf"""a AS (SELECT doc_id, regexp_replace(text, {_ABBR}, '\1\2<prd>', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, {_ABBR}, '\1\2<prd>', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS t FROM b), protected AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS protected FROM c)"""
+_MORE = " OR ".join(f"len(w) - len(replace(w, '{a}', '')) > len(w) - len(replace(w, '{b}', ''))" for a, b in ("()", "[]", "{}"))
+# the full splitter as a fold: one step a part, with what is still open as state
+KEPT = rf"""{_PROTECTED},
+cut AS (SELECT doc_id, string_split(regexp_replace(protected, '([.!?])[\s\p{{Z}}\x85]+([A-Z0-9"''“‘])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM protected),
+part AS MATERIALIZED (SELECT doc_id, unnest([trim(replace(x, '<prd>', '.'), ' ') FOR x IN p]) AS part, generate_subscripts(p, 1) AS i, len(p) AS n FROM cut),
+fold AS (SELECT doc_id, 0::BIGINT AS i, '' AS pending, NULL::VARCHAR AS done, 1::BIGINT AS n FROM documents UNION ALL
+  SELECT doc_id, i, CASE WHEN o THEN w ELSE '' END, CASE WHEN o THEN NULL ELSE w END, n FROM (SELECT *, {_MORE} OR regexp_matches(w, '\([A-Za-z]{{1,8}}\.$') AS o
+    FROM (SELECT fold.doc_id, part.i, part.n, CASE pending WHEN '' THEN part ELSE trim(pending || ' ' || part, ' ') END AS w FROM fold JOIN part ON part.doc_id = fold.doc_id AND part.i = fold.i + 1))),
+fits AS (SELECT doc_id, i, done AS sentence FROM fold WHERE regexp_matches(done, '^\p{{Lu}}(?s:.*)[.!?]$') UNION ALL SELECT doc_id, i + 1, pending FROM fold WHERE i = n AND pending <> ''),
+kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_pos, sentence FROM fits WHERE len(sentence) BETWEEN 40 AND 800 AND NOT contains(sentence, chr(10)))"""
+
 ORACLE_SQL = {
     "scan_documents": "SELECT doc_id, text FROM documents",
     "remove_noise": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^\x20-\x7E\n]', '', 'g'), ' {2,}', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, md5(t) AS clean_md5, len(t) AS n_clean FROM c",
-    "protect_periods": rf"""WITH a AS (SELECT doc_id, regexp_replace(text, {_ABBR}, '\1\2<prd>', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, {_ABBR}, '\1\2<prd>', 'g') AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS t FROM b) SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS protected FROM c""",
+    "protect_periods": f"WITH {_PROTECTED} SELECT * FROM protected",
+    "split_sentences": f"WITH RECURSIVE {KEPT} SELECT * FROM kept",
     "split_sentences_simple": f"WITH {SENT} SELECT doc_id, sent_pos, sentence FROM sent",
     "open_fragments": rf"""WITH {SENT.replace("sent AS", "plain AS", 1).replace("FROM sent)", "FROM plain)")}, sent AS (SELECT doc_id, sentence || {TAILS}[sent_pos % {len(TAILS)} + 1] AS sentence FROM plain) SELECT doc_id, count(*) AS n_open FROM sent WHERE len(sentence) - len(replace(sentence, '(', '')) > len(sentence) - len(replace(sentence, ')', ''))
   OR len(sentence) - len(replace(sentence, '[', '')) > len(sentence) - len(replace(sentence, ']', '')) OR len(sentence) - len(replace(sentence, '{{', '')) > len(sentence) - len(replace(sentence, '}}', ''))
