@@ -37,6 +37,17 @@ def test_pairs_match_brute_force(spark):
     assert {(x["doc_id"], x["target"], x["collocate"]) for x in assoc.sentence_pairs(df, ["tee", "vee"]).collect()} == want
 
 
+def test_a_long_sentence_takes_linear_time(spark):
+    import time
+
+    words = [f"word{i % 9000}" for i in range(40_000)] + ["tee"]
+    df = spark.createDataFrame([(1, 0, words), (2, 0, ["tee"]), (3, 0, [])], "doc_id long, sent_pos int, words array<string>")
+    at = time.perf_counter()
+    counts = {(r["kind"], r["a"], r["b"]): r["n"] for r in assoc.sentence_counts(df, ["tee"]).collect()}
+    assert time.perf_counter() - at < 10
+    assert counts["t", "", ""] == 3 and counts["w", "tee", ""] == 2 and sum(k[0] == "p" for k in counts) == 9000
+
+
 def test_candidates_keep_row_of_best_score(spark):
     rows = [("m1", "minority", "x", 9.0, 3.0), ("m2", "minority", "x", 9.5, 2.0), ("d1", "dominant", "x", 1.0, 9.0), ("m1", "minority", "y", 2.0, 1.0), ("d1", "dominant", "z", 9.0, 1.0), ("m1", "minority", "z", 8.0, 1.0)]
     s = spark.createDataFrame(rows, "target string, group_type string, collocate string, llr double, logdice double")
