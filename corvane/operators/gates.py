@@ -102,6 +102,20 @@ def extraction_report(routed: DataFrame) -> DataFrame:
     )
 
 
+def scan_counters(docs: DataFrame, terms: list[str], c: ExtractionConfig = ExtractionConfig(), col: str = "text") -> DataFrame:
+    """One row: documents, documents past the gate, their sentences, and those past the gate. One scan, nothing exploded."""
+    past = lambda x: F.coalesce(x.rlike(tx.gate_pattern(terms)), F.lit(False))
+    d = docs.select(past(F.col(col)).alias("open"), F.col(col).alias("text"))
+    d = d.withColumn("sentences", F.when(F.col("open"), tx.split_sentences(F.col("text"), c.min_sentence, c.max_sentence)))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return d.agg(
+        F.count("*").alias("documents_total"),
+        F.count_if("open").alias("documents_lexical"),
+        total(F.coalesce(F.size("sentences"), F.lit(0))).alias("total_sentences"),
+        total(F.coalesce(F.size(F.filter("sentences", past)), F.lit(0))).alias("lexical_hits"),
+    )
+
+
 def report_samples(routed: DataFrame, key: list[str], most: int = 15) -> DataFrame:
     """The first rows, by key, of what was rejected, kept and sent to review: at most `most` of each."""
     out = None

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corvane.config import ExtractionConfig
 from corvane.functions import text as tx
 from corvane.operators import gates, models, sentences, vectors
+from corvane.sources import sinks
+from corvane.sources.scratch import settle
 
 
 def lexical_hits(docs: DataFrame, terms: list[str], c: ExtractionConfig = ExtractionConfig()) -> DataFrame:
@@ -37,3 +39,26 @@ def extract(docs: DataFrame, terms: list[str], heads: list[str], encoder: vector
     flags = gates.review_flags(F.col("bucket"), F.col("pos"), F.col("margin"), F.col("probability"), F.col("noise_flags"), c)
     r4 = [F.round(x, 4).alias(x) for x in ("pos", "neg", "margin", "probability")]
     return routed.select("doc_id", "sent_pos", "sentence", *r4, "bucket", "noise_flags", "decision", F.when(F.col("decision") == "review", flags).alias("review_flags"))
+
+
+
+SHOWN = {"pos": "semantic_pos", "neg": "semantic_neg", "margin": "semantic_margin", "probability": "relevant_probability"}
+
+
+def run(docs: DataFrame, terms: list[str], heads: list[str], encoder: vectors.Encoder, positive: list[str], negative: list[str], model, folder: str, c: ExtractionConfig = ExtractionConfig()) -> dict[str, str]:
+    """The whole run: kept and review sheets, the lexical hits as lines, and the report, each below the folder; returns their paths.
+
+    Routed rows are written once and read by every sink.
+    """
+    routed = settle(extract(docs, terms, heads, encoder, positive, negative, model, c))
+    paths = {name: f"{folder}/{name}" for name in ("kept", "review", "lexical_hits", "report")}
+    kept = routed.filter("decision = 'keep'").withColumnsRenamed(SHOWN).select("sentence", *SHOWN.values())
+    review = gates.review_rows(routed).withColumnsRenamed(SHOWN).select("bucket", "review_flags", "sentence", *SHOWN.values())
+    sinks.write_tsv(kept, folder, "kept")
+    sinks.write_tsv(review, folder, "review")
+    sinks.write_lines(routed, paths["lexical_hits"])
+    flags = lambda f: F.count_if((F.col("decision") == "review") & F.array_contains("review_flags", f)).alias(f"review_{f}")
+    of_review = routed.agg(*[flags(f) for f in ("low_margin", "high_semantic_low_classifier", "semantic_rescue", "lexical_human_rescue", "classifier_borderline")])
+    report = gates.scan_counters(docs, terms, c).join(gates.extraction_report(routed.withColumn("noise", F.size("noise_flags") > 0))).join(of_review)  # one row each
+    sinks.write_report(report, paths["report"])
+    return paths

@@ -207,6 +207,10 @@ def extraction_report(spark, d):
     return gates.extraction_report(_routed(spark, d))
 
 
+def scan_counters(spark, d):
+    return gates.scan_counters(documents(spark, d), GATE)
+
+
 def report_samples(spark, d):
     return gates.report_samples(_routed(spark, d), ["vec_id"]).select("vec_id", "sample")
 
@@ -255,7 +259,7 @@ QUERIES = {f.__name__: f for f in (
     scan_documents, remove_noise, protect_periods, split_sentences, split_sentences_simple, open_fragments, tokenize_words, normalize_surface, candidate_forms,
     surface_variants, match_inventory, focus_context, focus_text, srl_marker_rows, prompt_bank, html_escape, reading_time, search_tokenize, query_terms,
     doc_lexical_gate, sentence_lexical_gate, lexical_hits, gate_terms, strong_terms, noise_flags, lexical_human_rescue, semantic_buckets, keep_review_drop,
-    review_flags, review_rows, extraction_report, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_report, signed_association,
+    review_flags, review_rows, extraction_report, scan_counters, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_report, signed_association,
     find_candidates, delta_association,
 )}
 
@@ -311,6 +315,8 @@ ORACLE_SQL = {
     "scan_documents": "SELECT doc_id, text FROM documents",
     "remove_noise": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[^\x20-\x7E\n]', '', 'g'), ' {2,}', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, md5(t) AS clean_md5, len(t) AS n_clean FROM c",
     "protect_periods": f"WITH {_PROTECTED} SELECT * FROM protected",
+    "scan_counters": f"""WITH RECURSIVE {KEPT}, g AS (SELECT doc_id FROM documents WHERE {GATE_SQL % 'text'}), k AS (SELECT sentence FROM kept WHERE doc_id IN (SELECT doc_id FROM g))
+SELECT (SELECT count(*) FROM documents) AS documents_total, (SELECT count(*) FROM g) AS documents_lexical, count(*) AS total_sentences, count_if({GATE_SQL % 'sentence'})::BIGINT AS lexical_hits FROM k""",
     "split_sentences": f"WITH RECURSIVE {KEPT} SELECT * FROM kept",
     "split_sentences_simple": f"WITH {SENT} SELECT doc_id, sent_pos, sentence FROM sent",
     "open_fragments": rf"""WITH {SENT.replace("sent AS", "plain AS", 1).replace("FROM sent)", "FROM plain)")}, sent AS (SELECT doc_id, sentence || {TAILS}[sent_pos % {len(TAILS)} + 1] AS sentence FROM plain) SELECT doc_id, count(*) AS n_open FROM sent WHERE len(sentence) - len(replace(sentence, '(', '')) > len(sentence) - len(replace(sentence, ')', ''))

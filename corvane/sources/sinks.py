@@ -45,8 +45,8 @@ def write_by(df: DataFrame, path: str, *keys: str, mode: str = "errorifexists")
     df.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def inventory_json(inventory: DataFrame, note: str, today: Column | None = None) -> DataFrame:
-    """One JSON document of an inventory (term, sign, origin): sorted term lists."""
+def inventory_json(inventory: DataFrame, note: str, today: Column | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """One JSON document of an inventory (term, sign, origin): sorted term lists, and the candidates (a few rows, by term) with all that is known of them."""
     own = lambda sign, origin: F.sort_array(F.collect_set(F.when((F.col("sign") == sign) & (F.col("origin") == origin), F.col("term"))))
     doc = F.struct(
         (F.current_date() if today is None else today).cast("string").alias("last_updated"),
@@ -56,7 +56,15 @@ def inventory_json(inventory: DataFrame, note: str, today: Column | None = None)
         own(-1, "auto").alias("auto_negative_terms"),
         own(1, "auto").alias("auto_positive_terms"),
     )
-    return inventory.agg(F.to_json(doc).alias("value"))
+    if candidates is None:
+        return inventory.agg(F.to_json(doc).alias("value"))
+    rows = candidates.agg(F.array_sort(F.collect_list(F.struct("term", *[c for c in candidates.columns if c != "term"]))).alias("candidates"))
+    return inventory.agg(doc.alias("doc")).join(F.broadcast(rows)).select(F.to_json(F.struct("doc.*", "candidates")).alias("value"))
+
+
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A one-row table as one JSON document."""
+    report.coalesce(1).write.mode(mode).json(path)
 
 
 def inputs_key(*parts: str) -> str:

@@ -248,3 +248,43 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert sinks.snapshot(spark, str(tmp_path), key, build).count() == 3
     assert len(n) == 1 and sinks.inputs_key("path", "v2") != key
+
+
+def test_markdown_transforms(spark, tmp_path):
+    (tmp_path / "n.md").write_text(" {{x}} ==hot== %%gone%%\n")
+    got = readers.markdown_files(spark, str(tmp_path), transforms=(markup.strip_comments, markup.hugo_rewrite, markup.rewrite_inline)).first()
+    assert got["text"] == "x <mark>hot</mark> "
+
+
+def test_inventory_with_candidates(spark):
+    import json
+
+    inv = spark.createDataFrame([("b", -1, "seed")], "term string, sign int, origin string")
+    cand = spark.createDataFrame([("y", 2.5, ["m"]), ("x", 1.5, [])], "term string, score double, found_with array<string>")
+    doc = json.loads(sinks.inventory_json(inv, "note", candidates=cand).first()[0])
+    assert doc["seed_negative_terms"] == ["b"] and doc["candidates"] == [{"term": "x", "score": 1.5, "found_with": []}, {"term": "y", "score": 2.5, "found_with": ["m"]}]
+
+
+def test_partitioned_sink(spark, tmp_path):
+    sinks.write_by(spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, x int"), str(tmp_path / "by"), "k")
+    assert {p.name for p in (tmp_path / "by").iterdir() if p.is_dir()} == {"k=a", "k=b"}
+    assert spark.read.parquet(str(tmp_path / "by")).count() == 3
+
+
+def test_extraction_run_writes_sheets_and_report(spark, tmp_path):
+    import json
+
+    from corvane.operators import models
+    from corvane.operators import vectors as vec
+    from corvane.plans import extract as ex
+
+    enc = vec.HashEncoder(16)
+    labelled = spark.createDataFrame([("north wind blows cold", "RELEVANT"), ("north sea is cold", "RELEVANT"), ("a recipe for soup", "IRRELEVANT"), ("a list of names", "IRRELEVANT")], "sentence string, label string")
+    model = models.train_classifier(vec.encode(labelled, enc, "sentence"))
+    docs = spark.createDataFrame([(1, "The north wind blows cold over all the houses today. Nothing of note happened here in the south at all."), (2, "No such word here."), (3, None)], "doc_id long, text string")
+    paths = ex.run(docs, ["north"], ["wind"], enc, ["north wind blows cold"], ["soup recipe"], model, str(tmp_path))
+    report = json.loads(spark.read.text(paths["report"]).first()[0])
+    assert (report["documents_total"], report["documents_lexical"], report["total_sentences"], report["lexical_hits"], report["hits"]) == (3, 1, 2, 1, 1)
+    assert [r[0] for r in spark.read.text(paths["lexical_hits"]).collect()] == ["The north wind blows cold over all the houses today."]
+    sheets = [spark.read.csv(paths[x], sep="\t", header=True) for x in ("kept", "review")]
+    assert sum(s.count() for s in sheets) == report["kept"] + report["review"] and "semantic_margin" in sheets[0].columns + sheets[1].columns
