@@ -158,7 +158,7 @@ def reported_groups(spark, d):
 # ---- mentions ----
 def annotate_tokens(spark, d):
     a = ann.annotate(sent.sentences_simple(documents(spark, d)), ann.RuleAnnotator())
-    return ann.token_rows(a, ["doc_id", "sent_pos"])
+    return ann.token_rows(a, ["doc_id", "sent_pos"]).withColumns({c: F.col(c).cast("long") for c in ("sent_pos", "i", "head_i")})
 
 
 def _annotated(spark, d):
@@ -517,6 +517,11 @@ SELECT label, count(*) AS n, round(avg(assoc), 4) AS mean, round(coalesce(stddev
 w AS (SELECT doc_id, sent_pos, t, lead(t, 1) OVER o AS gap, lead(t, 2) OVER o AS nxt FROM m WINDOW o AS (PARTITION BY doc_id, sent_pos ORDER BY i)),
 l AS (SELECT DISTINCT doc_id, sent_pos, CASE WHEN t = 'with' AND nxt = 'the' AND regexp_full_match(gap, '[\s-]+') THEN 'with the' ELSE t END AS lemma FROM w WHERE t IN ('with', 'from'))
 SELECT doc_id, lemma, count(*) AS n FROM l GROUP BY ALL""",
+    "annotate_tokens": f"WITH {SENT}, {_TOKENS} SELECT doc_id, sent_pos, i, text, l AS lemma, CASE WHEN regexp_matches(text, '^\\p{{L}}') THEN 'NOUN' ELSE 'PUNCT' END AS pos, '' AS tag, NULL::VARCHAR AS dep, i AS head_i, '' AS ent_type FROM rl",
+    "ols": """WITH p AS (SELECT label, avg(embedding[1]::DOUBLE) AS y, avg(embedding[2]::DOUBLE) AS a, avg(embedding[3]::DOUBLE) AS b FROM embeddings GROUP BY label),
+s AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, var_pop(y) * count(*) AS yy, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_ FROM p),
+f AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS b1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS b2 FROM s)
+SELECT n::INT AS n, round(my - b1 * ma - b2 * mb, 4) AS intercept, round((b1 * ay + b2 * by_) / yy, 4) AS r2, round(b1, 4) AS b_d1, round(b2, 4) AS b_d2 FROM f""",
     "ols_single": "SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2 FROM lineitem",
     "reported_groups": f"WITH {TOK} SELECT lemma, count(*) AS total FROM (SELECT DISTINCT doc_id, sent_pos, word AS lemma FROM tok WHERE word IN ('from', 'with', 'is', 'the')) GROUP BY lemma HAVING count(*) >= 50",
     "group_base": f"{_BASE.replace('@LEX@', _PRIORITY)} SELECT word, base FROM m WHERE rn = 1",

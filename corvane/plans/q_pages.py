@@ -563,6 +563,11 @@ SELECT alias_slug, slug AS target, repeat('../', len(string_split(alias_slug, '/
     "content_index": f"WITH {SITE} SELECT slug, to_json({{'slug': slug, 'filePath': file_path, 'title': title, 'links': list_filter(links, lambda x, i: list_position(links, x) = i), 'tags': tags, 'content': content}})::VARCHAR AS document FROM site",
     "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39)), '&amp;', '&'), '[\s\p{Z}\x85]+', ' ', 'g'), ' ') AS text FROM a""",
+    "page_description": rf"""WITH {SITE}, e AS (SELECT page_id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') AS t FROM site),
+b AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(t, '(https?://)?(([\da-z.-]+)\.([a-z.]{{2,6}})(:\d+)?)([/\w.-]*)(\?[/\w.=&;-]*)?', '\2\6', 'g'), '[\s\p{{Z}}\x85]+', ' ', 'g'), '\.\s') AS a FROM e),
+p AS (SELECT page_id, unnest(a) AS s, generate_subscripts(a, 1) AS k FROM b), q AS (SELECT *, CASE WHEN ends_with(s, '.') THEN s ELSE s || '.' END AS s2 FROM p), r AS (SELECT *, sum(len(s2) + 1) OVER (PARTITION BY page_id ORDER BY k) - 1 AS total FROM q),
+f AS (SELECT page_id, min(k) FILTER (s = '' OR (k > 1 AND total > 150)) AS stop FROM r GROUP BY page_id), d AS (SELECT page_id, coalesce(string_agg(s2, ' ' ORDER BY k) FILTER (stop IS NULL OR k < stop), '') AS d FROM r JOIN f USING (page_id) GROUP BY page_id)
+SELECT page_id, CASE WHEN len(d) > 300 THEN d[:300] || '...' ELSE d END AS description FROM d""",
     "page_dates": f"""WITH {SITE} SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN date::TIMESTAMP END, date::TIMESTAMP, TIMESTAMP '2021-05-05') AS created,
  CASE WHEN page_id % 4 = 0 THEN TIMESTAMP '2022-01-01' ELSE coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05') END AS modified, strftime(coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05'), '%d %b %Y') AS published FROM site""",
     "remove_drafts": "SELECT page_id FROM pages WHERE page_id % 3 <> 0",

@@ -158,7 +158,7 @@ def noise_flags(spark, d):
 
 def lexical_human_rescue(spark, d):
     s = sent.sentences_simple(documents(spark, d))
-    return s.filter(tx.lexical_human_rescue(F.col("sentence"), GATE, ["the", "people", "person"])).select("doc_id", "sent_pos", "sentence")
+    return s.filter(tx.lexical_human_rescue(F.col("sentence"), GATE, ["the", "people", "person"])).select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "sentence")
 
 
 # ---- semantic scores over the embeddings table stand in for an encoder ----
@@ -300,6 +300,7 @@ _INITIAL = r"'(^|[^\p{L}\p{N}_])([A-Z])\.'"
 
 _PROTECTED = rf"""a AS (SELECT doc_id, regexp_replace(text, {_ABBR}, '\1\2<prd>', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, {_ABBR}, '\1\2<prd>', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS t FROM b), protected AS (SELECT doc_id, regexp_replace(t, {_INITIAL}, '\1\2<prd>', 'g') AS protected FROM c)"""
+_GAP = r"""[\s\p{Z}\x85,;''"“”‘’()\[\]-]+"""
 _MORE = " OR ".join(f"len(w) - len(replace(w, '{a}', '')) > len(w) - len(replace(w, '{b}', ''))" for a, b in ("()", "[]", "{}"))
 # the full splitter as a fold: one step a part, with what is still open as state
 KEPT = rf"""{_PROTECTED},
@@ -351,6 +352,8 @@ SELECT item_id, string_agg(t, '|' ORDER BY len(t) DESC, t) AS terms FROM t GROUP
     "strong_terms": f"{_NATION % '(0, 1, 2)'} EXCEPT {_NATION % '(2, 3)'}",
     "noise_flags": r"""SELECT page_id, array_to_string([x FOR x IN [CASE WHEN regexp_matches(html, ',\s*\d{1,4}\.\n?$') THEN 'index_page_ref' END, CASE WHEN regexp_matches(html, 'https?://|www\.|<[^>]+>') THEN 'url_or_markup' END,
  CASE WHEN regexp_matches(html, '(?i)(?:^|[^\p{L}\p{N}_])(?:ISBN|DOI|Journal|Proceedings|University Press|chapter|edited by|published by)(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_])(?:Vol|No|Nr)\.[\p{L}\p{N}_]') THEN 'bibliographic' END] IF x IS NOT NULL], ',') AS flags FROM pages""",
+    "lexical_human_rescue": rf"""WITH {SENT} SELECT doc_id, sent_pos, sentence FROM sent WHERE regexp_matches(sentence, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:released under|license|threat|with|from)(?:{_GAP}[\p{{L}}\p{{N}}_]+){{0,3}}{_GAP}(?:the|people|person)(?:$|[^\p{{L}}\p{{N}}_])')
+  OR (regexp_matches(sentence, '(?:^|[^\p{{L}}\p{{N}}_])[A-Z]?[a-z]+(?:{tx.SUFFIXES})(?:$|[^\p{{L}}\p{{N}}_])') AND regexp_matches(sentence, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:released under|license|threat|with|from)(?:{tx.SUFFIXES})(?:$|[^\p{{L}}\p{{N}}_])'))""",
     "semantic_buckets": f"WITH {BUCKET_SQL} SELECT vec_id, bucket FROM bucketed",
     "keep_review_drop": f"WITH {ROUTED_SQL} SELECT vec_id, bucket, decision FROM routed",
     "review_flags": f"""WITH {ROUTED_SQL}, f AS (SELECT vec_id, [x FOR x IN [CASE WHEN bucket = 'SEMANTIC_RESCUE' THEN 'semantic_rescue' END, CASE WHEN bucket = 'LEXICAL_HUMAN_RESCUE' THEN 'lexical_human_rescue' END,
