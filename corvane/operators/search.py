@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +19,21 @@ def postings(pages: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return out.groupBy(key, "field", "term").agg(F.count("*").alias("n"))
 
 
-def match(index: DataFrame, key: str, query: list[str], field: str) -> DataFrame:
-    """Documents whose field holds, for every query word, a term that begins with it."""
-    hit = index.filter((F.col("field") == field))
+def matches(index: DataFrame, key: str, query: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """key, field: documents whose field holds, for every query word, a term that begins with it. One scan serves all fields."""
     starts = [F.startswith("term", F.lit(q)) for q in query]
-    any_ = starts[0]
-    for s in starts[1:]:
-        any_ = any_ | s
-    n = sum((F.max(s.cast("int")) for s in starts[1:]), F.max(starts[0].cast("int")))
-    return hit.filter(any_).groupBy(key).agg(n.alias("k")).filter(F.col("k") == len(query)).select(key)
+    any_ = reduce(lambda a, b: a | b, starts)
+    every = reduce(lambda a, b: a & b, [F.bool_or(s) for s in starts])
+    hit = index.filter(F.col("field").isin(list(fields)) & any_).groupBy(key, "field").agg(every.alias("all"))
+    return hit.filter("all").select(key, "field")
 
 
 def search(index: DataFrame, key: str, query: list[str], fields: tuple[str, ...] = ("title", "content", "tags"), limit: int = 8) -> DataFrame:
     """key, rank: first `limit` of each field in turn, a document once, by its first field."""
-    out = None
-    for i, f in enumerate(fields):
-        p = match(index, key, query, f).orderBy(key).limit(limit).withColumn("rank", F.lit(i))
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy(key).agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(key))  # a group limit, so each task sends `limit` rows a field
+    found = matches(index, key, query, fields).withColumn("place", place).filter(F.col("place") <= limit)
+    rank = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field")) - 1
+    return found.groupBy(key).agg(F.min(rank).cast("int").alias("rank"))
 
 
 def search_tag(index: DataFrame, tags: DataFrame, key: str, tag: str, query: list[str], limit: int = 8) -> DataFrame:
@@ -46,14 +45,16 @@ def search_tag(index: DataFrame, tags: DataFrame, key: str, tag: str, query: lis
 def excerpt(docs: DataFrame, key: str, text: str, terms: list[str], width: int = 30) -> DataFrame:
     """key, start, hits, excerpt: the window of `width` words with most hits, the last one on a tie; twice the width is shown from `width` before it."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    hit = lambda w: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(w), t))
+    hit = lambda w: reduce(lambda a, b: a | b, [F.contains(F.lower(w), F.lit(t)) for t in terms])
     d = docs.select(key, words.alias("w"))
-    t = d.select(key, F.posexplode("w").alias("i", "x")).withColumn("hit", hit(F.col("x")).cast("int"))
-    s = t.withColumn("hits", F.sum("hit").over(Window.partitionBy(key).orderBy("i").rowsBetween(0, width - 1)))
-    best = s.groupBy(key).agg(F.max(F.struct("hits", "i")).alias("b"))
-    j = d.join(best, key)
-    start = F.greatest(F.col("b.i") - width, F.lit(0))
-    return j.select(key, start.alias("start"), F.col("b.hits").alias("hits"), F.array_join(F.slice("w", start + 1, F.lit(2 * width)), " ").alias("excerpt"))
+    # a best window begins at a hit, or anywhere if there is none, so only hits leave their row
+    at = F.filter(F.transform("w", lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
+    near = Window.partitionBy(key).orderBy("i").rangeBetween(0, width - 1)
+    each = d.select(key, F.explode(at).alias("i")).withColumn("hits", F.count("*").over(near))
+    best = each.groupBy(key).agg(F.max(F.struct("hits", "i")).alias("b"))
+    j = d.filter(F.size("w") > 0).join(best, key, "left")
+    start = F.greatest(F.coalesce("b.i", F.size("w") - 1) - width, F.lit(0))
+    return j.select(key, start.alias("start"), F.coalesce("b.hits", F.lit(0)).alias("hits"), F.array_join(F.slice("w", start + 1, F.lit(2 * width)), " ").alias("excerpt"))
 
 
 def highlight(text: Column, terms: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:

@@ -332,12 +332,18 @@ def _findings(spark, d):
     return rl.extract_roles(rl.label_roles(_parsed(spark, d), _Labeller()), LEX, _Words()).select("doc_id", "sent_pos", F.inline("findings"))
 
 
+def _flat(df):
+    """Findings without arrays."""
+    return df.withColumns({"sent_pos": F.col("sent_pos").cast("long"), "roles": F.array_join(F.array_sort("roles"), ","), "role_review_flags": F.array_join("role_review_flags", ",")})
+
+
 def extract_roles(spark, d):
-    return _findings(spark, d)
+    return _flat(_findings(spark, d))
 
 
 def anaphora(spark, d):
-    return _findings(spark, d).filter(F.array_contains("role_review_flags", "anaphora_resolved") | (F.col("subjecthood") == 0)).select("doc_id", "sent_pos", "token_i", "lemma", "subjecthood")
+    f = _findings(spark, d).filter(F.array_contains("role_review_flags", "anaphora_resolved") | (F.col("subjecthood") == 0))
+    return f.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "token_i", "lemma", "subjecthood")
 
 
 def _analysis(spark, d):
@@ -352,7 +358,8 @@ def sentence_metrics(spark, d):
 
 
 def sentence_review(spark, d):
-    return rl.sentence_review(rl.sentence_metrics(_findings(spark, d), ["doc_id", "sent_pos"]))
+    r = rl.sentence_review(rl.sentence_metrics(_findings(spark, d), ["doc_id", "sent_pos"]))
+    return r.withColumns({"sent_pos": F.col("sent_pos").cast("long"), "role_review_flags": F.array_join("role_review_flags", ",")})
 
 
 def candidate_report(spark, d):
@@ -495,6 +502,28 @@ SELECT doc_id, sent_pos, CASE WHEN n = 1 THEN lemma END AS lemma, f.l AS term, C
  CASE WHEN n IS NULL THEN 'unbound_frame_term' ELSE array_to_string([x FOR x IN [CASE WHEN n > 1 THEN 'ambiguous_frame_target' END, CASE WHEN corrected THEN 'correction_denial' END, CASE WHEN negated THEN 'frame_negated' END] IF x IS NOT NULL], ',') END AS flags
 FROM fr f JOIN scope USING (doc_id, sent_pos, i) LEFT JOIN best USING (doc_id, sent_pos, i)"""
 _SHOWN = "term || CASE WHEN sign < 0 THEN '(-)' ELSE '(+)' END"
+_BE = "('was', 'are', 'is')"
+_HERE = "{0}.doc_id = {1}.doc_id AND {0}.sent_pos = {1}.sent_pos"
+_SAID = {"quotation": mn.QUOTES, "negation": mn.NEGATIONS, "reported_speech": mn.REPORTING, "contrast": mn.CONTRASTS, "correction_denial": mn.CORRECTIONS}
+# the stand-ins' tree, labels and similarities, then the role decisions as columns
+_ROLES = f"""WITH {SENT}, {_TOKENS}, t0 AS (SELECT *, l IN {_BE} AS be, coalesce(lag(l) OVER o IN {_BE}, FALSE) AS after_be, coalesce(lead(l) OVER o IN {_BE}, FALSE) AS before_be, lag(l) OVER o AS prev, lead(l) OVER o AS next FROM rl WINDOW o AS (PARTITION BY doc_id, sent_pos ORDER BY i)),
+tk AS MATERIALIZED (SELECT *, CASE WHEN be THEN 'ROOT' WHEN after_be THEN 'dobj' WHEN before_be THEN 'nsubj' ELSE 'x' END AS dep, CASE WHEN be THEN i WHEN after_be THEN i - 1 WHEN before_be THEN i + 1 ELSE i END AS head FROM t0),
+sn AS (SELECT doc_id, sent_pos, count(*) AS n, [x FOR x IN [{', '.join(f"CASE WHEN bool_or(l IN ({_CUES(v)})) THEN '{k}' END" for k, v in _SAID.items())}] IF x IS NOT NULL] AS said FROM tk GROUP BY ALL),
+mg AS (SELECT doc_id, sent_pos, count(DISTINCT lemma) > 1 AS several FROM men GROUP BY ALL),
+pr AS (SELECT doc_id, sent_pos, f, bool_or(dep = 'nsubj') AS np, bool_or(dep = 'dobj') AS dp FROM (SELECT p.*, (SELECT max(token_i) FROM men WHERE {_HERE.format('men', 'p')} AND men.token_i < p.i) AS f FROM tk p WHERE l IN ({_CUES(rl.PRONOUNS)})) WHERE f IS NOT NULL GROUP BY ALL),
+ev AS (SELECT m.doc_id, m.sent_pos, m.token_i, m.text, m.lemma, m.group_type, k.dep, h.text AS head_verb, h.l AS head_lemma, k.before_be AS s_agi, k.after_be AS s_pi, CASE WHEN k.after_be AND k.before_be THEN CASE WHEN k.prev = k.next THEN k.prev ELSE least(k.prev, k.next) || ', ' || greatest(k.prev, k.next) END WHEN k.after_be THEN k.prev WHEN k.before_be THEN k.next ELSE 'null' END AS predicates,
+  EXISTS (SELECT 1 FROM tk q WHERE {_HERE.format('q', 'h')} AND q.i BETWEEN h.i - 3 AND h.i - 1 AND q.l IN ('not', 'n''t', 'never', 'without')) OR EXISTS (SELECT 1 FROM tk c WHERE {_HERE.format('c', 'h')} AND c.head = h.i AND c.i <> h.i AND c.l IN ('not', 'n''t', 'never', 'no')) AS neg,
+  sn.n, CASE sn.n % 3 WHEN 0 THEN 'agi' WHEN 1 THEN 'pi' ELSE 'si' END AS d, CASE WHEN several THEN list_append(said, 'multi_group_sentence') ELSE said END AS said, coalesce(np, FALSE) AS np, coalesce(dp, FALSE) AS dp
+  FROM men m JOIN tk k ON {_HERE.format('k', 'm')} AND k.i = m.token_i JOIN tk h ON {_HERE.format('h', 'm')} AND h.i = k.head JOIN sn ON {_HERE.format('sn', 'm')} JOIN mg ON {_HERE.format('mg', 'm')} LEFT JOIN pr ON {_HERE.format('pr', 'm')} AND pr.f = m.token_i),
+r0 AS (SELECT *, NOT neg AND s_agi AND d = 'agi' AS r_agi, NOT neg AND d = 'pi' AND (s_pi OR dep IN ('dobj', 'nsubj')) AS r_pi, NOT neg AND d = 'si' AS r_si FROM ev),
+r1 AS (SELECT *, r_agi OR (np AND d = 'agi') AS a_agi, r_pi OR (np AND d = 'pi') OR dp AS a_pi, r_si OR (np AND d = 'si') AS a_si, (np AND NOT CASE d WHEN 'agi' THEN r_agi WHEN 'pi' THEN r_pi ELSE r_si END) OR (dp AND NOT r_pi) AS gave FROM r0),
+findings AS MATERIALIZED (SELECT doc_id, sent_pos, text AS token, token_i::INT AS token_i, lemma, group_type AS "group", dep, FALSE AS is_mwe_child, dep AS effective_dep, head_verb, head_lemma AS head_verb_lemma, predicates AS srl_predicates, 'null' AS srl_suppressed_agency,
+  CASE WHEN s_agi OR s_pi THEN 'srl+proto' ELSE 'proto' END AS role_source, CASE WHEN gave THEN 0.6::DOUBLE WHEN s_agi OR s_pi THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS role_confidence,
+  array_to_string(list_sort(list_distinct(list_concat(said, [x FOR x IN [CASE WHEN neg THEN 'negation_scope_blocked' END, CASE WHEN NOT neg AND s_agi AND d <> 'agi' THEN 'srl_arg0_nonagentive' END, CASE WHEN NOT neg AND s_pi AND d <> 'pi' THEN 'srl_patient_unconfirmed' END,
+    CASE WHEN gave OR (np AND d <> 'agi') THEN 'anaphora_resolved' END, CASE WHEN np AND d <> 'agi' THEN 'subject_nonagentive' END, CASE WHEN NOT (a_agi OR a_pi OR a_si) THEN 'no_clear_semantic_role' END] IF x IS NOT NULL]))), ',') AS role_review_flags,
+  'local_prototype_diagnostic' AS atti_source, 0.3::DOUBLE AS atti_neg_sim, 0.2::DOUBLE AS atti_pos_sim, CASE d WHEN 'agi' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS dim_agi_sim, CASE d WHEN 'pi' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS dim_pi_sim, CASE d WHEN 'si' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS dim_si_sim,
+  array_to_string([x FOR x IN [CASE WHEN a_agi THEN 'AgI' END, CASE WHEN a_pi THEN 'PI' END, CASE WHEN a_si THEN 'SI' END, CASE WHEN n % 2 = 1 THEN 'negAttI' ELSE 'posAttI' END] IF x IS NOT NULL], ',') AS roles,
+  (dep = 'nsubj' OR np)::INT AS subjecthood, a_agi::INT AS agi, a_pi::INT AS pi, a_si::INT AS si, (n % 2 = 1)::INT AS neg_atti, (n % 2 = 0)::INT AS pos_atti FROM r1)"""
 _FIND = """f AS (SELECT event_type AS lemma, CASE WHEN user_id % 3 = 0 THEN 'minority' ELSE 'dominant' END AS "group", event_id % 7 = 0 AS child, (event_id % 2 = 0)::INT AS subjecthood, (event_id % 3 = 0)::INT AS agi,
   (event_id % 5 = 0)::INT AS pi, (event_id % 11 = 0)::INT AS si, (event_id % 13 = 0)::INT AS neg_atti, (event_id % 17 = 0)::INT AS pos_atti FROM events)"""
 _MEANS = "count(*) AS total, " + ", ".join(f"round(avg({c}), 3) AS {c}" for c in ("subjecthood", "agi", "pi", "si", "neg_atti", "pos_atti"))
@@ -552,6 +581,11 @@ c AS (SELECT g.doc_id, g.sent_pos, g.i AS gi, f.i AS fi, CASE WHEN f.word IS NUL
 SELECT doc_id, sent_pos, score AS association FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY abs(score) DESC, gi, fi) = 1""",
     "predicate_candidates": f"""WITH {TOK}, t AS (SELECT *, ['VERB', 'NOUN', 'ADJ', 'AUX'][len(word) % 4 + 1] AS pos, ['VBN', 'NN', 'VBG'][len(word) % 3 + 1] AS tag FROM tok)
 SELECT doc_id, sent_pos, i FROM t WHERE pos = 'VERB' OR (tag <> 'NN' AND pos IN ('ADJ', 'AUX')) OR (pos = 'ADJ' AND EXISTS (SELECT 1 FROM t c WHERE c.doc_id = t.doc_id AND c.sent_pos = t.sent_pos AND c.i = t.i + 1 AND c.word = 'was'))""",
+    "extract_roles": f"{_ROLES} SELECT * FROM findings",
+    "anaphora": f"{_ROLES} SELECT doc_id, sent_pos, token_i, lemma, subjecthood FROM findings WHERE contains(role_review_flags, 'anaphora_resolved') OR subjecthood = 0",
+    "sentence_review": f"""{_ROLES}, fl AS (SELECT DISTINCT doc_id, sent_pos, unnest(string_split(role_review_flags, ',')) AS x FROM findings), u AS (SELECT doc_id, sent_pos, string_agg(x, ',' ORDER BY x) FILTER (x <> '') AS role_review_flags FROM fl GROUP BY ALL),
+s AS (SELECT doc_id, sent_pos, sum(subjecthood)::BIGINT AS subjecthood, sum(agi)::BIGINT AS agi, sum(pi)::BIGINT AS pi, sum(si)::BIGINT AS si, sum(neg_atti)::BIGINT AS neg_atti, sum(pos_atti)::BIGINT AS pos_atti, string_agg(token, ', ' ORDER BY token_i) AS targets, round(min(role_confidence), 3) AS role_confidence_min FROM findings GROUP BY ALL)
+SELECT doc_id, sent_pos, subjecthood, agi, pi, si, neg_atti, pos_atti, targets, coalesce(role_review_flags, '') AS role_review_flags, role_confidence_min FROM s JOIN u USING (doc_id, sent_pos) WHERE agi + pi + si = 0 OR greatest(agi, pi, si) > 2 OR role_review_flags IS NOT NULL""",
     "srl_label_aggregate": "SELECT word_i, arg_max(label, (logit, label)) AS label FROM (SELECT user_id AS word_i, event_type AS label, avg(value) AS logit FROM events GROUP BY ALL) GROUP BY word_i",
     "group_indices": f"WITH {_FIND} SELECT lemma, {_MEANS} FROM f GROUP BY lemma",
     "category_indices": f'WITH {_FIND} SELECT "group", {_MEANS} FROM f WHERE NOT child GROUP BY "group"',
