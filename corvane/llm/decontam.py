@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import ascii_lower, only_held, settle, weigh
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"  # what stands between gaps, before lower-casing
 WINDOWS_BOUND = 32 << 20  # bytes of windows that are broadcast
 
 
