@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = mark_held(rows, settle(pairs.select("h")), pair, "doubted")
     sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
 
-    doubted = marked.filter("doubted").select("id", sha.alias("sha"))
+    doubted = settle(marked.filter("doubted").select("id", sha.alias("sha")))
     groups = settle(doubted.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
     joined = spread_join(doubted, groups.withColumn("n", F.col("group_size")), "sha", "n", "left")
     alone = marked.filter("not doubted").select("id", (sha if digest_all else F.lit(None).cast("string")).alias("sha"), F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
