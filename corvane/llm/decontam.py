@@ -13,7 +13,7 @@ Defined cases: a null text has no words; an item without words has no windows; t
 read whole; items that share a window are all reported, so ties don't matter; rows that repeat an id are
 told apart by their text, and repeated rows share their result; an empty benchmark leaves every document
 clean; an empty table gives no rows; other columns are carried through by the removing functions
-whatever their names, except those beginning `__dec_`.
+whatever their names, except those beginning `__`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, only_held, settle, weigh
+from corvane.llm.common import ascii_lower, drop_rows, only_held, settle, weigh
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"  # what stands between gaps, before lower-casing
@@ -92,8 +92,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows without any verified hit, with their own columns."""
-    found = hits(docs, benchmark, n, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__dec_i"), F.col("th").alias("__dec_t"))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__dec_i")) & (F.xxhash64(docs[text_col]) == F.col("__dec_t")), "left_anti")
+    found = hits(docs, benchmark, n, id_col, text_col, item_col, item_text_col)
+    return drop_rows(docs, settle(found.select(F.col("id").alias("__id"), F.col("th").alias("__th"))), id_col, F.xxhash64(docs[text_col]))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

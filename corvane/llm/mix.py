@@ -12,9 +12,11 @@ remaining words. Only per-(source, hash bucket) sums are shuffled; the one bucke
 point lies is looked at document by document; the documents themselves are joined with one row
 per source and are never shuffled, so a hot source costs nothing extra.
 
-Defined cases: a null text has size 0; null sources form one source, last in order; documents
-that share an id share their fate; a source of size 0 has target 0; an empty table gives no rows;
-other columns are carried through by `mix` whatever their names, except those beginning `__mix_`.
+Defined cases: a null text has size 0; texts of any length are counted whole and taken whole; null sources
+form one source, last in order; sources that tie in cap / weight are filled by name; documents that share an
+id, and so repeated rows, share their fate; a source of size 0 has target 0; an empty table gives no rows;
+other columns are carried through by `mix` whatever their names, except those beginning `__mix_`. The source
+table, one row a source, is worked on by one task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import broadcast_if, settle
 
 SOURCES_BOUND = 200_000  # sources above which the plan is joined by shuffle
-BUCKET_ROWS = 1024  # documents that a hash bucket holds on average, over all sources
+BUCKET_ROWS = 1024  # documents that a hash bucket holds on average, over all sources, up to
+MOST_BUCKETS = 1 << 20  # buckets of a source, whose running sums one task makes; beyond, buckets hold more
 
 
 def words_of(text: Column) -> Column:
@@ -58,7 +61,8 @@ def water_fill(sizes: DataFrame, budget: float, max_epochs: float, weights: tupl
 def mix_plan(sized: DataFrame, budget: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
     """sized: source, size, key. One row a source: source, size, target, whole, cutoff (largest key that the fractional repetition takes)."""
     n = sized.count()
-    shift = max(0, 60 - max(0, math.ceil(math.log2(max(1, n) / BUCKET_ROWS))))
+    buckets = min(MOST_BUCKETS, max(1, n) / BUCKET_ROWS)
+    shift = 60 - max(0, math.ceil(math.log2(buckets)))
     bucketed = sized.withColumn("bucket", F.shiftright("key", shift))
     sums = settle(bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     filled = water_fill(sums.groupBy("source").agg(F.sum("size").alias("size")), budget, max_epochs, weights)
