@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,18 @@ def fold(key: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most `size` bytes for what is executed inside: a batch stands in memory several times, in the JVM and in its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Hints a broadcast only for a table whose counted rows stay within the bound."""
     return F.broadcast(df) if rows <= bound else df
@@ -77,6 +92,24 @@ def only_held(df: DataFrame, keys: DataFrame, hash_: Column) -> DataFrame:
     return mark_held(df, keys, hash_, "__held").filter("__held").drop("__held")
 
 
+GONE_BOUND = 64 << 20  # bytes of row keys that are broadcast
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, th: Column) -> DataFrame:
+    """docs without the rows whose id and text hash `th` are in gone (settled: __id, __th).
+
+    A few keys are broadcast; of many, the rows that a bit table lets through are shuffled, the others stay where they are.
+    """
+    _, size = weigh(gone, F.coalesce(F.octet_length(F.col("__id").cast("string")), F.lit(0)) + 24)
+    match = lambda d: d[id_col].eqNullSafe(gone["__id"]) & (th == gone["__th"])
+    if size <= GONE_BOUND:
+        return docs.join(F.broadcast(gone), match(docs), "left_anti")
+    keys = settle(gone.select(F.xxhash64("__id", "__th").alias("h")).distinct())
+    marked = mark_held(docs, keys, F.xxhash64(docs[id_col], th), "__held")
+    likely = marked.filter("__held").drop("__held")
+    return marked.filter("not __held").drop("__held").unionByName(likely.join(gone, match(likely), "left_anti"))
+
+
 HOT_KEYS = 100_000  # keys that are broadcast; any other key then has at most one row in this many
 
 
@@ -84,17 +117,10 @@ def spread_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, how: st
     """facts joined (inner or left) with dim on `key`, without a hot key's rows in one task.
 
     dim is settled and has one row a key; `weight` is a column of it, the key's number of fact rows (or
-    more), and is left out of the result. The keys of the largest weights, at most HOT_KEYS of them, are broadcast, so their
-    facts stay where they are; the others are joined by shuffle, and none of them has more than a
-    HOT_KEYS-th of all facts.
+    more), and is left out of the result. A dim of at most HOT_KEYS rows is broadcast. Of a larger one the keys of the
+    largest weights, at most HOT_KEYS of them, are, so their facts stay where they are; the others are joined by
+    shuffle, and none of them has more than a HOT_KEYS-th of all facts.
     """
-    sizes = dim.filter(f"{weight} > 1").groupBy(F.floor(F.log2(weight) * 4).alias("q")).count().collect()  # at most 256 rows
-    least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["q"]):
-        total += r["count"]
-        if total > HOT_KEYS:
-            break
-        least = r["q"]
     values = [c for c in dim.columns if c not in (key, weight)]
     own = [facts[c] for c in facts.columns]
 
@@ -103,6 +129,15 @@ def spread_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, how: st
 
     out = [*own, *[F.col(f"__value{i}").alias(c) for i, c in enumerate(values)]]
     match = facts[key] == F.col("__key")
+    if dim.count() <= HOT_KEYS:
+        return facts.join(F.broadcast(side(dim)), match, how).select(*out)
+    sizes = dim.filter(f"{weight} > 1").groupBy(F.floor(F.log2(weight) * 4).alias("q")).count().collect()  # at most 256 rows
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["q"]):
+        total += r["count"]
+        if total > HOT_KEYS:
+            break
+        least = r["q"]
     if least is None:
         return facts.join(side(dim), match, how).select(*out)
     is_hot = F.coalesce(F.floor(F.log2(weight) * 4) >= least, F.lit(False))
@@ -113,18 +148,25 @@ def spread_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, how: st
 
 
 def least_hashes(rows: DataFrame, hash_: Column, most: int, out: str = "__h") -> DataFrame:
-    """At least the rows with the `most` smallest hashes (64 bits, column `out`), and few others.
+    """The rows with the `most` smallest hashes (64 bits, column `out`), and those that tie with the last of them.
 
-    Rows are counted and cut at four times the share wanted; only where that leaves too few (hashes of
-    copies are equal) all rows are returned. Order by `out` and limit to `most` after projecting: no task
-    then sees more than a bounded sample, at any size, and the result depends on the rows alone.
+    Rows are counted, hashes cut at four times the share wanted, and the exact bound is found among what is
+    left, so no task sorts more than a bounded number of hashes, at any size. Only where copies of a hash leave
+    too few below the cut does the bound come from all hashes. Ties are the caller's to limit.
     """
     hashed = rows.withColumn(out, hash_.bitwiseAND(F.lit(2**63 - 1)))
     n = rows.count()
-    if n <= 4 * most:
+    if n <= most:
         return hashed
-    cut = hashed.filter(F.col(out) < int(2**63 * (4 * most / n)))
-    return cut if len(cut.select(out).limit(most).collect()) == most else hashed
+
+    def bound(some: DataFrame) -> tuple[int, int | None]:
+        r = some.select(out).orderBy(out).limit(most).agg(F.count("*").alias("n"), F.max(out).alias("m")).first()
+        return r["n"], r["m"]
+
+    found, last = bound(hashed.filter(F.col(out) <= min(2**63 - 1, 2**63 * 4 * most // n)))
+    if found < most:
+        _, last = bound(hashed)
+    return hashed.filter(F.col(out) <= last)
 
 
 def components(edges: DataFrame) -> DataFrame:

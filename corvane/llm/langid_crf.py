@@ -376,8 +376,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
     sample = []
     for lang in langs:
-        own = least_hashes(rows.filter(F.col("lang") == lang), F.xxhash64(F.lit(5), "id", "text"), MAX_DOCS, "h")
-        sample += own.select("h", "text", "lang").orderBy("h").limit(MAX_DOCS).collect()
+        own = least_hashes(rows.filter(F.col("lang") == lang), F.xxhash64(F.lit(5), "id"), MAX_DOCS, "h")
+        sample += own.select("h", "text", "lang").orderBy("h", F.xxhash64("text")).limit(MAX_DOCS).collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, ascii_lower, fold, settle, settle_last
+from corvane.llm.common import SPACES, ascii_lower, fold, settle, settle_last, small_batches
 
 DEPTH = 5
 FOLDS = 10
@@ -48,7 +48,6 @@ GRAMS_BOUND = 6_000_000
 TOKENS_BOUND = 2_000_000
 PIECE = 1 << 19  # bytes that are turned into grams at a time
 HOLD = 1 << 20  # distinct keys that a counting task holds before it emits them
-BATCH_BYTES = str(8 << 20)  # of an Arrow batch, for the session that scores
 CHUNK = 1 << 16  # grams of a tree chunk
 LN2 = np.log(2.0)
 
@@ -353,16 +352,10 @@ def _arrays(df: DataFrame, value: str, dtype: type) -> Lookup:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row.
 
-    The result is written before it is returned, so that the session's batch size is changed only meanwhile:
-    a batch stands in memory several times, in the JVM and in its worker.
+    The result is written before it is returned, so that batches are small only meanwhile.
     """
-    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_BYTES)
-    try:
-        return settle_last(spark, lambda: _score(docs, id_col, text_col))
-    finally:
-        spark.conf.set(name, before)
+    with small_batches(docs.sparkSession):
+        return settle_last(docs.sparkSession, lambda: _score(docs, id_col, text_col))
 
 
 def _score(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -10,8 +10,8 @@ prior is estimated from the same two samples: a first scorer tells positives fro
 and the smallest ratio of (unlabelled share) / (positive share) above a threshold of its score, on
 the half that it was not fitted on, bounds the prior from above (best bin estimation).
 
-Fitting uses the MAX_POSITIVE and MAX_UNLABELLED rows of the smallest seeded hashes of id and text, exactly
-so many of any larger table; scoring covers every whole text and runs in Arrow batches.
+Fitting uses the MAX_POSITIVE and MAX_UNLABELLED rows of the smallest seeded hashes of the id, exactly so many
+of any larger table; scoring covers every whole text and runs in Arrow batches.
 
 Defined cases: null and empty texts are scored as text without features; texts of any length are read
 whole; ids that repeat are scored row by row, and equal texts have equal scores; a score of exactly the
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +38,13 @@ MAX_UNLABELLED = 12_000
 FOLDS = 5
 PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 EPOCHS = 400
+SIZE = len(PUNCT) + 16  # of a feature vector
+SLICE = 512  # rows of a batch whose texts are Python objects at a time
 
 
 def features(text: str | None) -> np.ndarray:
     """Surface features of a whole text, whatever its length and language."""
-    out = np.zeros(len(PUNCT) + 16, dtype=np.float32)
+    out = np.zeros(SIZE, dtype=np.float32)
     if not text or text.isspace():
         return out
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
@@ -78,9 +80,12 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def _feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"h": f["h"], "x": [features(t) for t in f["text"]]})
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            x = np.concatenate([features(t.as_py()) for t in part.column("text")])
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * SIZE, pa.array(x))], ["h", "x"])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -147,9 +152,9 @@ def nn_risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of the `most` rows (id, text) with the smallest hashes."""
-    picked = least_hashes(rows, F.xxhash64(F.lit(4), "id", "text"), most, "h").select("h", "text")
-    got = picked.mapInPandas(_feature_rows, "h long, x array<float>").orderBy("h").limit(most).select("x").collect()
+    """Features of the `most` rows (id, text) with the smallest hashes of the id; of equal ids, the smallest features."""
+    picked = least_hashes(rows, F.xxhash64(F.lit(4), "id"), most, "h").select("h", "text")
+    got = picked.mapInArrow(_feature_rows, "h long, x array<float>").orderBy("h", "x").limit(most).select("x").collect()
     return np.array([r.x for r in got], dtype=np.float64)
 
 
@@ -165,15 +170,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_column(model: dict | None):
-    @F.pandas_udf(T.DoubleType())
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            if model is None:
-                yield pd.Series(np.ones(len(part)))
-                continue
-            x = np.array([features(t) for t in part], dtype=np.float64).reshape(len(part), len(model["centre"]))
+    @F.arrow_udf(T.DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
+        if model is None:
+            return pa.array(np.ones(len(texts)))
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), SLICE):
+            x = np.array([features(t.as_py()) for t in texts.slice(at, SLICE)], dtype=np.float64)
             z = np.clip((x - model["centre"]) / model["scale"], -8, 8) @ model["w"][:-1] + model["w"][-1]
-            yield pd.Series(_sigmoid(z))
+            out[at : at + SLICE] = _sigmoid(z)
+        return pa.array(out)
 
     return run
 

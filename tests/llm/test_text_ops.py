@@ -281,6 +281,40 @@ def test_language(spark, tmp_path):
     assert {x["doc_id"]: x["lang_pred"] for x in got if x["doc_id"] and x["doc_id"] > 160} == {161: "und", 162: "und", 163: "und", 164: "fr"}
 
 
+def plain_language(model, text):
+    """One chain over the whole text, a word at a time."""
+    words = langid_crf.words_of(text)
+    if not words:
+        return "und", 0.0
+    e = np.stack([langid_crf.word_scores([w], model["lexicon"], model["weights"])[0].astype(np.float32).astype(float) for w in words])
+    x, a = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30)), np.exp(model["trans"])
+    alpha, beta = [np.exp(model["start"]) * x[0]], [np.ones(len(a))]
+    for row in x[1:]:
+        v = alpha[-1] / alpha[-1].sum()
+        alpha.append((v @ a) * row)
+    for row in x[:0:-1]:
+        v = a @ (row * beta[0])
+        beta.insert(0, v / v.sum())
+    post = np.array(alpha) * np.array(beta)
+    post /= post.sum(axis=1, keepdims=True)
+    mean = np.average(post, axis=0, weights=[len(w) for w in words])
+    return model["names"][int(mean.argmax())], mean.max()
+
+
+def test_language_query_matches_a_plain_chain(spark, tmp_path):
+    rows = [(*r, "x") for r in language_rows(90)]
+    mixed = " ".join(t for _, t, x, _ in rows[:40] if t)
+    rows.append((9999, mixed, None, "x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid_crf.train(df)
+    texts = {i: t for i, t, _, _ in rows if t is None or len(t) < 50_000}
+    for r in queries.op3_language(spark, str(tmp_path)).collect():
+        if r["doc_id"] is not None and r["doc_id"] in texts:
+            lang, score = plain_language(model, texts[r["doc_id"]])
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(min(1.0, score), abs=1e-6)
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid_crf.predict(df, langid_crf.train(df)).first()["lang_pred"] == "und"
@@ -364,6 +398,18 @@ def test_quality(spark, tmp_path):
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
 
 
+def test_quality_query_matches_plain_scores(spark, tmp_path):
+    rows = quality_rows(160)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(500, None), (501, "x " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    m = quality_pu.train(docs, labels)
+    for r in queries.op4_quality(spark, str(tmp_path)).join(docs, "doc_id").collect():
+        z = sum(w * min(8.0, max(-8.0, (x - c) / s)) for w, x, c, s in zip(m["w"], map(float, quality_pu.features(r["text"])), m["centre"], m["scale"])) + m["w"][-1]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_without_positives(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
