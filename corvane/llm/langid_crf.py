@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fold, least_hashes
+from corvane.llm.common import fold
 
 MAX_DOCS = 250
 FOLDS, HELD = 4, 2
@@ -373,12 +373,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from the MAX_DOCS texts of each language with the smallest hashes, outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id"), FOLDS) != HELD))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
-    sample = []
-    for lang in langs:
-        own = least_hashes(rows.filter(F.col("lang") == lang), F.xxhash64(F.lit(5), "id"), MAX_DOCS, "h")
-        sample += own.select("h", "text", "lang").orderBy("h", F.xxhash64("text")).limit(MAX_DOCS).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    top = 2**63 - 1
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(5), "id").bitwiseAND(F.lit(top)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))  # a group limit: tasks send MAX_DOCS rows a language
+
+    def pick(cuts: dict[str, int]) -> list:
+        """The texts of the smallest hashes of each language, among those up to its cut."""
+        cut = F.create_map(*[x for lang, c in cuts.items() for x in (F.lit(lang), F.lit(c))])[F.col("lang")]
+        return hashed.filter(F.col("lang").isin(list(cuts)) & (F.col("h") <= cut)).withColumn("place", place).filter(F.col("place") <= MAX_DOCS).select("lang", "place", "text").collect()
+
+    if not sizes:
+        return None
+    # four times the share wanted is enough, unless many rows repeat an id and so its hash
+    sample = pick({lang: min(top, 2**63 * 4 * MAX_DOCS // n) for lang, n in sizes.items()})
+    found = Counter(r["lang"] for r in sample)
+    if short := [lang for lang, n in sizes.items() if found[lang] < min(n, MAX_DOCS)]:
+        sample = [r for r in sample if r["lang"] not in short] + pick(dict.fromkeys(short, top))
+    sample.sort(key=lambda r: (r["lang"], r["place"]))
+    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
 def _tagging(docs: DataFrame, model: dict | None, id_col: str, text_col: str, fields: str, row) -> DataFrame:

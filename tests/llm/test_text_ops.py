@@ -315,6 +315,18 @@ def test_language_query_matches_a_plain_chain(spark, tmp_path):
             assert r["lang_pred"] == lang and r["score"] == pytest.approx(min(1.0, score), abs=1e-6)
 
 
+def test_language_sample_is_exact(spark, monkeypatch):
+    rows = [(i, t, x) for i, t, x in language_rows(300) if t and x and i is not None]
+    rows += [(7, f"same id {k}", "en") for k in range(400)]  # ids that repeat share a hash
+    monkeypatch.setattr(langid_crf, "MAX_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(langid_crf, "fit", lambda texts, langs: seen.append(list(zip(texts, langs))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for d in (df, df.repartition(5)):
+        langid_crf.train(d)
+    assert seen[0] == seen[1] and {x: sum(y == x for _, y in seen[0]) for x in ("en", "de", "fr")} == {"en": 20, "de": 20, "fr": 20}
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid_crf.predict(df, langid_crf.train(df)).first()["lang_pred"] == "und"
