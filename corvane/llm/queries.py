@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, exactdup, htmlmain, langid_crf, lm_ctw, mix, neardup, pii, quality_pu, shard
+from corvane.llm import decontam, exactdup, hostrules, htmlmain, langid_crf, lm_ctw, mix, neardup, pii, quality_pu, ranked, shard, spelling
 from corvane.llm.common import fold, table
 
 
@@ -71,6 +71,19 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hostrules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES = {
     "op1_decontam": op1_decontam,
     "op2_lm_score": op2_lm_score,
@@ -82,8 +95,20 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_main": op10_html_main,
+    "op11_spelling": op11_spelling,
+    "op12_host_rules": op12_host_rules,
+    "op13_ranked": op13_ranked,
 }
 
+
+def _crc32_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+_CRC32 = "[" + ", ".join(f"{_crc32_entry(i)}::BIGINT" for i in range(256)) + "]"
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -132,4 +157,49 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON d.source IS NO
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)""",
+    "op11_spelling": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+u AS (SELECT *, [unicode(x)::BIGINT FOR x IN string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')] AS points FROM c),
+b AS (SELECT run, n, flatten([CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END FOR p IN points]) AS bytes FROM u),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, ({_CRC32})[(xor(s, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM b),
+s AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS (SELECT word, n, unnest(list_prepend(word, [left(word, i) || substr(word, i + 2) FOR i IN range(length(word))])) AS part, unnest(range(length(word) + 1)) AS at FROM w),
+p AS (SELECT DISTINCT x.word, y.word AS near, y.n AS m FROM g x JOIN g y ON x.part = y.part AND x.word <> y.word WHERE x.at = y.at OR x.at = 0 OR y.at = 0),
+q AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * w.n THEN near END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN q USING (word)),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, t.root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
+    "op12_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+v AS (SELECT r, doc_id, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+x AS (SELECT r, i, list_slice(w, i + 1, i + 3) AS win FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM v)),
+y AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM x) WHERE c > 1),
+z AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM y) GROUP BY r),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum([length(q) FOR q IN w]), 0)::BIGINT AS word_chars, n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM v LEFT JOIN z USING (r)),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 100 * n_symbols > 10 * n_words AS symbols,
+             100 * n_dup_lines > 30 * n_lines AS lines, n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words) AS lengths FROM m),
+l AS (UNPIVOT (SELECT source, short, repeats, symbols, lines, lengths FROM f WHERE source IS NOT NULL) ON short, repeats, symbols, lines, lengths INTO NAME rule VALUE failed),
+h AS (SELECT source, rule, count(*) AS n, sum(failed::INT) AS bad FROM l GROUP BY ALL),
+a AS (SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(bad) / sum(n) AS m, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS apart FROM h GROUP BY rule),
+k AS (SELECT rule, m, least(1, greatest(1e-6, CASE WHEN docs > hosts THEN (apart / (m * (1 - m)) - hosts) / (docs - hosts) ELSE 1 END)) AS c FROM a WHERE m > 0 AND m < 1),
+e AS (SELECT source, n, a.m, 1 / c - 1 AS s, (bad + (1 / c - 1) * a.m) / (n + (1 / c - 1)) AS rate FROM h JOIN a USING (rule) LEFT JOIN k USING (rule)),
+g AS (SELECT DISTINCT source FROM e WHERE coalesce(rate - sqrt(rate * (1 - rate) / (n + s + 1)), m) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND g.source IS NULL AS kept
+FROM f LEFT JOIN g USING (source)""",
+    "op13_ranked": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term),
+p AS (SELECT item_id, r, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM p WHERE score > 0
+QUALIFY rank <= 10""",
 }
