@@ -1,15 +1,14 @@
 """Groups of spelling variants: words one edit apart, found by bands of their letter parities.
 
 A word's mask has a bit for each letter that stands in it an odd number of times. One inserted or deleted
-letter flips one bit, a replaced one at most two, so of three bands of the mask at least one is equal. Words meet on an equal
-band together with the shorter length of the pair (a word of n letters stands for n and for n - 1), and
-with the half of the word that the edit leaves alone: the first half of the shorter length, or what
-follows it counted from the end. Both conditions hold for every pair one edit apart, so none is lost, and a bucket
-holds words that share half their letters, not all words of a length. A pair is taken in the first bucket in which it meets,
-after `levenshtein` has confirmed it, so no table of pairs is made distinct.
-
-Occurrences are counted map-side; the words, their buckets and the pairs are joined by shuffle. The form of a word is
-its near word of most occurrences, if it has at least `ratio` times the word's own; forms lead to the root by
+letter flips one bit, a replaced one at most two, so of three bands of the mask one at least is equal, and of two bands if the
+lengths differ. Words meet on an equal band together with the shorter length of the pair, and with all of the word but one
+of three stretches, the one that holds the edit: what stands before it, and what follows it, counted from the end. All this holds for every
+pair one edit apart, so none is lost, and a bucket holds words that share two thirds of their letters, not all words of a length.
+A pair is taken in the first bucket in which it meets, once its masks differ in two bits at most and `levenshtein` confirms
+it, so no table of pairs is made distinct.
+
+Occurrences are counted map-side; buckets are shuffled as hashes. The form of a word is its near word of most occurrences, if it has at least `ratio` times the word's own; forms lead to the root by
 pointer doubling, since counts grow tenfold at every step.
 
 Defined cases: a null or empty text has no words; a null id counts as the empty text in a word's hash; repeated rows
@@ -27,6 +26,7 @@ LETTERS = "a-z\\u00C0-\\u00FF"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 SLIP = 31  # one run in so many loses a letter
 BANDS, BAND_BITS = 3, 21
+STRETCHES = 3
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least: int = LEAST_COUNT) -> DataFrame:
@@ -42,37 +42,53 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return words.filter(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def parity_bands(word: Column) -> Column:
-    """Array of BANDS longs: parities of the letters, dealt over the bands by code point."""
+def parity_mask(word: Column) -> Column:
+    """BANDS bands of BAND_BITS bits: parities of the letters, dealt over the bands by code point."""
+    place = lambda p: ((p % BANDS) * BAND_BITS + F.floor(p / BANDS) % BAND_BITS).cast("int")
     spots = F.transform(F.split(word, ""), lambda c: F.ascii(c))
-    none = F.lit(0).cast("long")
+    return F.aggregate(spots, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(p))))
 
-    def band(b: int) -> Column:
-        bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (F.floor(p / BANDS) % BAND_BITS).cast("int"))
-        return F.aggregate(spots, none, lambda acc, p: acc.bitwiseXOR(F.when(p % BANDS == b, bit(p)).otherwise(none)))
 
-    return F.array(*[band(b) for b in range(BANDS)])
+def band_of(mask: Column, band: Column) -> Column:
+    return F.call_function("shiftrightunsigned", mask, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
-def _buckets(words: DataFrame, side: str, shorter: Column) -> DataFrame:
-    """Columns of a word, named for its side of the pair, and its buckets: shorter, tail (0 the first half, 1 the last), half, band, parities."""
-    w = words.select(F.col("word").alias(f"{side}_word"), F.col("n").alias(f"{side}_n"), parity_bands(F.col("word")).alias(f"{side}_bands"), F.length("word").alias("len"))
-    w = w.select(f"{side}_word", f"{side}_n", f"{side}_bands", "len", F.explode(shorter).alias("shorter"))
-    first, word = (F.col("shorter") / 2).cast("int"), F.col(f"{side}_word")
-    halves = F.array(F.substring(word, F.lit(1), first), F.right(word, F.col("shorter") - first))
-    return w.select("*", F.posexplode(halves).alias("tail", "half")).select("*", F.posexplode(f"{side}_bands").alias("band", "parities")).withColumnRenamed("len", f"{side}_len")
+def _cut(shorter: Column, i: int) -> Column:
+    return (shorter * i / STRETCHES).cast("int")
+
+
+def _around(word: Column, shorter: Column, i: int) -> tuple[Column, Column]:
+    """What stands before stretch i of a word, or of one a letter longer, and what follows it."""
+    return F.substring(word, F.lit(1), _cut(shorter, i)), F.right(word, shorter - _cut(shorter, i + 1))
+
+
+def _buckets(words: DataFrame, longer: bool) -> DataFrame:
+    """key, spot (which stretch and band), word, n, mask: a word's buckets with words of its own length, and those with longer, or shorter, ones."""
+    w = words.select("word", "n", parity_mask(F.col("word")).alias("mask"), F.length("word").alias("len"))
+    other = F.struct(F.lit(BANDS - 1).alias("bands"), (F.col("len") - 1 if longer else F.col("len")).alias("shorter"))
+    w = w.select("word", "n", "mask", F.inline(F.array(F.struct(F.lit(BANDS).alias("bands"), F.col("len").alias("shorter")), other)))
+    around = F.array(*[F.struct(F.lit(i).alias("stretch"), *[c.alias(x) for c, x in zip(_around(F.col("word"), F.col("shorter"), i), ("before", "after"))]) for i in range(STRETCHES)])
+    w = w.select("*", F.inline(around)).select("*", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+    key = F.xxhash64("bands", "shorter", "stretch", "before", "after", "band", band_of(F.col("mask"), F.col("band")))
+    return w.select(key.alias("key"), (F.col("stretch") * BANDS + F.col("band")).alias("spot"), "word", "n", "mask")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b, n_a, n_b: words one inserted, deleted or replaced code point apart, each pair once, a no longer than b. words: word, n (settled, distinct)."""
-    a = _buckets(words, "a", F.array("len"))
-    b = _buckets(words, "b", F.array("len", F.col("len") - 1))
-    pairs = a.join(b, ["shorter", "tail", "half", "band", "parities"]).filter("a_len < b_len or a_word < b_word")
-    # the first bucket of the pair: no earlier band is equal, and the last halves count only if the first ones differ
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 2)), lambda k: (k < F.col("band")) & (F.get("a_bands", k) == F.get("b_bands", k)))
-    first = F.expr("tail = 0 or left(a_word, cast(shorter / 2 as int)) <> left(b_word, cast(shorter / 2 as int))")
-    pairs = pairs.filter(~earlier & first & (F.levenshtein("a_word", "b_word", 1) == 1))
-    return pairs.select(F.col("a_word").alias("a"), F.col("b_word").alias("b"), F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"))
+    a, b = _buckets(words, False).alias("a"), _buckets(words, True).drop("spot").alias("b")
+    x, y = F.col("a.word"), F.col("b.word")
+    differ = F.col("a.mask").bitwiseXOR(F.col("b.mask"))
+    once = (F.col("a.mask") < F.col("b.mask")) | (F.length(x) < F.length(y)) | ((F.col("a.mask") == F.col("b.mask")) & (x < y))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.bit_count(differ) <= 2) & once)
+
+    def alike(i: int) -> Column:
+        (p, q), (r, t) = _around(x, F.length(x), i), _around(y, F.length(x), i)
+        return (p == r) & (q == t)
+
+    stretch = F.when(alike(0), 0).when(alike(1), 1).otherwise(2)
+    band = F.when(band_of(differ, F.lit(0)) == 0, 0).when(band_of(differ, F.lit(1)) == 0, 1).otherwise(2)
+    pairs = pairs.filter((F.col("a.spot") == stretch * BANDS + band) & (F.levenshtein(x, y, 1) == 1))
+    return pairs.select(x.alias("a"), y.alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
 
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
