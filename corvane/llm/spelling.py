@@ -93,7 +93,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form, form_n: each word with its near word of largest n, if that is `ratio` times its own."""
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("m")))
+    way = lambda word, near, m: F.struct(F.col(word).alias("word"), F.col(near).alias("near"), F.col(m).alias("m"))
+    both = pairs.select(F.inline(F.array(way("a", "b", "n_b"), way("b", "a", "n_a"))))  # in one pass over the pairs
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("least"), "near")).alias("best"))
     j = words.join(best, "word", "left")
     led = -F.col("best.least") >= ratio * F.col("n")
