@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -69,3 +70,71 @@ class SiteConfig:
     toc_min: int = 1
     recent: int = 3
     words_per_minute: int = 200
+
+
+@dataclass(frozen=True)
+class EncoderModel:
+    """A published encoder: its name, dimension, and texts of a batch by device (DEFAULT_BATCH where none is given)."""
+
+    name: str
+    dim: int
+    batches: Mapping[str, int] = field(default_factory=dict)
+
+
+DEFAULT_BATCH = 32
+# Presets, models and tuned batches.
+ENCODERS = {
+    "gte_modernbert_base": EncoderModel("Alibaba-NLP/gte-modernbert-base", 768),
+    "minilm": EncoderModel("all-MiniLM-L6-v2", 384, {"mps": 64, "cuda": 256}),
+    "bge_small": EncoderModel("BAAI/bge-small-en-v1.5", 384),
+    "gte_small": EncoderModel("thenlper/gte-small", 384),
+}
+EXTRACTION_ENCODER, ANALYSIS_ENCODER = "minilm", "gte_modernbert_base"  # a light one to filter, a strong one for what is reported
+
+
+def encoder_model(preset: str, more: Mapping[str, EncoderModel] | None = None) -> EncoderModel:
+    """The model of a preset; `more` adds presets and overrides those known."""
+    known = {**ENCODERS, **(more or {})}
+    if preset not in known:
+        raise ValueError(f"unknown encoder {preset!r}; known: {', '.join(sorted(known))}")
+    return known[preset]
+
+
+@dataclass(frozen=True)
+class Placement:
+    """Where an encoder runs: device, texts of a batch, and what a task and its executor must have for it."""
+
+    device: str = "cpu"
+    batch: int = DEFAULT_BATCH
+    task_cpus: int = 1
+    task_gpus: float = 0.0
+    executor_cores: int | None = None
+    executor_memory: str | None = None
+
+    def profile(self):
+        """The stage's resource profile; None where the session's own resources will do. Stage profiles need a cluster manager that offers them."""
+        if self.task_cpus == 1 and not self.task_gpus and not self.executor_cores and not self.executor_memory:
+            return None
+        from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+        task, executor = TaskResourceRequests().cpus(self.task_cpus), ExecutorResourceRequests()
+        if self.task_gpus:
+            task.resource("gpu", self.task_gpus)
+            executor.resource("gpu", max(1, round(self.task_gpus)))
+        if self.executor_cores:
+            executor.cores(self.executor_cores)
+        if self.executor_memory:
+            executor.memory(self.executor_memory)
+        return ResourceProfileBuilder().require(task).require(executor).build
+
+
+def placement(model: EncoderModel, device: str = "cpu", batch: int | None = None, **resources) -> Placement:
+    """A model's placement on a device (cpu, cuda, mps), with the model's batch for it unless one is given. A cuda task takes one GPU."""
+    if device not in ("cpu", "cuda", "mps"):
+        raise ValueError(f"unknown device {device!r}")
+    if device == "cuda":
+        resources.setdefault("task_gpus", 1.0)
+    size = model.batches.get(device, DEFAULT_BATCH) if batch is None else batch
+    if size <= 0:
+        raise ValueError("batch must be positive")
+    return Placement(device, size, **resources)

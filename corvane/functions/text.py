@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -151,8 +151,33 @@ def escape_regex(term: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != "_" and ord(c) < 128 else c for c in term)
 
 
+def trie(terms: Iterable[Sequence[str]]) -> str:
+    """A pattern for any of the terms, longer ones first. A term is a list of units, patterns that match no common text, such as escaped letters.
+
+    Beginnings that terms share are written once, so that a match follows one path instead of trying all terms in turn:
+    its cost depends on a term's length and not on their number.
+    """
+    root: dict[str, dict] = {}
+    for units in terms:
+        node = root
+        for u in units:
+            node = node.setdefault(u, {})
+        node[""] = {}  # a term ends here
+
+    def shape(node: dict[str, dict]) -> str:
+        tail = ""
+        while len(node) == 1 and "" not in node:  # no group for a single path
+            ((u, node),) = node.items()
+            tail += u
+        ways = [u + shape(child) for u, child in sorted(node.items()) if u]
+        return tail + (f"(?:{'|'.join(ways)}){'?' if '' in node else ''}" if ways else "")
+
+    return shape(root)
+
+
 def alternation(terms: list[str]) -> str:
-    return "|".join(escape_regex(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
+    """A pattern for any of the terms, longer ones first."""
+    return trie([escape_regex(c) for c in t] for t in terms)
 
 
 # Person suffixes, and what may stand between a term and its human noun.
@@ -163,7 +188,7 @@ GAP = r"""[\s,;'"“”‘’()\[\]-]+"""
 def gate_pattern(terms: list[str]) -> str:
     """Any term between non-word characters, or a term with a person suffix."""
     a = alternation(terms)
-    return rf"(?iU)(?<!\w)(?:{a})(?!\w)|(?<!\w)(?:{a})(?:{SUFFIXES})(?!\w)"
+    return rf"(?iU)(?<!\w)(?:{a})(?:{SUFFIXES})?(?!\w)"
 
 
 def lexical_human_rescue(s: Column, terms: list[str], heads: list[str]) -> Column:

@@ -3,58 +3,134 @@
 A pair counts in a sentence when some occurrence of the target and some of the collocate are at least
 `min_distance` words apart. With first and last positions of both words, that is
 greatest(last_a - first_b, last_b - first_a) >= min_distance, so no pair of positions is formed.
-First and last positions come from one sort of the sentence's (word, position) entries, so a sentence
-costs n log n, however long it is. Pairs are built inside the sentence's row; the only shuffles are the
-counts, combined map-side.
+
+Sentences are counted where they are read, an Arrow batch at a time: words become integers, one sort by (sentence, word) gives
+first and last positions, and pairs come from the targets' spans alone. A task hands on a batch's counts, not its words; Spark
+combines them before its only shuffle. Work is n log n in the words, however long a sentence is.
+
+sents: words, an array; tags, if the column is there, the part of speech of each word. With tags, collocates are the
+words whose part of speech is one of `pos`; without, the words of at least `min_length` characters. Targets and
+the terms of `lexicon` (those of all groups) are never collocates. A null array has no words; it counts as a sentence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.sources.scratch import settle
 
-
-def word_spans(sents: DataFrame, *keep: str) -> DataFrame:
-    """keep, spans: array of w, lo, hi, the distinct words of `words` with their first and last positions."""
-    at = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    d = sents.select(*keep, at.alias("at"))
-    edge = lambda step: F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k + step)["w"] != x["w"], F.lit(True)))
-    d = d.select(*keep, edge(F.lit(-1)).alias("first"), edge(F.lit(1)).alias("last"))
-    return d.select(*keep, F.zip_with("first", "last", lambda a, b: F.struct(a["w"].alias("w"), a["i"].alias("lo"), b["i"].alias("hi"))).alias("spans"))
+CONTENT_POS = ("NOUN", "VERB", "ADJ", "ADV")
+PAIRS_AT_ONCE = 1 << 20  # pairs of spans that stand in memory
+
+
+class Spans:
+    """Of a batch, one entry for each (sentence, word) that is a target or a collocate, by sentence: number of the sentence, code of the word, first and last position."""
+
+    def __init__(self, words: pa.ListArray, tags: pa.ListArray | None, targets: list[str], lexicon: list[str], pos: Sequence[str], min_length: int):
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        flat = words.flatten().dictionary_encode()
+        self.names = flat.dictionary
+        among = lambda terms: pc.is_in(self.names, pa.array(terms, self.names.type)).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(flat.indices, -1).to_numpy().astype(np.int64)
+        sentence = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        wanted = among(targets)
+        is_target = np.append(wanted, False)[code]  # -1, a null word, is neither
+        allowed = np.append(~(wanted | among(lexicon)), False)[code]
+        if tags is None:
+            long = pc.greater_equal(pc.utf8_length(self.names), min_length).to_numpy(zero_copy_only=False)
+            allowed &= np.append(long, False)[code]
+        else:
+            allowed &= pc.fill_null(pc.is_in(tags.flatten(), pa.array(list(pos), pa.string())), False).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(is_target | allowed)
+        key = sentence[keep] * max(1, len(self.names)) + code[keep]
+        order = np.argsort(key, kind="stable")
+        key, keep = key[order], keep[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(key)) - 1 if len(key) else first
+        self.sentence, self.code = sentence[keep[first]], code[keep[first]]
+        self.lo, self.hi, self.target = at[keep[first]], at[keep[last]], is_target[keep[first]]
+
+    def pairs(self, min_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the target's and the collocate's span, of pairs at the distance, a bounded number at a time."""
+        t = np.flatnonzero(self.target)
+        begin, end = (np.searchsorted(self.sentence, self.sentence[t], side) for side in ("left", "right"))
+        total = np.cumsum(end - begin)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, (total[-1] if len(t) else 0) + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "left"))
+        for i, j in zip(cuts, np.append(cuts[1:], len(t))):
+            n = (end - begin)[i:j]
+            a = np.repeat(t[i:j], n)
+            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[i:j], n)
+            apart = np.maximum(self.hi[a] - self.lo[b], self.hi[b] - self.lo[a]) >= min_distance
+            apart &= ~self.target[b]
+            yield a[apart], b[apart]
+
+
+def _spans(sents: DataFrame, targets: list[str], lexicon: Sequence[str], pos: Sequence[str], min_length: int) -> Callable[[pa.RecordBatch], Spans]:
+    tagged, targets, lexicon = "tags" in sents.columns, sorted(targets), sorted(lexicon)
+
+    def of(batch: pa.RecordBatch) -> Spans:
+        return Spans(batch.column("words"), batch.column("tags") if tagged else None, targets, lexicon, pos, min_length)
+
+    return of
+
+
+def _columns(sents: DataFrame, *keep: str) -> DataFrame:
+    if "tags" not in sents.columns:
+        return sents.select(*keep, "words")
+    tags = F.when(F.size("tags") == F.size("words"), F.col("tags")).otherwise(F.transform("words", lambda w: F.lit("")))  # words without parts of speech
+    return sents.select(*keep, "words", tags.alias("tags"))
+
+
+def sentence_pairs(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3, lexicon: Sequence[str] = (), pos: Sequence[str] = CONTENT_POS) -> DataFrame:
+    """doc_id, sent_pos, target, collocate: pairs at the distance, once a sentence. sents: doc_id, sent_pos, words and perhaps tags."""
+    spans = _spans(sents, targets, lexicon, pos, min_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = spans(batch)
+            for a, b in s.pairs(min_distance):
+                own = [batch.column(c).take(pa.array(s.sentence[a])) for c in ("doc_id", "sent_pos")]
+                yield pa.RecordBatch.from_arrays([*own, s.names.take(pa.array(s.code[a])), s.names.take(pa.array(s.code[b]))], ["doc_id", "sent_pos", "target", "collocate"])
+
+    kinds = dict(sents.dtypes)
+    some = sents.filter(F.arrays_overlap("words", F.array(*[F.lit(t) for t in targets])))
+    return _columns(some, "doc_id", "sent_pos").mapInArrow(run, f"doc_id {kinds['doc_id']}, sent_pos {kinds['sent_pos']}, target string, collocate string")
 
 
-def _pairs(targets: list[str], min_distance: int, min_length: int, make) -> tuple[Column, Column]:
-    """Of a column `spans`: its collocate spans; and, of a column `others` of those, the array of make(target, collocate) at the distance."""
-    is_target = lambda s: s["w"].isin(targets)
-    others = F.when(F.exists("spans", is_target), F.filter("spans", lambda s: (F.length(s["w"]) >= min_length) & ~is_target(s)))
-    apart = lambda t, s: F.greatest(t["hi"] - s["lo"], s["hi"] - t["lo"]) >= min_distance
-    pairs = F.flatten(F.transform(F.filter("spans", is_target), lambda t: F.transform(F.filter("others", lambda s: apart(t, s)), lambda s: make(t["w"], s["w"]))))
-    return others, pairs
+def sentence_counts(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3, lexicon: Sequence[str] = (), pos: Sequence[str] = CONTENT_POS) -> DataFrame:
+    """kind, a, b, n: sentences in all ('t'), of each target and collocate ('w', word) and of each pair ('p', target, collocate). One scan serves all."""
+    spans = _spans(sents, targets, lexicon, pos, min_length)
 
+    def rows(kind: str, a: pa.Array, b: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+        b = pa.array([""] * len(a), pa.string()) if b is None else b
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), a, b, pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
 
-def sentence_pairs(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3) -> DataFrame:
-    """doc_id, sent_pos, target, collocate: pairs at the distance, once a sentence.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = spans(batch)
+            yield rows("t", pa.array([""]), None, np.array([batch.num_rows]))
+            code, n = np.unique(s.code, return_counts=True)
+            yield rows("w", s.names.take(pa.array(code)), None, n)
+            for a, b in s.pairs(min_distance):
+                both, n = np.unique(s.code[a] * max(1, len(s.names)) + s.code[b], return_counts=True)
+                x, y = np.divmod(both, max(1, len(s.names)))
+                yield rows("p", s.names.take(pa.array(x)), s.names.take(pa.array(y)), n)
 
-    sents: doc_id, sent_pos, words. Without a part-of-speech column, collocates are the words of at
-    least `min_length` characters that are no targets.
-    """
-    others, pairs = _pairs(targets, min_distance, min_length, lambda t, c: F.struct(t.alias("target"), c.alias("collocate")))
-    some = sents.filter(F.arrays_overlap("words", F.array(*[F.lit(t) for t in targets])))
-    d = word_spans(some, "doc_id", "sent_pos").withColumn("others", others)
-    return d.select("doc_id", "sent_pos", F.inline(pairs))
+    counted = _columns(sents).mapInArrow(run, "kind string, a string, b string, n long")
+    return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(sents: DataFrame, targets: list[str], min_count: int = 5, min_distance: int = 2) -> DataFrame:
+def pair_counts(sents: DataFrame, targets: list[str], min_count: int = 5, min_distance: int = 2, lexicon: Sequence[str] = ()) -> DataFrame:
     """target, collocate, pair_n."""
-    pairs = sentence_pairs(sents, targets, min_distance).groupBy("target", "collocate").agg(F.count("*").alias("pair_n"))
-    return pairs.filter(F.col("pair_n") >= min_count)
-
-
-def word_counts(sents: DataFrame) -> DataFrame:
-    """word, n: sentences that hold the word."""
-    return sents.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = sentence_counts(sents, targets, min_distance, lexicon=lexicon).filter(f"kind = 'p' and n >= {int(min_count)}")
+    return pairs.select(F.col("a").alias("target"), F.col("b").alias("collocate"), F.col("n").alias("pair_n"))
 
 
 def llr(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
@@ -73,27 +149,14 @@ def log_dice(pair: Column, t: Column, c: Column) -> Column:
     return F.when(pair > 0, 14 + F.log2(2.0 * pair / (t + c))).otherwise(F.lit(0.0))
 
 
-def sentence_counts(sents: DataFrame, targets: list[str], min_distance: int = 2, min_length: int = 3) -> DataFrame:
-    """kind, a, b, n: sentences in all ('t'), of each word ('w', word) and of each pair ('p', target, collocate).
-
-    One scan, one explode and one map-side combined count serve the pairs and both marginals.
-    """
-    row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
-    others, pairs = _pairs(targets, min_distance, min_length, lambda t, c: row("p", t, c))
-    d = word_spans(sents).withColumn("others", others)
-    none = F.array().cast("array<struct<kind:string,a:string,b:string>>")
-    rows = F.concat(F.array(row("t", F.lit(""), F.lit(""))), F.transform("spans", lambda s: row("w", s["w"], F.lit(""))), F.coalesce(pairs, none))
-    return d.select(F.explode_outer(rows).alias("r")).groupBy("r.kind", "r.a", "r.b").agg(F.count("*").alias("n"))
-
-
-def association_scores(sents: DataFrame, targets: dict[str, str], min_count: int = 5, min_distance: int = 2) -> DataFrame:
+def association_scores(sents: DataFrame, targets: dict[str, str], min_count: int = 5, min_distance: int = 2, lexicon: Sequence[str] = (), pos: Sequence[str] = CONTENT_POS) -> DataFrame:
     """target, group_type, collocate, pair_n, target_n, collocate_n, llr, logdice.
 
     targets: term -> group type. Marginals count sentences regardless of distance; min_count filters
     pairs alone. The counts are read three times, so they are written once; pairs are the small side of every join.
     """
     terms = sorted(targets)
-    counts = settle(sentence_counts(sents, terms, min_distance))
+    counts = settle(sentence_counts(sents, terms, min_distance, lexicon=lexicon, pos=pos))
     pairs = counts.filter(f"kind = 'p' and n >= {int(min_count)}").select(F.col("a").alias("target"), F.col("b").alias("collocate"), F.col("n").alias("pair_n"))
     words = counts.filter("kind = 'w'")
     total = counts.filter("kind = 't'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))

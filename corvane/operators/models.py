@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.vectors import best_dots
+
 
 def train_classifier(rows: DataFrame, vec: str = "vec", label: str = "label", positive: str = "RELEVANT", c: float = 1.5, iterations: int = 3000):
     """Centred principal components, then a balanced logistic regression; returns the fitted pipeline.
@@ -33,53 +38,65 @@ def train_classifier(rows: DataFrame, vec: str = "vec", label: str = "label", po
 
 
 def relevant_probability(model, df: DataFrame, vec: str = "vec") -> DataFrame:
-    """df with the probability of the positive label."""
-    d = df.withColumn("raw", array_to_vector(F.col(vec).cast("array<double>")))
-    return model.transform(d).withColumn("probability", vector_to_array("probability")[1]).drop("raw", "centred", "features", "rawPrediction", "prediction")
-
-
-def _matrix(rows: list, names: list[str]) -> np.ndarray:
-    return np.array([[float(r[n] if r[n] is not None else 0.0) for n in names] for r in rows], dtype=float)
-
-
-def efi(profiles: DataFrame, key: str, dims: dict[str, int], most: int = 100_000, least: int = 2) -> DataFrame:
+    """df with the probability of the positive label; null for a null vector. The three fitted stages come to one linear score, a product a batch."""
+    scaler, pca, lr = model.stages
+    weights = pca.pc.toArray() @ lr.coefficients.toArray()
+    score = best_dots(F.col(vec), [weights[None, :]])[0] + float(lr.intercept - scaler.mean.toArray() @ weights)
+    return df.withColumn("probability", 1 / (1 + F.exp(-score)))
+
+
+def _moments(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and covariances of columns (null as 0). Tasks sum up products of centred rows; only k means and k by k sums reach the driver."""
+    x = df.select(F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).alias("x"))
+    k = len(names)
+    r = x.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)]).first()
+    mean = np.array([r[f"m{i}"] or 0.0 for i in range(k)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            z = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - mean
+            total += z.T @ z
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "s"])
+
+    cov = np.zeros((k, k))
+    for s in x.mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        cov[s["i"], s["j"]] = s["s"] / max(1, r["n"])
+    return r["n"], mean, (cov + cov.T) / 2
+
+
+def efi(profiles: DataFrame, key: str, dims: dict[str, int], least: int = 2) -> DataFrame:
     """key, score (first principal component), loading of each dimension, variance ratio.
 
-    dims: name -> sign with which it should point along the component. The group table has one row
-    a group; it is read on the driver, at most `most` rows of it or an error. Fewer than `least` groups have no index.
+    dims: name -> sign with which it should point along the component. The component comes from the correlations of the
+    dimensions, scores are a column over the table, of any size. Fewer than `least` groups have no index.
     """
-    rows = profiles.select(key, *dims).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many groups for a driver-side index")
-    spark = profiles.sparkSession
-    schema = f"{key} {dict(profiles.dtypes)[key]}, score double, variance_ratio double, " + ", ".join(f"load_{n} double" for n in dims)
-    if len(rows) < least:
-        return spark.createDataFrame([], schema)
-    x = _matrix(rows, list(dims))
-    sd = x.std(axis=0)
-    z = (x - x.mean(axis=0)) / np.where(sd == 0, 1, sd)
-    _, s, vt = np.linalg.svd(z, full_matrices=False)
-    load = vt[0]
+    names = list(dims)
+    n, mean, cov = _moments(profiles, names)
+    schema = f"{key} {dict(profiles.dtypes)[key]}, score double, variance_ratio double, " + ", ".join(f"load_{x} double" for x in names)
+    if n < least:
+        return profiles.sparkSession.createDataFrame([], schema)
+    sd = np.sqrt(np.diag(cov))
+    sd = np.where(sd == 0, 1, sd)
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+    load, total = vectors[:, -1], values.sum()
     if float(load @ np.array(list(dims.values()), dtype=float)) < 0:
         load = -load
-    score = z @ load
-    ratio = float(s[0] ** 2 / (s**2).sum()) if (s**2).sum() else 0.0
-    return spark.createDataFrame([(r[key], round(float(v), 3), round(ratio, 4), *[round(float(a), 4) for a in load]) for r, v in zip(rows, score)], schema)
+    ratio = float(values[-1] / total) if total > 0 else 0.0
+    score = sum((F.coalesce(F.col(x).cast("double"), F.lit(0.0)) - float(m)) * float(a / d) for x, m, a, d in zip(names, mean, load, sd))
+    return profiles.select(key, F.round(score, 3).alias("score"), F.lit(round(ratio, 4)).alias("variance_ratio"), *[F.lit(round(float(a), 4)).alias(f"load_{x}") for x, a in zip(names, load)])
 
 
-def ols(profiles: DataFrame, target: str, predictors: list[str], most: int = 100_000) -> dict | None:
-    """Least squares of a target on predictors over the group table; None with too few groups."""
-    rows = profiles.select(target, *predictors).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many groups for a driver-side regression")
-    if len(rows) < len(predictors) + 2:
+def ols(profiles: DataFrame, target: str, predictors: list[str]) -> dict | None:
+    """Least squares of a target on predictors (null as 0), from their covariances; None with too few groups."""
+    n, mean, cov = _moments(profiles, [target, *predictors])
+    if n < len(predictors) + 2:
         return None
-    y = _matrix(rows, [target])[:, 0]
-    x = np.hstack([np.ones((len(rows), 1)), _matrix(rows, predictors)])
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    total = float(((y - y.mean()) ** 2).sum())
-    r2 = 1 - float(((y - x @ beta) ** 2).sum()) / total if total > 0 else 0.0
-    return {"n": len(rows), "intercept": round(float(beta[0]), 4), "r2": round(r2, 4), **{f"b_{p}": round(float(b), 4) for p, b in zip(predictors, beta[1:])}}
+    beta = np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=None)[0]
+    left = cov[0, 0] - 2 * beta @ cov[1:, 0] + beta @ cov[1:, 1:] @ beta
+    r2 = 1 - float(left / cov[0, 0]) if cov[0, 0] > 0 else 0.0
+    return {"n": n, "intercept": round(float(mean[0] - beta @ mean[1:]), 4), "r2": round(r2, 4), **{f"b_{p}": round(float(b), 4) for p, b in zip(predictors, beta)}}
 
 
 def ols_single(df: DataFrame, target: str, predictor: str) -> DataFrame:

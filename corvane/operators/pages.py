@@ -130,9 +130,24 @@ def by_date(folder_first: bool = False) -> list[Column]:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key that compares runs of digits as numbers and ignores case."""
+    """Sort key that compares runs of digits as numbers, of any length, and letters by their base: without case and accents."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    sized = lambda p: F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))
+    return F.collate(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), sized(p)).otherwise(p)), ""), "UNICODE_CI_AI")
+
+
+def ranked_by(df: DataFrame, *order: str, out: str = "place") -> DataFrame:
+    """df with each row's place, from 1, by columns that tell all rows apart. Rows are dealt over ranges and numbered there; only the ranges' sizes are summed up."""
+    dealt = settle(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect())  # one row a partition
+    before, total = [], 0
+    for range_, n in sizes:
+        before.append((range_, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before")
+    return dealt.join(F.broadcast(offsets), "__range").withColumn(out, place).drop("__range", "__before")
 
 
 def page_list(pages: DataFrame, limit: int | None = None, folder_first: bool = False) -> DataFrame:
@@ -263,37 +278,63 @@ def embedded(text: Column, ref: Column) -> Column:
     return F.when(ref == "", text).when(F.startswith(ref, F.lit("#^")), found).otherwise(section(text, paths.slug_anchor(F.regexp_replace(ref, "^#+", ""))))
 
 
-def transclude(pages: DataFrame) -> DataFrame:
-    """slug, content with the embeds of pages, heading sections and blocks expanded, however deep.
+def _embed(text: Column) -> Column:
+    """What stands between the brackets of an embed, as page and ref (what follows the first #, with it)."""
+    target = F.substring_index(text, "|", 1)
+    page = F.substring_index(target, "#", 1)
+    return F.struct(F.trim(page).alias("page"), F.trim(F.substring(target, F.length(page) + 1, F.length(target))).alias("ref"))
+
+
+def _fragments(pages: DataFrame) -> DataFrame:
+    """page, ref, pieces: all that embeds can show, the pages themselves (an empty ref) included, cut into literals and embeds: k, text, embed (null for a literal)."""
+    embeds = F.array_distinct(F.regexp_extract_all("content", F.lit(EMBED), F.lit(1)))
+    named = pages.select(F.explode(embeds).alias("e")).select(_embed(F.col("e")).alias("e")).select("e.*").filter("ref <> ''").distinct()
+    source = pages.filter("content is not null").select(F.col("slug").alias("page"), F.col("content").alias("text"))
+    parts = named.join(source, "page").select("page", "ref", embedded(F.col("text"), F.col("ref")).alias("text")).filter("text is not null")
+    every = source.select("page", F.lit("").alias("ref"), "text").unionByName(parts)
+    words = F.transform(F.split("text", EMBED, -1), lambda w, i: F.struct((i * 2).alias("k"), w.alias("text"), F.lit(None).cast("struct<page:string,ref:string>").alias("embed")))
+    names = F.transform(F.regexp_extract_all("text", F.lit(EMBED), F.lit(1)), lambda e, i: F.struct((i * 2 + 1).alias("k"), F.concat(F.lit("![["), e, F.lit("]]")).alias("text"), _embed(e).alias("embed")))
+    return every.select("page", "ref", F.concat(words, names).alias("pieces"))
 
-    pages: slug, content. An embed reads `![[page]]`, `![[page#heading]]` or `![[page#^block]]`, each with an alias or
-    without; one of a page that it stands in itself, at any depth, and one of nothing, stay as they are. Each round joins
-    the embeds still open with the pages they name, and ends when none is left: a path through the pages visits each once.
-    """
 
-    def pieces(rows: DataFrame) -> DataFrame:
-        """rows: slug, ord, seen, text -> the literals and embeds that it is made of, in order."""
-        words, embeds = F.split("text", EMBED, -1), F.regexp_extract_all("text", F.lit(EMBED), F.lit(1))
-        both = F.concat(F.transform(words, lambda w, i: F.struct((i * 2).alias("k"), w.alias("text"), F.lit(False).alias("is_embed"))), F.transform(embeds, lambda e, i: F.struct((i * 2 + 1).alias("k"), e.alias("text"), F.lit(True).alias("is_embed"))))
-        d = rows.select("slug", "ord", "seen", F.explode(both).alias("x"))
-        return d.select("slug", F.array_append("ord", F.col("x.k")).alias("ord"), "seen", "x.text", "x.is_embed").filter("is_embed or text <> ''")
+def _shown(slugs: DataFrame, children: DataFrame) -> DataFrame:
+    """slug, page, ord, ref: of each page and each page that it comes to show, itself (an empty ord) included, the embed that shows it: the first one in reading order.
 
-    source = pages.select(F.col("slug").alias("page"), F.col("content").alias("inner"))
-    todo = settle(pieces(pages.select("slug", F.array().cast("array<int>").alias("ord"), F.array("slug").alias("seen"), F.coalesce("content", F.lit("")).alias("text"))))
-    done = []
+    An embed stands only if the one around it shows its page, and an earlier one may turn up deep inside another; so each round takes the
+    embeds that those shown by the round before give, and keeps the first of each pair, until a round changes nothing. Only pages that
+    changed go on. A round is one join and one shuffle, by the page that shows.
+    """
+    none, ints = F.lit(None), F.array().cast("array<int>")
+    done, last = [], slugs.select("slug", F.col("slug").alias("page"), ints.alias("ord"), F.lit("").alias("ref"))
     while True:
-        done.append(todo.filter("not is_embed").select("slug", "ord", "text"))
-        open_ = todo.filter("is_embed")
-        if open_.isEmpty():
-            break
-        target = F.substring_index("text", "|", 1)
-        page = F.trim(F.substring_index(target, "#", 1))
-        named = open_.withColumns({"page": page, "ref": F.trim(F.substring(target, F.length(F.substring_index(target, "#", 1)) + 1, F.length(target)))})
-        j = named.join(source, "page", "left").withColumn("shown", F.when(~F.array_contains("seen", F.col("page")), embedded(F.col("inner"), F.col("ref"))))
-        j = settle(j.select("slug", "ord", "seen", "page", "text", "shown"))
-        done.append(j.filter("shown is null").select("slug", "ord", F.concat(F.lit("![["), F.col("text"), F.lit("]]")).alias("text")))
-        todo = settle(pieces(j.filter("shown is not null").select("slug", "ord", F.array_append("seen", F.col("page")).alias("seen"), F.col("shown").alias("text"))))
-    parts = reduce(DataFrame.unionByName, done)
-    whole = parts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
-    out = pages.select("slug").join(whole, "slug", "left")
+        inner = last.join(children, ["page", "ref"]).select("slug", F.inline("embeds"), "ord")
+        inner = inner.select("slug", "embed.page", F.struct(F.array_append("ord", F.col("k")).alias("ord"), "embed.ref").alias("at"), none.cast("array<int>").alias("old")).filter("page <> slug")
+        old = last.select("slug", "page", F.when(F.col("page") == F.col("slug"), F.struct("ord", "ref")).alias("at"), F.col("ord").alias("old"))
+        both = inner.unionByName(old).repartition("slug").groupBy("slug", "page").agg(F.min("at").alias("at"), F.max("old").alias("old"))
+        moved = F.max(~F.col("at.ord").eqNullSafe(F.col("old"))).over(Window.partitionBy("slug"))
+        now = settle(both.withColumn("moved", moved).filter("at is not null").select("slug", "page", "at.ord", "at.ref", "moved"))
+        done.append(now.filter("not moved").drop("moved"))
+        last = now.filter("moved").drop("moved")
+        if last.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def transclude(pages: DataFrame) -> DataFrame:
+    """slug, content with the embeds of pages, heading sections and blocks expanded, however deep.
+
+    pages: slug (one row each), content. An embed reads `![[page]]`, `![[page#heading]]` or `![[page#^block]]`, each with an alias or
+    without. A page shows another at most once, whole or in part: at the first embed of it in reading order, what embeds show
+    included. Later ones, those of the page itself and those of nothing stay as they are. So a page's content is
+    linear in the pages that it reaches. Texts are cut once for all; the rounds move names and positions only.
+    """
+    fragments = settle(_fragments(pages))
+    embeds = F.transform(F.filter("pieces", lambda x: x["embed"].isNotNull()), lambda x: F.struct(x["k"].alias("k"), x["embed"].alias("embed")))
+    children = settle(fragments.select("page", "ref", embeds.alias("embeds")).filter("size(embeds) > 0"))
+    shown = settle(_shown(pages.select("slug"), children))
+    units = shown.join(fragments, ["page", "ref"])
+    parts = units.select("slug", "ord", F.inline("pieces")).select("slug", F.array_append("ord", F.col("k")).alias("ord"), "text", "embed.page", "embed.ref")
+    open_ = shown.join(fragments.select("page", "ref"), ["page", "ref"], "left_semi").select("slug", "ord")  # embeds that something takes the place of
+    left = parts.filter("text <> ''").join(open_, ["slug", "ord"], "left_anti")
+    content = left.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
+    out = pages.select("slug").join(content, "slug", "left")
     return out.select("slug", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("content"))

@@ -1,13 +1,22 @@
-"""Full-text search: postings, prefix queries, tag queries, excerpts. Rank: title, then content, then tags; then id."""
+"""Full-text search: postings, a prefix dictionary over them, prefix queries, tag queries, excerpts. Rank: title, then content, then tags; then id.
+
+Postings can be searched as they come from `postings`, in one scan, or through `prefix_index`: ranges of terms, each sorted and
+kept in a folder of its own, with a dictionary of the first and last term of each. A query then reads the ranges in
+which a term can begin with one of its words, and within them the row groups whose bounds allow it.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import search_tokens
+from corvane.sources.scratch import new_path, settle
+
+BLOCK_ROWS = 1 << 22  # postings of a range of the prefix dictionary
 
 
 def postings(pages: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -19,16 +28,47 @@ def postings(pages: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return out.groupBy(key, "field", "term").agg(F.count("*").alias("n"))
 
 
-def matches(index: DataFrame, key: str, query: list[str], fields: tuple[str, ...]) -> DataFrame:
+@dataclass(frozen=True)
+class PrefixIndex:
+    """dictionary: block, first, last, n, one row a block. rows: postings with their block, in folders by block."""
+
+    dictionary: DataFrame
+    rows: DataFrame
+
+    def opened(self, query: list[str]) -> list[int]:
+        """The blocks in which a term can begin with a word of the query."""
+        reach = [(F.col("last") >= q) & ((F.col("first") <= q) | F.startswith("first", F.lit(q))) for q in query]
+        return sorted(r["block"] for r in self.dictionary.filter(reduce(lambda a, b: a | b, reach)).select("block").collect())
+
+    def holding(self, query: list[str]) -> DataFrame:
+        """The postings of the blocks that the query opens."""
+        return self.rows.filter(F.col("block").isin(self.opened(query))).drop("block")
+
+
+def prefix_index(index: DataFrame, key: str, block_rows: int = BLOCK_ROWS, path: str | None = None) -> PrefixIndex:
+    """Postings dealt over ranges of terms, sorted, with their dictionary. A frequent term's postings fill several blocks."""
+    spark = index.sparkSession
+    own = settle(index)  # a range shuffle reads its input twice
+    blocks = max(1, -(-own.count() // block_rows))
+    path = path or new_path(spark, "prefix-index")
+    dealt = own.repartitionByRange(blocks, "term", "field", key).sortWithinPartitions("term", "field", key)
+    dealt.withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(f"{path}/rows")
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in own.dtypes)}, block int").parquet(f"{path}/rows")
+    rows.groupBy("block").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("n")).write.parquet(f"{path}/dictionary")
+    return PrefixIndex(spark.read.schema("block int, first string, last string, n long").parquet(f"{path}/dictionary"), rows)
+
+
+def matches(index: DataFrame | PrefixIndex, key: str, query: list[str], fields: tuple[str, ...]) -> DataFrame:
     """key, field: documents whose field holds, for every query word, a term that begins with it. One scan serves all fields."""
+    rows = index.holding(query) if isinstance(index, PrefixIndex) else index
     starts = [F.startswith("term", F.lit(q)) for q in query]
     any_ = reduce(lambda a, b: a | b, starts)
     every = reduce(lambda a, b: a & b, [F.bool_or(s) for s in starts])
-    hit = index.filter(F.col("field").isin(list(fields)) & any_).groupBy(key, "field").agg(every.alias("all"))
+    hit = rows.filter(F.col("field").isin(list(fields)) & any_).groupBy(key, "field").agg(every.alias("all"))
     return hit.filter("all").select(key, "field")
 
 
-def search(index: DataFrame, key: str, query: list[str], fields: tuple[str, ...] = ("title", "content", "tags"), limit: int = 8) -> DataFrame:
+def search(index: DataFrame | PrefixIndex, key: str, query: list[str], fields: tuple[str, ...] = ("title", "content", "tags"), limit: int = 8) -> DataFrame:
     """key, rank: first `limit` of each field in turn, a document once, by its first field."""
     place = F.row_number().over(Window.partitionBy("field").orderBy(key))  # a group limit, so each task sends `limit` rows a field
     found = matches(index, key, query, fields).withColumn("place", place).filter(F.col("place") <= limit)
@@ -36,10 +76,13 @@ def search(index: DataFrame, key: str, query: list[str], fields: tuple[str, ...]
     return found.groupBy(key).agg(F.min(rank).cast("int").alias("rank"))
 
 
-def search_tag(index: DataFrame, tags: DataFrame, key: str, tag: str, query: list[str], limit: int = 8) -> DataFrame:
+def search_tag(index: DataFrame | PrefixIndex, tags: DataFrame, key: str, tag: str, query: list[str], limit: int = 8) -> DataFrame:
     """The same over title and content, of the documents that carry the tag. tags: key, tag."""
     own = tags.filter(F.col("tag") == tag).select(key).distinct()
-    return search(index.join(own, key, "left_semi"), key, query, ("title", "content"), limit) if query else own.orderBy(key).limit(limit).withColumn("rank", F.lit(0))
+    if not query:
+        return own.orderBy(key).limit(limit).withColumn("rank", F.lit(0))
+    rows = index.holding(query) if isinstance(index, PrefixIndex) else index
+    return search(rows.join(own, key, "left_semi"), key, query, ("title", "content"), limit)
 
 
 def excerpt(docs: DataFrame, key: str, text: str, terms: list[str], width: int = 30) -> DataFrame:

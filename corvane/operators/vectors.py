@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from corvane.functions.vectors import cosine, dot
+from corvane.config import Placement
+from corvane.functions.text import escape_regex, trie
+from corvane.functions.vectors import best_dots, cosine
 
 
 class Encoder(Protocol):
@@ -52,19 +57,33 @@ def encode(df: DataFrame, encoder: Encoder, text_col: str, out: str = "vec") ->
     return df.withColumn(out, run(F.col(text_col)))
 
 
+def encode_placed(df: DataFrame, encoder: Encoder, text_col: str, out: str, place: Placement) -> DataFrame:
+    """The same as a stage of its own, with the placement's resources and no more texts at a time than its batch."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, own = pd.factorize(batch.column(text_col).to_pandas())
+            parts = [encoder.encode(list(own[i : i + place.batch])) for i in range(0, len(own), place.batch)]
+            vecs = np.concatenate(parts) if parts else np.zeros((0, encoder.dim))
+            column = pa.array([vecs[c].tolist() if c >= 0 else None for c in codes], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, out])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInArrow(run, f"{fields}, `{out}` array<double>", profile=place.profile())
+
+
 BANK_BOUND = 10_000  # prompts of all banks together, which every task gets as one row
 
 
 def bank_scores(df: DataFrame, banks: DataFrame, names: list[str], key: str, vec: str = "embedding") -> DataFrame:
-    """key and one column a bank: the best dot product, null for an empty bank. banks: bank, bvec.
-
-    The prompts become one row of arrays, so that each vector is scored where it lies and rows that share a key stay apart.
-    """
-    if banks.limit(BANK_BOUND + 1).count() > BANK_BOUND:
+    """key and one column a bank: the best dot product, null for an empty bank. banks: bank, bvec; at most BANK_BOUND prompts, which go along with the function."""
+    rows = banks.filter(F.col("bank").isin(names)).select("bank", "bvec").limit(BANK_BOUND + 1).collect()
+    if len(rows) > BANK_BOUND:
         raise ValueError("too many prompts for a broadcast")
-    lists = banks.agg(*[F.collect_list(F.when(F.col("bank") == n, F.col("bvec"))).alias(f"__bank{i}") for i, n in enumerate(names)])
-    best = [F.array_max(F.transform(f"__bank{i}", lambda b: dot(F.col(vec), b))).alias(n) for i, n in enumerate(names)]
-    return df.select(key, vec).join(F.broadcast(lists)).select(key, *best)
+    matrices = [np.array([r["bvec"] for r in rows if r["bank"] == n], dtype=float) for n in names]
+    scored = df.select(key, best_dots(F.col(vec), matrices).alias("__best"))
+    return scored.select(key, *[F.col("__best")[i].alias(n) for i, n in enumerate(names)])
 
 
 def semantic_scores(df: DataFrame, banks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
@@ -103,10 +122,15 @@ def vector_literal(v) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
-def stable_sample(df: DataFrame, key: str, text: str, most: int = 500, digest: str = "md5") -> DataFrame:
-    """At most `most` rows of each key: the lowest digests of key and text. The rank filter becomes a group limit before the shuffle."""
-    h = F.concat_ws("\t", F.col(key).cast("string"), F.col(text).cast("string")).cast("binary")
-    value = F.md5(h) if digest == "md5" else F.sha2(h, 256)
+@F.arrow_udf(BinaryType())
+def context_digest(text: pa.Array) -> pa.Array:
+    """blake2b of eight bytes."""
+    return pa.array([None if t is None else hashlib.blake2b(t, digest_size=8).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def stable_sample(df: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
+    """At most `most` rows of each key: the lowest digests of key, tab and text. The rank filter becomes a group limit before the shuffle."""
+    value = context_digest(F.concat_ws("\t", F.col(key).cast("string"), F.col(text).cast("string")))
     w = Window.partitionBy(key).orderBy("__digest", text)
     return df.withColumn("__digest", value).withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).drop("__digest", "__rank")
 
@@ -119,9 +143,8 @@ def ceat_summary(values: DataFrame, key: str, value: str = "assoc", least: int =
 
 def context_lemmas(lines: DataFrame, terms: list[str], col: str = "line") -> DataFrame:
     """Every distinct term that a line holds; blanks and hyphens inside a term match each other, longer terms first."""
-    from corvane.functions.text import escape_regex
-
-    parts = [r"[\s-]+".join(escape_regex(p) for p in t.replace("-", " ").split()) for t in sorted(terms, key=lambda t: (-len(t), t))]
-    found = F.regexp_extract_all(F.lower(F.col(col)), F.lit(rf"(?U)(?<!\w)(?:{'|'.join(parts)})(?!\w)"), F.lit(0))
+    gap = r"[\s-]+"
+    units = [[c for p in t.replace("-", " ").split() for c in (gap, *map(escape_regex, p))][1:] for t in terms]
+    found = F.regexp_extract_all(F.lower(F.col(col)), F.lit(rf"(?U)(?<!\w)(?:{trie(units)})(?!\w)"), F.lit(0))
     norm = F.transform(found, lambda x: F.regexp_replace(x, r"[\s-]+", " "))
     return lines.withColumn("lemma", F.explode(F.array_distinct(norm)))

@@ -99,8 +99,9 @@ def analyse(
     named = resolved.select(F.explode("mentions").alias("m")).select("m.lemma").distinct().collect()  # at most pairs of lexicon terms
     kinds = {r["lemma"]: group_lexicon.report_type(r["lemma"]) for r in sorted(named)} or {t: group_lexicon.report_type(t) for t in sorted(group_lexicon.rank)}
     group_at = lambda t: F.get(F.filter("mentions", lambda m: (m["token_i"] == t["i"]) & ~m["is_mwe_child"]), F.lit(0))["lemma"]
-    words = resolved.select(*KEYS, F.transform("tokens", lambda t: F.coalesce(group_at(t), F.lower(t["lemma"]))).alias("words"))
-    scores = settle(association.association_scores(words, kinds, c.min_pair, c.min_distance))
+    words = F.transform("tokens", lambda t: F.coalesce(group_at(t), F.lower(t["lemma"])))
+    words = resolved.select(*KEYS, words.alias("words"), F.transform("tokens", lambda t: t["pos"]).alias("tags"))
+    scores = settle(association.association_scores(words, kinds, c.min_pair, c.min_distance, sorted(group_lexicon.rank)))
 
     known = [*seeds.negative, *seeds.positive]
     found = association.find_candidates(scores, known, sorted(group_lexicon.political), c.candidate_top, c.candidate_min_llr)

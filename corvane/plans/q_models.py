@@ -92,11 +92,11 @@ def weat_scores(spark, d):
 
 
 def stable_sample(spark, d):
-    return vec.stable_sample(documents(spark, d, ("doc_id", "source")), "source", "doc_id", 20)
+    return vec.stable_sample(documents(spark, d, ("doc_id", "source")), "source", "doc_id")
 
 
 def ceat_summary(spark, d):
-    sample = vec.stable_sample(_weat(spark, d), "label", "vec_id", 30)
+    sample = vec.stable_sample(_weat(spark, d), "label", "vec_id")
     return vec.ceat_summary(sample, "label")
 
 
@@ -133,12 +133,16 @@ def relevant_probability(spark, d):
 
 
 def _profiles(spark, d):
+    """Mean embedding of each label, a column a dimension."""
     e = _emb(spark, d)
-    return e.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(6)], F.count("*").alias("total"))
+    dims = e.select(F.size("embedding")).first()[0]
+    return e.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(dims)], F.count("*").alias("total"))
 
 
 def efi_pca(spark, d):
-    return models.efi(_profiles(spark, d), "label", {"d0": 1, "d1": 1, "d2": 1, "d3": 1, "d4": -1, "d5": -1})
+    p = _profiles(spark, d)
+    dims = [c for c in p.columns if c.startswith("d")]
+    return models.efi(p, "label", {c: 1 if i % 2 == 0 else -1 for i, c in enumerate(dims)})
 
 
 def ols(spark, d):
@@ -539,8 +543,8 @@ SELECT *, CASE WHEN greatest(pos, neg) >= 0.24::DOUBLE AND abs(pos - neg) >= 0.0
     "cosine_pairs": f"SELECT a.vec_id, {_BEST_DIST} AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "label_centroids": f"WITH {_CENT} SELECT label, pos, round(x, 5) AS x FROM c",
     "weat_scores": f"WITH {_WEAT} SELECT vec_id, round(assoc, 4) AS weat FROM w",
-    "stable_sample": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(chr(9), source, doc_id::VARCHAR)), doc_id) AS rn FROM documents) WHERE rn <= 20",
-    "ceat_summary": f"""WITH {_WEAT}, s AS (SELECT * FROM (SELECT label, assoc, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(chr(9), label::VARCHAR, vec_id::VARCHAR)), vec_id) AS rn FROM w) WHERE rn <= 30)
+    "stable_sample": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(chr(9), source, doc_id::VARCHAR)), doc_id) AS rn FROM documents) WHERE rn <= 500",  # no source has more here, so another digest than the operator's does
+    "ceat_summary": f"""WITH {_WEAT}, s AS (SELECT * FROM (SELECT label, assoc, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(chr(9), label::VARCHAR, vec_id::VARCHAR)), vec_id) AS rn FROM w) WHERE rn <= 500)
 SELECT label, count(*) AS n, round(avg(assoc), 4) AS mean, round(coalesce(stddev_samp(assoc), 0), 4) AS sd, round(coalesce(stddev_samp(assoc), 0) / sqrt(count(*)), 4) AS se FROM s GROUP BY label HAVING count(*) >= 10""",
     "context_lemmas": rf"""WITH {SENT}, m AS (SELECT doc_id, sent_pos, unnest(regexp_extract_all(regexp_replace(lower(sentence), '[^\p{{L}}\p{{N}}_\s-]', ' . ', 'g'), '[\p{{L}}\p{{N}}_]+|[\s-]+|\.')) AS t, generate_subscripts(regexp_extract_all(regexp_replace(lower(sentence), '[^\p{{L}}\p{{N}}_\s-]', ' . ', 'g'), '[\p{{L}}\p{{N}}_]+|[\s-]+|\.'), 1) AS i FROM sent),
 w AS (SELECT doc_id, sent_pos, t, lead(t, 1) OVER o AS gap, lead(t, 2) OVER o AS nxt FROM m WINDOW o AS (PARTITION BY doc_id, sent_pos ORDER BY i)),

@@ -231,17 +231,28 @@ def _index(spark, d):
     return se.postings(p, "page_id", {"title": "title", "content": "content", "tags": "tag_text"})
 
 
+def _dictionary(spark, d):
+    return se.prefix_index(_index(spark, d), "page_id", 20_000)
+
+
 def inverted_index(spark, d):
     return _index(spark, d)
 
 
+def prefix_dictionary(spark, d):
+    """The terms that begin with each of some prefixes, from the blocks that hold them."""
+    ix = _dictionary(spark, d)
+    found = [ix.holding([q]).filter(F.startswith("term", F.lit(q))).select(F.lit(q).alias("prefix"), "term", "n") for q in ("th", "de", "zz")]
+    return found[0].union(found[1]).union(found[2]).groupBy("prefix", "term").agg(F.sum("n").alias("n"))
+
+
 def search_basic(spark, d):
-    return se.search(_index(spark, d), "page_id", ["the", "th"])
+    return se.search(_dictionary(spark, d), "page_id", ["the", "th"])
 
 
 def search_tag(spark, d):
     tags = site(spark, d).select("page_id", F.explode("tags").alias("tag"))
-    return se.search_tag(_index(spark, d), tags, "page_id", "lang/fr", ["de"])
+    return se.search_tag(_dictionary(spark, d), tags, "page_id", "lang/fr", ["de"])
 
 
 def search_excerpt(spark, d):
@@ -357,18 +368,19 @@ def roam_rewrite(spark, d):
 
 
 def transclusions(spark, d):
-    """Pages in rings of five: each embeds the next one whole, its section S and its block b."""
+    """Pages in blocks of twelve. In every other block each page embeds all others; the rest are diamonds, whose tip is shown in part on one way and whole on the other."""
     p = table(spark, d, "pages")
-    m = p.agg((F.max("page_id") + 1).alias("m"))
+    m = p.agg(F.max("page_id").alias("m"))
     k = F.col("page_id")
-    base = k - k % 5
-    following = F.concat(F.lit("p"), (base + (k - base + 1) % F.least(F.lit(5), F.col("m") - base)).cast("string"))
-    put = lambda text: F.replace(F.replace(F.lit(text), F.lit("{k}"), k.cast("string")), F.lit("{next}"), following)
-    c = p.join(F.broadcast(m)).select(F.concat(F.lit("p"), k.cast("string")).alias("slug"), put(RING).alias("content"))
-    return pg.transclude(c)
-
-
-RING = "<{k} ![[{next}]]> [![[{next}#S]]] (![[{next}#^b|x]])\n## S\nsec {k}\n## T\nblk {k} ^b"
+    base, tip = k - k % 12, k - k % 4
+    embed = lambda x, ref="": F.concat(F.lit(" ![[p"), x.cast("string"), F.lit(f"{ref}]]"))
+    others = F.transform(F.filter(F.sequence(base, F.least(base + 11, F.col("m"))), lambda x: x != k), lambda x: embed(x))
+    part = F.when((k / 4).cast("int") % 2 == 0, embed(tip + 3, "#S")).otherwise(embed(tip + 3, "#^b|x"))
+    way = F.when(k % 4 == 0, F.concat(embed(tip + 1), embed(tip + 2))).when(k % 4 == 1, part).when(k % 4 == 2, embed(tip + 3)).otherwise("")
+    shown = F.when((base / 12).cast("int") % 2 == 0, F.array_join(others, "")).otherwise(way)
+    n = k.cast("string")
+    body = F.concat(F.lit("<p"), n, F.lit(" "), F.coalesce("url", F.lit("")), shown, F.lit(">\n## S\nsec "), n, F.lit("\n## T\nblk "), n, F.lit(" ^b"))
+    return pg.transclude(p.join(F.broadcast(m)).select(F.concat(F.lit("p"), n).alias("slug"), body.alias("content")))
 
 
 def folder_dates(spark, d):
@@ -394,8 +406,8 @@ def highlighted(spark, d):
 def natural_order(spark, d):
     """Page names in natural order."""
     p = site(spark, d).select("page_id", F.concat(F.lit("P"), (F.col("page_id") % 17).cast("string"), F.lit("n"), F.col("page_id").cast("string")).alias("name"))
-    w = Window.orderBy(pg.natural_key(F.col("name")))
-    return p.select("page_id", F.row_number().over(w).alias("place"))
+    ranked = pg.ranked_by(p.select("page_id", pg.natural_key(F.col("name")).alias("key")), "key", "page_id")
+    return ranked.select("page_id", "place")
 
 
 def neighborhood_all(spark, d):
@@ -471,7 +483,7 @@ QUERIES = {f.__name__: f for f in (
     scan_pages, slugify, simplify_slug, path_to_root, segment_prefixes, slug_predicates, page_links, link_classes, canonical_links, resolve_links_shortest, valid_links, broken_links,
     backlinks, link_graph, node_degree, neighborhood_1hop, neighborhood_2hop, induced_subgraph, path_trie, folder_paths, folder_rollup, tag_counts, tag_pages, breadcrumbs,
     pages_by_date, pages_folder_first, recent_pages, feed_topk, sitemap, content_index, alias_redirects, page_description, html_to_text, page_dates, remove_drafts, explicit_publish,
-    inverted_index, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, block_refs, embed_refs, at_mentions,
+    inverted_index, prefix_dictionary, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, block_refs, embed_refs, at_mentions,
     at_mention_lines, toc_entries, front_matter, hugo_rewrite, roam_rewrite, transclusions, folder_dates, folder_pages, at_pages, highlighted, natural_order, neighborhood_all, apply_changes, affected_tags, file_changes, partial_emit, emit_changed,
     extract_stream, extraction,
 )}
@@ -533,6 +545,7 @@ SELECT q.slug, depth, path, CASE WHEN path = '' THEN 'Home' ELSE coalesce(s.titl
     "recent_pages": f"WITH {SITE} SELECT slug, title, date, (SELECT greatest(count(*) - 3, 0) FROM site) AS remaining FROM site ORDER BY {_ORDER} LIMIT 3",
     "feed_topk": f"WITH {SITE} SELECT slug, title, date FROM site ORDER BY {_ORDER} LIMIT 10",
     "sitemap": f"WITH {SITE} SELECT slug, '<url><loc>https://{BASE}/' || slug || '</loc>' || CASE WHEN date IS NOT NULL THEN '<lastmod>' || strftime(date, '%Y-%m-%d') || '</lastmod>' ELSE '' END || '</url>' AS element FROM site",
+    "prefix_dictionary": f"WITH {SITE}, {_IDX} SELECT prefix, term, sum(n)::BIGINT AS n FROM idx JOIN (SELECT unnest(['th', 'de', 'zz']) AS prefix) ON starts_with(term, prefix) GROUP BY ALL",
     "inverted_index": f"WITH {SITE}, {_IDX} SELECT * FROM idx",
     "search_basic": f"WITH {SITE}, {_IDX} SELECT page_id, min(rank) AS rank FROM ({_match('title', ['the', 'th'], 0)} UNION ALL {_match('content', ['the', 'th'], 1)} UNION ALL {_match('tags', ['the', 'th'], 2)}) GROUP BY page_id",
     "search_tag": f"WITH {SITE}, {_IDX} SELECT page_id, min(rank) AS rank FROM ({_match('title', ['de'], 0, _IN)} UNION ALL {_match('content', ['de'], 1, _IN)}) GROUP BY page_id",
@@ -572,10 +585,14 @@ SELECT page_id, CASE WHEN len(d) > 300 THEN d[:300] || '...' ELSE d END AS descr
  CASE WHEN page_id % 4 = 0 THEN TIMESTAMP '2022-01-01' ELSE coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05') END AS modified, strftime(coalesce(date::TIMESTAMP, TIMESTAMP '2021-05-05'), '%d %b %Y') AS published FROM site""",
     "remove_drafts": "SELECT page_id FROM pages WHERE page_id % 3 <> 0",
     "explicit_publish": "SELECT page_id FROM pages WHERE page_id % 3 = 0",
-    "transclusions": """WITH RECURSIVE m AS (SELECT max(page_id) + 1 AS m FROM pages), g AS (SELECT page_id AS k, page_id - page_id % 5 AS base, least(5, m - (page_id - page_id % 5)) AS n FROM pages, m),
-t AS (SELECT k AS s, base, n, n - 1 AS j, '<' || (base + (k - base + n - 1) % n) || ' ![[p' || k || ']]> [![[p' || k || '#S]]] (![[p' || k || '#^b|x]])' || chr(10) || '## S' || chr(10) || 'sec ' || (base + (k - base + n - 1) % n) || chr(10) || '## T' || chr(10) || 'blk ' || (base + (k - base + n - 1) % n) || ' ^b' AS text FROM g
- UNION ALL SELECT s, base, n, j - 1, '<' || (base + (s - base + j - 1) % n) || ' ' || text || '> [## S' || chr(10) || 'sec ' || (base + (s - base + j) % n) || '] (blk ' || (base + (s - base + j) % n) || ')' || chr(10) || '## S' || chr(10) || 'sec ' || (base + (s - base + j - 1) % n) || chr(10) || '## T' || chr(10) || 'blk ' || (base + (s - base + j - 1) % n) || ' ^b' FROM t WHERE j > 0)
-SELECT 'p' || s AS slug, text AS content FROM t WHERE j = 0""",
+    "transclusions": """WITH RECURSIVE u AS (SELECT page_id AS k, '<p' || page_id || ' ' || coalesce(url, '') AS head, '>' || chr(10) || '## S' || chr(10) || 'sec ' || page_id AS sec, chr(10) || '## T' || chr(10) || 'blk ' || page_id || ' ^b' AS tail FROM pages),
+g AS (SELECT k // 12 AS g, list(k ORDER BY k) AS ids, list(head ORDER BY k) AS heads, list(sec || tail ORDER BY k) AS ends FROM u GROUP BY 1),
+t AS (SELECT k AS r, ids, heads, ends, list_prepend(k, [x FOR x IN ids IF x <> k]) AS c, len(ids) + 1 AS i, '' AS text FROM u JOIN g ON g.g = k // 12 WHERE g.g % 2 = 0
+ UNION ALL SELECT r, ids, heads, ends, c, i - 1, heads[list_position(ids, c[i - 1])] || array_to_string([CASE WHEN i <= len(c) AND x = c[i] THEN ' ' || text ELSE ' ![[p' || x || ']]' END FOR x IN ids IF x <> c[i - 1]], '') || ends[list_position(ids, c[i - 1])] FROM t WHERE i > 1),
+o AS (SELECT a.*, z.k AS zk, z.head || z.sec || z.tail AS z, ' ![[p' || (a.k - a.k % 4 + 3) || CASE WHEN a.k % 4 = 2 THEN '' WHEN (a.k // 4) % 2 = 0 THEN '#S' ELSE '#^b|x' END || ']]' AS way FROM u a LEFT JOIN u z ON z.k = a.k - a.k % 4 + 3 WHERE (a.k // 12) % 2 = 1),
+w AS (SELECT *, head || CASE WHEN k % 4 = 3 THEN '' WHEN zk IS NULL THEN way WHEN k % 4 = 2 THEN ' ' || z WHEN (k // 4) % 2 = 0 THEN ' ## S' || chr(10) || 'sec ' || zk ELSE ' blk ' || zk END || sec || tail AS shown, head || way || sec || tail AS plain FROM o WHERE k % 4 > 0)
+SELECT 'p' || r AS slug, text AS content FROM t WHERE i = 1 UNION ALL SELECT 'p' || k, shown FROM w
+UNION ALL SELECT 'p' || a.k, a.head || ' ' || coalesce(b.shown, '![[p' || (a.k + 1) || ']]') || ' ' || coalesce(c.plain, '![[p' || (a.k + 2) || ']]') || a.sec || a.tail FROM o a LEFT JOIN w b ON b.k = a.k + 1 LEFT JOIN w c ON c.k = a.k + 2 WHERE a.k % 4 = 0""",
     "folder_dates": f"""WITH {SITE}, f AS (SELECT page_id, date, unnest([array_to_string(string_split(slug, '/')[:i], '/') FOR i IN range(1, len(string_split(slug, '/')))]) AS folder FROM site)
 SELECT folder, count(*) AS n_pages, max(date) AS created, max(date + (page_id % 11)::INT) AS modified, max(date) FILTER (page_id % 2 = 0) AS published FROM f GROUP BY folder""",
     "folder_pages": f"""WITH {SITE}, x AS (SELECT slug FROM site UNION ALL SELECT 'en/index'), f AS (SELECT unnest([array_to_string(string_split(slug, '/')[:i], '/') FOR i IN range(1, len(string_split(slug, '/')))]) AS folder FROM x)

@@ -15,6 +15,7 @@ from corvane.sources.readers import documents, table
 # The tables hold no group terms, so frequent words stand in for a lexicon.
 TARGETS = {"with": "minority", "from": "dominant"}
 FRAMES = [("that", -1), ("this", 1), ("the", -1), ("and", 1), ("was", -1), ("are", 1), ("for", -1)]
+LEXICON = ["the", "and", "that", "which"]  # terms of other groups
 GATE = ["with", "from", "threat", "license", "released under"]
 TAILS = [" (see", " (ed.", " [x] {y}", "", " {"]
 SURFACES = ["Citizens.", "countries", "Watches", "glass", "co–worker", "s", "ies", "Mr.", "boxes", "is"]
@@ -234,6 +235,13 @@ def association_scores(spark, d):
     return assoc.association_scores(_sents(spark, d), TARGETS)
 
 
+def association_tagged(spark, d):
+    """Parts of speech by a word's length and place, and a lexicon whose terms are no collocates."""
+    kinds = F.array(*[F.lit(x) for x in ("NOUN", "DET", "VERB", "ADP", "ADJ", "PRON", "ADV", "AUX")])
+    s = _sents(spark, d).withColumn("tags", F.transform("words", lambda w, i: F.get(kinds, (F.length(w) + i) % 8)))
+    return assoc.association_scores(s, TARGETS, lexicon=LEXICON)
+
+
 def association_report(spark, d):
     return assoc.association_report(association_scores(spark, d))
 
@@ -259,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
     scan_documents, remove_noise, protect_periods, split_sentences, split_sentences_simple, open_fragments, tokenize_words, normalize_surface, candidate_forms,
     surface_variants, match_inventory, focus_context, focus_text, srl_marker_rows, prompt_bank, html_escape, reading_time, search_tokenize, query_terms,
     doc_lexical_gate, sentence_lexical_gate, lexical_hits, gate_terms, strong_terms, noise_flags, lexical_human_rescue, semantic_buckets, keep_review_drop,
-    review_flags, review_rows, extraction_report, scan_counters, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_report, signed_association,
+    review_flags, review_rows, extraction_report, scan_counters, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_tagged, association_report, signed_association,
     find_candidates, delta_association,
 )}
 
@@ -274,13 +282,19 @@ span AS MATERIALIZED (SELECT doc_id, sent_pos, word, min(i) AS lo, max(i) AS hi
 anchor AS (SELECT * FROM span WHERE word IN ('with', 'from')), other AS (SELECT * FROM span WHERE word NOT IN ('with', 'from') AND len(word) >= 3),
 pairs AS MATERIALIZED (SELECT a.doc_id, a.sent_pos, a.word AS target, b.word AS collocate FROM anchor a JOIN other b USING (doc_id, sent_pos) WHERE greatest(a.hi - b.lo, b.hi - a.lo) >= 2)"""
 
+# the same with parts of speech by length and a lexicon: collocates are content words outside it, wherever they are such
+_TAGGED = TOK + f""",
+span AS MATERIALIZED (SELECT doc_id, sent_pos, word, min(i) AS lo, max(i) AS hi FROM tok WHERE word IN ('with', 'from') OR (['NOUN', 'DET', 'VERB', 'ADP', 'ADJ', 'PRON', 'ADV', 'AUX'][(len(word) + i) % 8 + 1] IN ('NOUN', 'VERB', 'ADJ', 'ADV') AND word NOT IN ({', '.join(f"'{w}'" for w in LEXICON)})) GROUP BY ALL),
+anchor AS (SELECT * FROM span WHERE word IN ('with', 'from')), other AS (SELECT * FROM span WHERE word NOT IN ('with', 'from')),
+pairs AS MATERIALIZED (SELECT a.doc_id, a.sent_pos, a.word AS target, b.word AS collocate FROM anchor a JOIN other b USING (doc_id, sent_pos) WHERE greatest(a.hi - b.lo, b.hi - a.lo) >= 2)"""
+
 
 def _assoc_sql(name: str, where: str = "TRUE") -> str:
-    return f"""{name}_t AS (SELECT count(*) AS total FROM words WHERE {where}),
-{name}_w AS (SELECT word, count(*) AS n FROM span WHERE {where} GROUP BY word),
-{name}_p AS (SELECT target, collocate, count(*) AS pair_n FROM pairs WHERE {where} GROUP BY ALL HAVING count(*) >= 5),
-{name}_k AS (SELECT target, collocate, pair_n, t.n AS target_n, c.n AS collocate_n, greatest(pair_n, 0)::DOUBLE AS k11, greatest(t.n - pair_n, 0)::DOUBLE AS k12, greatest(c.n - pair_n, 0)::DOUBLE AS k21, greatest(total - t.n - c.n + pair_n, 0)::DOUBLE AS k22
-  FROM {name}_p JOIN {name}_w t ON t.word = target JOIN {name}_w c ON c.word = collocate, {name}_t),
+    return f"""{name}_t AS MATERIALIZED (SELECT count(*) AS total FROM words WHERE {where}),
+{name}_w AS MATERIALIZED (SELECT word, count(*) AS n FROM span WHERE {where} GROUP BY word),
+{name}_p AS MATERIALIZED (SELECT target, collocate, count(*) AS pair_n FROM pairs WHERE {where} GROUP BY ALL HAVING count(*) >= 5),
+{name}_k AS (SELECT target, collocate, pair_n, t.n AS target_n, c.n AS collocate_n, greatest(pair_n, 0)::DOUBLE AS k11, greatest(t.n - pair_n, 0)::DOUBLE AS k12, greatest(c.n - pair_n, 0)::DOUBLE AS k21, greatest((SELECT total FROM {name}_t) - t.n - c.n + pair_n, 0)::DOUBLE AS k22
+  FROM {name}_p JOIN {name}_w t ON t.word = target JOIN {name}_w c ON c.word = collocate),
 {name} AS (SELECT target, CASE target WHEN 'with' THEN 'minority' ELSE 'dominant' END AS group_type, collocate, pair_n, target_n, collocate_n,
   round(greatest(0::DOUBLE, 2 * (CASE WHEN k11 > 0 THEN k11 * ln(k11 * (k11 + k12 + k21 + k22) / ((k11 + k12) * (k11 + k21))) ELSE 0 END
    + CASE WHEN k12 > 0 THEN k12 * ln(k12 * (k11 + k12 + k21 + k22) / ((k11 + k12) * (k12 + k22))) ELSE 0 END
@@ -371,13 +385,14 @@ SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sample ORDER BY vec_id)
 SELECT vec_id, CASE WHEN s >= 0.6::DOUBLE AND s - greatest(a, p) >= 0.04::DOUBLE THEN 'si' WHEN p >= 0.6::DOUBLE AND p - greatest(a, s) >= 0.04::DOUBLE THEN 'pi' WHEN a >= 0.6::DOUBLE AND a - greatest(p, s) >= 0.04::DOUBLE THEN 'agi' END AS winner FROM s""",
     "pair_counts": f"WITH {_PAIRS} SELECT target, collocate, count(*) AS pair_n FROM pairs GROUP BY ALL HAVING count(*) >= 5",
     "nonadjacent_pairs": f"WITH {_PAIRS} SELECT doc_id, target, count(*) AS n_pairs, count(DISTINCT collocate) AS n_collocates FROM pairs GROUP BY ALL",
-    "association_scores": f"{_ASSOC} SELECT * FROM a",
+    "association_scores": f"{_ASSOC} SELECT * FROM a ORDER BY llr DESC, logdice DESC, target, collocate",
+    "association_tagged": f"WITH {_TAGGED}, {_assoc_sql('a')} SELECT * FROM a ORDER BY llr DESC, logdice DESC, target, collocate",
     "association_report": f"{_ASSOC} SELECT * FROM a ORDER BY llr DESC, logdice DESC, target, collocate",
-    "signed_association": f"{_ASSOC} SELECT target, collocate, sign, sign * llr AS signed_score FROM a JOIN (SELECT * FROM {values(FRAMES, 'collocate, sign')}) USING (collocate)",
+    "signed_association": f"{_ASSOC} SELECT target, collocate, sign, sign * llr AS signed_score FROM a JOIN (SELECT * FROM {values(FRAMES, 'collocate, sign')}) USING (collocate) ORDER BY signed_score, target, collocate",
     "find_candidates": f"""{_ASSOC}, m AS (SELECT collocate AS term, max((llr, logdice)) FILTER (group_type = 'minority' AND llr > 0) AS m, max((llr, logdice)) FILTER (group_type = 'dominant' AND llr > 0) AS d,
   string_agg(DISTINCT target, ',' ORDER BY target) FILTER (group_type = 'minority') AS found_with FROM a WHERE collocate <> 'the' GROUP BY collocate),
 c AS (SELECT term, coalesce(m[1], 0) AS minority_llr, coalesce(m[2], 0) AS minority_logdice, coalesce(d[1], 0) AS dominant_llr, coalesce(d[2], 0) AS dominant_logdice, found_with FROM m)
 SELECT *, round(minority_llr - dominant_llr, 3) AS differential FROM c WHERE minority_llr >= 3 AND round(minority_llr - dominant_llr, 3) > 0 ORDER BY differential DESC, minority_logdice DESC, term LIMIT 60""",
     "delta_association": f"""WITH {_PAIRS}, {_assoc_sql('a')}, {_assoc_sql('b', "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")}
-SELECT target, collocate, a.llr AS full_score, b.llr AS filtered_score, round(a.llr - b.llr, 4) AS delta FROM a JOIN b USING (target, collocate)""",
+SELECT target, collocate, a.llr AS full_score, b.llr AS filtered_score, round(a.llr - b.llr, 4) AS delta FROM a JOIN b USING (target, collocate) ORDER BY delta, target, collocate""",
 }

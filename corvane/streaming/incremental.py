@@ -1,4 +1,4 @@
-"""Incremental forms: streamed extraction, change sets, and the rollups that a change touches."""
+"""Incremental forms: streamed extraction, change sets, and the rollups that a change touches. State is kept by `store`, folders are watched by `watch`."""
 
 from __future__ import annotations
 
@@ -8,20 +8,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stream_extract(spark: SparkSession, folder: str, name: str, transform, out: str, checkpoint: str, files_per_batch: int = 1):
-    """Reads a Parquet table as a stream, applies a stateless transform and appends Parquet; stops when the input is used up."""
+def _table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int) -> DataFrame:
     source = f"{folder}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files_per_batch)
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        stream = reader.parquet(source)
-    else:
-        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+        return reader.parquet(source)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def stream_extract(spark: SparkSession, folder: str, name: str, transform, out: str, checkpoint: str, files_per_batch: int = 1):
+    """Reads a Parquet table as a stream, applies a stateless transform and appends Parquet; stops when the input is used up."""
+    stream = _table_stream(spark, folder, name, files_per_batch)
     query = transform(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.parquet(out)
 
 
+def stream_by_sentences(spark: SparkSession, folder: str, name: str, split, each, work: str, sentences_per_batch: int = 4096, files_per_batch: int = 1):
+    """Streams a table in two steps, so that a batch of the second holds a bounded number of sentences, however many a file has.
+
+    split (documents -> sentences) runs as the files come; its rows go to files of at most `sentences_per_batch`, and what is left
+    of an input's partition to a last one. each(batch, epoch) then gets `files_per_batch` of those files at a time. Both steps
+    keep their place under `work`: after a failure they go on where they were. Stops when the input is used up, and
+    returns the sentences.
+    """
+    out = f"{work}/sentences"
+    sentences = split(_table_stream(spark, folder, name, 1))
+    sentences.writeStream.format("parquet").option("maxRecordsPerFile", sentences_per_batch).option("checkpointLocation", f"{work}/split").trigger(availableNow=True).start(out).awaitTermination()
+    batches = spark.readStream.schema(sentences.schema).option("maxFilesPerTrigger", files_per_batch).parquet(out)
+    batches.writeStream.foreachBatch(each).option("checkpointLocation", f"{work}/each").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sentences.schema).parquet(out)
+
+
 def latest_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
     """The last change of each key. changes: key, order, type (add, change, delete), and the new row's columns."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -76,38 +95,3 @@ def emit(rollup, rows: DataFrame, affected: DataFrame | None = None, key: str |
     if affected is None:
         return rollup(rows)
     return rollup(rows.join(affected.select(F.col(affected.columns[0]).alias(key)).distinct(), key, "left_semi"))
-
-
-class Upserter:
-    """foreachBatch sink that keeps a snapshot of the state.
-
-    Each epoch writes a new version, whose folder is named by the epoch and holds the format's commit mark once it
-    is whole. The newest whole version is the state, so a driver that starts again goes on from it; an epoch that
-    was applied before is skipped, and versions older than the one before the last are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, key: str, order: str, schema: str) -> None:
-        self.spark, self.folder, self.key, self.order, self.schema = spark, folder, key, order, schema
-
-    def _versions(self) -> list[int]:
-        """Epochs with a whole version, oldest first."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/epoch-*/_SUCCESS")) or []
-        return sorted(int(x.getPath().getParent().getName().removeprefix("epoch-")) for x in found)
-
-    def _path(self, epoch: int) -> str:
-        return f"{self.folder}/epoch-{epoch:020d}"
-
-    def state(self) -> DataFrame:
-        known = self._versions()
-        return self.spark.read.parquet(self._path(known[-1])) if known else self.spark.createDataFrame([], self.schema)
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        known = self._versions()
-        if known and epoch <= known[-1]:
-            return
-        apply_changes(self.state(), batch, self.key, self.order).write.mode("overwrite").parquet(self._path(epoch))
-        for old in known[:-1]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

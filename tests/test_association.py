@@ -145,3 +145,116 @@ def test_ceat_full_samples_the_operators_number_of_contexts(spark, tmp_path):
     rows = [(i, f"Number {i} came with a long tail of words that follow it.", "en", "x", 60) for i in range(620)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["n"] for r in q_models.ceat_full(spark, str(tmp_path)).collect() if r["lemma"] == "with"} == {500}
+
+
+def test_counts_by_part_of_speech_and_lexicon(spark):
+    r = random.Random(6)
+    vocab, kinds = ["tee", "vee", "one", "two", "of", "six", "other", None], ["NOUN", "VERB", "DET", "ADP", None]
+    sents = []
+    for i in range(400):
+        words = [r.choice(vocab) for _ in range(r.randint(0, 9))]
+        sents.append((i, 0, words, [r.choice(kinds) for _ in words]))
+    sents += [(900, 0, None, None), (901, 0, ["tee", "one", "two"], None), (902, 0, ["tee", "one", "two"], ["NOUN"])]  # without parts of speech there are no collocates
+    df = spark.createDataFrame(sents, "doc_id long, sent_pos int, words array<string>, tags array<string>").repartition(3)
+    want, pairs = {("t", "", ""): len(sents)}, set()
+    for i, _, words, tags in sents:
+        words = words or []
+        tags = tags if tags and len(tags) == len(words) else [""] * len(words)
+        t = {w: [k for k, x in enumerate(words) if x == w] for w in words if w in ("tee", "vee")}
+        c = {w: [k for k, x in enumerate(words) if x == w and tags[k] in assoc.CONTENT_POS] for w, p in zip(words, tags) if p in assoc.CONTENT_POS and w not in ("tee", "vee", "other", None)}
+        found = {(x, y) for x in t for y in c if any(abs(a - b) >= 2 for a in t[x] for b in c[y])}
+        pairs |= {(i, *p) for p in found}
+        for k in [("w", w, "") for w in {*t, *c}] + [("p", *p) for p in found]:
+            want[k] = want.get(k, 0) + 1
+    got = {(x["kind"], x["a"], x["b"]): x["n"] for x in assoc.sentence_counts(df, ["tee", "vee"], lexicon=["other", "tee"]).collect()}
+    assert got == want
+    assert {(x["doc_id"], x["target"], x["collocate"]) for x in assoc.sentence_pairs(df, ["tee", "vee"], lexicon=["other"]).collect()} == pairs
+
+
+def test_pairs_come_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(assoc, "PAIRS_AT_ONCE", 10)
+    words = [["a", "b", "c", "d", "x", "y", "a"], ["x", "a"], [], ["y", "c", "z", "b"], ["b"]]
+    s = assoc.Spans(pa.array(words, pa.list_(pa.string())), None, ["a", "b"], [], (), 1)
+    got = [(int(s.sentence[i]), s.names[int(s.code[i])].as_py(), s.names[int(s.code[j])].as_py()) for a, b in s.pairs(1) for i, j in zip(a, b)]
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, t, c) for k, w in enumerate(words) for t in w for c in w if t in "ab" and c not in "ab"}
+    assert len(list(s.pairs(1))) > 1
+
+
+def test_bank_scores_against_plain_products(spark):
+    import numpy as np
+
+    from corvane.functions import vectors as fv
+
+    r = np.random.default_rng(2)
+    banks = [("x", v.tolist()) for v in r.normal(size=(7, 5))] + [("y", v.tolist()) for v in r.normal(size=(3, 5))]
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(50, 5)))] + [(50, None), (51, [1.0, None, 0.0, 0.0, 0.0]), (52, [1.0]), (53, []), (3, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "k long, embedding array<double>").repartition(3)
+    b = spark.createDataFrame(banks, "bank string, bvec array<double>")
+    got = sorted((tuple(x) for x in vec.bank_scores(df, b, ["x", "y", "none"], "k").collect()), key=str)
+    one_bank = lambda n, v: max(float(np.dot(v, w)) for m, w in banks if m == n)
+    want = sorted(((k, *([one_bank("x", v), one_bank("y", v)] if v and None not in v and len(v) == 5 else [None, None]), None) for k, v in rows), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want):
+        assert g[1:] == pytest.approx(w[1:])
+    assert vec.bank_scores(df.limit(0), b, ["x"], "k").count() == 0
+    assert df.filter("k = 0").select(fv.best_dot(F.col("embedding"), [v for n, v in banks if n == "x"])).first()[0] == pytest.approx(one_bank("x", rows[0][1]))
+
+
+def test_index_and_regression_of_a_large_table(spark):
+    from corvane.operators import models
+
+    big = spark.range(150_000).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"))
+    big = big.withColumn("y", 3 * F.col("a") - F.col("b") + 5)
+    fit = models.ols(big, "y", ["a", "b"])
+    assert (fit["n"], fit["intercept"], fit["b_a"], fit["b_b"], fit["r2"]) == (150_000, 5.0, 3.0, -1.0, 1.0)
+    assert models.efi(big, "k", {"y": 1, "a": 1}).count() == 150_000
+    flat = big.withColumn("y", F.lit(2.0)).withColumn("a", F.lit(None).cast("double"))
+    assert models.ols(flat, "y", ["a"])["r2"] == 0.0 and models.efi(flat.limit(5), "k", {"y": 1, "a": 1}).first()["score"] == 0.0
+
+
+def test_samples_take_the_lowest_digests(spark):
+    import hashlib
+
+    rows = [("k", f"text {i}") for i in range(90)]
+    got = {x["t"] for x in vec.stable_sample(spark.createDataFrame(rows, "k string, t string"), "k", "t", 10).collect()}
+    assert got == set(sorted((t for _, t in rows), key=lambda t: hashlib.blake2b(f"k\t{t}".encode(), digest_size=8).digest())[:10])
+
+
+def test_encoder_catalogue_and_placement(spark):
+    from corvane import config
+
+    model = config.encoder_model("minilm")
+    assert [config.placement(model, d).batch for d in ("cpu", "mps", "cuda")] == [32, 64, 256]
+    assert config.placement(config.encoder_model("bge_small"), "cuda").batch == 32 and config.placement(model, "cpu", 7).batch == 7
+    own = {"tiny": config.EncoderModel("own/tiny", 8, {"cpu": 2}), "minilm": config.EncoderModel("own/mini", 16)}
+    assert config.encoder_model("tiny", own).batches["cpu"] == 2 and config.encoder_model("minilm", own).dim == 16
+    for bad in (lambda: config.encoder_model("none"), lambda: config.placement(model, "abacus"), lambda: config.placement(model, batch=0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert config.Placement().profile() is None
+    gpu = config.placement(model, "cuda", executor_memory="4g").profile()
+    assert gpu.taskResources["gpu"].amount == 1.0 and gpu.executorResources["gpu"].amount == 1
+
+    class Fake:  # what a stage with resources of its own asks of Spark
+        columns, dtypes = ["t"], [("t", "string")]
+
+        def mapInArrow(self, fn, schema, profile=None):
+            self.asked = (schema, profile)
+
+    fake = Fake()
+    vec.encode_placed(fake, vec.HashEncoder(4), "t", "v", config.placement(model, "cuda"))
+    assert fake.asked[0] == "`t` string, `v` array<double>" and fake.asked[1].taskResources["gpu"].amount == 1.0
+
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Small(vec.HashEncoder):
+        def encode(self, texts):
+            sizes.add(len(texts) > 2)
+            return super().encode(texts)
+
+    df = spark.createDataFrame([(i, f"word{i % 5} here" if i % 7 else None) for i in range(40)], "i int, t string")
+    placed = vec.encode_placed(df, Small(8), "t", "v", config.Placement(batch=2)).collect()
+    assert sorted(placed) == sorted(vec.encode(df, vec.HashEncoder(8), "t", "v").collect()) and sizes.value == 0

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import paths
 
@@ -100,3 +101,15 @@ def test_natural_order(one):
     names = ["p10", "P2", "a", "p1b", "p1"]
     keys = one(natural_key, names)
     assert [n for _, n in sorted(zip(keys, names))] == ["a", "p1", "p1b", "P2", "p10"]
+
+
+def test_natural_order_of_long_numbers_and_accents(spark):
+    from corvane.operators import pages
+
+    names = ["a" + "9" * 30, "a1" + "0" * 30, "a2", "A10", "É3", "e1", "é2", "b", "a02x", "a"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string").repartition(3).withColumn("key", pages.natural_key(F.col("name")))
+    ranked = pages.ranked_by(df, "key", "i")
+    got = [r["name"] for r in sorted(ranked.collect(), key=lambda r: r["place"])]
+    assert got == ["a", "a2", "a02x", "A10", "a" + "9" * 30, "a1" + "0" * 30, "b", "e1", "é2", "É3"]
+    assert sorted(r["place"] for r in ranked.collect()) == list(range(1, len(names) + 1))
+    assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,16 +103,82 @@ def test_toc(spark):
     assert [(r["depth"], r["anchor"]) for r in pages.toc(p, "k", "t").orderBy("pos").collect()] == [(0, "a"), (1, "b-b"), (0, "a-1")]
 
 
+def shown_by_hand(contents):
+    """Reading order, one set of shown pages a root."""
+
+    def show(root):
+        seen = {root}
+
+        def grow(text):
+            def put(m):
+                page, _, _ = (x.strip() for x in m[1].split("|")[0].partition("#"))
+                if page in seen or not page:
+                    return m[0]
+                seen.add(page)
+                return m[0] if contents.get(page) is None else grow(contents[page])
+
+            return re.sub(r"!\[\[([^\[\]]+)\]\]", put, text)
+
+        return grow(contents[root] or "")
+
+    return {root: show(root) for root in contents}
+
+
+def expanded(spark, contents):
+    p = spark.createDataFrame(list(contents.items()), "slug string, content string")
+    return {r["slug"]: r["content"] for r in pages.transclude(p).collect()}
+
+
 def test_transclusion(spark):
     rows = {
-        "a": "A(![[b]])", "b": "B(![[a]])", "c": "C ![[a]] ![[none]] ![[a|shown]]", "d": "![[e#Part two]] | ![[e#^id1]] | ![[e#^id2|x]] | ![[e#gone]] | ![[f]]",
-        "e": "# One\nx\n## Part two\ny ![[a]]\n### Sub\nz ^id1\n```\n# code\n```\n## Three\nw\nv\n^id2", "f": None, "g": "![[h]]", "h": "![[i]]", "i": "![[j]]", "j": "![[k]]", "k": "![[l]]", "l": "deep",
+        "a": "A(![[b]])", "b": "B(![[a]])", "c": "C ![[a]] ![[none]] ![[a|shown]]", "d": "![[e#Part two]] | ![[e#^id1]] | ![[f]]", "d1": "![[e#^id1]]", "d2": "![[e#^id2|x]] ![[#One]]", "d3": "![[e#gone]] ![[e]]",
+        "e": "# One\nx\n## Part two\ny ![[a]]\n### Sub\nz ^id1\n```\n# code\n```\n## Three\nw\nv\n^id2", "f": None, "g": "![[h]]", "h": "![[i]]", "i": "![[j]]", "j": "![[k]]", "k": "![[l]]", "l": "deep", "m": "",
     }
-    p = spark.createDataFrame(list(rows.items()), "slug string, content string")
-    got = {r["slug"]: r["content"] for r in pages.transclude(p).collect()}
-    assert got["a"] == "A(B(![[a]]))" and got["b"] == "B(A(![[b]]))" and got["c"] == "C A(B(![[a]])) ![[none]] A(B(![[a]]))"
-    assert got["d"] == "## Part two\ny A(B(![[a]]))\n### Sub\nz ^id1\n```\n# code\n``` | z | w\nv | ![[e#gone]] | ![[f]]"
-    assert got["g"] == "deep" and got["f"] == ""
+    got = expanded(spark, rows)
+    assert got["a"] == "A(B(![[a]]))" and got["b"] == "B(A(![[b]]))" and got["c"] == "C A(B(![[a]])) ![[none]] ![[a|shown]]"
+    assert got["d"] == "## Part two\ny A(B(![[a]]))\n### Sub\nz ^id1\n```\n# code\n``` | ![[e#^id1]] | ![[f]]"
+    assert got["d1"] == "z" and got["d2"] == "w\nv ![[#One]]"
+    assert got["d3"] == "![[e#gone]] ![[e]]"  # the page counts as shown though its part is not there
+    assert got["g"] == "deep" and got["f"] == "" and got["m"] == ""
+    assert pages.transclude(spark.createDataFrame([], "slug string, content string")).count() == 0
+
+
+def test_transclusion_follows_reading_order(spark):
+    # the first embed of c stands deep inside b, though the page's own is one step away; x and y retract what they had shown
+    some = {"a": "a ![[b]] ![[c]] ![[e]]", "b": "b ![[d]]", "d": "d ![[c]]", "c": "c ![[e]] ![[a]]", "e": "e ![[b]]"}
+    assert expanded(spark, some) == shown_by_hand(some)
+    r = random.Random(7)
+    for n, k in ((9, 2), (14, 3)):
+        graph_ = {f"p{i}": " ".join([f"<{i}", *[f"![[p{r.randrange(n + 1)}]]" for _ in range(r.randint(0, k))], ">"]) for i in range(n)}
+        assert expanded(spark, graph_) == shown_by_hand(graph_)
+
+
+def test_transclusion_of_a_clique_is_linear(spark):
+    n = 12
+    clique = {f"p{i}": f"<{i} " + " ".join(f"![[p{j}]]" for j in range(n) if j != i) + ">" for i in range(n)}
+    got = expanded(spark, clique)
+    assert got == shown_by_hand(clique)
+    assert all(t.count("<") == n and len(t) < 20 * n * n for t in got.values())
+
+
+def test_prefix_dictionary_opens_few_blocks(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(400)] + ["same"] * 200
+    p = spark.createDataFrame([(i, " ".join(r.sample(words, 12)), "same"[: i % 5]) for i in range(200)], "id int, content string, title string")
+    plain = search.postings(p, "id", {"title": "title", "content": "content"})
+    ix = search.prefix_index(plain, "id", 100)
+    blocks = ix.dictionary.count()
+    assert blocks > 15 and ix.rows.count() == plain.count()
+    for q in (["ab"], ["same"], ["fed", "a"], ["zzz"], ["abc", "sam"], ["f"]):
+        want = {tuple(x) for x in search.matches(plain, "id", q, ("title", "content")).collect()}
+        assert {tuple(x) for x in search.matches(ix, "id", q, ("title", "content")).collect()} == want
+        held = {x["block"] for x in ix.rows.filter(" or ".join(f"startswith(term, '{w}')" for w in q)).select("block").distinct().collect()}
+        assert held <= set(ix.opened(q))
+    assert len(ix.opened(["abc"])) <= 2 and len(ix.opened(["same"])) > 1 and not ix.opened(["zzz"])
+    plan = search.matches(ix, "id", ["abc"], ("content",))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,abc)" in plan and "PartitionFilters: [isnotnull(block" in plan
+    assert search.search_tag(ix, spark.createDataFrame([(0, "t"), (1, "t")], "id int, tag string"), "id", "t", ["zzz"]).count() == 0
+    assert search.prefix_index(plain.filter("false"), "id").opened(["a"]) == []
 
 
 def test_made_pages(spark):
@@ -167,22 +235,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, f(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()))
 
 
-def test_upserter_survives_a_restart_and_a_replay(spark, tmp_path):
-    schema = "key string, seq int, type string, tag string"
-    new = lambda: inc.Upserter(spark, str(tmp_path / "state"), "key", "seq", "key string, tag string")
-    assert new().state().count() == 0
-    new()(spark.createDataFrame([("a", 1, "add", "x")], schema), 0)
-    u = new()  # another driver
-    u(spark.createDataFrame([("a", 2, "delete", "x"), ("b", 3, "add", "y")], schema), 1)
-    new()(spark.createDataFrame([("a", 1, "add", "x")], schema), 0)  # replayed
-    assert [tuple(r) for r in u.state().collect()] == [("b", "y")]
-    (tmp_path / "state" / "epoch-00000000000000000002").mkdir()  # begun, but not whole
-    assert [tuple(r) for r in new().state().collect()] == [("b", "y")]
-    for epoch in (2, 3):
-        u(spark.createDataFrame([(f"k{epoch}", epoch, "add", "z")], schema), epoch)
-    assert {r["key"] for r in u.state().collect()} == {"b", "k2", "k3"} and u._versions() == [2, 3]
-
-
 def test_files_become_changes(spark, tmp_path):
     for name, text in (("a.md", "1"), ("sub/b.md", "2"), ("c.txt", "3"), (".private/d.md", "4")):
         path = tmp_path / "w" / name
@@ -288,3 +340,32 @@ def test_extraction_run_writes_sheets_and_report(spark, tmp_path):
     assert [r[0] for r in spark.read.text(paths["lexical_hits"]).collect()] == ["The north wind blows cold over all the houses today."]
     sheets = [spark.read.csv(paths[x], sep="\t", header=True) for x in ("kept", "review")]
     assert sum(s.count() for s in sheets) == report["kept"] + report["review"] and "semantic_margin" in sheets[0].columns + sheets[1].columns
+
+
+def test_extraction_run_scans_the_documents_once(spark, tmp_path):
+    import json
+
+    from corvane.operators import gates, models
+    from corvane.operators import vectors as vec
+    from corvane.plans import extract as ex
+
+    enc = vec.HashEncoder(16)
+    labelled = spark.createDataFrame([("north wind blows cold", "RELEVANT"), ("north sea is cold", "RELEVANT"), ("a recipe for soup", "IRRELEVANT"), ("a list of names", "IRRELEVANT")], "sentence string, label string")
+    model = models.train_classifier(vec.encode(labelled, enc, "sentence"))
+    rows = [(i, None if i % 9 == 0 else f"The north wind number {i} blows cold over all the houses. Nothing of note happened here in the south today. The northern sea is not the north of {i} at all, they say." if i % 2 else "no term") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, passed = spark.read.parquet(str(tmp_path / "docs")), spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            passed.add(len(f))
+            yield f
+
+    paths = ex.run(docs.mapInPandas(count, docs.schema), ["north"], ["wind"], enc, ["north wind blows cold"], ["soup recipe"], model, str(tmp_path / "run"))
+    assert passed.value == len(rows)
+    report = json.loads(spark.read.text(paths["report"]).first()[0])
+    want = gates.scan_counters(docs, ["north"]).first().asDict()
+    assert {k: report[k] for k in want} == want and report["hits"] == want["lexical_hits"] > 0
+    none = ex.run(docs.limit(0), ["north"], ["wind"], enc, ["a"], ["b"], model, str(tmp_path / "none"))
+    assert json.loads(spark.read.text(none["report"]).first()[0])["documents_total"] == 0

@@ -125,3 +125,41 @@ def test_escape_round_trip(one):
 
 def test_query_terms(one):
     assert one(tx.query_terms, ["big red dog", "one"]) == [["big red dog", "big red", "big", "dog", "red"], ["one"]]
+
+
+def test_trie_prefers_longer_terms_and_backs_off(one):
+    terms = ["with", "with the", "within", "a.b", "a", "über", "x-y", "to", "tome"]
+    p = rf"(?U)(?<!\w)(?:{tx.alternation(terms)})(?!\w)"
+    found = lambda t: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    assert one(found, ["with the a.b", "with them within", "withi a.bc über x-y", "tomes to tom tome"]) == [["with the", "a.b"], ["with", "within"], ["a", "über", "x-y"], ["to", "tome"]]
+
+
+def test_gate_cost_does_not_grow_with_the_terms(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    many = sorted({word() for _ in range(10_000)} | {f"{word()} {word()}" for _ in range(500)})
+    texts = [" ".join(r.choice("rstuvwxyz") + word() for _ in range(400)) for _ in range(300)] + [f"the {many[77]}women here", "the " + many[5000].upper() + ".", many[3] + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4).cache()
+    df.count()
+    took = {}
+    for terms in (many[:10], many):
+        f = lambda terms=terms: {x[0] for x in df.filter(F.col("t").rlike(tx.gate_pattern(terms))).select("i").collect()}
+        found = f()
+        took[len(terms)] = min(timed(f) for _ in range(3))
+    rest = {"man", "men", "woman", "women", "boy", "boys", "girl", "girls", "people"}
+    known = set(many)
+    holds = lambda t: any(t.lower()[i:j] in known or any(t.lower()[i:j].endswith(s) and t.lower()[i : j - len(s)] in known for s in rest) for i, j in spans(t))
+    assert found == {i for i, t in enumerate(texts) if holds(t)} and {300, 301} <= found and 302 not in found
+    assert took[len(many)] < 6 * took[10] + 0.5
+
+
+def timed(f):
+    at = time.perf_counter()
+    f()
+    return time.perf_counter() - at
+
+
+def spans(t):
+    """Spans between word bounds, of one or two words."""
+    at = [m.span() for m in re.finditer(r"\w+", t)]
+    return [(a, b) for a, b in at] + [(a, d) for (a, _), (_, d) in zip(at, at[1:])]
