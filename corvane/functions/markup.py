@@ -52,6 +52,15 @@ def wikilinks(text: Column) -> Column:
     return F.filter(F.transform(found, parts), lambda x: (x["page"] != "") | (x["heading"] != ""))
 
 
+TABLE = r"(?m)^\|[^\n]*\n\|?[ :|-]*-[ :|-]*(?:\n\|[^\n]*)*"  # a row, a line of dashes, further rows
+
+
+def escape_table_links(text: Column) -> Column:
+    """Bars inside links are escaped in tables, where a bare one would end the cell; escaped ones and all other text stay."""
+    escaped = lambda link: F.regexp_replace(link, r"(?<!\\)\|", r"\\|")
+    return each(text, TABLE, lambda t: each(t, LINK, escaped))
+
+
 def inline_tags(text: Column) -> Column:
     """Tags that hold more than digits and slashes, as slugs, in order of appearance."""
     found = F.regexp_extract_all(text, F.lit(TAG), F.lit(1))

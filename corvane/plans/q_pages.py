@@ -325,8 +325,17 @@ def callouts(spark, d):
 
 
 def callout_types(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in [*markup.CALLOUTS, "TLDR", "custom"]], "name string")
-    return kinds.select("name", markup.callout_type(F.col("name")).alias("type"))
+    """Kinds of events as names of callouts, as they read and in capitals."""
+    names = table(spark, d, "events").select(F.explode(F.array("event_type", F.upper("event_type"))).alias("name"))
+    return names.groupBy("name", markup.callout_type(F.col("name")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def table_links(spark, d):
+    """Rows of a table with links in it, and the same row outside: only the former's bars are escaped."""
+    t = table(spark, d, "benchmark").select("item_id", F.split("text", r"\s+").alias("w"))
+    row = F.concat(F.lit("| [["), F.col("w")[0], F.lit("|"), F.col("w")[1], F.lit("]] | ![["), F.col("w")[2], F.lit("\\|x]] |"))
+    text = F.concat(F.lit("[[a|b]] |\n\n| h | i |\n|---|:-:|\n"), row, F.lit("\n\n"), row)
+    return t.select("item_id", markup.escape_table_links(text).alias("text"))
 
 
 def block_refs(spark, d):
@@ -483,7 +492,7 @@ QUERIES = {f.__name__: f for f in (
     scan_pages, slugify, simplify_slug, path_to_root, segment_prefixes, slug_predicates, page_links, link_classes, canonical_links, resolve_links_shortest, valid_links, broken_links,
     backlinks, link_graph, node_degree, neighborhood_1hop, neighborhood_2hop, induced_subgraph, path_trie, folder_paths, folder_rollup, tag_counts, tag_pages, breadcrumbs,
     pages_by_date, pages_folder_first, recent_pages, feed_topk, sitemap, content_index, alias_redirects, page_description, html_to_text, page_dates, remove_drafts, explicit_publish,
-    inverted_index, prefix_dictionary, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, block_refs, embed_refs, at_mentions,
+    inverted_index, prefix_dictionary, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, table_links, block_refs, embed_refs, at_mentions,
     at_mention_lines, toc_entries, front_matter, hugo_rewrite, roam_rewrite, transclusions, folder_dates, folder_pages, at_pages, highlighted, natural_order, neighborhood_all, apply_changes, affected_tags, file_changes, partial_emit, emit_changed,
     extract_stream, extraction,
 )}
@@ -557,7 +566,9 @@ SELECT page_id, greatest(i - 30, 0)::BIGINT AS start, hits::BIGINT AS hits, arra
 UNION ALL SELECT item_id, TRUE, w || '.png', '', '' FROM word WHERE i % 8 = 2 UNION ALL SELECT item_id, FALSE, 'TODO', '', '' FROM word WHERE i % 8 = 7""",
     "inline_tags": f"WITH {_marked_sql()} SELECT DISTINCT item_id, 'tag/' || w AS tag FROM word WHERE i % 8 = 3",
     "callouts": f"WITH {_marked_sql()} SELECT item_id, 'tip' AS type, w AS meta, '-' AS fold, w || ' title' AS title FROM word WHERE i % 8 = 1",
-    "callout_types": f"SELECT * FROM {values([*((k, v) for k, v in markup.CALLOUTS.items()), ('TLDR', 'abstract'), ('custom', 'custom')], 'name, type')}",
+    "callout_types": f"SELECT name, coalesce(type, name) AS type, count(*) AS n FROM (SELECT unnest([event_type, upper(event_type)]) AS name FROM events) LEFT JOIN (SELECT * FROM {values(list(markup.CALLOUTS.items()), 'alias, type')}) ON alias = lower(name) GROUP BY ALL",
+    "table_links": r"""WITH t AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark)
+SELECT item_id, '[[a|b]] |' || chr(10) || chr(10) || '| h | i |' || chr(10) || '|---|:-:|' || chr(10) || '| [[' || w[1] || '\|' || w[2] || ']] | ![[' || w[3] || '\|x]] |' || chr(10) || chr(10) || '| [[' || w[1] || '|' || w[2] || ']] | ![[' || w[3] || '\|x]] |' AS text FROM t""",
     "block_refs": f"WITH {_marked_sql()} SELECT item_id, 'id-' || i AS block_id, 'done ' || w AS block FROM word WHERE i % 8 = 5",
     "embed_refs": f"WITH {_marked_sql()} SELECT item_id, w || '.png' AS target, 'image' AS kind FROM word WHERE i % 8 = 2 UNION ALL SELECT item_id, 'https://youtu.be/abcdefghijk', 'youtube' FROM word WHERE i % 8 = 2",
     "at_mentions": f"WITH {_rewritten_sql(k4='2024-01-02: met [[ats/{w}/home|@{w}/home]] and `@code` today')} SELECT DISTINCT item_id, w || '/home' AS token, text AS linked FROM word JOIN marked USING (item_id) WHERE i % 8 = 4",

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import markup
 from corvane.functions import text as tx
 from corvane.operators import association as assoc
 from corvane.operators import gates, lexicon
 from corvane.operators import sentences as sent
 from corvane.plans.sql import SENT, TOK, values
+from corvane.sources import readers, sinks
 from corvane.sources.readers import documents, table
+from corvane.sources.scratch import new_path
 
 # The tables hold no group terms, so frequent words stand in for a lexicon.
 TARGETS = {"with": "minority", "from": "dominant"}
@@ -263,12 +266,45 @@ def delta_association(spark, d):
     return assoc.delta_association(full, part, ["target", "collocate"], "llr")
 
 
+# ---- sources and sinks, there and back ----
+def line_files(spark, d):
+    """Lexical hits written as lines and read again."""
+    path = new_path(spark, "lines")
+    sinks.write_lines(lexical_hits(spark, d), path)
+    return readers.text_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def markdown_notes(spark, d):
+    """A file for each page's title, between comments and blanks, read through a chain of rewrites."""
+    path = new_path(spark, "notes")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    notes = table(spark, d, "pages").select(F.concat(F.lit("  %%gone%% ==p"), F.col("page_id").cast("string"), F.lit("== -> "), title, F.lit("\n\n")).alias("value"))
+    notes.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.markdown_files(spark, path, transforms=(markup.strip_comments, markup.rewrite_inline), pattern="*.txt").select("text")
+
+
+def kept_snapshot(spark, d):
+    """Sources' sizes, built once for their inputs and read twice."""
+    path, key = new_path(spark, "snapshots"), sinks.inputs_key(d, "sizes")
+    sizes = lambda: documents(spark, d, ("doc_id", "source")).groupBy("source").agg(F.count("*").alias("n"))
+    built = sinks.snapshot(spark, path, key, sizes)
+    again = sinks.snapshot(spark, path, key, lambda: sizes().limit(0))  # not built again
+    return built.join(again.withColumnRenamed("n", "n_again"), "source")
+
+
+def written_by(spark, d):
+    """Documents in folders by language, of which one is read."""
+    path = new_path(spark, "by")
+    sinks.write_by(documents(spark, d, ("doc_id", "lang")), path, "lang")
+    return spark.read.parquet(path).filter("lang = 'en'").select("doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     scan_documents, remove_noise, protect_periods, split_sentences, split_sentences_simple, open_fragments, tokenize_words, normalize_surface, candidate_forms,
     surface_variants, match_inventory, focus_context, focus_text, srl_marker_rows, prompt_bank, html_escape, reading_time, search_tokenize, query_terms,
     doc_lexical_gate, sentence_lexical_gate, lexical_hits, gate_terms, strong_terms, noise_flags, lexical_human_rescue, semantic_buckets, keep_review_drop,
     review_flags, review_rows, extraction_report, scan_counters, report_samples, dimension_winner, pair_counts, nonadjacent_pairs, association_scores, association_tagged, association_report, signed_association,
-    find_candidates, delta_association,
+    find_candidates, delta_association, line_files, markdown_notes, kept_snapshot, written_by,
 )}
 
 _LANES_SQL = ", ".join(f"count_if(bucket = '{k}' AND decision = '{x}') AS {n}_{x}" for k, n in gates.LANES for x in ("keep", "review", "drop"))
@@ -393,6 +429,11 @@ SELECT vec_id, CASE WHEN s >= 0.6::DOUBLE AND s - greatest(a, p) >= 0.04::DOUBLE
   string_agg(DISTINCT target, ',' ORDER BY target) FILTER (group_type = 'minority') AS found_with FROM a WHERE collocate <> 'the' GROUP BY collocate),
 c AS (SELECT term, coalesce(m[1], 0) AS minority_llr, coalesce(m[2], 0) AS minority_logdice, coalesce(d[1], 0) AS dominant_llr, coalesce(d[2], 0) AS dominant_logdice, found_with FROM m)
 SELECT *, round(minority_llr - dominant_llr, 3) AS differential FROM c WHERE minority_llr >= 3 AND round(minority_llr - dominant_llr, 3) > 0 ORDER BY differential DESC, minority_logdice DESC, term LIMIT 60""",
+    "line_files": f"WITH {SENT}, l AS (SELECT trim(unnest(regexp_split_to_array(sentence, '\\r\\n|\\r|\\n'))) AS line FROM sent WHERE {GATE_SQL % 'sentence'}) SELECT line, count(*) AS n FROM l WHERE line <> '' GROUP BY line",
+    "markdown_notes": r"""WITH n AS (SELECT rtrim('%%gone%% ==p' || page_id || '== -> ' || regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM pages)
+SELECT replace(regexp_replace(regexp_replace(t, '(?s)%%.*?%%', '', 'g'), '==([^=]+)==', '<mark>\1</mark>', 'g'), '->', '&rarr;') AS text FROM n""",
+    "kept_snapshot": "SELECT source, count(*) AS n, count(*) AS n_again FROM documents WHERE source IS NOT NULL GROUP BY source",
+    "written_by": "SELECT doc_id FROM documents WHERE lang = 'en'",
     "delta_association": f"""WITH {_PAIRS}, {_assoc_sql('a')}, {_assoc_sql('b', "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")}
 SELECT target, collocate, a.llr AS full_score, b.llr AS filtered_score, round(a.llr - b.llr, 4) AS delta FROM a JOIN b USING (target, collocate) ORDER BY delta, target, collocate""",
 }

@@ -99,12 +99,12 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.lower(F.trim("term")).alias("term"), "side", F.coalesce("gate", F.lit(True)).alias("gate"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def markdown_files(spark: SparkSession, folder: str, ignore: tuple[str, ...] = (), transforms: tuple[Callable[[Column], Column], ...] = ()) -> DataFrame:
+def markdown_files(spark: SparkSession, folder: str, ignore: tuple[str, ...] = (), transforms: tuple[Callable[[Column], Column], ...] = (), pattern: str = "*.md") -> DataFrame:
     """file_path, text, modified of every Markdown file below a folder, less those that match an ignored pattern.
 
     transforms: text rewrites, such as those of `functions.markup`, applied to the trimmed text in their order.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     base = folder.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.col("path"), rf"^.*?{base}/", "")
     out = raw.select(path.alias("file_path"), F.trim(F.decode("content", "UTF-8"), F.lit(" \t\r\n")).alias("text"), F.col("modificationTime").alias("modified"))

@@ -163,3 +163,12 @@ def spans(t):
     """Spans between word bounds, of one or two words."""
     at = [m.span() for m in re.finditer(r"\w+", t)]
     return [(a, b) for a, b in at] + [(a, d) for (a, _), (_, d) in zip(at, at[1:])]
+
+
+def test_links_in_tables_are_escaped(one):
+    from corvane.functions import markup
+
+    t = "[[a|b]] | x\n\n| h | i |\n| --- |:-:|\n| [[p|q]] | ![[r\\|s]] and [[t#u|v|w]] |\n| plain | [[y]] |\n\n| [[a|b]] |\nno table"
+    got = one(markup.escape_table_links, [t, None, "", "| a |\n|-|"])
+    assert got == [t.replace("[[p|q]]", "[[p\\|q]]").replace("[[t#u|v|w]]", "[[t#u\\|v\\|w]]"), None, "", "| a |\n|-|"]
+    assert one(markup.wikilinks, [got[0]])[0][1][1:] == ("p", "", "q")
