@@ -74,7 +74,7 @@ def mark_held(df: DataFrame, keys: DataFrame, hash_: Column, out: str = "held")
     """df with a boolean column: true for every row whose hash is in `keys` (settled, column h, distinct).
 
     Up to MOST_WORDS * KEYS_A_WORD keys, a bit table sized by their number is broadcast, and few other rows
-    are true as well; beyond, keys and rows meet exactly in a shuffled join.
+    are true as well; beyond, keys and rows meet exactly in a shuffled join: what df carries then moves, so callers leave texts out of it.
     """
     n = keys.count()
     words = bit_words(n)
@@ -99,6 +99,7 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, th: Column) -> Data
     """docs without the rows whose id and text hash `th` are in gone (settled: __id, __th).
 
     A few keys are broadcast; of many, the rows that a bit table lets through are shuffled, the others stay where they are.
+    Only past the largest bit table (MOST_WORDS * KEYS_A_WORD rows to drop) are all rows shuffled, with their columns.
     """
     _, size = weigh(gone, F.coalesce(F.octet_length(F.col("__id").cast("string")), F.lit(0)) + 24)
     match = lambda d: d[id_col].eqNullSafe(gone["__id"]) & (th == gone["__th"])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, drop_rows, only_held, settle, weigh
+from corvane.llm.common import ascii_lower, bit_words, drop_rows, only_held, settle, weigh
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"  # what stands between gaps, before lower-casing
@@ -69,8 +69,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     if size <= WINDOWS_BOUND:
         found = d.join(F.broadcast(windows), "h").filter("k = len and slice(w, at + 1, k) = win")
     else:
-        likely = only_held(d, settle(windows.select("h").distinct()), F.col("h"))
-        found = likely.select("id", "th", "at", "k", "h", F.expr("slice(w, at + 1, k)").alias("own")).join(windows, "h").filter("own = win")
+        keys = settle(windows.select("h").distinct())
+        cut = lambda rows: rows.select("id", "th", "at", "k", "h", F.expr("slice(w, at + 1, k)").alias("own"))
+        # past the largest bit table the probes are shuffled: with the words of their window, never with the text
+        likely = only_held(cut(d), keys, F.col("h")) if bit_words(keys.count()) is None else cut(only_held(d, keys, F.col("h")))
+        found = likely.join(windows, "h").filter("own = win")
     found = found.select("id", "th", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("k")).alias("end")).alias("span"), "items")
     found = found.groupBy("id", "th").agg(F.array_sort(F.collect_set("span")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merge = """aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) ->

@@ -4,11 +4,12 @@ Each level looks only at rows that the level before could not tell apart:
 
 1. byte lengths that occur more than once (map-side counted);
 2. among those, (length, hash of a prefix) pairs that occur more than once, as a bit table sized by
-   their number, or, beyond the largest table, as the other side of a shuffled join (`mark_held`);
+   their number (`mark_held`); a table that would be too large to broadcast marks every row, since a join in its
+   place would move the texts, which are read where they lie anyway;
 3. among the rows so marked, SHA-256 of the whole text decides. Groups are counted map-side and joined
    to their rows with the largest groups broadcast (`spread_join`), so no group's rows meet in one task.
 
-Rows that no level doubts are never shuffled.
+No text is ever shuffled, at any number of pairs; ids and hashes of the marked rows are.
 
 Defined cases: a null text counts as the empty text; texts are equal when identical after
 lower-casing A-Z; of equal texts the row with the largest id stays (a tie of ids is a repeated row);
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, broadcast_if, mark_held, settle, spread_join
+from corvane.llm.common import ascii_lower, bit_words, broadcast_if, mark_held, settle, spread_join
 
 LENGTHS_BOUND = 1_000_000  # distinct lengths, 4 bytes each, above which the length table is joined by shuffle
 
@@ -40,7 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pair = F.xxhash64("len", ascii_lower(F.substring("text", 1, prefix_chars)))
     pairs = rows.select("len", pair.alias("h")).join(lengths, "len", "left_semi").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = mark_held(rows, settle(pairs.select("h")), pair, "doubted")
+    keys = settle(pairs.select("h"))
+    marked = rows.withColumn("doubted", F.lit(True)) if bit_words(keys.count()) is None else mark_held(rows, keys, pair, "doubted")
     sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
 
     doubted = settle(marked.filter("doubted").select("id", sha.alias("sha")))

@@ -318,3 +318,43 @@ def test_drop_rows(spark, monkeypatch, bound):
     gone = common.settle(df.filter("doc_id % 3 = 0 or doc_id is null and text is not null").select(F.col("doc_id").alias("__id"), th.alias("__th")).distinct())
     got = Counter(tuple(r) for r in common.drop_rows(df, gone, "doc_id", th).collect())
     assert got == Counter(r for r in rows if not (r[0] is not None and r[0] % 3 == 0 or r[0] is None and r[1]))
+
+
+def shuffled(df):
+    """Columns of every exchange of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange[^\n]*", plan), plan
+
+
+def test_exact_dedup_beyond_the_largest_table_moves_no_text(spark, monkeypatch):
+    rows = sample_rows()
+    want = Counter(map(tuple, exactdup.exact_dedup(frame(spark, rows), digest_all=True).collect()))
+    moved = []
+    keep = exactdup.settle
+    monkeypatch.setattr(exactdup, "settle", lambda df: moved.append(df.columns) or keep(df))
+    monkeypatch.setattr(exactdup, "bit_words", lambda n: None)
+    out = exactdup.exact_dedup(frame(spark, rows), digest_all=True)
+    assert Counter(map(tuple, out.collect())) == want
+    assert all("text" not in cols for cols in moved)  # what later joins read
+    assert not any("text" in x for x in shuffled(out)[0])
+
+
+def test_decontaminate_beyond_the_largest_table_moves_windows_alone(spark, monkeypatch):
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join(r.choices(vocab, k=r.randint(0, 60))), "s") for i in range(60)] + [(99, " ".join(vocab * 100), "s")]
+    items = [(f"i{k}", " ".join(docs[k][1].split()[:14])) for k in range(20)] + [("short", "w1 w2")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    run = lambda: decontam.decontaminate(frame(spark, docs), bench)
+    want = sorted(map(str, run().collect()))
+    monkeypatch.setattr(decontam, "WINDOWS_BOUND", 0)
+    assert sorted(map(str, run().collect())) == want  # the bit table
+    monkeypatch.setattr(common, "MOST_WORDS", 8)
+    asked = []
+    held = decontam.only_held
+    monkeypatch.setattr(decontam, "only_held", lambda df, keys, h: asked.append(df.columns) or held(df, keys, h))
+    monkeypatch.setattr(decontam, "bit_words", lambda n: None)
+    monkeypatch.setattr(common, "bit_words", lambda n: None)
+    out = run()
+    assert sorted(map(str, out.collect())) == want
+    assert asked == [["id", "th", "at", "k", "h", "own"]]
