@@ -19,8 +19,8 @@ Names are a prior only, for what is never content: scripts, styles, navigation,
 footers, asides, forms, hidden parts, and containers whose class, id or role names them as adverts,
 notices, menus, reader comments and the like. A class or id names chrome if all its parts are such names
 or words of layout, or its last part is a name that means nothing else; headings are never chrome by
-name, nor is an element that holds the only article or main element, or nearly all text of the page or
-its article.
+name, nor is an element, forms included, that holds the only article or main element, or nearly all text of the page
+or its article.
 
 Defined cases: null and empty html give an empty text; a page whose lines are all alike is content as a
 whole; truncated markup is read to its end, open elements counting as closed; pages of any length and
@@ -54,6 +54,7 @@ OUT = frozenset(
     "applet audio aside button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noembed noframes noscript object "
     "progress script search select style svg template textarea title video".split()
 )
+WRAPPING = frozenset(["form"])  # chrome, unless it holds the page: some frameworks put all of it into one form
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "datalist"})}
@@ -200,9 +201,9 @@ class Lines(HTMLParser):
             if not self.chrome:
                 self.parts.append(" " if tag == "br" else "")
             return
-        hard = out or (tag == "header" and not self.main) or _hidden(attrs)
+        hard = (out and tag not in WRAPPING) or (tag == "header" and not self.main) or _hidden(attrs)
         number = 0
-        if not hard and not self.hard and _named_chrome(attrs, tag, self.main > 0):
+        if not hard and not self.hard and (tag in WRAPPING or _named_chrome(attrs, tag, self.main > 0)):
             number = self.named = self.named + 1
             self.held.append(0)
             self.up.append(self.open_named[-1][1] if self.open_named else 0)

@@ -474,3 +474,17 @@ def test_quality_sample_is_exact_at_any_size(spark, monkeypatch):
 
     big = spark.range(20_000_000)  # one in two million
     assert least_hashes(big, F.xxhash64(F.lit(4), "id"), 10).orderBy("__h").limit(10).count() == 10
+
+
+FORMS = {
+    "whole page": "<body><form action='/x'><h1>Title here</h1><p>{long}</p><p>{long}</p><input type='hidden' value='v'><button>Send</button></form></body>",
+    "article": "<body><form><nav>Home About</nav><article><h1>Title here</h1><p>{long}</p><p>{long}</p></article></form><footer>foot</footer></body>",
+    "by its side": "<body><main><h1>Title here</h1><p>{long}</p><p>{long}</p></main><form>Sign up for our letter <input><button>Go</button></form></body>",
+    "inside": "<body><article><h1>Title here</h1><p>{long}</p><form>Leave a reply <textarea>x</textarea></form><p>{long}</p></article></body>",
+}
+
+
+@pytest.mark.parametrize("kind", FORMS)
+def test_a_form_is_chrome_unless_it_holds_the_page(kind):
+    long = "The quick brown fox jumps over the lazy dog and runs along the river until the evening comes. " * 4
+    assert htmlmain.main_lines(FORMS[kind].format(long=long)) == ["Title here", long.strip(), long.strip()]
