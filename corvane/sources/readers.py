@@ -13,9 +13,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+DEALT = (4 << 20, 128 << 20)  # bytes of a table that may be a single row group, and is worth dealing out
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table whose files are too small for many row groups, and so would be read by one task, dealt over all cores; larger and tiny ones as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if DEALT[0] <= size < DEALT[1] else df
+
+
 def documents(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The corpus, read in the columns asked for alone."""
-    return table(spark, folder, "documents").select(*columns)
+    docs = table(spark, folder, "documents")
+    return (dealt(docs) if "text" in columns else docs).select(*columns)
 
 
 def corpus_shards(spark: SparkSession, folder: str, most: int, pattern: str = "train-*.parquet") -> DataFrame:

@@ -113,3 +113,14 @@ def test_natural_order_of_long_numbers_and_accents(spark):
     assert got == ["a", "a2", "a02x", "A10", "a" + "9" * 30, "a1" + "0" * 30, "b", "e1", "é2", "É3"]
     assert sorted(r["place"] for r in ranked.collect()) == list(range(1, len(names) + 1))
     assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    from corvane.sources import readers
+
+    for sf, parts in (("sf0.001", None), ("sf0.1", spark.sparkContext.defaultParallelism)):
+        docs = readers.documents(spark, f"/root/testdata/{sf}")
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        assert ("RoundRobinPartitioning" in plan) == (parts is not None)
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan  # the columns are chosen below the exchange
+        assert docs.columns == ["doc_id", "text"]
