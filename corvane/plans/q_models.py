@@ -188,6 +188,13 @@ def primary_mentions(spark, d):
     return mn.primary_mentions(mentions(spark, d))
 
 
+def report_types(spark, d):
+    """Mentions of each group, with the side that reports name it by."""
+    n = mentions(spark, d).groupBy("lemma").agg(F.count("*").alias("n"))
+    kinds = F.create_map(*[F.lit(x) for t in sorted(LEX.rank) for x in (t, LEX.report_type(t))])
+    return n.select("lemma", F.coalesce(F.try_element_at(kinds, F.col("lemma")), F.lit("unknown")).alias("type"), "n")
+
+
 def _lexicon(spark):
     return F.broadcast(spark.createDataFrame(LEXICON, "term string, side string, priority int"))
 
@@ -449,7 +456,7 @@ def bib_entries(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     semantic_scores, semantic_disambiguate, frame_admission, prototype_match, cosine_pairs, label_centroids, weat_scores, stable_sample, ceat_summary, ceat_full, context_lemmas,
-    train_classifier, relevant_probability, efi_pca, ols, ols_single, reported_groups, annotate_tokens, mentions, resolve_mentions, primary_mentions, group_base, group_side,
+    train_classifier, relevant_probability, efi_pca, ols, ols_single, reported_groups, annotate_tokens, mentions, resolve_mentions, report_types, primary_mentions, group_base, group_side,
     human_head_tokens, group_prefix, negation_scope, scope_flags, context_window, frame_scope_flags, bind_frames, bind_frames_proximity, frame_attitude, extract_roles, anaphora,
     sentence_metrics, sentence_review, candidate_report, sentence_labels, strongest_association, predicate_candidates, srl_label_aggregate, group_indices, category_indices, preceding_target, group_profiles, group_stats, load_labels, load_tsv, load_pipe_text,
     frame_inventory_load, bib_entries,
@@ -569,6 +576,7 @@ SELECT n::INT AS n, round(my - b1 * ma - b2 * mb, 4) AS intercept, round((b1 * a
     "bind_frames_proximity": f"{_PROX} SELECT * FROM prox",
     "resolve_mentions": f"{_MEN} SELECT doc_id, sent_pos, token_i, group_type, lemma FROM rows_",
     "mentions": f"{_MEN} SELECT * FROM rows_",
+    "report_types": f"{_MEN} SELECT lemma, CASE lemma WHEN 'with' THEN 'minority' WHEN 'from' THEN 'dominant' ELSE 'unknown' END AS type, count(*) AS n FROM rows_ GROUP BY ALL",
     "primary_mentions": f"{_MEN} SELECT * FROM rows_ WHERE NOT is_mwe_child",
     "bind_frames": _BIND,
     "frame_attitude": f"""{_PROX}, h AS (SELECT DISTINCT doc_id, sent_pos, word AS lemma FROM g), r AS (SELECT h.lemma, count_if(sign < 0 AND term <> 'for') > 0 AS neg, count_if(sign > 0) > 0 AS pos, count_if(term IN ('for', 'that')) > 0 AS flagged FROM h LEFT JOIN prox USING (doc_id, sent_pos, lemma) GROUP BY h.doc_id, h.sent_pos, h.lemma),

@@ -194,6 +194,12 @@ def content_index(spark, d):
     return pg.content_index(site(spark, d))
 
 
+def content_index_filled(spark, d):
+    """The index without empty pages; every fourth page is emptied."""
+    p = site(spark, d).withColumn("content", F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("content")))
+    return pg.content_index(p, keep_empty=False)
+
+
 def alias_redirects(spark, d):
     p = site(spark, d).select("slug", F.array(F.lit("./old name"), F.concat(F.lit("moved/"), F.col("page_id").cast("string"))).alias("aliases"))
     return pg.alias_redirects(p)
@@ -491,7 +497,7 @@ def extraction(spark, d):
 QUERIES = {f.__name__: f for f in (
     scan_pages, slugify, simplify_slug, path_to_root, segment_prefixes, slug_predicates, page_links, link_classes, canonical_links, resolve_links_shortest, valid_links, broken_links,
     backlinks, link_graph, node_degree, neighborhood_1hop, neighborhood_2hop, induced_subgraph, path_trie, folder_paths, folder_rollup, tag_counts, tag_pages, breadcrumbs,
-    pages_by_date, pages_folder_first, recent_pages, feed_topk, sitemap, content_index, alias_redirects, page_description, html_to_text, page_dates, remove_drafts, explicit_publish,
+    pages_by_date, pages_folder_first, recent_pages, feed_topk, sitemap, content_index, content_index_filled, alias_redirects, page_description, html_to_text, page_dates, remove_drafts, explicit_publish,
     inverted_index, prefix_dictionary, search_basic, search_tag, search_excerpt, wikilinks, inline_tags, strip_comments, rewrite_inline, callouts, callout_types, table_links, block_refs, embed_refs, at_mentions,
     at_mention_lines, toc_entries, front_matter, hugo_rewrite, roam_rewrite, transclusions, folder_dates, folder_pages, at_pages, highlighted, natural_order, neighborhood_all, apply_changes, affected_tags, file_changes, partial_emit, emit_changed,
     extract_stream, extraction,
@@ -585,6 +591,7 @@ SELECT page_id, url, CASE WHEN dots = '' AND simple = '' THEN '.' WHEN dots = ''
     "alias_redirects": f"""WITH {SITE}, a AS (SELECT page_id, slug, unnest([regexp_replace(slug, '[^/]*$', '') || 'old-name', 'moved/' || page_id]) AS alias_slug FROM site)
 SELECT alias_slug, slug AS target, repeat('../', len(string_split(alias_slug, '/')) - 2) || '../' || slug AS redirect FROM a""",
     "content_index": f"WITH {SITE} SELECT slug, to_json({{'slug': slug, 'filePath': file_path, 'title': title, 'links': list_filter(links, lambda x, i: list_position(links, x) = i), 'tags': tags, 'content': content}})::VARCHAR AS document FROM site",
+    "content_index_filled": f"WITH {SITE} SELECT slug, to_json({{'slug': slug, 'filePath': file_path, 'title': title, 'links': list_filter(links, lambda x, i: list_position(links, x) = i), 'tags': tags, 'content': content}})::VARCHAR AS document FROM site WHERE page_id % 4 <> 0 AND content <> ''",
     "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39)), '&amp;', '&'), '[\s\p{Z}\x85]+', ' ', 'g'), ' ') AS text FROM a""",
     "page_description": rf"""WITH {SITE}, e AS (SELECT page_id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') AS t FROM site),

@@ -18,7 +18,7 @@ DEALT = (4 << 20, 128 << 20)  # bytes of a table that may be a single row group,
 
 def dealt(df: DataFrame) -> DataFrame:
     """A table whose files are too small for many row groups, and so would be read by one task, dealt over all cores; larger and tiny ones as they are."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if DEALT[0] <= size < DEALT[1] else df
 
 
