@@ -78,11 +78,11 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*", ignore: tup
     return out.filter(~F.col("path").rlike("|".join(ignore))) if ignore else out
 
 
-def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, type (add, change, delete), and the new size and time: how one listing became the other."""
-    j = old.select("path", F.struct("size", "modified").alias("before")).join(new.select("path", F.struct("size", "modified").alias("after")), "path", "full")
+def file_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The key, type (add, change, delete), and the new size and time: how one listing became the other. key: what tells a listing's rows apart, the path unless it repeats."""
+    j = old.select(*key, F.struct("size", "modified").alias("before")).join(new.select(*key, F.struct("size", "modified").alias("after")), list(key), "full")
     kind = F.when(F.col("before").isNull(), "add").when(F.col("after").isNull(), "delete").when(F.col("before") != F.col("after"), "change")
-    return j.select("path", kind.alias("type"), "after.size", "after.modified").filter("type is not null")
+    return j.select(*key, kind.alias("type"), "after.size", "after.modified").filter("type is not null")
 
 
 def partial_emit(changes: DataFrame, kinds: tuple[str, ...] = ("add", "change")) -> DataFrame:

@@ -31,3 +31,8 @@ EMBEDDINGS = [(i, i % 2, [float(i % 7) - 3 + 4 * (i % 2), float(i % 11) - 4, flo
 
 def test_ceat_summary_samples_large_labels(same):
     same("ceat_summary", embeddings=(EMBEDDINGS, "vec_id long, label int, embedding array<float>"))
+
+
+def test_file_changes_of_paths_that_repeat(same):
+    pages = [(i, f"http://a.example/{i % 40}", "x" * (i % 9)) for i in range(300)]
+    same("file_changes", pages=(pages, "page_id long, url string, html string"))
