@@ -36,3 +36,8 @@ def test_ceat_summary_samples_large_labels(same):
 def test_file_changes_of_paths_that_repeat(same):
     pages = [(i, f"http://a.example/{i % 40}", "x" * (i % 9)) for i in range(300)]
     same("file_changes", pages=(pages, "page_id long, url string, html string"))
+
+
+def test_stable_sample_of_large_sources(same):
+    docs = [(i, "t", "en", f"src{i % 2}" if i % 50 else None, 1) for i in range(1600)]
+    same("stable_sample", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
