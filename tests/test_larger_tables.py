@@ -41,3 +41,8 @@ def test_file_changes_of_paths_that_repeat(same):
 def test_stable_sample_of_large_sources(same):
     docs = [(i, "t", "en", f"src{i % 2}" if i % 50 else None, 1) for i in range(1600)]
     same("stable_sample", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_neighborhood_all_follows_twelve_links(same):
+    pages = [(i, f"http://a.example/{i}", "") for i in range(25_640)]  # the farthest of them are more than twelve links away
+    same("neighborhood_all", pages=(pages, "page_id long, url string, html string"))
