@@ -8,7 +8,8 @@ pair one edit apart, so none is lost, and a bucket holds words that share two th
 A pair is taken in the first bucket in which it meets, once its masks differ in two bits at most and `levenshtein` confirms
 it, so no table of pairs is made distinct.
 
-Occurrences are counted map-side; buckets are shuffled as hashes. The form of a word is its near word of most occurrences, if it has at least `ratio` times the word's own; forms lead to the root by
+Occurrences are counted map-side; buckets are shuffled as hashes. All joins are merged after a shuffle: by the sizes of compressed
+files and of rows before they are exploded, Spark would send whole tables of words and buckets through the driver. The form of a word is its near word of most occurrences, if it has at least `ratio` times the word's own; forms lead to the root by
 pointer doubling, since counts grow tenfold at every step.
 
 Defined cases: a null or empty text has no words; a null id counts as the empty text in a word's hash; repeated rows
@@ -79,7 +80,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     x, y = F.col("a.word"), F.col("b.word")
     differ = F.col("a.mask").bitwiseXOR(F.col("b.mask"))
     once = (F.col("a.mask") < F.col("b.mask")) | (F.length(x) < F.length(y)) | ((F.col("a.mask") == F.col("b.mask")) & (x < y))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.bit_count(differ) <= 2) & once)
+    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.bit_count(differ) <= 2) & once)
 
     def alike(i: int) -> Column:
         (p, q), (r, t) = _around(x, F.length(x), i), _around(y, F.length(x), i)
@@ -96,7 +97,7 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     way = lambda word, near, m: F.struct(F.col(word).alias("word"), F.col(near).alias("near"), F.col(m).alias("m"))
     both = pairs.select(F.inline(F.array(way("a", "b", "n_b"), way("b", "a", "n_a"))))  # in one pass over the pairs
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("least"), "near")).alias("best"))
-    j = words.join(best, "word", "left")
+    j = words.hint("merge").join(best, "word", "left")
     led = -F.col("best.least") >= ratio * F.col("n")
     return j.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(led, F.col("best.near")).alias("form"), F.when(led, -F.col("best.least")).alias("form_n"))
 
@@ -106,7 +107,7 @@ def roots(formed: DataFrame) -> DataFrame:
     at = settle(formed.filter("form is not null").select("word", F.col("form").alias("root")))
     while True:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = settle(at.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        step = settle(at.hint("merge").join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = step.select("word", "root")
         if step.filter("moved").isEmpty():
             return at
@@ -116,4 +117,4 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """word, form, root, n, n_near, form_n: one row a word."""
     words = settle(word_counts(docs, id_col, text_col))
     formed = settle(forms(words, near_pairs(words)))
-    return formed.join(roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.hint("merge").join(roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -269,3 +269,12 @@ def test_contract_columns(spark):
     assert queries.op11_spelling(spark, sf).dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
     assert queries.op12_host_rules(spark, sf).dtypes == [("doc_id", "bigint"), *[(m, "bigint") for m in hostrules.MEASURES[:5]], ("base_failed", "boolean"), ("kept", "boolean")]
     assert queries.op13_ranked(spark, sf).dtypes == [("item_id", dict(spark.read.parquet(f"{sf}/benchmark.parquet").dtypes)["item_id"]), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+
+
+def test_spelling_sends_no_table_through_the_driver(spark):
+    from corvane.llm import spelling
+
+    words = spark.createDataFrame([("lantern", 40), ("lanterm", 2)], "word string, n long")
+    pairs = spelling.near_pairs(words)
+    for df in (pairs, spelling.forms(words, pairs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
