@@ -273,8 +273,9 @@ def test_contract_columns(spark):
 
 def test_spelling_sends_no_table_through_the_driver(spark):
     from corvane.llm import spelling
+    from corvane.sources.scratch import settle
 
-    words = spark.createDataFrame([("lantern", 40), ("lanterm", 2)], "word string, n long")
+    words = settle(spark.createDataFrame([("lantern", 40), ("lanterm", 2)], "word string, n long"))
     pairs = spelling.near_pairs(words)
     for df in (pairs, spelling.forms(words, pairs)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

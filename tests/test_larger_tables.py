@@ -46,3 +46,19 @@ def test_stable_sample_of_large_sources(same):
 def test_neighborhood_all_follows_twelve_links(same):
     pages = [(i, f"http://a.example/{i}", "") for i in range(25_640)]  # the farthest of them are more than twelve links away
     same("neighborhood_all", pages=(pages, "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("name", ["mentions", "bind_frames", "extract_roles", "anaphora"])
+def test_sentences_cross_to_python_once(spark, tmp_path, name):
+    rows = [(1, "It was with them. They are from here.", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+def test_batches_of_sentences_are_small_whatever_comes_in(spark):
+    from corvane.operators import annotate as ann
+
+    s = spark.range(3000).selectExpr("id as doc_id", "'a b' as sentence").coalesce(1)
+    sizes = ann.annotate(s, ann.RuleAnnotator()).mapInArrow(lambda batches: batches, "doc_id long, sentence string, tokens array<" + ann.TOKEN + ">")
+    assert sizes.count() == 3000 and ann.SENTENCES_AT_ONCE <= 1024
