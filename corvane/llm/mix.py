@@ -74,9 +74,9 @@ def mix_plan(sized: DataFrame, budget: float, max_epochs: float, weights: tuple[
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    # the last bucket that begins before the remaining words are spent holds the cutoff
+    # the last bucket that begins while the remaining words last holds the cutoff, however many buckets there are
     s = small.withColumnRenamed("source", "s")
-    edges = edges.join(s, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("before") < F.col("rest")) & (F.col("rest") > 0))
+    edges = edges.join(s, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") > 0))
     edges = edges.groupBy("source", "rest").agg(F.max(F.struct("bucket", "before")).alias("e")).select("source", "rest", "e.bucket", "e.before")
     e = broadcast_if(edges.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "rest"), n_sources, SOURCES_BOUND)
     inside = bucketed.join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import fold, least_hashes
+from corvane.llm.common import fold, least_hashes, settle
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -162,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model, or None without positives. Learns from ids outside the held-out fold only."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(fold(F.col("id"), FOLDS) != 0)
     good = labels.filter((F.col(label_col) == 1) & (fold(F.col(id_col), FOLDS) != 0)).select(F.col(id_col).alias("id"))
-    # labels of more ids than are wanted, as few as a broadcast bears; ids that the documents lack leave fewer rows
-    good = least_hashes(good, F.xxhash64(F.lit(4), "id"), 2 * MAX_POSITIVE, "h").select("h", "id").distinct().orderBy("h").limit(2 * MAX_POSITIVE).select("id")
+    # of the documents' own ids, however many more the labels have
+    good = settle(good.distinct().join(rows.select("id"), "id", "left_semi"))
+    good = least_hashes(good, F.xxhash64(F.lit(4), "id"), MAX_POSITIVE, "h").orderBy("h", "id").limit(MAX_POSITIVE).select("id")
     p = _sample(rows.join(F.broadcast(good), "id", "left_semi"), MAX_POSITIVE)
     u = _sample(rows, MAX_UNLABELLED)
     return fit(p, u) if len(p) and len(u) else None

@@ -78,3 +78,19 @@ def test_a_stage_may_keep_nothing(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d)
         assert (docs.count() > 0) == (name in ("quality", "near_duplicates"))
+
+
+def test_size_of_the_input_switches_no_result(spark, monkeypatch):
+    from corvane.llm import mix, quality_pu
+
+    docs = spark.createDataFrame([(i, "w " * (i % 3), "a") for i in range(3000)], "doc_id long, text string, source string")
+    plans = []
+    for rows in (1, 7, 1 << 20):
+        monkeypatch.setattr(mix, "BUCKET_ROWS", rows)
+        plans.append(sorted(map(tuple, mix.mix_copies(docs).collect())))
+    assert plans[0] == plans[1] == plans[2]
+    monkeypatch.setattr(quality_pu, "MAX_POSITIVE", 40)
+    monkeypatch.setattr(quality_pu, "fit", lambda p, u: len(p))
+    few = spark.range(3000).selectExpr("id as doc_id", "1 as quality")
+    many = spark.range(300_000).selectExpr("id as doc_id", "1 as quality")  # most of them of no document
+    assert quality_pu.train(docs, few) == quality_pu.train(docs, many) == 40
