@@ -74,3 +74,11 @@ def test_predicate_candidates(spark):
     rows = [(0, "NOUN", "NN", "x", 0), (1, "VERB", "VB", "ROOT", 1), (2, "ADJ", "VBN", "x", 1), (3, "ADJ", "JJ", "x", 1), (4, "AUX", "VBZ", "auxpass", 5), (5, "ADJ", "JJ", "x", 1), (6, "AUX", "VBG", "x", 1)]
     df = spark.createDataFrame([(rows,)], "tokens array<struct<i:int,pos:string,tag:string,dep:string,head_i:int>>")
     assert df.select(rl.predicate_candidates(F.col("tokens"))).first()[0] == [1, 2, 5, 6]
+
+
+def test_candidates_alone_are_those_of_the_analysis(spark, result):
+    texts = ["Refugees are the threat here now"] * 8 + ["Citizens are glad to help people today"] * 8 + ["Nobody from the party was there"] * 3 + ["A migrant is here , they say no threat at all"] * 2
+    sents = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, sent_pos int, sentence string")
+    c = AnalysisConfig(min_pair=2, min_group=2, contexts_min=2, candidate_min_llr=0.1)
+    alone = an.candidates(sents, LEX, SEEDS, _Parser(), vec.HashEncoder(32), c).collect()
+    assert alone and sorted(map(str, alone)) == sorted(map(str, result.candidates.collect()))
