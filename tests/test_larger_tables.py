@@ -62,3 +62,32 @@ def test_batches_of_sentences_are_small_whatever_comes_in(spark):
     s = spark.range(3000).selectExpr("id as doc_id", "'a b' as sentence").coalesce(1)
     sizes = ann.annotate(s, ann.RuleAnnotator()).mapInArrow(lambda batches: batches, "doc_id long, sentence string, tokens array<" + ann.TOKEN + ">")
     assert sizes.count() == 3000 and ann.SENTENCES_AT_ONCE <= 1024
+
+
+def test_words_are_looked_up_once(spark, monkeypatch):
+    """A resolver asks its lexicon about a word once, not once a token."""
+    from corvane.operators import annotate as ann
+    from corvane.operators import mentions as mn
+
+    asked = []
+    base = mn.GroupLexicon.base
+    monkeypatch.setattr(mn.GroupLexicon, "base", lambda self, t: asked.append(t.text) or base(self, t))
+    step = mn.mention_step(mn.GroupLexicon(target=frozenset({"with"}), contrast=frozenset({"from"})))
+    rows = [{"tokens": ann.RuleAnnotator().annotate("with them and from them and with us")} for _ in range(3)]
+    assert [len(step.of(r)) for r in rows] == [3, 3, 3]
+    assert sorted(asked) == sorted(set(asked))
+
+
+def test_tokens_are_made_when_asked_for():
+    from corvane.operators import annotate as ann
+    from corvane.operators import frames as fr
+    from corvane.operators import mentions as mn
+
+    s = mn.Sentence(ann.RuleAnnotator().annotate("this is a long one and with them all of that"))
+    lex = mn.GroupLexicon(target=frozenset({"with"}), contrast=frozenset())
+    found = mn.Resolver(lex).resolve_all(s)
+    assert [i for i, t in enumerate(s.tokens.made) if t] == list(range(11))  # every word is new to the lexicon
+    s2 = mn.Sentence(s.rows)
+    bound = fr.bind(s2, mn.sentence_mentions(s2, found), frozenset({"that"}), frozenset({"and"}))
+    assert [b["term"] for b in bound] == ["and", "that"]
+    assert [i for i, t in enumerate(s2.tokens.made) if t] == [5, 6, 10]
