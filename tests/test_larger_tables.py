@@ -64,6 +64,18 @@ def test_batches_of_sentences_are_small_whatever_comes_in(spark):
     assert sizes.count() == 3000 and ann.SENTENCES_AT_ONCE <= 1024
 
 
+def test_tokens_in_columns_are_those_of_records(spark):
+    from corvane.operators import annotate as ann
+
+    class Records:
+        annotate = ann.RuleAnnotator().annotate
+
+    rows = [(i, x) for i, x in enumerate(["It was - \u00c9t\u00e9's co-worker, 3 x!", "", None, "\u0130 \u1e9e _a 2b \u00b2", " "] * 200)]
+    s = spark.createDataFrame(rows, "doc_id int, sentence string").coalesce(1)
+    assert ann.annotate_step(ann.RuleAnnotator()).whole is not None
+    assert sorted(map(str, ann.annotate(s, ann.RuleAnnotator()).collect())) == sorted(map(str, ann.annotate(s, Records()).collect()))
+
+
 def test_words_are_looked_up_once(spark, monkeypatch):
     """A resolver asks its lexicon about a word once, not once a token."""
     from corvane.operators import annotate as ann
