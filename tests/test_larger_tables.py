@@ -1,5 +1,6 @@
 """Queries on tables larger than the smoke tables in what matters to each, against their SQL."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -76,6 +77,20 @@ def test_tokens_in_columns_are_those_of_records(spark):
     assert sorted(map(str, ann.annotate(s, ann.RuleAnnotator()).collect())) == sorted(map(str, ann.annotate(s, Records()).collect()))
 
 
+@pytest.mark.parametrize("name", ["report_types", "annotate_tokens", "extract_roles"])
+def test_tasks_of_slow_work_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name):
+    from corvane.sources import readers
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "'It was with them. They are from here.' as text", "'en' as lang", "'a' as source", "1 as n_chars")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")  # one row group
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    monkeypatch.setattr(readers, "DEALT", (1, 2))  # larger than what is dealt over the cores once
+    monkeypatch.setattr("corvane.plans.q_models.SHARE", size // 40)
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().toString()
+    tasks = [int(n) for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", plan)]
+    assert tasks and min(tasks) >= 40
+
+
 def test_words_are_looked_up_once(spark, monkeypatch):
     """A resolver asks its lexicon about a word once, not once a token."""
     from corvane.operators import annotate as ann
