@@ -40,6 +40,15 @@ def write_lines(df: DataFrame, path: str, col: str = "sentence", mode: str = "er
     df.select(F.col(col).alias("value")).write.mode(mode).text(path)
 
 
+NOTE_END = "<!-- end of note -->\n"
+NOTES_A_FILE = 10_000
+
+
+def write_notes(df: DataFrame, path: str, col: str = "value", mode: str = "errorifexists") -> None:
+    """Notes, many to a file, each before a NOTE_END, which none may hold; `readers.markdown_files` reads them. Files by the note would cost more to open than to read."""
+    df.select(F.col(col).alias("value")).write.mode(mode).option("lineSep", NOTE_END).option("maxRecordsPerFile", NOTES_A_FILE).text(path)
+
+
 def write_by(df: DataFrame, path: str, *keys: str, mode: str = "errorifexists") -> None:
     """Parquet, one folder a key value."""
     df.write.mode(mode).partitionBy(*keys).parquet(path)

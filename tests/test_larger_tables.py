@@ -118,3 +118,11 @@ def test_tokens_are_made_when_asked_for():
     bound = fr.bind(s2, mn.sentence_mentions(s2, found), frozenset({"that"}), frozenset({"and"}))
     assert [b["term"] for b in bound] == ["and", "that"]
     assert [i for i, t in enumerate(s2.tokens.made) if t] == [5, 6, 10]
+
+
+def test_notes_are_few_files(spark, same, tmp_path):
+    titles = ["a", " b %% c ", "", "-> ==x==", "two\nlines", "no title \\E"]
+    pages = [(i, f"http://a.example/{i}", f"<title>{titles[i % 6]}</title>" if i % 11 else "") for i in range(500)]
+    same("markdown_notes", pages=(pages, "page_id long, url string, html string"))
+    files = registry.QUERIES["markdown_notes"](spark, str(tmp_path)).inputFiles()
+    assert 0 < len(files) < 50
