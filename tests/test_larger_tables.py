@@ -1,6 +1,9 @@
 """Queries on tables larger than the smoke tables in what matters to each, against their SQL."""
 
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -137,3 +140,15 @@ def test_notes_are_few_files(spark, same, tmp_path):
     same("markdown_notes", pages=(pages, "page_id long, url string, html string"))
     files = registry.QUERIES["markdown_notes"](spark, str(tmp_path)).inputFiles()
     assert 0 < len(files) < 50
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    from corvane.operators import mentions as mn
+    from corvane.operators import roles as rl
+    from corvane.plans import q_models as q
+
+    (tmp_path / "steps").write_bytes(cloudpickle.dumps([mn.mention_step(q.LEX), rl.role_step(q.LEX, q._Words())]))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", "import pickle; pickle.load(open('steps', 'rb'))"], cwd=tmp_path, env=env, check=True)
